@@ -4,8 +4,9 @@ Every document of a source has the same ratio of target to size.  Its whole part
 is taken outright; the fraction is an inclusion probability.  The flight phase
 moves those probabilities along the null space of the balancing constraints (sum
 of probabilities, sum of probability times size) until at most two documents of a
-block stay undecided; the rest of all blocks meets again in fewer blocks, and the
-last two documents of a source land where its token total comes nearest.
+block stay undecided; the rest of all blocks meets again in fewer blocks.  The last
+flight of a source spares a few documents of all sizes, and the landing decides these
+and the two left over so that the token total comes nearest.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SHARE = 1.5
 LIMIT = 2.0
 #: Documents that one task balances at a time.
 BLOCK = 20_000
+#: Documents of a source that the landing decides together with the two that the flight leaves.
+RESERVE = 14
 _EDGE = 1e-9
 
 
@@ -84,17 +87,25 @@ def flight(size: np.ndarray, chance: np.ndarray, draw: np.random.Generator) -> n
     return np.array(p, dtype=float)
 
 
+def reserved(size: np.ndarray, chance: np.ndarray, count: int = RESERVE) -> np.ndarray:
+    """Units that the last flight leaves to the landing, spread evenly over the sizes."""
+    open_units = np.flatnonzero((chance > _EDGE) & (chance < 1 - _EDGE))
+    by_size = open_units[np.argsort(size[open_units], kind="stable")]
+    return by_size[np.unique(np.linspace(0, len(by_size) - 1, min(count, len(by_size))).astype(int))] if len(by_size) else by_size
+
+
 def landing(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Decide the two units at most that are left so that the token total comes nearest."""
+    """Decide the few units that are left: nearest token total first, then document total."""
     open_units = np.flatnonzero((chance > _EDGE) & (chance < 1 - _EDGE))
-    aim = float((size[open_units] * chance[open_units]).sum())
-    options = [[]]
-    for unit in open_units:
-        options += [[*chosen, unit] for chosen in options]
-    best = min(options, key=lambda chosen: (abs(aim - float(size[chosen].sum())), len(chosen)))
+    tokens, documents = np.zeros(1), np.zeros(1)
+    for unit in open_units:  # totals of all subsets; bit k of the place says whether unit k is taken
+        tokens = np.concatenate((tokens, tokens + size[unit]))
+        documents = np.concatenate((documents, documents + 1))
+    scale = max(float(size[open_units].mean()), 1.0) if len(open_units) else 1.0
+    cost = np.abs(tokens - float((size[open_units] * chance[open_units]).sum())) / scale + 0.001 * np.abs(documents - float(chance[open_units].sum()))
+    best = int(np.argmin(cost))
     out = np.round(chance)
-    out[open_units] = 0.0
-    out[best] = 1.0
+    out[open_units] = [best >> k & 1 for k in range(len(open_units))]
     return out
 
 
@@ -121,9 +132,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
             number = int(unit["block"].iloc[0]) if len(unit) else 0
             name = str(unit["source"].iloc[0]).encode()
             draw = np.random.default_rng([seed, level, number, *name])
-            chance = flight(unit["size"].to_numpy(float), unit["chance"].to_numpy(float), draw)
+            size, chance = unit["size"].to_numpy(float), unit["chance"].to_numpy(float, copy=True)
+            held = reserved(size, chance) if last else np.zeros(0, dtype=int)
+            flown = np.delete(np.arange(len(size)), held)
+            chance[flown] = flight(size[flown], chance[flown], draw)
             if last:
-                chance = landing(unit["size"].to_numpy(float), chance)
+                chance = landing(size, chance)
             return unit.assign(chance=chance)
 
         return run
