@@ -137,3 +137,56 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
                 upto += 1
             yield batch.slice(at, upto - at), texts
             at = upto
+
+
+def hashed_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits places with a bit for every long in the only column of ``keys``.
+
+    Spark ORs the buckets; the driver receives 2**bits / 8 bytes whatever the input,
+    so the result may be broadcast.  A place may be shared: use it where a false hit
+    costs work, never where it changes a result.
+    """
+    name = keys.columns[0]
+    place = F.pmod(F.col(name), F.lit(1 << bits))
+    placed = keys.where(F.col(name).isNotNull()).select(F.floor(place / F.lit(32768)).cast("long").alias("bucket"), (place % 32768).alias("at"))
+    parts = placed.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    out = np.zeros(max(1, (1 << bits) // 8), dtype=np.uint8)
+    for part in parts:
+        chunk = np.frombuffer(part["bits"], dtype=np.uint8)
+        begin = part["bucket"] * 4096
+        out[begin : begin + 4096] = chunk[: len(out) - begin]
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bits of uint64 keys are set."""
+    place = keys & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``node, component`` (least node) of an undirected graph, by alternating stars.
+
+    Each round hangs every node under the least neighbour it knows; the tables are
+    written after each round, and the number of rounds is logarithmic in the path length.
+    """
+    edges = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    edges = checkpointed(edges)
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # large star: neighbours above u go under the least of u's neighbourhood
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # small star: u and its lower neighbours go under the least of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = checkpointed(small.where("u != v").distinct())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        state = now

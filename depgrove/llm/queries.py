@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgrove.llm import chat, exact_dedup, mixing, packing
+from depgrove.llm import chat, exact_dedup, jaccard_join, mixing, packing
 from depgrove.llm.common import table
 
 #: Fixed text of the extra conversation that op4 formats.
@@ -38,11 +38,16 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op7_cube_mix": op7_cube_mix,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_grace_dedup": op9_grace_dedup,
+    "op10_combination_prefix_join": op10_combination_prefix_join,
 }
 
 ORACLES: dict[str, str] = {
