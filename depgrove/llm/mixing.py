@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2.0
 #: Documents that one task balances at a time.
-BLOCK = 20_000
+BLOCK = 4_000
 #: Documents of a source that the landing decides together with the two that the flight leaves.
 RESERVE = 14
 _EDGE = 1e-9
