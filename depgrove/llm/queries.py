@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgrove.llm import chat, exact_dedup, jaccard_join, mixing, packing, substring_dedup
+from depgrove.llm import chat, exact_dedup, jaccard_join, language_id, mixing, packing, substring_dedup
 from depgrove.llm.common import table
 
 #: Fixed text of the extra conversation that op4 formats.
@@ -30,6 +30,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
 def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 
@@ -49,6 +53,7 @@ def op10_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_anchors": op2_block_anchors,
     "op4_chat_format": op4_chat_format,
+    "op6_cross_parsing": op6_cross_parsing,
     "op7_cube_mix": op7_cube_mix,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_grace_dedup": op9_grace_dedup,
