@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgrove.llm import chat, exact_dedup, jaccard_join, language_id, mixing, packing, substring_dedup
+from depgrove.llm import chat, exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, substring_dedup
 from depgrove.llm.common import table
 
 #: Fixed text of the extra conversation that op4 formats.
@@ -18,6 +18,10 @@ def op2_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept", "spans")
 
 
+def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
@@ -52,6 +56,7 @@ def op10_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_anchors": op2_block_anchors,
+    "op3_weighted_sampling": op3_weighted_sampling,
     "op4_chat_format": op4_chat_format,
     "op6_cross_parsing": op6_cross_parsing,
     "op7_cube_mix": op7_cube_mix,
