@@ -35,7 +35,7 @@ INDEX_BITS, ANCHOR_BITS, DOCUMENT_BITS = 27, 26, 22
 #: A null doc_id counts as larger than every other.
 LAST = (1 << 63) - 1
 #: Candidate windows that a partition gathers before it settles them.
-GATHER = 4_000_000
+GATHER = 1_500_000
 
 
 def run_of_blocks(window: int, block: int) -> int:
@@ -122,16 +122,27 @@ def _probing(finder: _Finder, index: Broadcast):
 
 
 def _extending(finder: _Finder, index: Broadcast, anchors: Broadcast):
-    """Full windows around anchors; w is null where the partition has already seen a smaller doc_id."""
-    schema = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
-
-    def settled(w: np.ndarray, d: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((d, w))
+    """Full windows around anchors: one row each, or with the others of the document in
+    ``starts`` where the partition has already seen a smaller doc_id."""
+    schema = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("starts", pa.list_(pa.int64()))])
+
+    def settled(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        w, d, p = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(w, kind="stable")
         w, d, p = w[order], d[order], p[order]
-        start = np.concatenate(([True], w[1:] != w[:-1]))
-        least = d[np.flatnonzero(start)][np.cumsum(start) - 1]
-        known = pa.array(signed(w), mask=d > least)
-        return pa.RecordBatch.from_arrays([known, pa.array(d), pa.array(p)], schema=schema)
+        start = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        least = np.repeat(np.minimum.reduceat(d, start), np.diff(np.concatenate((start, [len(w)]))))
+        open_ = d == least
+        yield pa.RecordBatch.from_arrays([pa.array(signed(w[open_])), pa.array(d[open_]), pa.array(p[open_]), pa.nulls(int(open_.sum()), schema.field("starts").type)], schema=schema)
+        d, p = d[~open_], p[~open_]
+        if len(d):
+            order = np.argsort(d, kind="stable")
+            d, p = d[order], p[order]
+            start = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate((start, [len(d)])).astype(np.int32)), pa.array(p))
+            none = pa.nulls(len(start), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(d[start]), none, lists], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -154,10 +165,10 @@ def _extending(finder: _Finder, index: Broadcast, anchors: Broadcast):
                 held.append((windows[begin + starts], np.full(len(starts), ids[i]), _place(texts[i], starts)))
                 size += len(starts)
             if size > GATHER:
-                yield settled(*map(np.concatenate, zip(*held, strict=True)))
-                held, size = [], 0
+                yield from settled(held)
+                size = 0
         if held:
-            yield settled(*map(np.concatenate, zip(*held, strict=True)))
+            yield from settled(held)
 
     return run
 
@@ -225,13 +236,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, t
     hits = rows.mapInArrow(_probing(finder, index), "h long, low long, high long")
     shared = hits.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     anchors = context.broadcast(hashed_bitmap(shared.select("h"), ANCHOR_BITS))
-    found = rows.mapInArrow(_extending(finder, index, anchors), "w long, doc_id long, place long")
-    # rows with w = null are settled; each gets a key of its own, so they do not meet in one task
-    key = F.coalesce("w", F.xxhash64("doc_id", "place"))
+    found = rows.mapInArrow(_extending(finder, index, anchors), "w long, doc_id long, place long, starts array<long>")
+    # rows that are settled need no window; each gets a key of its own, so they do not meet in one task
     least = F.min("doc_id").over(Window.partitionBy("key", "settled"))
-    dealt = found.select(key.alias("key"), F.col("w").isNull().alias("settled"), "doc_id", "place").withColumn("least", least)
-    covered = dealt.where(F.col("settled") | (F.col("doc_id") > F.col("least")))
-    starts = checkpointed(covered.groupBy("doc_id").agg(F.collect_list("place").alias("places")))
+    dealt = found.select(F.coalesce("w", F.xxhash64("doc_id", "starts")).alias("key"), F.col("w").isNull().alias("settled"), "doc_id", "place", "starts")
+    covered = dealt.withColumn("least", least).where(F.col("settled") | (F.col("doc_id") > F.col("least")))
+    places = F.concat(F.collect_list("place"), F.flatten(F.collect_list("starts")))
+    starts = checkpointed(covered.groupBy("doc_id").agg(places.alias("places")))
     touched = context.broadcast(hashed_bitmap(starts.select(F.xxhash64("doc_id")), DOCUMENT_BITS))
     hashed = rows.withColumn("id_hash", F.xxhash64("doc_id"))
     clean = hashed.mapInArrow(_keeping(window, touched, texts), RESULT)
