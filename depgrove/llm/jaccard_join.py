@@ -17,7 +17,7 @@ and no group is expanded into all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,38 +32,57 @@ WORDS = 5
 SHARE = (3, 4)
 #: A shingle is frequent from so many estimated sets on; the estimate only steers cost.
 FREQUENT = 16
+#: Shingles that a partition gathers before it counts the repeated ones.
+GATHER = 8_000_000
 #: Bits of the bitmaps for frequent shingles, shared signatures and sets to verify.
 FREQUENT_BITS, SHARED_BITS, MEMBER_BITS = 24, 26, 22
 
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
 
 
-def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
-    """Sorted 64-bit hashes of the distinct shingles of every text.
+class Sets:
+    """Shingle sets of a block of texts: set i is ``values[first[i]:first[i + 1]]``, sorted.
 
-    A text with fewer words is one shingle, one without words has none.
+    A text with fewer than ``words`` words is one shingle, one without words has none.
     """
-    seen = Words(texts, lower=True)
-    rolled, _ = seen.windows(words)
-    out = []
-    for i in range(len(texts)):
-        begin, end = int(seen.first[i]), int(seen.first[i + 1])
-        if end - begin >= words:
-            out.append(np.unique(rolled[begin : end - words + 1]))
-        elif end > begin:
-            value = np.array([end - begin], dtype=np.uint64)
-            for at in range(begin, end):
-                value = mix(value * _ODD[1] + seen.hash[at : at + 1])
-            out.append(value)
-        else:
-            out.append(np.zeros(0, dtype=np.uint64))
-    return out
-
-
-def set_key(hashes: np.ndarray) -> int:
-    """64-bit key of a set, as a signed number."""
-    total = mix(hashes ^ _ODD[2]).sum(dtype=np.uint64, keepdims=True) + np.array([len(hashes)], dtype=np.uint64) * _ODD[3]
-    return int(signed(mix(total))[0])
+
+    def __init__(self, texts: list[bytes], words: int = WORDS):
+        seen = Words(texts, lower=True)
+        rolled, inside = seen.windows(words)
+        counts = np.diff(seen.first)
+        sizes = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        values = np.empty(int(at[-1]), dtype=np.uint64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        values[(counts >= words)[owner]] = rolled[inside]
+        for i in np.flatnonzero((counts > 0) & (counts < words)):
+            value = counts[i : i + 1].astype(np.uint64)
+            for k in range(int(seen.first[i]), int(seen.first[i + 1])):
+                value = mix(value * _ODD[1] + seen.hash[k : k + 1])
+            values[at[i]] = value[0]
+        for i in np.flatnonzero(sizes > 1):
+            values[at[i] : at[i + 1]].sort()
+        new = np.ones(len(values), dtype=bool)
+        new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+        self.values, self.owner = values[new], owner[new]
+        self.sizes = np.bincount(self.owner, minlength=len(texts))
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
+        sums = np.zeros(len(self.values) + 1, dtype=np.uint64)
+        np.cumsum(mix(self.values ^ _ODD[2]), out=sums[1:])
+        #: a 64-bit key of every set, as a signed number
+        self.keys = signed(mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.sizes.astype(np.uint64) * _ODD[3]))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.values[self.first[i] : self.first[i + 1]]
+
+    def unseen(self, known: set[int]) -> np.ndarray:
+        """Which sets have a key that ``known`` lacks; adds them."""
+        out = np.zeros(len(self.keys), dtype=bool)
+        for i, key in enumerate(self.keys.tolist()):
+            if key not in known:
+                known.add(key)
+                out[i] = True
+        return out
 
 
 def _band(n: int, share: tuple[int, int]) -> int:
@@ -79,35 +98,43 @@ def _groups(band: int, share: tuple[int, int]) -> int:
     return max(1, int((share[1] / share[0]) ** band / 8))
 
 
-def signatures(hashes: np.ndarray, frequent: np.ndarray, share: tuple[int, int] = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of a set, the place of each and its slack in the overlap bound.
+def signatures(sets: Sets, chosen: np.ndarray, frequent: np.ndarray, share: tuple[int, int] = SHARE) -> tuple[np.ndarray, ...]:
+    """Signatures of the chosen sets: their values, the sets' numbers, places and slacks.
 
     A pair that shares a signature has an overlap of at most slack + min(n1 - place1,
     n2 - place2) - 1, or shares another signature for which that holds.
     """
-    n = len(hashes)
-    least = -(-n * share[0] // share[1])
-    if n < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    common = in_bitmap(frequent, hashes)
-    rare = hashes[~common]
-    prefix = n - least + 1
-    single = rare[:prefix]
-    sigs, places, slacks = [mix(single ^ _ODD[0])], [np.arange(len(single), dtype=np.int32)], [np.ones(len(single), np.int32)]
-    if len(rare) < prefix:
-        for band in (_band(n, share), _band(n, share) + 1):
+    n = sets.sizes
+    prefix = n + n * -share[0] // share[1] + 1
+    prefix[~chosen | (n < 2)] = 0
+    rare = ~in_bitmap(frequent, sets.values)
+    upto = np.concatenate(([0], np.cumsum(rare)))
+    rank = upto[:-1] - upto[sets.first[:-1]][sets.owner]
+    rares = upto[sets.first[1:]] - upto[sets.first[:-1]]
+    at = np.flatnonzero(rare & (rank < prefix[sets.owner]))
+    sigs, owners, places, slacks = [mix(sets.values[at] ^ _ODD[0])], [sets.owner[at]], [rank[at]], [np.ones(len(at), np.int64)]
+    for k in np.flatnonzero(rares < prefix):
+        common = sets[k][~rare[sets.first[k] : sets.first[k + 1]]]
+        for band in (_band(n[k], share), _band(n[k], share) + 1):
             groups = _groups(band, share)
-            some = hashes[common][: prefix + groups - len(rare)]
+            some = common[: prefix[k] + groups - rares[k]]
             group = (mix(some ^ _ODD[1]) % np.uint64(groups)).astype(np.int64)
-            for g in range(groups):
-                at = np.flatnonzero(group == g)
-                if len(at) > 1:
-                    i, j = np.triu_indices(len(at), 1)
-                    i, j = at[i], at[j]
-                    sigs.append(mix(some[i] * _ODD[1] + some[j] * _ODD[2] + np.uint64(band)))
-                    places.append((len(rare) + j).astype(np.int32))
-                    slacks.append(np.full(len(i), groups + 1, np.int32))
-    return np.concatenate(sigs), np.concatenate(places), np.concatenate(slacks)
+            order = np.argsort(group, kind="stable")
+            starts = np.searchsorted(group[order], np.arange(groups + 1))
+            for g in np.flatnonzero(np.diff(starts) > 1):
+                inside = order[starts[g] : starts[g + 1]]
+                i, j = _pairs(len(inside))
+                i, j = inside[i], inside[j]
+                sigs.append(mix(some[i] * _ODD[1] + some[j] * _ODD[2] + np.uint64(band)))
+                owners.append(np.full(len(i), k))
+                places.append(rares[k] + j)
+                slacks.append(np.full(len(i), groups + 1))
+    return tuple(map(np.concatenate, (sigs, owners, places, slacks)))
+
+
+@lru_cache(64)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
 
 
 def _columns(schema: pa.Schema, *arrays) -> pa.RecordBatch:
@@ -124,25 +151,22 @@ def _surveyor(words: int):
         size = 0
 
         def repeated():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            tokens, counts = tokens[counts > 1], counts[counts > 1]
-            none = np.full(len(tokens), None)
+            tokens = np.sort(np.concatenate(held))
+            edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True])))
+            counts = np.diff(edge)
+            tokens, counts = tokens[edge[:-1]][counts > 1], counts[counts > 1]
+            none = pa.nulls(len(tokens), pa.int64())
             return _columns(schema, none, none, counts, signed(tokens))
 
         for batch, texts in text_blocks(batches):
-            keys, sizes = [], []
-            for hashes in shingle_sets(texts, words):
-                keys.append(set_key(hashes))
-                sizes.append(len(hashes))
-                if keys[-1] not in known:
-                    known.add(keys[-1])
-                    held.append(hashes)
-                    size += len(hashes)
-            yield _columns(schema, batch.column("doc_id"), keys, sizes, np.full(len(keys), None))
-            if size > 8_000_000:
+            sets = Sets(texts, words)
+            yield _columns(schema, batch.column("doc_id"), sets.keys, sets.sizes, pa.nulls(len(texts), pa.int64()))
+            held.append(sets.values[sets.unseen(known)[sets.owner]])
+            size += len(held[-1])
+            if size > GATHER:
                 yield repeated()
                 held, size = [], 0
-        if held:
+        if size:
             yield repeated()
 
     return run
@@ -150,26 +174,20 @@ def _surveyor(words: int):
 
 def _indexer(words: int, share: tuple[int, int], frequent: Broadcast, shared: Broadcast | None):
     """Signatures of every set; with ``shared`` only those whose bit is set, with their places."""
-    schema = pa.schema([("sig", pa.int64())] + ([("key", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("slack", pa.int32())] if shared else []))
+    more = [("key", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("slack", pa.int32())] if shared else [("tag", pa.int32())]
+    schema = pa.schema([("sig", pa.int64()), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for _, texts in text_blocks(batches):
-            found: list[tuple] = []
-            for hashes in shingle_sets(texts, words):
-                key = set_key(hashes)
-                if len(hashes) < 2 or key in known:
-                    continue
-                known.add(key)
-                sigs, places, slacks = signatures(hashes, frequent.value, share)
-                if shared:
-                    hit = in_bitmap(shared.value, sigs)
-                    sigs, places, slacks = sigs[hit], places[hit], slacks[hit]
-                    found.append((signed(sigs), np.full(len(sigs), key), np.full(len(sigs), len(hashes), np.int32), places, slacks))
-                else:
-                    found.append((signed(sigs),))
-            if found:
-                yield _columns(schema, *map(np.concatenate, zip(*found, strict=True)))
+            sets = Sets(texts, words)
+            sigs, owners, places, slacks = signatures(sets, sets.unseen(known), frequent.value, share)
+            if shared:
+                hit = np.flatnonzero(in_bitmap(shared.value, sigs))
+                owners = owners[hit]
+                yield _columns(schema, signed(sigs[hit]), sets.keys[owners], sets.sizes[owners].astype(np.int32), places[hit].astype(np.int32), slacks[hit].astype(np.int32))
+            else:
+                yield _columns(schema, signed(sigs), (sets.keys[owners] >> 32).astype(np.int32))
 
     return run
 
@@ -182,8 +200,8 @@ def _reader(words: int, members: Broadcast):
         for batch in batches:
             hit = in_bitmap(members.value, batch.column("id_hash").to_numpy(zero_copy_only=False).view(np.uint64))
             for _, texts in text_blocks(iter([batch.filter(pa.array(hit))])):
-                sets = shingle_sets(texts, words)
-                yield _columns(schema, [set_key(s) for s in sets], [s.tobytes() for s in sets])
+                sets = Sets(texts, words)
+                yield _columns(schema, sets.keys, [sets[i].tobytes() for i in range(len(texts))])
 
     return run
 
@@ -240,11 +258,11 @@ class Join:
         """Links between keys that span every component, and the components."""
         frequent = self.context.broadcast(hashed_bitmap(often, FREQUENT_BITS))
         texts = self.rows.select("text")
-        sigs = texts.mapInArrow(_indexer(self.words, self.share, frequent, None), "sig long").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sigs = texts.mapInArrow(_indexer(self.words, self.share, frequent, None), "sig long, tag int")
+        # 32 bits of the key tell copies of one set in several partitions from different sets
+        sigs = sigs.groupBy("sig").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high")
         shared = self.context.broadcast(hashed_bitmap(sigs.select("sig"), SHARED_BITS))
-        index = texts.mapInArrow(_indexer(self.words, self.share, frequent, shared), "sig long, key long, n int, place int, slack int")
-        index = index.dropDuplicates(["sig", "key"])  # copies of a set in several partitions
-        index = checkpointed(index)
+        index = checkpointed(texts.mapInArrow(_indexer(self.words, self.share, frequent, shared), "sig long, key long, n int, place int, slack int"))
         found, tested, label, turn = [], [], None, 0
         while True:
             if label is None:
@@ -252,30 +270,33 @@ class Join:
             else:
                 left = index.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
             # a signature whose members are all connected has nothing left to decide
-            span = left.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"), F.min(F.struct(F.lit(0).alias("x") if turn == 0 else F.xxhash64("key", F.lit(turn)).alias("x"), "place", "key", "n", "slack", "component")).alias("pivot")).where("low != high")
-            left = checkpointed(left.join(span.select("sig", "pivot"), "sig"))
-            counts = left.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
-            todo = counts.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0]
-            if not todo:
-                break
-            small = turn > 0 and (turn >= 6 or todo <= 4 * left.count())
+            order = F.lit(0).cast("long") if turn == 0 else F.xxhash64("key", F.lit(turn))
+            pivot = F.min(F.struct(order.alias("x"), "place", "key", "n", "slack", "component")).alias("pivot")
+            span = checkpointed(left.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low != high").select("sig", "pivot"))
+            if turn:
+                left = checkpointed(left.join(span.select("sig"), "sig", "left_semi").dropDuplicates(["sig", "key"]))
+                counts = left.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
+                todo, members = counts.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
+                if not todo:
+                    break
+            small = turn > 0 and (turn >= 6 or todo <= 4 * members)
             if small:
                 p, q = left.alias("p"), left.alias("q")
                 pairs = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.key") < F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & self._possible(F.col("p.slack"), "p.", F.col("q.slack"), "q.")).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
             else:
-                pairs = left.where((F.col("key") != F.col("pivot.key")) & (F.col("component") != F.col("pivot.component")) & self._possible(F.col("slack"), "", F.col("pivot.slack"), "pivot.")).select(F.least("key", "pivot.key").alias("a"), F.greatest("key", "pivot.key").alias("b"))
+                near = (F.col("key") != F.col("pivot.key")) & (F.col("component") != F.col("pivot.component"))
+                pairs = left.join(span, "sig").where(near & self._possible(F.col("slack"), "", F.col("pivot.slack"), "pivot.")).select(F.least("key", "pivot.key").alias("a"), F.greatest("key", "pivot.key").alias("b"))
             pairs = pairs.distinct()
             for old in tested:
                 pairs = pairs.join(old, ["a", "b"], "left_anti")
             pairs = checkpointed(pairs)
             tested.append(pairs)
             found.append(self.verified(pairs, reps))
+            label = components(reduce(DataFrame.unionByName, found))
             if small:
                 break
-            label = components(reduce(DataFrame.unionByName, found))
             turn += 1
-        links = reduce(DataFrame.unionByName, found) if found else index.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-        return links, components(links)
+        return reduce(DataFrame.unionByName, found), label
 
     def result(self) -> DataFrame:
         members, often = self.classes()

@@ -96,20 +96,24 @@ def test_one_of_each_component_stays(spark):
 
 
 def test_signatures_of_linked_sets_meet():
-    draw = np.random.default_rng(5)
-    frequent = np.full(1 << 10, 255, dtype=np.uint8)  # every shingle counts as frequent
-    rare = np.zeros(1 << 10, dtype=np.uint8)
+    draw = random.Random(5)
     for n in (2, 3, 4, 5, 9, 30, 200, 1000):
-        for bitmap in (frequent, rare, draw.integers(0, 256, 1 << 10, dtype=np.uint8)):
+        for fill in (255, 0, None):  # all shingles frequent, all rare, either
+            bitmap = np.frombuffer(draw.randbytes(1 << 10), np.uint8) if fill is None else np.full(1 << 10, fill, dtype=np.uint8)
             for _ in range(20):
-                a = np.unique(draw.integers(0, 2**63, n, dtype=np.uint64))
-                cut = len(a) // 8
-                b = np.unique(np.concatenate((a[cut:], draw.integers(0, 2**63, len(a) // 8 - (len(a) % 2), dtype=np.uint64)))) if len(a) > 8 else a[: max(1, len(a) - (len(a) >= 4))]
-                both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-                if len(b) > 1 and 4 * both >= 3 * either:
-                    x, y = jaccard_join.signatures(a, bitmap), jaccard_join.signatures(b, bitmap)
-                    ok = False
-                    for s in np.intersect1d(x[0], y[0]):
-                        i, j = np.flatnonzero(x[0] == s)[0], np.flatnonzero(y[0] == s)[0]
-                        ok |= max(x[2][i], y[2][j]) + min(len(a) - x[1][i], len(b) - y[1][j]) - 1 >= both
-                    assert ok
+                a = [f"t{draw.randrange(10**9)}" for _ in range(n + 4)]
+                b = a[: len(a) - draw.randrange(n // 8 + 2)] + [f"u{i}" for i in range(draw.randrange(n // 9 + 1))]
+                sets = jaccard_join.Sets([" ".join(a).encode(), " ".join(b).encode()])
+                both, either = len(np.intersect1d(sets[0], sets[1])), len(np.union1d(sets[0], sets[1]))
+                if either > both and 4 * both >= 3 * either:
+                    sig, owner, place, slack = jaccard_join.signatures(sets, np.ones(2, bool), bitmap)
+                    bounds = [max(slack[i], slack[j]) + min(sets.sizes[0] - place[i], sets.sizes[1] - place[j]) - 1 for i in np.flatnonzero(owner == 0) for j in np.flatnonzero((owner == 1) & (sig == sig[i]))]
+                    assert bounds and max(bounds) >= both
+
+
+def test_sets_by_definition():
+    texts = ["", "one", "a b c d", "A b c d e", "a b c d e f a b c d e g", " \n"]
+    sets = jaccard_join.Sets([t.encode() for t in texts])
+    assert sets.sizes.tolist() == [len(shingles(t)) for t in texts]
+    assert len(set(sets.keys.tolist())) == 5  # the two empty ones share a key
+    assert all((np.diff(sets[i].astype(object)) > 0).all() for i in range(len(texts)))
