@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgrove.llm import chat, exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, substring_dedup
+from depgrove.llm import chat, exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, secrets, substring_dedup
 from depgrove.llm.common import table
 
 #: Fixed text of the extra conversation that op4 formats.
@@ -34,6 +34,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
+
+
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_anchors": op2_block_anchors,
     "op3_weighted_sampling": op3_weighted_sampling,
     "op4_chat_format": op4_chat_format,
+    "op5_crf_secrets": op5_crf_secrets,
     "op6_cross_parsing": op6_cross_parsing,
     "op7_cube_mix": op7_cube_mix,
     "op8_vector_best_fit": op8_vector_best_fit,
