@@ -4,9 +4,9 @@ Every document of a source has the same ratio of target to size.  Its whole part
 is taken outright; the fraction is an inclusion probability.  The flight phase
 moves those probabilities along the null space of the balancing constraints (sum
 of probabilities, sum of probability times size) until at most two documents of a
-block stay undecided; the rest of all blocks meets again in fewer blocks.  The last
-flight of a source spares a few documents of all sizes, and the landing decides these
-and the two left over so that the token total comes nearest.
+block stay undecided, and spares a few of all sizes; the rest of all blocks meets
+again in fewer blocks.  What the last flight of a source leaves is decided by the
+landing so that the token total comes nearest.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from depgrove.llm.common import checkpointed, word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2.0
-#: Documents that one task balances at a time.
+#: Documents that one task balances at a time; at least twice what a block leaves over.
 BLOCK = 4_000
-#: Documents of a source that the landing decides together with the two that the flight leaves.
+#: Documents of a block that the flight spares; the last ones are decided by the landing.
 RESERVE = 14
 _EDGE = 1e-9
 
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
             name = str(unit["source"].iloc[0]).encode()
             draw = np.random.default_rng([seed, level, number, *name])
             size, chance = unit["size"].to_numpy(float), unit["chance"].to_numpy(float, copy=True)
-            held = reserved(size, chance) if last else np.zeros(0, dtype=int)
+            held = reserved(size, chance)
             flown = np.delete(np.arange(len(size)), held)
             chance[flown] = flight(size[flown], chance[flown], draw)
             if last:
@@ -142,6 +142,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
         return run
 
+    if block < 2 * (RESERVE + 2):
+        raise ValueError("a block must be twice as large as what it leaves over")
     done: list[DataFrame] = []
     level, most = 0, aim.agg(F.max("docs")).first()[0] or 0
     while True:
