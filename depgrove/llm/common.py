@@ -33,17 +33,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     notebooks) gets one of its own.  Parquet takes a fraction of the space that
     ``checkpoint()`` needs for narrow rows.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or _own_folder(spark)
-    path = f"{folder.rstrip('/')}/depgrove-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/depgrove-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _own_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or one of the session's own where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if folder:
+        return folder.rstrip("/")
     context = spark.sparkContext
     if context.applicationId not in _folders:
-        _folders[context.applicationId] = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        _folders[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
     return _folders[context.applicationId]
 
 
@@ -153,16 +155,19 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
 
 
 def hashed_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits places with a bit for every long in the only column of ``keys``.
+    """A bitmap of 2**bits places (31 at most) with two bits for every key.
 
-    Spark ORs the buckets; the driver receives 2**bits / 8 bytes whatever the input,
-    so the result may be broadcast.  A place may be shared: use it where a false hit
-    costs work, never where it changes a result.
+    ``keys`` has one column of well-mixed longs; the places are their low bits and the
+    bits from 32 on.  Spark ORs the buckets; the driver receives 2**bits / 8 bytes
+    whatever the input, so the result may be broadcast.  A false hit is possible: use
+    it where that costs work, never where it changes a result.
     """
     name = keys.columns[0]
-    place = F.pmod(F.col(name), F.lit(1 << bits))
-    placed = keys.where(F.col(name).isNotNull()).select(F.floor(place / F.lit(32768)).cast("long").alias("bucket"), (place % 32768).alias("at"))
-    parts = placed.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    mask = F.lit((1 << bits) - 1)
+    places = F.array(F.col(name).bitwiseAND(mask), F.shiftrightunsigned(F.col(name), 32).bitwiseAND(mask))
+    placed = keys.where(F.col(name).isNotNull()).select(F.explode(places).alias("place"))
+    buckets = placed.select(F.shiftrightunsigned("place", 15).alias("bucket"), F.col("place").bitwiseAND(F.lit(32767)).alias("at"))
+    parts = buckets.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
     out = np.zeros(max(1, (1 << bits) // 8), dtype=np.uint8)
     for part in parts:
         chunk = np.frombuffer(part["bits"], dtype=np.uint8)
@@ -172,9 +177,16 @@ def hashed_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
 
 
 def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the bits of uint64 keys are set."""
-    place = keys & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    """Whether both bits of uint64 keys are set."""
+    mask = np.uint64(len(bitmap) * 8 - 1)
+    out = _bit(bitmap, keys & mask)
+    some = np.flatnonzero(out)
+    out[some] = _bit(bitmap, (keys[some] >> np.uint64(32)) & mask)
+    return out
+
+
+def _bit(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[(place >> np.uint64(3)).view(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def signed(x: np.ndarray) -> np.ndarray:

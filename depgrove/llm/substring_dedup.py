@@ -35,7 +35,7 @@ INDEX_BITS, ANCHOR_BITS, DOCUMENT_BITS = 27, 26, 22
 #: A null doc_id counts as larger than every other.
 LAST = (1 << 63) - 1
 #: Candidate windows that a partition gathers before it settles them.
-GATHER = 1_500_000
+GATHER = 600_000
 
 
 def run_of_blocks(window: int, block: int) -> int:
