@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgrove.llm import chat, exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, secrets, substring_dedup
+from depgrove.llm import chat, exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, pseudo_likelihood, secrets, substring_dedup
 from depgrove.llm.common import table
 
 #: Fixed text of the extra conversation that op4 formats.
 PROBE = "\\### Assistant: </turn> ok"
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, *pseudo_likelihood.fit(docs))
+
+
 def op2_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept", "spans")
 
@@ -60,6 +65,7 @@ def op10_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_block_anchors": op2_block_anchors,
     "op3_weighted_sampling": op3_weighted_sampling,
     "op4_chat_format": op4_chat_format,
