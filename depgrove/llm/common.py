@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgrove.session import ship
+from depgrove.session import checkpointed, shared_folder, table
+
+__all__ = ["checkpointed", "shared_folder", "table"]
 
 #: Bytes of text that the numpy helpers take at a time.
 CHUNK_BYTES = 1 << 20
@@ -22,36 +22,6 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _WINDOW_MULTIPLIER = 0xC2B2AE3D27D4EB4F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it again.
-
-    The folder is ``spark.checkpoint.dir``; only a session without that setting (tests,
-    notebooks) gets one of its own.  Parquet takes a fraction of the space that
-    ``checkpoint()`` needs for narrow rows.
-    """
-    path = f"{shared_folder(df.sparkSession)}/depgrove-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or one of the session's own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if context.applicationId not in _folders:
-        _folders[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
-    return _folders[context.applicationId]
-
-
-_folders: dict[str, str] = {}
-
-
 def word_count(text):
     """Number of words of a text column; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
