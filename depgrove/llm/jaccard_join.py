@@ -10,7 +10,7 @@ and position filters are verified on whole sets.
 Equal sets form one class before anything else, so exact copies cost one member.
 Within a signature every member is compared with a pivot, the member where the
 signature stands earliest; only pairs that the found links leave in different
-components are enumerated afterwards.  No link between different sets is lost,
+components are enumerated afterwards, and parity sketches rule out most of those.  No link between different sets is lost,
 and no group is expanded into all its pairs.
 """
 
@@ -32,6 +32,12 @@ WORDS = 5
 SHARE = (3, 4)
 #: A shingle is frequent from so many estimated sets on; the estimate only steers cost.
 FREQUENT = 16
+#: Rounds of pivots at most before the pairs that are left are enumerated, and the number
+#: of pairs per member from which another round is worth its while.
+ROUNDS, PAIRS_PER_MEMBER = 2, 400
+#: Longs of a parity sketch.
+LONGS = 8
+SKETCH = [f"s{i}" for i in range(LONGS)]
 #: Shingles that a partition gathers before it counts the repeated ones.
 GATHER = 8_000_000
 #: Bits of the bitmaps for frequent shingles, shared signatures and sets to verify.
@@ -72,6 +78,16 @@ class Sets:
         #: a 64-bit key of every set, as a signed number
         self.keys = signed(mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.sizes.astype(np.uint64) * _ODD[3]))
 
+    def sketches(self) -> np.ndarray:
+        """Parity of the members of every set in each of 512 places, sets by 8 longs.
+
+        Each shingle that only one of two sets has flips one place, so the sketches of
+        two sets differ in no more places than the sets have such shingles.
+        """
+        place = self.owner * (64 * LONGS) + (mix(self.values ^ _ODD[1]) % np.uint64(64 * LONGS)).astype(np.int64)
+        odd = np.bincount(place, minlength=len(self.sizes) * 64 * LONGS).astype(np.uint8) & 1
+        return np.packbits(odd.reshape(-1, 64 * LONGS), axis=1).view(np.int64)
+
     def __getitem__(self, i: int) -> np.ndarray:
         return self.values[self.first[i] : self.first[i + 1]]
 
@@ -85,17 +101,17 @@ class Sets:
         return out
 
 
-def _band(n: int, share: tuple[int, int]) -> int:
-    """Bands of set sizes: sizes that can link lie in the same or in neighbouring bands."""
-    ratio, band, limit = share[1] / share[0], 0, 1.0
-    while limit * ratio <= n:
-        limit *= ratio
-        band += 1
-    return band
+def _limits(share: tuple[int, int], n: int) -> list[float]:
+    """Lower ends of the bands of set sizes up to the one above n: sizes that can link lie at most one band apart."""
+    out = [1.0]
+    while out[-1] <= n:
+        out.append(out[-1] * share[1] / share[0])
+    return [*out, out[-1] * share[1] / share[0]]
 
 
-def _groups(band: int, share: tuple[int, int]) -> int:
-    return max(1, int((share[1] / share[0]) ** band / 8))
+def _groups(low: float) -> int:
+    """Classes of frequent shingles in the band that starts at ``low``; more of them mean fewer combinations."""
+    return max(1, int(low / 24))
 
 
 def signatures(sets: Sets, chosen: np.ndarray, frequent: np.ndarray, share: tuple[int, int] = SHARE) -> tuple[np.ndarray, ...]:
@@ -115,9 +131,12 @@ def signatures(sets: Sets, chosen: np.ndarray, frequent: np.ndarray, share: tupl
     sigs, owners, places, slacks = [mix(sets.values[at] ^ _ODD[0])], [sets.owner[at]], [rank[at]], [np.ones(len(at), np.int64)]
     for k in np.flatnonzero(rares < prefix):
         common = sets[k][~rare[sets.first[k] : sets.first[k + 1]]]
-        for band in (_band(n[k], share), _band(n[k], share) + 1):
-            groups = _groups(band, share)
-            some = common[: prefix[k] + groups - rares[k]]
+        limits = _limits(share, n[k])
+        own = len(limits) - 3
+        # the band of the larger set of a pair: this one's own, or the next, where the other set is at least so large
+        for band, least in ((own, 0.0), (own + 1, (n[k] + limits[own + 1]) * share[0] / (share[0] + share[1]))):
+            groups = _groups(limits[band])
+            some = common[: max(0, min(prefix[k], n[k] - int(least - 1e-6)) + groups - rares[k])]
             group = (mix(some ^ _ODD[1]) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(group, kind="stable")
             starts = np.searchsorted(group[order], np.arange(groups + 1))
@@ -143,7 +162,7 @@ def _columns(schema: pa.Schema, *arrays) -> pa.RecordBatch:
 
 def _surveyor(words: int):
     """Keys and sizes of all sets, and the shingles that several sets of a partition hold."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("token", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "n", "token", *SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -156,11 +175,11 @@ def _surveyor(words: int):
             counts = np.diff(edge)
             tokens, counts = tokens[edge[:-1]][counts > 1], counts[counts > 1]
             none = pa.nulls(len(tokens), pa.int64())
-            return _columns(schema, none, none, counts, signed(tokens))
+            return _columns(schema, none, none, counts, signed(tokens), *[none] * LONGS)
 
         for batch, texts in text_blocks(batches):
             sets = Sets(texts, words)
-            yield _columns(schema, batch.column("doc_id"), sets.keys, sets.sizes, pa.nulls(len(texts), pa.int64()))
+            yield _columns(schema, batch.column("doc_id"), sets.keys, sets.sizes, pa.nulls(len(texts), pa.int64()), *sets.sketches().T)
             held.append(sets.values[sets.unseen(known)[sets.owner]])
             size += len(held[-1])
             if size > GATHER:
@@ -238,8 +257,16 @@ class Join:
         enough = (n + m) * low <= (F.greatest(slack_a, slack_b) + rest) * (low + high)
         return (F.least(n, m) * high >= F.greatest(n, m) * low) & enough
 
+    def _close(self, left, right) -> F.Column:
+        """The sketches differ in no more places than a linked pair can."""
+        low, high = self.share
+        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in SKETCH])
+        return apart * (high + low) <= (F.col(f"{left}n") + F.col(f"{right}n")) * (high - low)
+
     def verified(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that link, decided on whole sets."""
+        a, b = (reps.select(F.col("key").alias(k), F.struct("n", *SKETCH).alias(f"of_{k}")) for k in "ab")
+        pairs = checkpointed(pairs.join(a, "a").join(b, "b").where(self._close("of_a.", "of_b.")).select("a", "b"))
         ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         members = hashed_bitmap(ends.join(reps, "key").select(F.xxhash64("rep")), MEMBER_BITS)
         sets = self.rows.mapInArrow(_reader(self.words, self.context.broadcast(members)), "key long, hashes binary")
@@ -250,9 +277,9 @@ class Join:
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """``doc_id, key, n`` of every document and ``token`` of the frequent shingles."""
-        survey = checkpointed(self.rows.select("doc_id", "text").mapInArrow(_surveyor(self.words), "doc_id long, key long, n long, token long"))
+        survey = checkpointed(self.rows.select("doc_id", "text").mapInArrow(_surveyor(self.words), ", ".join(f"{c} long" for c in ("doc_id", "key", "n", "token", *SKETCH))))
         often = survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= self.frequent)
-        return survey.where(F.col("key").isNotNull()).select("doc_id", "key", "n"), often.select("token")
+        return survey.where(F.col("key").isNotNull()).drop("token"), often.select("token")
 
     def links(self, reps: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links between keys that span every component, and the components."""
@@ -265,27 +292,25 @@ class Join:
         index = checkpointed(texts.mapInArrow(_indexer(self.words, self.share, frequent, shared), "sig long, key long, n int, place int, slack int"))
         found, tested, label, turn = [], [], None, 0
         while True:
-            if label is None:
-                left = index.withColumn("component", F.col("key"))
-            else:
+            left = index.withColumn("component", F.col("key"))
+            if label is not None:
                 left = index.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-            # a signature whose members are all connected has nothing left to decide
+            # a signature whose members are all connected has nothing left to decide, now or later
             order = F.lit(0).cast("long") if turn == 0 else F.xxhash64("key", F.lit(turn))
             pivot = F.min(F.struct(order.alias("x"), "place", "key", "n", "slack", "component")).alias("pivot")
-            span = checkpointed(left.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low != high").select("sig", "pivot"))
-            if turn:
+            span = left.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low != high").select("sig", "pivot")
+            if turn == 0:
+                pairs = self._with_pivot(left, span)
+            else:
+                span = checkpointed(span)
                 left = checkpointed(left.join(span.select("sig"), "sig", "left_semi").dropDuplicates(["sig", "key"]))
+                index = left.drop("component")
                 counts = left.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
                 todo, members = counts.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
                 if not todo:
                     break
-            small = turn > 0 and (turn >= 6 or todo <= 4 * members)
-            if small:
-                p, q = left.alias("p"), left.alias("q")
-                pairs = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.key") < F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & self._possible(F.col("p.slack"), "p.", F.col("q.slack"), "q.")).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
-            else:
-                near = (F.col("key") != F.col("pivot.key")) & (F.col("component") != F.col("pivot.component"))
-                pairs = left.join(span, "sig").where(near & self._possible(F.col("slack"), "", F.col("pivot.slack"), "pivot.")).select(F.least("key", "pivot.key").alias("a"), F.greatest("key", "pivot.key").alias("b"))
+                small = turn > ROUNDS or todo <= PAIRS_PER_MEMBER * members
+                pairs = self._across(left.join(reps.select("key", *SKETCH), "key")) if small else self._with_pivot(left, span)
             pairs = pairs.distinct()
             for old in tested:
                 pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -293,19 +318,30 @@ class Join:
             tested.append(pairs)
             found.append(self.verified(pairs, reps))
             label = components(reduce(DataFrame.unionByName, found))
-            if small:
+            if turn and small:
                 break
             turn += 1
         return reduce(DataFrame.unionByName, found), label
 
+    def _with_pivot(self, left: DataFrame, span: DataFrame) -> DataFrame:
+        """Each member of a signature with its pivot."""
+        near = (F.col("key") != F.col("pivot.key")) & (F.col("component") != F.col("pivot.component"))
+        return left.join(span, "sig").where(near & self._possible(F.col("slack"), "", F.col("pivot.slack"), "pivot.")).select(F.least("key", "pivot.key").alias("a"), F.greatest("key", "pivot.key").alias("b"))
+
+    def _across(self, left: DataFrame) -> DataFrame:
+        """All pairs of a signature's members in different components."""
+        p, q = left.alias("p"), left.alias("q")
+        apart = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.key") < F.col("q.key")) & (F.col("p.component") != F.col("q.component"))
+        return p.join(q, apart & self._possible(F.col("p.slack"), "p.", F.col("q.slack"), "q.") & self._close("p.", "q.")).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
+
     def result(self) -> DataFrame:
         members, often = self.classes()
-        reps = checkpointed(members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
+        reps = checkpointed(members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH]))
         _, label = self.links(reps, often)
         grouped = reps.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
         named = grouped.join(least, "component").select("key", "component_id")
-        filled = members.join(named, "key", "left")
+        filled = members.select("doc_id", "key", "n").join(named, "key", "left")
         return filled.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
