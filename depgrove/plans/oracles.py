@@ -58,10 +58,15 @@ KEYS = ", ".join(f"({len(k)}, {i}, '{k}', '{t}')" for i, (k, t) in enumerate(_ke
 VERB_TYPE = "CASE verb " + " ".join(f"WHEN '{v}' THEN '{t}'" for v, (t, _) in VERBS.items()) + " END"
 VERB_SCORE = "CASE verb " + " ".join(f"WHEN '{v}' THEN {c}::DOUBLE" for v, (_, c) in VERBS.items()) + " END"
 
+FILES = """k AS (SELECT s_suppkey AS k, 'supplier-' || s_suppkey AS src FROM supplier UNION ALL SELECT c_custkey, 'customer-' || c_custkey FROM customer),
+    files AS (SELECT k, src, k % 3 AS m, src || CASE k % 3 WHEN 0 THEN '/app.py' WHEN 1 THEN '/main.go' ELSE '/index.ts' END AS path, CASE k % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'go' ELSE 'javascript' END AS language,
+        CASE k % 3 WHEN 0 THEN 'cache_client' WHEN 1 THEN 'db_connection' ELSE 'http_call' END AS kind, CASE k % 3 WHEN 0 THEN 'cache-' || k WHEN 1 THEN 'db-' || k ELSE 'api-' || k END AS target,
+        'SERVICE_' || k || '_URL' AS name, 'service-' || k AS env_target FROM k)"""
+
 ORACLES: dict[str, str] = {
     "impact_depth3": _walk("dst", "src", 3) + f" SELECT id AS name, distance, via, {_tier('confidence')} AS confidence_tier FROM found WHERE rn = 1",
-    "dependencies_depth2_confident": _walk("src", "dst", 2, "confidence >= 0.6") + f" SELECT id AS name, distance, via, {_tier('confidence')} AS confidence_tier FROM found WHERE rn = 1",
-    "dependencies_source_type": _walk("src", "dst", 2, "n > 1") + " SELECT id AS name, distance FROM found WHERE rn = 1",
+    "dependencies_depth2_confident": _walk("src", "dst", 2, "confidence >= 0.5") + f" SELECT id AS name, distance, via, {_tier('confidence')} AS confidence_tier FROM found WHERE rn = 1",
+    "dependencies_source_type": _walk("src", "dst", 2) + " SELECT id AS name, distance FROM found WHERE rn = 1",
     "closure_events": f"WITH RECURSIVE {EVENT_EDGES}, c(src, dst) AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM c JOIN edges e ON e.src = c.dst) SELECT src, dst FROM c",
     "reach_all": f"""WITH RECURSIVE {PART_EDGES}, e AS (SELECT src, dst FROM edges WHERE confidence > 0.5 UNION SELECT dst, src FROM edges WHERE confidence > 0.5),
         walk(id, distance) AS (SELECT '{PART}', 0 UNION SELECT e.dst, w.distance + 1 FROM walk w JOIN e ON e.src = w.id WHERE w.distance < 12) SELECT id, min(distance) AS distance FROM walk GROUP BY id""",
@@ -164,4 +169,10 @@ ORACLES: dict[str, str] = {
     "change_detection": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'deleted' ELSE 'modified' END AS change FROM documents
         WHERE (doc_id % 5 = 0 AND doc_id % 11 <> 0) OR (doc_id % 5 <> 0 AND doc_id % 11 = 0) OR (doc_id % 5 <> 0 AND doc_id % 11 <> 0 AND doc_id % 7 = 0)""",
     "document_upsert": "SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN upper(lang) ELSE lang END AS lang FROM documents WHERE doc_id % 4 = 1 OR doc_id % 3 <> 0",
+    "environment_references": f"WITH {FILES} SELECT path, name FROM files",
+    "endpoint_pairs": f"WITH {FILES} SELECT path, 'GET /v1/items/' || k AS endpoint FROM files",
+    "code_graph": f"WITH {FILES}, x AS (SELECT src, unnest([target, env_target]) AS dst, unnest([0.85::DOUBLE, 0.7]) AS confidence FROM files) SELECT src, dst, confidence, 1::BIGINT AS evidence FROM x",
+    "code_signal_kinds": f"WITH {FILES}, x AS (SELECT language, unnest([kind, 'env_var_ref']) AS signal_type FROM files) SELECT language, signal_type, count(*) AS n FROM x GROUP BY 1, 2",
+    "streamed_event_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "streamed_edges": f"WITH {SIGNALS} SELECT src, dst, max(confidence) AS confidence, count(*) AS signals FROM signals GROUP BY src, dst",
 }

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from depgrove.functions import evidence as conf
 from depgrove.functions import text as tx
-from depgrove.operators import changes, classify, discover, evidence, graph, search, vectors
-from depgrove.sources import derived
+from depgrove.operators import changes, classify, codescan, discover, evidence, graph, search, vectors
 from depgrove.session import checkpointed, table
+from depgrove.sources import derived
+from depgrove.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Parameters of the registered queries, used by their SQL too.
@@ -37,12 +38,12 @@ def impact_depth3(spark, sf):
 
 @query
 def dependencies_depth2_confident(spark, sf):
-    return graph.dependencies(derived.part_edges(spark, sf), PART, 2, 0.6).select(F.col("id").alias("name"), "distance", "via", "confidence_tier")
+    return graph.dependencies(derived.part_edges(spark, sf), PART, 2, 0.5).select(F.col("id").alias("name"), "distance", "via", "confidence_tier")
 
 
 @query
 def dependencies_source_type(spark, sf):
-    return graph.dependencies(derived.part_edges(spark, sf), PART, 2, source_type="code").select(F.col("id").alias("name"), "distance")
+    return graph.dependencies(derived.part_edges(spark, sf), PART, 2, source_type="markdown").select(F.col("id").alias("name"), "distance")
 
 
 @query
@@ -66,7 +67,7 @@ def simple_paths_le4(spark, sf):
 def k_shortest_paths(spark, sf):
     edges = derived.event_edges(spark, sf)
     ends = edges.agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
-    return graph.k_shortest(edges, ends["a"], ends["b"], 5, 4).select("rank", "route", "hops", F.round("confidence", 6).alias("confidence"))
+    return graph.k_shortest(edges, ends["a"], ends["b"], 5, 4).select(F.col("rank").cast("long").alias("rank"), "route", "hops", F.round("confidence", 6).alias("confidence"))
 
 
 @query
@@ -288,13 +289,14 @@ def search_snippets(spark, sf):
 
 @query
 def document_chunks(spark, sf):
-    return tx.chunks(tx.lines(derived.component_documents(spark, sf)))
+    out = tx.chunks(tx.lines(derived.component_documents(spark, sf)))
+    return out.withColumns({"start_line": F.col("start_line").cast("long"), "end_line": F.col("end_line").cast("long")})
 
 
 @query
 def line_windows(spark, sf):
     rows = tx.lines(table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("text").alias("text")).withColumnRenamed("conv_id", "doc_id"))
-    return discover.windows(rows).select("doc_id", "pos", "text", discover.position_weight(F.col("share")).alias("weight"))
+    return discover.windows(rows).select("doc_id", F.col("pos").cast("long").alias("pos"), "text", discover.position_weight(F.col("share")).alias("weight"))
 
 
 @query
@@ -306,7 +308,7 @@ def turn_windows(spark, sf):
 @query
 def cooccurrence_window5(spark, sf):
     names = spark.createDataFrame([(x,) for x in LEXICON], "name string")
-    return discover.cooccurrence(tx.lines(table(spark, sf, "documents")), names)
+    return discover.cooccurrence(tx.lines(table(spark, sf, "documents")), names).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query
@@ -335,7 +337,7 @@ def link_edges(spark, sf):
 @query
 def document_titles(spark, sf):
     docs = derived.component_documents(spark, sf)
-    return docs.select("doc_id", tx.title(F.col("text"), F.col("path")).alias("title"), F.length(tx.strip_markdown(F.col("text"))).alias("plain_chars"), tx.directory(F.col("path")).alias("folder"))
+    return docs.select("doc_id", tx.title(F.col("text"), F.col("path")).alias("title"), F.length(tx.strip_markdown(F.col("text"))).cast("long").alias("plain_chars"), tx.directory(F.col("path")).alias("folder"))
 
 
 @query
@@ -392,7 +394,7 @@ def vector_topk(spark, sf):
 
 @query
 def vector_centroids(spark, sf):
-    return vectors.centroids(table(spark, sf, "embeddings"))
+    return vectors.centroids(table(spark, sf, "embeddings")).withColumn("place", F.col("place").cast("long"))
 
 
 @query
@@ -407,3 +409,45 @@ def document_upsert(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     fresh = docs.where("doc_id % 4 = 1").select("doc_id", F.upper("lang").alias("lang"))
     return changes.upserted(docs.where("doc_id % 3 != 0"), fresh, ["doc_id"])
+
+
+# --- code and configuration text -------------------------------------------------------
+
+
+@query
+def code_signals(spark, sf):
+    return codescan.signals(derived.source_files(spark, sf)).groupBy("file_path", "target_component", "target_type", "signal_type", "language").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
+
+
+@query
+def code_signal_kinds(spark, sf):
+    return codescan.signals(derived.source_files(spark, sf)).groupBy("language", "signal_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def environment_references(spark, sf):
+    return derived.source_files(spark, sf).select("path", F.explode(tx.env_names(F.col("content"))).alias("name"))
+
+
+@query
+def code_graph(spark, sf):
+    found = codescan.signals(derived.source_files(spark, sf))
+    return codescan.edges(found).select("src", "dst", "confidence", "evidence")
+
+
+@query
+def endpoint_pairs(spark, sf):
+    return derived.source_files(spark, sf).select("path", F.explode(tx.endpoints(F.col("content"))).alias("endpoint"))
+
+
+# --- streaming -----------------------------------------------------------------------
+
+
+@query
+def streamed_event_counts(spark, sf):
+    return ingest.windowed_counts(spark, f"{sf}/events.parquet")
+
+
+@query
+def streamed_edges(spark, sf):
+    return ingest.streamed_best_edges(spark, derived.signals(spark, sf).select("src", "dst", "confidence"))

@@ -75,3 +75,16 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("queue-"), "k", F.lit(":9092")))
     )
     return every.select("src", value.alias("value"))
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src, path, content``: a Python, Go or TypeScript file for every supplier and customer."""
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("src"), F.col("s_suppkey").cast("string").alias("k"), F.pmod("s_suppkey", F.lit(3)).alias("m"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer-"), "c_custkey").alias("src"), F.col("c_custkey").cast("string").alias("k"), F.pmod("c_custkey", F.lit(3)).alias("m"))
+    every = s.unionByName(c)
+    text = lambda *parts: F.concat(*[F.col("k") if p is None else F.lit(p) for p in parts])
+    python = text("import os\nimport redis\n\n# GET /v1/items/", None, "\nclient = redis.Redis(host='cache-", None, "', port=6379)\nurl = os.environ['SERVICE_", None, "_URL']\n")
+    go = text('package main\n\nimport "database/sql"\n\n// GET /v1/items/', None, '\nfunc main() {\n\tdb, _ := sql.Open("postgres", "postgres://app@db-', None, ':5432/app")\n\turl := os.Getenv("SERVICE_', None, '_URL")\n}\n')
+    script = text("import axios from 'axios'\n\n// GET /v1/items/", None, "\nawait axios.get('http://api-", None, ":8080/v1')\nconst url = process.env.SERVICE_", None, "_URL\n")
+    name = F.when(F.col("m") == 0, "/app.py").when(F.col("m") == 1, "/main.go").otherwise("/index.ts")
+    return every.select("src", F.concat("src", name).alias("path"), F.when(F.col("m") == 0, python).when(F.col("m") == 1, go).otherwise(script).alias("content"))
