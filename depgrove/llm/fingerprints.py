@@ -15,24 +15,16 @@ from pyspark.sql import functions as F
 
 from depgrove.llm.common import checkpointed
 
-SAMPLES = 64
+SAMPLES = 32
 SPLIT = r"[\x20\x09-\x0D]+"
 #: Ids of one block and blocks of one superblock when the next id is looked up.
 SPAN = 4096
 
 
-def terms(text: Column) -> Column:
-    """Words of a text with their counts: array of ``struct<term long, weight int>``.
-
-    The hashes are sorted; where one ends, the distance to the end before is its count.
-    """
-    hashes = F.array_sort(F.array_remove(F.transform(F.split(text, SPLIT), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
-    follows = F.concat(F.slice(hashes, 2, F.greatest(F.size(hashes), F.lit(1))), F.array(F.lit(None).cast("long")))
-    last = F.zip_with(hashes, follows, lambda x, y: F.struct(x.alias("term"), (~x.eqNullSafe(y)).alias("ends")))
-    placed = F.transform(last, lambda s, i: F.struct(s["term"].alias("term"), s["ends"].alias("ends"), i.alias("at")))
-    ends = F.filter(placed, lambda s: s["ends"] & s["term"].isNotNull())
-    before = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("term"), F.lit(True).alias("ends"), F.lit(-1).alias("at"))), ends)
-    return F.filter(F.zip_with(ends, before, lambda s, p: F.struct(s["term"].alias("term"), (s["at"] - p["at"]).alias("weight"))), lambda s: s["term"].isNotNull())
+def term_counts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys, term, weight``: hashes of a text's words with their counts; one null term for a text without words."""
+    hashes = F.array_remove(F.transform(F.split(F.col(text), SPLIT), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return texts.select(*keys, F.explode_outer(hashes).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def sample_value(term: Column, log_weight: Column, number: int) -> Column:
@@ -52,10 +44,9 @@ def sketches(texts: DataFrame, keys: list[str], text: str = "text", samples: int
     """``keys`` and ``sketch`` (array of ``samples`` ints, empty for a text without words).
 
     ``texts`` has one row for each key.  Where it is partitioned by a key already,
-    nothing is shuffled.
+    nothing is shuffled; the counts of a word never leave the task that read the text.
     """
-    rows = texts.select(*keys, F.explode_outer(terms(F.col(text))).alias("each"))
-    rows = rows.select(*keys, F.col("each.term").alias("term"), F.log(F.col("each.weight").cast("double")).alias("log_weight"))
+    rows = term_counts(texts, keys, text).select(*keys, "term", F.log(F.col("weight").cast("double")).alias("log_weight"))
     least = rows.groupBy(*keys).agg(*[F.min(sample_value(F.col("term"), F.col("log_weight"), d)).alias(f"s{d}") for d in range(samples)])
     folded = [F.shiftright(F.xxhash64(f"s{d}"), 32).cast("int") for d in range(samples)]
     return least.select(*keys, F.when(F.col("s0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*folded)).alias("sketch"))
