@@ -22,7 +22,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depgrove.llm.common import Words, checkpointed, components, hashed_bitmap, in_bitmap, mix, signed, text_blocks
@@ -211,6 +211,16 @@ def _indexer(words: int, share: tuple[int, int], frequent: Broadcast, shared: Br
     return run
 
 
+def _where_set(sigs: Broadcast):
+    """Index rows whose signature's bits are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(sigs.value, batch.column("sig").to_numpy().view(np.uint64))))
+
+    return run
+
+
 def _reader(words: int, members: Broadcast):
     """Whole sets of the documents whose bit is set."""
     schema = pa.schema([("key", pa.int64()), ("hashes", pa.binary())])
@@ -249,7 +259,7 @@ class Join:
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("id_hash"), F.col("text").cast("string").cast("binary").alias("text"))
         self.context = docs.sparkSession.sparkContext
 
-    def _possible(self, slack_a, left, slack_b, right) -> F.Column:
+    def _possible(self, slack_a, left, slack_b, right) -> Column:
         """The size and position filters for two members of a signature."""
         low, high = self.share
         n, m = F.col(f"{left}n"), F.col(f"{right}n")
@@ -257,7 +267,7 @@ class Join:
         enough = (n + m) * low <= (F.greatest(slack_a, slack_b) + rest) * (low + high)
         return (F.least(n, m) * high >= F.greatest(n, m) * low) & enough
 
-    def _close(self, left, right) -> F.Column:
+    def _close(self, left, right) -> Column:
         """The sketches differ in no more places than a linked pair can."""
         low, high = self.share
         apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in SKETCH])
@@ -265,8 +275,6 @@ class Join:
 
     def verified(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that link, decided on whole sets."""
-        a, b = (reps.select(F.col("key").alias(k), F.struct("n", *SKETCH).alias(f"of_{k}")) for k in "ab")
-        pairs = checkpointed(pairs.join(a, "a").join(b, "b").where(self._close("of_a.", "of_b.")).select("a", "b"))
         ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         members = hashed_bitmap(ends.join(reps, "key").select(F.xxhash64("rep")), MEMBER_BITS)
         sets = self.rows.mapInArrow(_reader(self.words, self.context.broadcast(members)), "key long, hashes binary")
@@ -296,13 +304,16 @@ class Join:
             if label is not None:
                 left = index.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
             # a signature whose members are all connected has nothing left to decide, now or later
-            order = F.lit(0).cast("long") if turn == 0 else F.xxhash64("key", F.lit(turn))
-            pivot = F.min(F.struct(order.alias("x"), "place", "key", "n", "slack", "component")).alias("pivot")
-            span = left.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low != high").select("sig", "pivot")
             if turn == 0:
-                pairs = self._with_pivot(left, span)
+                pivot = F.min(F.struct("place", "key", "n", "slack", "component")).alias("pivot")
+                span = checkpointed(left.groupBy("sig").agg(pivot, F.count(F.lit(1)).alias("members")).where("members > 1"))
+                pairs = self._with_pivot(index, span.drop("members"))
+                # two members are decided by this round; the others go on
+                larger = self.context.broadcast(hashed_bitmap(span.where("members > 2").select("sig"), SHARED_BITS))
+                index = checkpointed(index.mapInArrow(_where_set(larger), index.schema))
             else:
-                span = checkpointed(span)
+                pivot = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("x"), "place", "key", "n", "slack", "component")).alias("pivot")
+                span = checkpointed(left.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low != high").select("sig", "pivot"))
                 left = checkpointed(left.join(span.select("sig"), "sig", "left_semi").dropDuplicates(["sig", "key"]))
                 index = left.drop("component")
                 counts = left.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
@@ -310,7 +321,10 @@ class Join:
                 if not todo:
                     break
                 small = turn > ROUNDS or todo <= PAIRS_PER_MEMBER * members
-                pairs = self._across(left.join(reps.select("key", *SKETCH), "key")) if small else self._with_pivot(left, span)
+                pairs = self._across(left.join(reps.select("key", *SKETCH), "key")) if small else self._with_pivot(left, span, F.col("component") != F.col("pivot.component"))
+            if not (turn and small):  # the enumeration has looked at the sketches
+                a, b = (reps.select(F.col("key").alias(k), F.struct("n", *SKETCH).alias(f"of_{k}")) for k in "ab")
+                pairs = pairs.distinct().join(a, "a").join(b, "b").where(self._close("of_a.", "of_b.")).select("a", "b")
             pairs = pairs.distinct()
             for old in tested:
                 pairs = pairs.join(old, ["a", "b"], "left_anti")
@@ -323,10 +337,10 @@ class Join:
             turn += 1
         return reduce(DataFrame.unionByName, found), label
 
-    def _with_pivot(self, left: DataFrame, span: DataFrame) -> DataFrame:
+    def _with_pivot(self, left: DataFrame, span: DataFrame, apart: Column | None = None) -> DataFrame:
         """Each member of a signature with its pivot."""
-        near = (F.col("key") != F.col("pivot.key")) & (F.col("component") != F.col("pivot.component"))
-        return left.join(span, "sig").where(near & self._possible(F.col("slack"), "", F.col("pivot.slack"), "pivot.")).select(F.least("key", "pivot.key").alias("a"), F.greatest("key", "pivot.key").alias("b"))
+        apart = F.col("key") != F.col("pivot.key") if apart is None else apart
+        return left.join(span, "sig").where(apart & self._possible(F.col("slack"), "", F.col("pivot.slack"), "pivot.")).select(F.least("key", "pivot.key").alias("a"), F.greatest("key", "pivot.key").alias("b"))
 
     def _across(self, left: DataFrame) -> DataFrame:
         """All pairs of a signature's members in different components."""
