@@ -27,3 +27,25 @@ def centroids(vectors: DataFrame) -> DataFrame:
     """``label, place, value``: mean vector of every label in long form."""
     each = vectors.select("label", F.posexplode("embedding").alias("place", "x"))
     return each.groupBy("label", "place").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("value"))
+
+
+DIMENSION = 384
+
+
+def placeholder(nodes: DataFrame, kind: str = "description") -> DataFrame:
+    """``id, embedding``: a deterministic unit vector from a node's text, for tests without a model.
+
+    The SHA-256 of the text gives four signed words in turn; the place is mixed in by
+    exclusive or, and the vector is scaled to length one.
+    """
+    text = F.concat_ws("|", F.lit(kind), *[F.coalesce(c, F.lit("")) for c in ("id", "type", "component_type", "title")])
+    digest = F.sha2(text, 256)
+    # a word of 16 hex digits as a signed long: two halves, since one conversion would overflow
+    half = lambda at: F.conv(F.substring("digest", at, 8), 16, 10).cast("long")
+    word = lambda k: F.shiftleft(half(16 * k + 1), 32).bitwiseOR(half(16 * k + 9))
+    words = F.array(*[word(k) for k in range(4)])
+    rows = nodes.withColumn("digest", digest).withColumn("words", words)
+    raw = F.transform(F.sequence(F.lit(0), F.lit(DIMENSION - 1)), lambda i: F.get("words", F.pmod(i, F.lit(4))).bitwiseXOR(i.cast("long")).cast("double") / float((1 << 63) - 1))
+    rows = rows.withColumn("raw", raw)
+    size = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
+    return rows.withColumn("size", size).select("id", F.when(F.col("size") > 0, F.transform("raw", lambda x: x / F.col("size"))).otherwise(F.col("raw")).alias("embedding"))
