@@ -45,8 +45,7 @@ def _any(part: Column, folders: tuple[str, ...]) -> Column:
 def scan(spark: SparkSession, root: str, folders: tuple[str, ...] = SKIPPED, files: tuple[str, ...] = ()) -> DataFrame:
     """Markdown files under a folder as ``doc_id, path, title, content, plain_text, content_hash, last_modified``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    path = F.substring_index(F.col("path"), base, -1)
+    path = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
     rows = raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), F.md5("content").alias("content_hash"), F.col("modificationTime").alias("last_modified"))
     kept = rows.where(kept_path(F.col("path"), folders, files))
     return kept.select(F.col("path").alias("doc_id"), "path", title(F.col("content"), F.col("path")).alias("title"), "content", strip_markdown(F.col("content")).alias("plain_text"), "content_hash", "last_modified")
