@@ -167,8 +167,10 @@ class Field:
 
     def __init__(self, weights: np.ndarray, move: np.ndarray, start: np.ndarray):
         self.weights, self.move, self.start = weights, move, start
-        #: changing one tag to outside changes the transitions by at most this
-        self.slack = 2 * max(float(np.ptp(move)), float(np.ptp(start)), float(np.ptp(move)) / 2 + float(np.ptp(start)) / 2) + 1e-3
+        #: by tag: what its two transitions can gain over those of outside, at most
+        into = np.maximum((move - move[:, :1]).max(axis=0), start - start[0])
+        out_of = np.maximum((move - move[:1]).max(axis=1), 0.0)
+        self.gain = into + out_of + 1e-3
 
     def decode(self, features: Features) -> np.ndarray:
         """The best tag of every token, each text a sequence of its own.
@@ -178,7 +180,7 @@ class Field:
         """
         scores = features.scores(self.weights)
         tags = np.zeros(len(scores), dtype=np.int8)
-        unsure = scores[:, 0] - scores[:, 1:].max(axis=1) <= self.slack if len(scores) else np.zeros(0, bool)
+        unsure = (scores[:, 0] - scores[:, 1] <= self.gain[1]) | (scores[:, 0] - scores[:, 2] <= self.gain[2])
         at = np.flatnonzero(unsure)
         if not len(at):
             return tags
@@ -197,7 +199,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(windows: np.ndarray, tags: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Field:
+def fit(windows: np.ndarray, tags: np.ndarray, steps: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Field:
     """Maximum likelihood by Adam; ``windows`` is sequences by tokens by features, ``tags`` their labels."""
     n, length, k = windows.shape
     shapes = [(k, 3), (3, 3), (3,)]
@@ -239,7 +241,7 @@ def _token_places(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 
 def training_set(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows around tokens of base spans and around every 40th token, with their tags."""
+    """Windows around tokens of base spans and around every 150th token, with their tags."""
     blocks, labels = [], []
     length = 2 * AROUND + 1
     for text in texts:
@@ -258,7 +260,7 @@ def training_set(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if len(fresh) and fresh[0] == inside[0]:
                 tags[fresh[0]] = 1
         matrix = features.matrix()
-        for centre in sorted({*np.flatnonzero(tags == 1).tolist(), *range(AROUND, n, 40)}):
+        for centre in sorted({*np.flatnonzero(tags == 1).tolist(), *range(AROUND, n, 150)}):
             low = min(max(centre - AROUND, 0), n - length)
             blocks.append(matrix[low : low + length])
             labels.append(tags[low : low + length])
