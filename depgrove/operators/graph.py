@@ -31,7 +31,7 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "forward", depth
     """
     steps = {"forward": [("src", "dst")], "backward": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]
     hops = reduce(DataFrame.unionByName, [edges.select(F.col(a).alias("id"), F.col(b).alias("next")) for a, b in steps]).distinct()
-    if depth is None or depth > 2:
+    if depth is None or depth > 3:
         hops = checkpointed(hops)
     seen = starts.select("id").distinct().withColumn("distance", F.lit(0))
     frontier, level = seen, 0
@@ -66,7 +66,7 @@ def dependencies(edges: DataFrame, component, depth: int | None = 1, min_confide
 
 
 def _walk(edges: DataFrame, component, direction: str, depth: int | None, min_confidence: float, source_type: str | None) -> DataFrame:
-    kept = filtered(edges, min_confidence, source_type)
+    kept = checkpointed(filtered(edges, min_confidence, source_type).select("src", "dst", "type", "confidence"))  # read at every level
     start = edges.sparkSession.createDataFrame([(component,)], "id string").select(F.col("id").cast(edges.schema["src"].dataType))
     return discovered(kept, reach(kept, start, direction, depth), direction)
 
