@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from depgrove.llm.common import checkpointed
 
-SAMPLES = 32
+SAMPLES = 64
 SPLIT = r"[\x20\x09-\x0D]+"
 #: Ids of one block and blocks of one superblock when the next id is looked up.
 SPAN = 4096
@@ -47,7 +47,9 @@ def sketches(texts: DataFrame, keys: list[str], text: str = "text", samples: int
     nothing is shuffled; the counts of a word never leave the task that read the text.
     """
     rows = term_counts(texts, keys, text).select(*keys, "term", F.log(F.col("weight").cast("double")).alias("log_weight"))
-    least = rows.groupBy(*keys).agg(*[F.min(sample_value(F.col("term"), F.col("log_weight"), d)).alias(f"s{d}") for d in range(samples)])
+    # xxhash64 passes over nulls, so the null term of a text without words would draw values too
+    drawn = lambda d: F.when(F.col("term").isNotNull(), sample_value(F.col("term"), F.col("log_weight"), d))
+    least = rows.groupBy(*keys).agg(*[F.min(drawn(d)).alias(f"s{d}") for d in range(samples)])
     folded = [F.shiftright(F.xxhash64(f"s{d}"), 32).cast("int") for d in range(samples)]
     return least.select(*keys, F.when(F.col("s0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*folded)).alias("sketch"))
 

@@ -34,8 +34,8 @@ def check(spark, rows, docs):
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         errors.append(r["near_edited"] - similarity(own, edited))
         errors.append(r["near_next"] - similarity(own, other))
-    assert abs(sum(errors) / len(errors)) < 0.03
-    assert max(map(abs, errors)) < 0.45
+    assert abs(sum(errors) / len(errors)) < 0.02
+    assert max(map(abs, errors)) < 0.35
     return out
 
 
@@ -47,7 +47,7 @@ def test_table_agrees_with_true_similarity(spark, sf_dir):
     text = dict(rows)
     for r in out:
         assert by_text.setdefault(text[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
-    assert len({r["fingerprint"] for r in out}) > 0.95 * len(set(text.values()))  # near copies may agree in all samples
+    assert len({r["fingerprint"] for r in out}) == len(set(text.values()))
 
 
 def test_edge_cases(spark):
@@ -73,6 +73,12 @@ def test_counts_of_words(spark):
         assert sorted(got[i], key=str) == (sorted(Counter(WORDS.findall(text)).values(), key=str) or [None])
 
 
+def test_default_has_64_samples_and_wordless_texts_have_none(spark):
+    rows = spark.createDataFrame([(0, "a b"), (1, " \n"), (2, "")], "i int, text string")
+    got = {r["i"]: len(r["sketch"]) for r in fingerprints.sketches(rows, ["i"]).collect()}
+    assert got == {0: 64, 1: 0, 2: 0}
+
+
 def test_main_path_is_native(spark, sf_dir):
     plan = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
