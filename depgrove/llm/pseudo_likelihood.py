@@ -3,12 +3,13 @@
 A small network predicts every token from the words on both sides of it: hidden =
 tanh(bias + sum of a vector for each place and neighbour), logits = hidden @ output.
 Tokens are words; the most frequent ones of the corpus are classes of their own, the
-others share hashed classes and divide a class's probability evenly.  A document's
-score is the sum of the conditional log-probabilities of all its tokens.
+others share hashed classes and divide a class's probability by their counts (evenly
+where no counts are given).  A document's score is the sum of the conditional
+log-probabilities of all its tokens.
 
-Every document contributes the same share of its positions to training.  Partitions
-train on their own positions from common parameters, and the parameters are averaged
-by number of positions, round by round; they have a fixed size.
+Every position of every document serves in training.  Partitions train on their own
+positions from common parameters, and the parameters are averaged by number of
+positions, round by round; they have a fixed size.
 """
 
 from __future__ import annotations
@@ -34,8 +35,12 @@ CLASSES = FREQUENT + HASHED + 1
 EDGE = CLASSES - 1
 REACH = 2
 HIDDEN = 32
-#: One position in so many of every document trains the network.
-STRIDE = 8
+#: The same for the registered query.
+WIDE = (255, 256)
+#: Words whose counts are broadcast for scoring; the rarer ones are joined.
+SHARED = 1 << 17
+#: Positions that one training task expands at a time.
+HELD = 1 << 20
 ROUNDS = 2
 BATCH = 1024
 PLACES = [k for k in range(-REACH, REACH + 1) if k]
@@ -43,14 +48,21 @@ PLACES = [k for k in range(-REACH, REACH + 1) if k]
 
 @dataclass
 class Vocabulary:
-    """Hashes of the frequent words, ascending, their classes, and the log of the words in each class."""
+    """Hashes of the frequent words, ascending, their classes, and the logs of the words and of the tokens in each class."""
 
     hashes: np.ndarray
     classes: np.ndarray
     log_size: np.ndarray
+    log_total: np.ndarray
+    frequent: int = FREQUENT
+    hashed: int = HASHED
+
+    @property
+    def edge(self) -> int:
+        return self.frequent + self.hashed
 
     def encode(self, words: np.ndarray) -> np.ndarray:
-        out = (FREQUENT + (mix(words ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(HASHED)).astype(np.int64)).astype(np.uint8)
+        out = (self.frequent + (mix(words ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(self.hashed)).astype(np.int64)).astype(np.uint16)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
             known = self.hashes[at] == words
@@ -58,8 +70,8 @@ class Vocabulary:
         return out
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Count the words of all documents; the driver receives the frequent ones and a number for each class."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n``: hashes of the words of all documents with their counts."""
     schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,20 +91,29 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
         if held:
             yield counted()
 
-    counts = checkpointed(_texts(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()
+    return checkpointed(_texts(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(counts: DataFrame, frequent: int = FREQUENT, hashed: int = HASHED) -> Vocabulary:
+    """Classes of counted words; the driver receives the frequent ones and two numbers for each class."""
+    top = counts.orderBy(F.col("n").desc(), "word").limit(frequent).collect()
     hashes = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    out = Vocabulary(hashes[order], np.arange(len(hashes), dtype=np.uint8)[order], np.zeros(CLASSES))
+    classes = frequent + hashed + 1
+    out = Vocabulary(hashes[order], np.arange(len(hashes), dtype=np.uint16)[order], np.zeros(classes), np.zeros(classes), frequent, hashed)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES, dtype=np.int64)
+        size, total = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
         for batch in batches:
-            total += np.bincount(out.encode(batch.column("word").to_numpy().view(np.uint64)), minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total)], names=["class", "n"])
-
-    for row in counts.select("word").mapInArrow(sizes, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
-        out.log_size[row["class"]] = math.log(max(row["n"], 1))
+            own = out.encode(batch.column("word").to_numpy().view(np.uint64))
+            size += np.bincount(own, minlength=classes)
+            np.add.at(total, own, batch.column("n").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(size), pa.array(total)], names=["class", "words", "tokens"])
+
+    found = counts.select("word", "n").mapInArrow(sizes, "class long, words long, tokens long").groupBy("class").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
+    for row in found.collect():
+        out.log_size[row["class"]] = math.log(max(row["words"], 1))
+        out.log_total[row["class"]] = math.log(max(row["tokens"], 1))
     return out
 
 
@@ -100,15 +121,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def neighbourhoods(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def neighbourhoods(classes: np.ndarray, first: np.ndarray, edge: int = EDGE) -> np.ndarray:
     """Token classes with their neighbours, tokens by 1 + 2 * REACH: the token itself comes first.
 
-    ``first`` marks where texts start in ``classes``; beyond a text lies EDGE.
+    ``first`` marks where texts start in ``classes``; beyond a text lies ``edge``.
     """
     counts = np.diff(first)
     owner = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(len(classes)) + REACH + owner * REACH
-    wide = np.full(len(classes) + REACH * (len(counts) + 1), EDGE, dtype=np.uint8)
+    wide = np.full(len(classes) + REACH * (len(counts) + 1), edge, dtype=np.uint16)
     wide[at] = classes
     return np.stack([classes] + [wide[at + k] for k in PLACES], axis=1)
 
@@ -116,20 +137,22 @@ def neighbourhoods(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters: a vector by place and class, hidden bias, output matrix and its bias."""
 
-    shapes = ((len(PLACES), CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+    @staticmethod
+    def shapes(classes: int) -> tuple[tuple[int, ...], ...]:
+        return ((len(PLACES), classes, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,))
 
-    def __init__(self, flat: np.ndarray):
-        self.flat, self.parts, at = flat, [], 0
-        for shape in self.shapes:
+    def __init__(self, flat: np.ndarray, classes: int = CLASSES):
+        self.flat, self.classes, self.parts, at = flat, classes, [], 0
+        for shape in self.shapes(classes):
             n = math.prod(shape)
             self.parts.append(flat[at : at + n].reshape(shape))
             at += n
 
     @classmethod
-    def fresh(cls, seed: int) -> Network:
+    def fresh(cls, seed: int, classes: int = CLASSES) -> Network:
         draw = np.random.default_rng(seed)
-        flat = draw.normal(0, 0.1, sum(map(math.prod, cls.shapes))).astype(np.float32)
-        out = cls(flat)
+        flat = draw.normal(0, 0.1, sum(map(math.prod, cls.shapes(classes)))).astype(np.float32)
+        out = cls(flat, classes)
         out.parts[1][:] = 0
         out.parts[3][:] = 0
         return out
@@ -155,10 +178,14 @@ class Network:
             out[a : a + 8192] = own - top[:, 0] - np.log(logits.sum(axis=1))
         return out
 
-    def train(self, near: np.ndarray, draw: np.random.Generator, rate: float = 0.05) -> None:
-        """One pass of minibatch descent with per-parameter rates over the rows, shuffled."""
+    def steps(self) -> list[np.ndarray]:
+        """Sums of squared gradients, as they are before training."""
+        return [np.full(p.shape, 1e-3, dtype=np.float32) for p in self.parts]
+
+    def train(self, near: np.ndarray, draw: np.random.Generator, rate: float = 0.05, squares: list[np.ndarray] | None = None) -> None:
+        """One pass of minibatch descent with per-parameter rates over the rows, shuffled; ``squares`` goes on from call to call."""
         place, bias, output, shift = self.parts
-        squares = [np.full(p.shape, 1e-3, dtype=np.float32) for p in self.parts]
+        squares = self.steps() if squares is None else squares
         order = draw.permutation(len(near))
         for a in range(0, len(near), BATCH):
             rows = near[order[a : a + BATCH]]
@@ -171,7 +198,7 @@ class Network:
             logits[np.arange(n), rows[:, 0]] -= 1
             logits /= n
             back = (logits @ output.T) * (1 - hidden * hidden)
-            marks = np.zeros((n, CLASSES), dtype=np.float32)
+            marks = np.zeros((n, self.classes), dtype=np.float32)
             by_place = np.empty_like(place)
             for k in range(len(PLACES)):
                 marks[np.arange(n), rows[:, k + 1]] = 1
@@ -182,22 +209,33 @@ class Network:
                 part -= rate * g / np.sqrt(square)
 
 
-def positions(docs: DataFrame, words: Vocabulary, stride: int = STRIDE) -> DataFrame:
-    """Training positions of all documents, ``near binary``: every ``stride``-th of each, from a hashed start."""
+def sequences(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """Classes of all tokens of all documents, ``block, classes binary, first binary``: runs of whole texts, dealt by content."""
     given = docs.sparkSession.sparkContext.broadcast(words)
-    schema = pa.schema([("block", pa.int64()), ("near", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("classes", pa.binary()), ("first", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_blocks(batches):
             seen = Words(texts)
-            near = neighbourhoods(given.value.encode(seen.hash), seen.first)
-            starts = np.repeat(seen.first[:-1] - np.array([zlib.crc32(t) % stride for t in texts], dtype=np.int64), np.diff(seen.first))
-            chosen = near[(np.arange(len(near)) - starts) % stride == 0]
-            parts = [p.tobytes() for p in np.array_split(chosen, max(1, len(chosen) // 8192))]
-            keys = [int.from_bytes(hashlib.blake2b(p, digest_size=7).digest(), "little") for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(parts)], schema=schema)
+            if len(seen.hash):
+                classes, first = given.value.encode(seen.hash).tobytes(), seen.first.astype(np.int64).tobytes()
+                key = int.from_bytes(hashlib.blake2b(classes + first, digest_size=7).digest(), "little")
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([classes]), pa.array([first])], schema=schema)
+
+    return checkpointed(_texts(docs).mapInArrow(run, "block long, classes binary, first binary").repartition("block"))
 
-    return checkpointed(_texts(docs).mapInArrow(run, "block long, near binary").repartition("block"))
+
+def expanded(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[np.ndarray]:
+    """Neighbourhoods of every position of the blocks, about HELD rows at a time; a block is never divided."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        for classes, first in zip(batch.column("classes"), batch.column("first"), strict=True):
+            held.append(neighbourhoods(np.frombuffer(classes.as_py(), dtype=np.uint16), np.frombuffer(first.as_py(), dtype=np.int64), edge))
+            if sum(map(len, held)) >= HELD:
+                yield np.concatenate(held)
+                held = []
+    if held:
+        yield np.concatenate(held)
 
 
 def average(models: DataFrame) -> tuple[np.ndarray, int] | None:
@@ -214,52 +252,80 @@ def average(models: DataFrame) -> tuple[np.ndarray, int] | None:
     return (np.frombuffer(row["flat"], dtype=np.float32).copy(), row["n"]) if row else None
 
 
-def fit(docs: DataFrame, stride: int = STRIDE, rounds: int = ROUNDS, seed: int = 5) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of a corpus; texts without words teach nothing."""
+def fit(docs: DataFrame, rounds: int = ROUNDS, seed: int = 5, counts: DataFrame | None = None, frequent: int = FREQUENT, hashed: int = HASHED) -> tuple[Vocabulary, Network]:
+    """Vocabulary and network of a corpus, from all positions; texts without words teach nothing."""
     context = docs.sparkSession.sparkContext
-    words = vocabulary(docs)
-    blocks = positions(docs, words, stride)
-    network = Network.fresh(seed)
-    width = 1 + len(PLACES)
+    words = vocabulary(word_counts(docs) if counts is None else counts, frequent, hashed)
+    blocks = sequences(docs, words)
+    edge, classes = words.edge, words.edge + 1
+    network = Network.fresh(seed, classes)
     for turn in range(rounds):
         common = context.broadcast(network.flat)
 
         def run(batches: Iterator[pa.RecordBatch], common=common, turn=turn) -> Iterator[pa.RecordBatch]:
-            parts = sorted(x.as_py() for b in batches for x in b.column("near"))
-            near = np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(-1, width)
-            if len(near):
-                own = Network(common.value.copy())
-                own.train(near, np.random.default_rng([seed, turn, zlib.crc32(parts[0])]))
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(near)], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], names=["part", "n", "flat"])
-
-        mean = average(checkpointed(blocks.select("near").mapInArrow(run, "part long, n long, flat binary")))
+            own, seen = Network(common.value.copy(), classes), 0
+            squares = own.steps()
+            for near in expanded(batches, edge):
+                own.train(near, np.random.default_rng([seed, turn, zlib.crc32(near.tobytes())]), squares=squares)
+                seen += len(near)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], names=["part", "n", "flat"])
+
+        mean = average(checkpointed(blocks.sortWithinPartitions("block").select("classes", "first").mapInArrow(run, "part long, n long, flat binary")))
         if mean is None:
             break
-        network = Network(mean[0])
+        network = Network(mean[0], classes)
     return words, network
 
 
-def score(docs: DataFrame, words: Vocabulary, network: Network) -> DataFrame:
+def score(docs: DataFrame, words: Vocabulary, network: Network, counts: DataFrame | None = None, shared: int = SHARED) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, per_token`` of every row of ``docs``.
 
     Null and empty texts have no tokens, log-likelihood 0 and a null mean.  The whole
     text counts, however long; equal rows get equal scores; an empty table gives none;
-    further columns are not read.
+    further columns are not read.  With ``counts`` (``word, n``) a word has its count's
+    share of its class, one that was never counted the share of a single token; the
+    counts of the ``shared`` most frequent words are broadcast, those of the others joined.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    given = docs.sparkSession.sparkContext.broadcast((words, network.flat))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64())])
+    classes = network.classes
+    common = None
+    if counts is not None:
+        top = counts.orderBy(F.col("n").desc(), "word").limit(shared).toArrow().combine_chunks()
+        hashes = top.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        common = hashes[order], np.log(top.column("n").to_numpy()[order])
+    given = docs.sparkSession.sparkContext.broadcast((words, network.flat, common))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, flat = given.value
-        scorer = Network(flat)
+        known, flat, common = given.value
+        scorer = Network(flat, classes)
         for batch, texts in text_blocks(batches):
             seen = Words(texts)
-            near = neighbourhoods(known.encode(seen.hash), seen.first)
-            each = scorer.log_probability(near) - known.log_size[near[:, 0]]
+            near = neighbourhoods(known.encode(seen.hash), seen.first, known.edge)
+            each = scorer.log_probability(near)
+            left = np.zeros(len(near), dtype=bool)
+            if common is None:
+                each -= known.log_size[near[:, 0]]
+            else:
+                hashes, logs = common
+                at = np.minimum(np.searchsorted(hashes, seen.hash), max(len(hashes) - 1, 0))
+                left = hashes[at] != seen.hash if len(hashes) else ~left
+                each -= known.log_total[near[:, 0]]
+                each[~left] += logs[at[~left]]
             sums = np.concatenate(([0.0], np.cumsum(each)))
             whole = sums[seen.first[1:]] - sums[seen.first[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(seen.first)), pa.array(whole)], schema=schema)
-
-    out = rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
+            ends = np.concatenate(([0], np.cumsum(left)))[seen.first]
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(seen.hash[left])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(seen.first)), pa.array(whole), rare], schema=schema)
+
+    out = rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, rare array<long>")
+    if counts is not None:
+        out = checkpointed(out.withColumn("row", F.monotonically_increasing_id()))
+        tokens = out.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
+        # decimals add up to the same in any order
+        logs = tokens.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)).cast("double")).cast("decimal(20,12)")).cast("double").alias("logs"))
+        out = out.join(logs, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("logs", F.lit(0.0)))
+    out = out.select("doc_id", "n_tokens", "log_likelihood")
     return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

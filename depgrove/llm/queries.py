@@ -16,7 +16,10 @@ PROBE = "\\### Assistant: </turn> ok"
 
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pseudo_likelihood.score(docs, *pseudo_likelihood.fit(docs))
+    counts = pseudo_likelihood.word_counts(docs)
+    frequent, hashed = pseudo_likelihood.WIDE
+    words, network = pseudo_likelihood.fit(docs, counts=counts, frequent=frequent, hashed=hashed)
+    return pseudo_likelihood.score(docs, words, network, counts)
 
 
 def op2_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

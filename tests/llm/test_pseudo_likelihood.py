@@ -57,3 +57,24 @@ def test_edge_cases(spark):
     assert out[0][2:] == (0.0, None)
     empty = docs.limit(0)
     assert pl.score(empty, *pl.fit(empty)).collect() == []
+
+
+def test_every_position_trains(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 7)) for i in range(50)], "doc_id long, text string")
+    words = pl.vocabulary(pl.word_counts(docs))
+    blocks = pl.sequences(docs, words).select("classes", "first").toArrow()
+    assert sum(map(len, pl.expanded(iter(blocks.to_batches()), words.edge))) == sum(3 * (i % 7) for i in range(50))
+
+
+def test_words_of_a_class_share_it_by_count(spark):
+    text = " ".join(["often"] * 60 + ["seldom"] * 20)
+    docs = spark.createDataFrame([(0, text), (1, "often"), (2, "seldom"), (3, "never")], "doc_id long, text string")
+    counts = pl.word_counts(docs)
+    words, network = pl.fit(docs, counts=counts, frequent=0, hashed=1)
+    for shared in (1 << 17, 1, 0):  # broadcast, both ways, joined
+        got = {r["doc_id"]: r["log_likelihood"] for r in pl.score(docs, words, network, counts, shared).collect()}
+        assert abs(got[1] - got[2] - np.log(61 / 21)) < 1e-6
+        assert abs(got[2] - got[3] - np.log(21 / 1)) < 1e-6
+    frequent, hashed = pl.WIDE
+    assert frequent + hashed + 1 > 256
+    assert words.encode(np.arange(9, dtype=np.uint64)).dtype == np.uint16
