@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 # Keywords of the component types, in the order that breaks ties.
 KEYWORDS = {
-    "service": ("service", "api", "backend", "server", "worker"),
-    "database": ("database", "postgres", "mysql", "mongo", "db"),
-    "cache": ("cache", "redis", "memcached"),
-    "queue": ("queue", "sqs"),
-    "message-broker": ("kafka", "rabbitmq", "broker", "nats"),
-    "load-balancer": ("load-balancer", "haproxy"),
-    "gateway": ("gateway", "ingress", "proxy"),
-    "storage": ("storage", "bucket", "s3"),
-    "monitoring": ("monitoring", "prometheus", "grafana"),
-    "search": ("search", "elasticsearch"),
+    "service": ("service", "api", "server", "worker", "backend", "microservice", "app", "application", "rest api", "http endpoint", "graphql", "grpc service", "web service", "endpoint", "controller", "manager", "operator"),
+    "database": ("database", "db", "postgres", "postgresql", "mysql", "mariadb", "mongodb", "mongo", "dynamodb", "cockroachdb", "cassandra", "couchdb", "sqlite", "rds", "aurora", "datastore", "store", "data store", "persistence", "relational", "nosql", "sql"),
+    "cache": ("cache", "redis", "memcached", "memcache", "varnish", "cdn", "elasticache"),
+    "queue": ("queue", "sqs", "celery", "sidekiq", "delayed-job", "bull", "beanstalkd"),
+    "message-broker": ("kafka", "rabbitmq", "rabbit", "nats", "pulsar", "kinesis", "eventbridge", "event-bus", "message-broker", "broker", "event-stream", "pub/sub", "pubsub", "event streaming", "streaming platform"),
+    "load-balancer": ("load-balancer", "loadbalancer", "lb", "haproxy", "envoy", "alb", "elb", "nlb", "reverse proxy", "nginx", "proxy"),
+    "gateway": ("gateway", "api-gateway", "kong", "traefik", "ambassador", "ingress"),
+    "storage": ("storage", "s3", "gcs", "minio", "blob", "bucket", "object-store", "file-store"),
+    "monitoring": ("monitoring", "prometheus", "datadog", "grafana", "new-relic", "newrelic", "nagios", "pagerduty", "alertmanager", "observability"),
+    "search": ("search", "elasticsearch", "solr", "algolia", "meilisearch", "opensearch"),
+    "container-registry": ("registry", "ecr", "gcr", "docker-hub", "harbor", "container-registry"),
+    "config-server": ("config", "consul", "etcd", "vault", "config-server", "spring-cloud-config", "zookeeper"),
+    "log-aggregator": ("log", "logging", "elasticsearch", "elk", "splunk", "loki", "fluentd", "logstash", "kibana", "log-aggregator"),
+    "orchestrator": ("orchestrator", "kubernetes", "k8s", "nomad", "mesos", "docker-swarm", "swarm", "openshift", "rancher"),
+    "secrets-manager": ("secrets-manager", "secrets", "vault", "aws-secrets-manager", "secretsmanager", "azure-key-vault", "key-vault"),
 }
 
 

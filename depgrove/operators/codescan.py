@@ -1,12 +1,14 @@
 """Signals from source code, line by line: calls of known client libraries and environment variables.
 
 A file's imports decide which calls count, so a call pattern only fires in a file
-that imports its library.  Patterns are a small catalog per language; they join the
+that imports its library.  Patterns are a catalog per language; they join the
 lines by language, not by a loop over patterns.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,27 +16,239 @@ from depgrove.functions.text import connection_host, env_names
 
 # Extension, language.
 LANGUAGES = {"go": "go", "py": "python", "js": "javascript", "ts": "javascript", "jsx": "javascript", "tsx": "javascript", "tf": "terraform"}
-# Language, import, call, kind, type of the target.
+# Language, import, function, form of the call, kind, type of the target.
 CALLS = [
-    ("python", "redis", r"redis\.(?:Redis|StrictRedis|from_url)\(", "cache_client", "cache"),
-    ("python", "requests", r"requests\.(?:get|post|put|patch|delete)\(", "http_call", "service"),
-    ("python", "httpx", r"httpx\.(?:get|post|put|patch|delete|Client|AsyncClient)\(", "http_call", "service"),
-    ("python", "psycopg2", r"psycopg2\.connect\(", "db_connection", "database"),
-    ("python", "pymongo", r"MongoClient\(", "db_connection", "database"),
-    ("python", "sqlalchemy", r"create_engine\(", "db_connection", "database"),
-    ("python", "kafka", r"KafkaProducer\(", "queue_producer", "message-broker"),
-    ("python", "kafka", r"KafkaConsumer\(", "queue_consumer", "message-broker"),
-    ("go", "database/sql", r"sql\.Open\(", "db_connection", "database"),
-    ("go", "net/http", r"http\.(?:Get|Post|NewRequest)\(", "http_call", "service"),
-    ("go", "redis", r"redis\.New(?:Cluster)?Client\(", "cache_client", "cache"),
-    ("go", "sarama", r"sarama\.New(?:Sync|Async)Producer\(", "queue_producer", "message-broker"),
-    ("javascript", "axios", r"axios(?:\.(?:get|post|put|patch|delete))?\(", "http_call", "service"),
-    ("javascript", "ioredis", r"new Redis\(", "cache_client", "cache"),
-    ("javascript", "mongoose", r"mongoose\.connect\(", "db_connection", "database"),
-    ("javascript", "kafkajs", r"new Kafka\(", "queue_producer", "message-broker"),
+    ("go", "net/http", "Get", "of", "http_call", "service"),
+    ("go", "net/http", "Post", "of", "http_call", "service"),
+    ("go", "net/http", "NewRequest", "of", "http_call", "service"),
+    ("go", "database/sql", "Open", "of", "db_connection", "database"),
+    ("go", "github.com/jmoiron/sqlx", "Connect", "of", "db_connection", "database"),
+    ("go", "github.com/jmoiron/sqlx", "Open", "of", "db_connection", "database"),
+    ("go", "gorm.io/gorm", "Open", "of", "db_connection", "database"),
+    ("go", "go.mongodb.org/mongo-driver/mongo", "Connect", "of", "db_connection", "database"),
+    ("go", "github.com/redis/go-redis/v9", "NewClient", "of", "cache_client", "cache"),
+    ("go", "github.com/go-redis/redis/v8", "NewClient", "of", "cache_client", "cache"),
+    ("go", "github.com/bradfitz/gomemcache/memcache", "New", "of", "cache_client", "cache"),
+    ("go", "github.com/IBM/sarama", "NewSyncProducer", "of", "queue_producer", "message-broker"),
+    ("go", "github.com/IBM/sarama", "NewAsyncProducer", "of", "queue_producer", "message-broker"),
+    ("go", "github.com/IBM/sarama", "NewConsumer", "of", "queue_consumer", "message-broker"),
+    ("go", "github.com/IBM/sarama", "NewConsumerGroup", "of", "queue_consumer", "message-broker"),
+    ("go", "github.com/rabbitmq/amqp091-go", "Dial", "of", "queue_producer", "message-broker"),
+    ("go", "github.com/nats-io/nats.go", "Connect", "of", "queue_producer", "message-broker"),
+    ("go", "github.com/aws/aws-sdk-go-v2/service/sqs", "NewFromConfig", "of", "queue_producer", "queue"),
+    ("go", "github.com/aws/aws-sdk-go-v2/service/s3", "NewFromConfig", "of", "storage_client", "storage"),
+    ("go", "github.com/aws/aws-sdk-go-v2/service/s3", "New", "of", "storage_client", "storage"),
+    ("go", "github.com/aws/aws-sdk-go-v2/service/dynamodb", "NewFromConfig", "of", "db_connection", "database"),
+    ("go", "github.com/aws/aws-sdk-go-v2/service/ecr", "NewFromConfig", "of", "registry_client", "container-registry"),
+    ("go", "github.com/aws/aws-sdk-go-v2/service/secretsmanager", "NewFromConfig", "of", "secrets_client", "secrets-manager"),
+    ("go", "github.com/aws/aws-sdk-go-v2/service/sns", "NewFromConfig", "of", "queue_producer", "queue"),
+    ("go", "github.com/aws/aws-sdk-go-v2/service/kinesis", "NewFromConfig", "of", "queue_producer", "queue"),
+    ("go", "github.com/aws/aws-sdk-go-v2/service/sts", "NewFromConfig", "of", "auth_client", "service"),
+    ("go", "github.com/aws/aws-sdk-go/service/s3", "New", "of", "storage_client", "storage"),
+    ("go", "github.com/aws/aws-sdk-go/service/sqs", "New", "of", "queue_producer", "queue"),
+    ("go", "github.com/aws/aws-sdk-go/service/dynamodb", "New", "of", "db_connection", "database"),
+    ("go", "github.com/aws/aws-sdk-go/service/ecr", "New", "of", "registry_client", "container-registry"),
+    ("go", "github.com/aws/aws-sdk-go/service/secretsmanager", "New", "of", "secrets_client", "secrets-manager"),
+    ("go", "github.com/aws/aws-sdk-go/service/sns", "New", "of", "queue_producer", "queue"),
+    ("go", "gopkg.in/DataDog/dd-trace-go.v1/ddtrace/tracer", "Start", "of", "monitoring_client", "monitoring"),
+    ("go", "github.com/DataDog/datadog-go/v5/statsd", "New", "of", "monitoring_client", "monitoring"),
+    ("go", "github.com/prometheus/client_golang/prometheus", "NewCounter", "of", "monitoring_client", "monitoring"),
+    ("go", "github.com/prometheus/client_golang/prometheus", "NewGauge", "of", "monitoring_client", "monitoring"),
+    ("go", "github.com/prometheus/client_golang/prometheus", "NewHistogram", "of", "monitoring_client", "monitoring"),
+    ("go", "google.golang.org/grpc", "Dial", "of", "http_call", "service"),
+    ("go", "google.golang.org/grpc", "DialContext", "of", "http_call", "service"),
+    ("go", "google.golang.org/grpc", "NewClient", "of", "http_call", "service"),
+    ("go", "github.com/hashicorp/vault/api", "NewClient", "of", "secrets_client", "secrets-manager"),
+    ("go", "github.com/elastic/go-elasticsearch/v8", "NewClient", "of", "search_client", "search"),
+    ("go", "github.com/olivere/elastic", "NewClient", "of", "search_client", "search"),
+    ("go", "github.com/google/go-containerregistry/pkg/crane", "Pull", "of", "registry_client", "container-registry"),
+    ("go", "github.com/google/go-containerregistry/pkg/crane", "Push", "of", "registry_client", "container-registry"),
+    ("go", "github.com/getsentry/sentry-go", "Init", "of", "monitoring_client", "monitoring"),
+    ("go", "go.opentelemetry.io/otel/exporters/otlp/otlptrace/otlptracegrpc", "New", "of", "monitoring_client", "monitoring"),
+    ("go", "github.com/gin-gonic/gin", "New", "of", "http_server", "service"),
+    ("go", "github.com/gin-gonic/gin", "Default", "of", "http_server", "service"),
+    ("go", "github.com/labstack/echo/v4", "New", "of", "http_server", "service"),
+    ("go", "github.com/gofiber/fiber/v2", "New", "of", "http_server", "service"),
+    ("go", "github.com/go-chi/chi/v5", "NewRouter", "of", "http_server", "service"),
+    ("go", "github.com/gorilla/mux", "NewRouter", "of", "http_server", "service"),
+    ("go", "net/http", "ListenAndServe", "of", "http_server", "service"),
+    ("go", "net/http", "ListenAndServeTLS", "of", "http_server", "service"),
+    ("go", "net/http", "Serve", "of", "http_server", "service"),
+    ("go", "github.com/graphql-go/graphql", "NewSchema", "of", "http_server", "service"),
+    ("go", "github.com/99designs/gqlgen/graphql/handler", "NewDefaultServer", "of", "http_server", "service"),
+    ("go", "sigs.k8s.io/controller-runtime/pkg/client", "New", "of", "k8s_client", "orchestrator"),
+    ("go", "sigs.k8s.io/controller-runtime/pkg/manager", "New", "of", "k8s_client", "orchestrator"),
+    ("go", "k8s.io/client-go/kubernetes", "NewForConfig", "of", "k8s_client", "orchestrator"),
+    ("go", "k8s.io/client-go/rest", "InClusterConfig", "of", "k8s_client", "orchestrator"),
+    ("go", "k8s.io/client-go/dynamic", "NewForConfig", "of", "k8s_client", "orchestrator"),
+    ("go", "github.com/jackc/pgx/v5/pgxpool", "Connect", "of", "db_connection", "database"),
+    ("go", "github.com/jackc/pgx/v5/pgxpool", "New", "of", "db_connection", "database"),
+    ("go", "github.com/jackc/pgx/v5", "Connect", "of", "db_connection", "database"),
+    ("go", "gorm.io/driver/postgres", "Open", "of", "db_connection", "database"),
+    ("go", "gorm.io/driver/mysql", "Open", "of", "db_connection", "database"),
+    ("go", "gorm.io/driver/sqlite", "Open", "of", "db_connection", "database"),
+    ("go", "github.com/gocql/gocql", "NewCluster", "of", "db_connection", "database"),
+    ("go", "github.com/influxdata/influxdb-client-go/v2", "New", "of", "db_connection", "database"),
+    ("go", "github.com/go-resty/resty/v2", "New", "of", "http_call", "service"),
+    ("go", "net/http", "Head", "of", "http_call", "service"),
+    ("go", "net/http", "Put", "of", "http_call", "service"),
+    ("go", "net/http", "Patch", "of", "http_call", "service"),
+    ("go", "net/http", "Delete", "of", "http_call", "service"),
+    ("go", "github.com/apache/pulsar-client-go/pulsar", "NewClient", "of", "queue_producer", "message-broker"),
+    ("go", "github.com/nsqio/go-nsq", "NewProducer", "of", "queue_producer", "message-broker"),
+    ("go", "github.com/nsqio/go-nsq", "NewConsumer", "of", "queue_consumer", "message-broker"),
+    ("go", "github.com/aws/aws-sdk-go/service/kinesis", "New", "of", "queue_producer", "queue"),
+    ("go", "github.com/aws/aws-sdk-go-v2/service/eventbridge", "NewFromConfig", "of", "queue_producer", "queue"),
+    ("go", "github.com/aws/aws-sdk-go/service/eventbridge", "New", "of", "queue_producer", "queue"),
+    ("go", "github.com/hashicorp/consul/api", "NewClient", "of", "config_client", "config-server"),
+    ("go", "go.etcd.io/etcd/client/v3", "New", "of", "config_client", "config-server"),
+    ("go", "github.com/spf13/viper", "New", "of", "config_client", "config-server"),
+    ("go", "github.com/jaegertracing/jaeger-client-go", "NewTracer", "of", "monitoring_client", "monitoring"),
+    ("go", "github.com/openzipkin/zipkin-go", "NewTracer", "of", "monitoring_client", "monitoring"),
+    ("go", "github.com/cactus/go-statsd-client/v5/statsd", "NewClient", "of", "monitoring_client", "monitoring"),
+    ("go", "github.com/prometheus/client_golang/prometheus", "NewSummary", "of", "monitoring_client", "monitoring"),
+    ("go", "github.com/newrelic/go-agent/v3/newrelic", "NewApplication", "of", "monitoring_client", "monitoring"),
+    ("python", "requests", "get", "of", "http_call", "service"),
+    ("python", "requests", "post", "of", "http_call", "service"),
+    ("python", "requests", "put", "of", "http_call", "service"),
+    ("python", "requests", "delete", "of", "http_call", "service"),
+    ("python", "requests", "patch", "of", "http_call", "service"),
+    ("python", "httpx", "get", "of", "http_call", "service"),
+    ("python", "httpx", "post", "of", "http_call", "service"),
+    ("python", "httpx", "put", "of", "http_call", "service"),
+    ("python", "httpx", "delete", "of", "http_call", "service"),
+    ("python", "psycopg2", "connect", "of", "db_connection", "database"),
+    ("python", "asyncpg", "connect", "of", "db_connection", "database"),
+    ("python", "asyncpg", "create_pool", "of", "db_connection", "database"),
+    ("python", "pymongo", "MongoClient", "of", "db_connection", "database"),
+    ("python", "sqlalchemy", "create_engine", "of", "db_connection", "database"),
+    ("python", "pymysql", "connect", "of", "db_connection", "database"),
+    ("python", "redis", "Redis", "of", "cache_client", "cache"),
+    ("python", "redis", "StrictRedis", "of", "cache_client", "cache"),
+    ("python", "redis", "from_url", "of", "cache_client", "cache"),
+    ("python", "pymemcache.client", "Client", "of", "cache_client", "cache"),
+    ("python", "kafka", "KafkaProducer", "of", "queue_producer", "message-broker"),
+    ("python", "kafka", "KafkaConsumer", "of", "queue_consumer", "message-broker"),
+    ("python", "pika", "BlockingConnection", "of", "queue_producer", "message-broker"),
+    ("python", "boto3", "client", "of", "queue_producer", "queue"),
+    ("python", "flask", "Flask", "of", "http_server", "service"),
+    ("python", "fastapi", "FastAPI", "of", "http_server", "service"),
+    ("python", "django.http", "HttpResponse", "of", "http_server", "service"),
+    ("python", "psycopg2.pool", "SimpleConnectionPool", "of", "db_connection", "database"),
+    ("python", "psycopg2.pool", "ThreadedConnectionPool", "of", "db_connection", "database"),
+    ("python", "redis", "ConnectionPool", "of", "cache_client", "cache"),
+    ("python", "sqlalchemy", "sessionmaker", "of", "db_connection", "database"),
+    ("python", "sqlalchemy.orm", "Session", "of", "db_connection", "database"),
+    ("python", "boto3", "resource", "of", "db_connection", "database"),
+    ("python", "elasticsearch", "Elasticsearch", "of", "search_client", "search"),
+    ("python", "celery", "Celery", "of", "queue_producer", "message-broker"),
+    ("javascript", "axios", "get", "of", "http_call", "service"),
+    ("javascript", "axios", "post", "of", "http_call", "service"),
+    ("javascript", "axios", "put", "of", "http_call", "service"),
+    ("javascript", "axios", "delete", "of", "http_call", "service"),
+    ("javascript", "axios", "patch", "of", "http_call", "service"),
+    ("javascript", "axios", "request", "of", "http_call", "service"),
+    ("javascript", "", "fetch", "bare", "http_call", "service"),
+    ("javascript", "got", "get", "of", "http_call", "service"),
+    ("javascript", "got", "post", "of", "http_call", "service"),
+    ("javascript", "pg", "Pool", "new", "db_connection", "database"),
+    ("javascript", "pg", "Client", "new", "db_connection", "database"),
+    ("javascript", "mysql2", "createConnection", "of", "db_connection", "database"),
+    ("javascript", "mysql2", "createPool", "of", "db_connection", "database"),
+    ("javascript", "mongoose", "connect", "of", "db_connection", "database"),
+    ("javascript", "mongodb", "MongoClient", "new", "db_connection", "database"),
+    ("javascript", "@prisma/client", "PrismaClient", "new", "db_connection", "database"),
+    ("javascript", "sequelize", "Sequelize", "new", "db_connection", "database"),
+    ("javascript", "ioredis", "Redis", "new", "cache_client", "cache"),
+    ("javascript", "redis", "createClient", "of", "cache_client", "cache"),
+    ("javascript", "kafkajs", "Kafka", "new", "queue_producer", "message-broker"),
+    ("javascript", "amqplib", "connect", "of", "queue_producer", "message-broker"),
+    ("javascript", "@aws-sdk/client-sqs", "SQSClient", "new", "queue_producer", "queue"),
+    ("javascript", "express", "Router", "of", "http_server", "service"),
+    ("javascript", "fastify", "fastify", "of", "http_server", "service"),
+    ("javascript", "koa", "Koa", "new", "http_server", "service"),
+    ("javascript", "typeorm", "createConnection", "of", "db_connection", "database"),
+    ("javascript", "typeorm", "DataSource", "new", "db_connection", "database"),
+    ("javascript", "knex", "knex", "of", "db_connection", "database"),
+    ("javascript", "node-cache", "NodeCache", "new", "cache_client", "cache"),
+    ("javascript", "@elastic/elasticsearch", "Client", "new", "search_client", "search"),
+    ("javascript", "@aws-sdk/client-s3", "S3Client", "new", "storage_client", "storage"),
+    ("javascript", "@aws-sdk/client-dynamodb", "DynamoDBClient", "new", "db_connection", "database"),
+    ("javascript", "apollo-server", "ApolloServer", "new", "http_server", "service"),
+    ("javascript", "@apollo/server", "ApolloServer", "new", "http_server", "service"),
+    # not in the reference
+    ("python", "httpx", "patch", "of", "http_call", "service"),
+    ("python", "httpx", "Client", "of", "http_call", "service"),
+    ("python", "httpx", "AsyncClient", "of", "http_call", "service"),
+    ("go", "github.com/redis/go-redis/v9", "NewClusterClient", "of", "cache_client", "cache"),
+    ("javascript", "axios", "axios", "bare", "http_call", "service"),
 ]
-# Resource prefix of Terraform, type of the target.
-RESOURCES = {"aws_db_instance": "database", "aws_rds_cluster": "database", "aws_dynamodb_table": "database", "aws_elasticache": "cache", "aws_sqs_queue": "queue", "aws_sns_topic": "message-broker", "aws_s3_bucket": "storage", "aws_lb": "load-balancer", "aws_ecs_service": "service", "google_sql_database": "database", "google_redis_instance": "cache", "google_storage_bucket": "storage"}
+# Resource prefix of Terraform, type of the target; the first that fits decides.
+RESOURCES = {
+    "aws_db_instance": "database",
+    "aws_db_cluster": "database",
+    "aws_rds_cluster": "database",
+    "aws_rds_": "database",
+    "aws_dynamodb_table": "database",
+    "aws_dynamodb_": "database",
+    "aws_docdb_": "database",
+    "aws_redshift_": "database",
+    "aws_neptune_": "database",
+    "aws_timestream_": "database",
+    "aws_elasticache_cluster": "cache",
+    "aws_elasticache_replication_group": "cache",
+    "aws_elasticache_": "cache",
+    "aws_sqs_queue": "queue",
+    "aws_sqs_": "queue",
+    "aws_sns_topic": "message-broker",
+    "aws_sns_": "message-broker",
+    "aws_msk_cluster": "message-broker",
+    "aws_msk_": "message-broker",
+    "aws_kinesis_stream": "message-broker",
+    "aws_kinesis_": "message-broker",
+    "aws_eventbridge_": "message-broker",
+    "aws_s3_bucket": "storage",
+    "aws_s3_": "storage",
+    "aws_efs_": "storage",
+    "aws_lb_": "load-balancer",
+    "aws_lb": "load-balancer",
+    "aws_alb_": "load-balancer",
+    "aws_alb": "load-balancer",
+    "aws_elb": "load-balancer",
+    "aws_api_gateway": "gateway",
+    "aws_apigatewayv2_": "gateway",
+    "aws_eks_cluster": "orchestrator",
+    "aws_eks_": "orchestrator",
+    "aws_ecs_cluster": "orchestrator",
+    "aws_ecs_": "orchestrator",
+    "aws_lambda_function": "service",
+    "aws_lambda_": "service",
+    "aws_instance": "service",
+    "aws_autoscaling_group": "service",
+    "aws_apprunner_": "service",
+    "aws_ecr_repository": "container-registry",
+    "aws_ecr_": "container-registry",
+    "aws_secretsmanager_secret": "secrets-manager",
+    "aws_secretsmanager_": "secrets-manager",
+    "aws_ssm_parameter": "config-server",
+    "aws_ssm_": "config-server",
+    "aws_appconfig_": "config-server",
+    "aws_cloudwatch_log_": "log-aggregator",
+    "aws_cloudwatch_": "monitoring",
+    "aws_elasticsearch_domain": "search",
+    "aws_opensearch_domain": "search",
+    "aws_opensearch_": "search",
+    "kubernetes_deployment": "service",
+    "kubernetes_stateful_set": "service",
+    "kubernetes_daemonset": "service",
+    "kubernetes_cron_job": "service",
+    "kubernetes_ingress": "gateway",
+    "kubernetes_service": "service",
+    "helm_release": "service",
+    "google_sql_database": "database",
+    "google_redis_instance": "cache",
+    "google_storage_bucket": "storage",
+}
 CALL_CONFIDENCE, ENV_CONFIDENCE, RESOURCE_CONFIDENCE = 0.85, 0.7, 0.9
 _FAMILIES = {"DATABASE": "database", "DB": "database", "POSTGRES": "database", "MYSQL": "database", "REDIS": "cache", "CACHE": "cache", "KAFKA": "message-broker", "AMQP": "message-broker", "SERVICE": "service", "API": "service"}
 
@@ -58,13 +272,29 @@ def is_connection_variable(name: Column) -> Column:
     return name.rlike(r"_(?:URL|URI|HOST|ADDR|ADDRESS|ENDPOINT|DSN)$")
 
 
+def _call(language: str, library: str, function: str, form: str) -> tuple[str, str]:
+    """Pattern of a call and, for functions imported by name, pattern of the import that a bare call needs."""
+    parts = [x for x in library.split("/") if not re.fullmatch(r"v\d+", x)]
+    name = re.sub(r"^go-|[.-](?:go|js)$|\.v\d+$|091-go$", "", parts[-1].rpartition(".")[2] if language == "python" else parts[-1])
+    if form == "new":
+        return rf"\bnew\s+(?:\w+\.)?{function}\(", ""
+    if form == "bare" or function == name:
+        return rf"(?<![\w.]){function}\(", ""
+    qualified = rf"\b{re.escape(name)}\.{function}\("
+    if language == "go":
+        return qualified, ""
+    by_name = rf"from\s+{re.escape(library)}\s+import[^\n]*\b{function}\b" if language == "python" else rf"""\{{[^}}]*\b{function}\b[^}}]*\}}\s*(?:from\s*|=\s*require\()['"]{re.escape(library)}['"]"""
+    return qualified, by_name
+
+
 def signals(files: DataFrame) -> DataFrame:
     """Signals of ``src, path, content`` files in the schema of ``CODE_SIGNALS``; test files are left out."""
     known = files.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~F.col("path").rlike(r"(?:_test\.go|\.(?:test|spec)\.[jt]sx?|(?:^|/)test_[^/]*\.py)$"))
     spark = files.sparkSession
-    calls = spark.createDataFrame(CALLS, "language string, library string, call string, kind string, target_type string")
+    calls = spark.createDataFrame([(lang, lib, *_call(lang, lib, f, form), rf"(?<![\w.]){f}\(", kind, t) for lang, lib, f, form, kind, t in CALLS], "language string, library string, call string, by_name string, bare string, kind string, target_type string")
     rows = known.select("src", "path", "language", "content", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
-    hit = rows.join(F.broadcast(calls), "language").where(F.rlike("line", F.col("call")) & F.contains(F.col("content"), F.col("library")))
+    hit = rows.join(F.broadcast(calls), "language").where(F.contains(F.col("content"), F.col("library")))
+    hit = hit.where(F.rlike("line", F.col("call")) | ((F.col("by_name") != "") & F.rlike("line", F.col("bare")) & F.rlike("content", F.col("by_name"))))
     literal = F.regexp_extract_all("line", F.lit(r"""["'`]([^"'`]+)["'`]"""), F.lit(1))
     hosts = F.filter(F.transform(literal, connection_host), lambda h: h != "")
     named = F.filter(literal, lambda x: x.rlike(r"^[a-z][a-z0-9]*(?:-[a-z0-9]+)+$"))

@@ -100,3 +100,16 @@ def test_every_query_runs(spark, sf_dir):
     assert set(ORACLES) <= set(QUERIES)
     for name in ("impact_depth3", "merge_signals_max", "link_edges", "code_graph", "streamed_edges"):
         assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_catalogs_are_whole(spark):
+    assert len(classify.KEYWORDS) == 15 and sum(map(len, classify.KEYWORDS.values())) == 148
+    names = spark.createDataFrame([(n,) for n in ("nginx", "consul", "kubernetes", "splunk", "cassandra", "kinesis", "edge-proxy", "ecr")], "n string")
+    got = [r["t"]["type"] for r in names.select(classify.inferred_type(F.col("n")).alias("t")).collect()]
+    assert got == ["load-balancer", "config-server", "orchestrator", "log-aggregator", "database", "message-broker", "load-balancer", "container-registry"]
+    code = [
+        ("a", "a/a.py", "from celery import Celery\napp = Celery('x')"), ("b", "b/b.py", "import boto3\nc = boto3.client('sqs')"), ("c", "c/c.ts", "import { Pool } from 'pg'\nconst p = new Pool()"),
+        ("d", "d/d.go", 'import "github.com/nats-io/nats.go"\nnc, _ := nats.Connect("nats://n-1:4222")'), ("e", "e/e.tf", 'resource "aws_eks_cluster" "main" {'), ("f", "f/f.py", "import requests\nx = get('a')"),
+    ]
+    found = codescan.signals(spark.createDataFrame(code, "src string, path string, content string")).collect()
+    assert {(r["source_component"], r["target_type"]) for r in found} == {("a", "message-broker"), ("b", "queue"), ("c", "database"), ("d", "message-broker"), ("e", "orchestrator")}
