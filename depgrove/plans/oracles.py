@@ -136,6 +136,9 @@ ORACLES: dict[str, str] = {
     "line_windows": f"""WITH d AS (SELECT conv_id AS doc_id, max(text) AS text FROM conversations GROUP BY conv_id), {LINES.format('d')}
         SELECT doc_id, pos, array_to_string(list(line) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), ' ') AS text,
             CASE WHEN pos / count(*) OVER (PARTITION BY doc_id) < 0.3 THEN 0.65::DOUBLE WHEN pos / count(*) OVER (PARTITION BY doc_id) < 0.6 THEN 0.55 ELSE 0.45 END AS weight FROM lines""",
+    "line_windows_all": f"""WITH d AS (SELECT coalesce(conv_id::VARCHAR, '-') || '/' || coalesce(turn::VARCHAR, '-') || '/' || row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text) AS doc_id, text FROM conversations WHERE text IS NOT NULL), {LINES.format('d')}
+        SELECT doc_id, pos, array_to_string(list(line) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), ' ') AS text,
+            CASE WHEN pos / count(*) OVER (PARTITION BY doc_id) < 0.3 THEN 0.65::DOUBLE WHEN pos / count(*) OVER (PARTITION BY doc_id) < 0.6 THEN 0.55 ELSE 0.45 END AS weight FROM lines""",
     "turn_windows": """WITH r AS (SELECT DISTINCT conv_id AS doc_id, turn AS pos, role AS line FROM conversations)
         SELECT doc_id, pos, array_to_string(list(line) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), ' ') AS text FROM r""",
     "cooccurrence_window5": f"""WITH {LINES.format('documents')}, {HITS}, n AS (SELECT doc_id, count(*) AS total FROM lines GROUP BY doc_id),

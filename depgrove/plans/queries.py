@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depgrove.functions import evidence as conf
@@ -299,6 +299,14 @@ def line_windows(spark, sf):
     return discover.windows(rows).select("doc_id", F.col("pos").cast("long").alias("pos"), "text", discover.position_weight(F.col("share")).alias("weight"))
 
 
+@query
+def line_windows_all(spark, sf):
+    turn = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = table(spark, sf, "conversations").where("text IS NOT NULL").withColumn("copy", F.row_number().over(turn).cast("long"))
+    keyed = rows.select(F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.coalesce(F.col("turn").cast("string"), F.lit("-")), "copy").alias("doc_id"), "text")
+    return discover.windows(tx.lines(keyed)).select("doc_id", F.col("pos").cast("long").alias("pos"), "text", discover.position_weight(F.col("share")).alias("weight"))
+
+
 @query
 def turn_windows(spark, sf):
     rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("role").alias("line")).distinct()

@@ -113,3 +113,12 @@ def test_catalogs_are_whole(spark):
     ]
     found = codescan.signals(spark.createDataFrame(code, "src string, path string, content string")).collect()
     assert {(r["source_component"], r["target_type"]) for r in found} == {("a", "message-broker"), ("b", "queue"), ("c", "database"), ("d", "message-broker"), ("e", "orchestrator")}
+
+
+def test_every_turn_has_windows(spark, tmp_path):
+    from depgrove.plans.queries import QUERIES
+
+    rows = [(1, 0, "user", "a\nb"), (1, 1, "assistant", "z"), (1, 1, "assistant", "z"), (2, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r["doc_id"], r["pos"]): r["text"] for r in QUERIES["line_windows_all"](spark, str(tmp_path)).collect()}
+    assert got == {("1/0/1", 0): "a b", ("1/0/1", 1): "b", ("1/1/1", 0): "z", ("1/1/2", 0): "z"}
