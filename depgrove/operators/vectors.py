@@ -1,8 +1,8 @@
-"""Dense vectors: cosine, nearest to a query, pairs above a threshold."""
+"""Dense vectors: cosine, nearest to one query or to each of a set, centroids, placeholders."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,25 @@ def nearest(vectors: DataFrame, query_id, k: int = 10) -> DataFrame:
     return scored.select("vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("similarity")).orderBy(F.col("similarity").desc(), "vec_id").limit(k)
 
 
+#: Blocks that the rows are dealt to; each of them meets every query.
+BLOCKS = 64
+
+
+def nearest_to_each(vectors: DataFrame, is_query: Column, k: int = 10, blocks: int = BLOCKS) -> DataFrame:
+    """``query_id, vec_id, similarity`` of the k vectors nearest to each row that ``is_query`` holds for, itself left out.
+
+    Queries go to every block of rows; a block keeps its k best for a query, then the
+    blocks' best are compared.  ``vec_id`` is unique.
+    """
+    rows = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    queries = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    scored = rows.join(queries, "block").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "block", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("similarity"))
+    order = [F.col("similarity").desc(), F.col("vec_id")]
+    for keys in (["query_id", "block"], ["query_id"]):
+        scored = scored.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("at") <= k)
+    return scored.select("query_id", "vec_id", "similarity")
+
+
 def centroids(vectors: DataFrame) -> DataFrame:
     """``label, place, value``: mean vector of every label in long form."""
     each = vectors.select("label", F.posexplode("embedding").alias("place", "x"))

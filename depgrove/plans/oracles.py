@@ -168,6 +168,9 @@ ORACLES: dict[str, str] = {
         SELECT 'src/' || source || '/' || lang || '/' || doc_id || '.md' AS file, CASE WHEN lang = 'en' THEN source || '-en' ELSE source END AS component FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""",
     "vector_topk": """WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id = 0)
         SELECT vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), v), 6) AS similarity FROM embeddings, q WHERE vec_id <> 0 ORDER BY similarity DESC, vec_id LIMIT 10""",
+    "vector_topk_all": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id % 100 = 0),
+        s AS (SELECT query_id, vec_id, round(list_cosine_similarity(v, q), 6) AS similarity FROM e JOIN q ON vec_id <> query_id)
+        SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10""",
     "vector_centroids": "WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS place, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, place, round(avg(x), 6) AS value FROM e GROUP BY 1, 2",
     "change_detection": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'deleted' ELSE 'modified' END AS change FROM documents
         WHERE (doc_id % 5 = 0 AND doc_id % 11 <> 0) OR (doc_id % 5 <> 0 AND doc_id % 11 = 0) OR (doc_id % 5 <> 0 AND doc_id % 11 <> 0 AND doc_id % 7 = 0)""",

@@ -400,6 +400,11 @@ def vector_topk(spark, sf):
     return vectors.nearest(table(spark, sf, "embeddings"), 0, 10)
 
 
+@query
+def vector_topk_all(spark, sf):
+    return vectors.nearest_to_each(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 @query
 def vector_centroids(spark, sf):
     return vectors.centroids(table(spark, sf, "embeddings")).withColumn("place", F.col("place").cast("long"))

@@ -122,3 +122,15 @@ def test_every_turn_has_windows(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {(r["doc_id"], r["pos"]): r["text"] for r in QUERIES["line_windows_all"](spark, str(tmp_path)).collect()}
     assert got == {("1/0/1", 0): "a b", ("1/0/1", 1): "b", ("1/1/1", 0): "z", ("1/1/2", 0): "z"}
+
+
+def test_nearest_to_each_agrees_with_nearest(spark, sf_dir):
+    from depgrove.session import table
+
+    v = table(spark, sf_dir, "embeddings")
+    got = {}
+    for r in vectors.nearest_to_each(v, F.col("vec_id") % 100 == 0, 10).collect():
+        got.setdefault(r["query_id"], set()).add((r["vec_id"], r["similarity"]))
+    assert set(got) == {r["vec_id"] for r in v.where("vec_id % 100 = 0").collect()} and len(got) > 1
+    for q in sorted(got)[:3]:
+        assert got[q] == {(r["vec_id"], r["similarity"]) for r in vectors.nearest(v, q, 10).collect()}
