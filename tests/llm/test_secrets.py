@@ -89,3 +89,8 @@ def test_edge_cases(spark):
     assert out[(1, 0)]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert secrets.learn(docs.limit(0)) is None
     assert secrets.scan(docs.limit(0), None).collect() == []
+
+
+def test_ordinary_text_gives_a_window_for_every_40th_token():
+    windows, tags = secrets.training_set(["plain words " * 1_000])
+    assert len(windows) == len(range(secrets.AROUND, 2_000, 40)) and not tags.any()
