@@ -46,7 +46,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A document that the mix takes twice is two documents here: its pieces come twice.
     """
     ship(spark)
-    return packing.pack(packing.pieces(docs))
+    return packing.pack(packing.pieces(docs), **packing.REGISTERED)
 
 
 STAGES = [

@@ -113,6 +113,8 @@ def best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule
     return out
 
 
+#: Registered uses: document and attention-cost capacities (implied by the tokens, so they never bind) and weights of the three residuals.
+REGISTERED = {"max_documents": LENGTH, "max_cost": float(LENGTH * LENGTH), "weights": (1.0, 0.5, 0.5)}
 PACKED = PIECE + ", sequence_id long, offset long"
 
 

@@ -56,7 +56,7 @@ def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")), **packing.REGISTERED)
 
 
 def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

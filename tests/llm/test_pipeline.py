@@ -139,3 +139,16 @@ def test_exact_dedup_with_spills_and_edge_cases(spark):
         assert got == sorted((t, max(i for i in ids if i is not None)) for t, ids in groups.items() if t)
         assert stay.count() == len(groups)
     assert exact_dedup.classes(docs.limit(0)).collect() == [] and exact_dedup.distinct_texts(docs.limit(0)).collect() == []
+
+
+def test_registered_packing_scores_all_three_residuals(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+    from depgrove.llm.queries import QUERIES
+
+    asked = []
+    monkeypatch.setattr(packing, "pack", lambda cut, **given: asked.append(given))
+    QUERIES["op8_vector_best_fit"](spark, sf_dir)
+    corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    for given in asked:
+        assert given["max_documents"] == 2048 and given["max_cost"] == 2048**2 and min(given["weights"]) > 0
+    assert len(asked) == 2
