@@ -146,6 +146,35 @@ def hashed_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+#: The largest bitmap that is broadcast: 2**28 places are 32 MB, enough for 33 million keys.
+MOST_BITS = 28
+
+
+def sized_bitmap(keys: DataFrame, count: int, most_bits: int = MOST_BITS) -> np.ndarray | None:
+    """A bitmap of at least eight places for each of ``count`` keys; None where it would exceed the bound of what is broadcast."""
+    bits = max(10, (8 * count - 1).bit_length())
+    return hashed_bitmap(keys, bits) if bits <= most_bits else None
+
+
+def marked(df: DataFrame, column: str, keys: DataFrame, count: int, inside: bool = True, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of ``df`` whose long ``column`` is among the ``count`` well-mixed ``keys`` (``inside=False``: all others).
+
+    Few keys go to all tasks as a bitmap, which may let a few more rows in (and out of the
+    others); more keys than that are joined.  Every row is on one of the two sides.
+    """
+    bitmap = sized_bitmap(keys, count, most_bits)
+    if bitmap is None:
+        return df.join(keys.withColumnRenamed(keys.columns[0], column).distinct(), column, "left_semi" if inside else "left_anti").select(*df.columns)
+    given = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = in_bitmap(given.value, batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(hit if inside else ~hit))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether both bits of uint64 keys are set."""
     mask = np.uint64(len(bitmap) * 8 - 1)

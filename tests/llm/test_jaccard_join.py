@@ -98,17 +98,70 @@ def test_one_of_each_component_stays(spark):
 def test_signatures_of_linked_sets_meet():
     draw = random.Random(5)
     for n in (2, 3, 4, 5, 9, 30, 200, 1000):
-        for fill in (255, 0, None):  # all shingles frequent, all rare, either
-            bitmap = np.frombuffer(draw.randbytes(1 << 10), np.uint8) if fill is None else np.full(1 << 10, fill, dtype=np.uint8)
+        for fill in (1.0, 0.0, 0.5):  # all shared shingles frequent, all rare, either
             for _ in range(20):
                 a = [f"t{draw.randrange(10**9)}" for _ in range(n + 4)]
                 b = a[: len(a) - draw.randrange(n // 8 + 2)] + [f"u{i}" for i in range(draw.randrange(n // 9 + 1))]
                 sets = jaccard_join.Sets([" ".join(a).encode(), " ".join(b).encode()])
-                both, either = len(np.intersect1d(sets[0], sets[1])), len(np.union1d(sets[0], sets[1]))
-                if either > both and 4 * both >= 3 * either:
-                    sig, owner, place, slack = jaccard_join.signatures(sets, np.ones(2, bool), bitmap)
-                    bounds = [max(slack[i], slack[j]) + min(sets.sizes[0] - place[i], sets.sizes[1] - place[j]) - 1 for i in np.flatnonzero(owner == 0) for j in np.flatnonzero((owner == 1) & (sig == sig[i]))]
-                    assert bounds and max(bounds) >= both
+                both, either = np.intersect1d(sets[0], sets[1]), np.union1d(sets[0], sets[1])
+                if len(either) > len(both) and 4 * len(both) >= 3 * len(either):
+                    held = {t: 16 if draw.random() < fill else draw.randrange(2, 16) for t in both.tolist()}  # by how many sets; the others by one
+                    for t in either.tolist():
+                        if t not in held:
+                            held[t] = 16 if draw.random() < fill / 2 else draw.randrange(1, 16)
+                    out = []
+                    for i in range(2):
+                        order = np.array(sorted(sets[i].tolist(), key=lambda t: (held[t], t)), dtype=np.uint64)
+                        counts = [held[t] for t in order.tolist()]
+                        out.append(jaccard_join.signatures(order, counts.count(1), sum(c < 16 for c in counts)))
+                    bounds = [max(out[0][2][i], out[1][2][j]) + min(sets.sizes[0] - out[0][1][i], sets.sizes[1] - out[1][1][j]) - 1 for i in range(len(out[0][0])) for j in np.flatnonzero(out[1][0] == out[0][0][i])]
+                    assert bounds and max(bounds) >= len(both)
+
+
+def test_sketches_never_rule_out_a_link():
+    draw = np.random.default_rng(3)
+    for n in (2, 7, 31, 64, 300, 2000):
+        for extra in (0, 1, n // 9, n // 4):
+            a = draw.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate((a[extra // 2 :], draw.integers(0, 1 << 63, extra).astype(np.uint64)))
+            assert jaccard_join.apart(jaccard_join.parity(a), jaccard_join.parity(b)) <= extra + extra // 2
+    a, b = draw.integers(0, 1 << 63, (2, 5000)).astype(np.uint64)
+    assert jaccard_join.apart(jaccard_join.parity(a), jaccard_join.parity(b)) > 3000
+
+
+def test_many_unlinked_texts_around_one_passage(spark):
+    """A passage that makes up 70 to 90 per cent of many texts: some link, most do not, and one third are copies."""
+    draw = random.Random(4)
+    passage = [f"p{i}" for i in range(80)]
+    rows = []
+    for i in range(400):
+        own = [f"o{i}x{k}" for k in range(draw.choice([4, 12, 20, 30]))]
+        rows.append((i, " ".join(passage + own) if i % 3 else " ".join(passage), "x", i))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert sorted(map(tuple, jaccard_join.near_duplicates(docs).collect()), key=str) == brute(rows)
+
+
+def test_rows_are_looked_up_by_a_join_beyond_the_bound_of_a_bitmap(spark):
+    from pyspark.sql import functions as F
+
+    from depgrove.llm.common import marked
+
+    rows = spark.range(100).select("id", F.xxhash64("id").alias("h"))
+    keys = rows.where("id < 40").select("h")
+    for most in (28, 1):
+        assert {r["id"] for r in marked(rows, "h", keys, 40, most_bits=most).collect()} >= set(range(40))
+        inside = marked(rows, "h", keys, 40, most_bits=most).count()
+        assert inside + marked(rows, "h", keys, 40, inside=False, most_bits=most).count() == 100
+    assert inside == 40
+
+
+def test_clashing_column_names(spark):
+    text = " ".join(f"t{i}" for i in range(40))
+    docs = spark.sql(f"SELECT doc_id, IF(doc_id = 5, 'else where', '{text}') AS text, 1 AS least, 2 AS most, 3 AS kept_id, 4 AS at, 5 AS row, 6 AS own_id, 7 AS id_hash, map('a', 1) AS stays, 8 AS rows FROM VALUES (4L), (3L), (3L), (5L), (NULL) AS t(doc_id)")
+    out = jaccard_join.first_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == [3, 5]
+    assert out.first()["stays"] == {"a": 1}
 
 
 def test_sets_by_definition():
