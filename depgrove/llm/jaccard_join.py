@@ -17,7 +17,7 @@ Shingles travel as packed arrays by hash range, so that no row is made for a shi
 Equal sets form one class before anything else, so exact copies cost one member.
 Within a signature every member is compared with a pivot, the member where the
 signature stands earliest.  Members that the found links leave in different components
-meet more pivots of their signature, four times as many each round, until every
+meet more pivots of their signature, MORE times as many each round, until every
 signature lies in one component or all its members have been pivots.  No link between
 different sets is lost.
 """
@@ -43,12 +43,12 @@ FREQUENT = 16
 #: The first prefix is extended by one shingle for so many of a set.
 SPARE = 16
 #: Shingles and sets that a task gathers before it deals them out by hash range, and shingles of one range.
-GATHER, GATHER_SETS, RANGE = 2_000_000, 60_000, 1 << 19
+GATHER, GATHER_SETS, RANGE = 1_200_000, 60_000, 1 << 19
 #: A shingle is heavy from the share 2**-HEAVY_BITS of all shingles on (HEAVY_LEAST at least), so at most 2**HEAVY_BITS
 #: are: these few need no counting and are never gathered.  Only repetitions of LOCAL or more in one gather are counted.
 HEAVY_BITS, HEAVY_LEAST, LOCAL = 18, 256, 8
-#: Members of a signature that are pivots in the second round; four times as many in each later one.
-PIVOTS = 16
+#: Members of a signature that are pivots in the second round, and how many times as many are in each later one.
+PIVOTS, MORE = 32, 8
 
 _MANY = 65535
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
@@ -335,11 +335,15 @@ def _tallying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _columns(schema, k, np.bincount(at, weights=np.concatenate(hits), minlength=len(k)).astype(np.int64))
 
 
-def _telling(words: int, bits: int, heavy: Broadcast):
-    """All tokens by hash range; heavy ones are dealt by key, for they are not counted."""
+def _telling(words: int, bits: int, heavy: Broadcast, alive: Broadcast | None):
+    """All tokens by hash range; heavy ones are dealt by key, for they are not counted.  With a bitmap only of the rows whose id's bits are set."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(alive.value, batch.column("id_hash").to_numpy(zero_copy_only=False).view(np.uint64)))) if alive else batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, owners, keys in _gathered(batches, words, lambda sets: np.ones(len(sets.values), dtype=bool)):
+        for tokens, owners, keys in _gathered(chosen(batches), words, lambda sets: np.ones(len(sets.values), dtype=bool)):
             known = heavy.value
             at = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
             much = known[at] == tokens if len(known) else np.zeros(len(tokens), dtype=bool)
@@ -481,8 +485,11 @@ class Join:
         size, some = alive.agg(F.sum("n"), F.count(F.lit(1))).first()
         heavy = often.where(F.col("n") >= max(HEAVY_LEAST, total >> HEAVY_BITS)).select("token").toArrow().column("token").combine_chunks().to_numpy().view(np.uint64)
         bits = self._bits(size or 0)
-        texts = marked(self.rows, "id_hash", alive.select(F.xxhash64("rep").alias("id_hash")), some).select("text")
-        told = _by_part(texts.mapInArrow(_telling(self.words, bits, self.context.broadcast(np.sort(heavy))), PACKED)).mapInArrow(_answering(bits), PACKED)
+        ids = alive.select(F.xxhash64("rep").alias("id_hash"))
+        bitmap = sized_bitmap(ids, some)
+        rows = self.rows if bitmap is not None else self.rows.join(ids.distinct(), "id_hash", "left_semi")
+        telling = _telling(self.words, bits, self.context.broadcast(np.sort(heavy)), None if bitmap is None else self.context.broadcast(bitmap))
+        told = _by_part(rows.select("id_hash", "text").mapInArrow(telling, PACKED)).mapInArrow(_answering(bits), PACKED)
         return checkpointed(_by_part(told).mapInArrow(_ordering(self.share, self.frequent), ORDERED))
 
     def _possible(self, left: Column, right: Column) -> Column:
@@ -522,9 +529,9 @@ class Join:
         found = [self.verified(tested[0], sets)]
         # two members are decided by this round; the others go on
         index = index.join(span.where("members > 2").select("sig"), "sig", "left_semi")
+        label = components(found[0])
         turn, pivots = 1, PIVOTS
         while True:
-            label = components(reduce(DataFrame.unionByName, found))
             left = index.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
             # a signature whose members are all connected has nothing left to decide, now or later
             span = left.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high").select("sig", "members")
@@ -540,9 +547,11 @@ class Join:
             near = self._near(pairs, sets, tested)
             tested.append(near)
             found.append(self.verified(near, sets))
+            if not found[-1].isEmpty():
+                label = components(reduce(DataFrame.unionByName, found))
             # a pivot has met all members of its signature
             index = left.where(~chosen).select("sig", "key", "n", "place", "slack")
-            turn, pivots = turn + 1, pivots * 4
+            turn, pivots = turn + 1, pivots * MORE
 
     def result(self) -> DataFrame:
         members, often = self.classes()
