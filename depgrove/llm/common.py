@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,6 +104,19 @@ class Words:
         return rolled, owner[size - 1 :] == owner[: n - size + 1]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task stays small."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches that hold about CHUNK_BYTES of text (one text at least).
 
@@ -122,6 +136,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
                 upto += 1
             yield batch.slice(at, upto - at), texts
             at = upto
+        give_back()
 
 
 def hashed_bitmap(keys: DataFrame, bits: int) -> np.ndarray:

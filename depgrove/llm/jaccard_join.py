@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depgrove.llm.common import Words, checkpointed, components, in_bitmap, marked, mix, signed, sized_bitmap, text_blocks
+from depgrove.llm.common import Words, checkpointed, components, give_back, in_bitmap, marked, mix, signed, sized_bitmap, text_blocks
 
 WORDS = 5
 #: Similarity 0.75 as a fraction, so that comparisons stay in whole numbers.
@@ -43,7 +43,7 @@ FREQUENT = 16
 #: The first prefix is extended by one shingle for so many of a set.
 SPARE = 16
 #: Shingles and sets that a task gathers before it deals them out by hash range, and shingles of one range.
-GATHER, GATHER_SETS, RANGE = 1_200_000, 60_000, 1 << 19
+GATHER, GATHER_SETS, RANGE = 800_000, 60_000, 1 << 19
 #: A shingle is heavy from the share 2**-HEAVY_BITS of all shingles on (HEAVY_LEAST at least), so at most 2**HEAVY_BITS
 #: are: these few need no counting and are never gathered.  Only repetitions of LOCAL or more in one gather are counted.
 HEAVY_BITS, HEAVY_LEAST, LOCAL = 18, 256, 8
@@ -298,8 +298,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]
                 held = []
             now = row["part"]
             held.append(row)
+        give_back()
     if held:
         yield now, held
+    give_back()
 
 
 def _by_part(df: DataFrame) -> DataFrame:

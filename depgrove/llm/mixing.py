@@ -169,15 +169,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of the mix with the columns of ``docs``, each as often as it is taken.
 
-    Rows that share a doc_id are told apart by their content: the decisions of rows
-    that agree in id, source and size are dealt to them in turn.
+    Rows that agree in id, source and size share their decisions: the first by content
+    gets the largest.  The texts move once, to their decisions.  Columns may have any
+    name and any type; an empty table gives none.
     """
     chosen = mix(docs, **parameters)
-    key = ["doc_id", "source", "size"]
-    chosen = chosen.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("decided"))
-    left = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k_id"), F.col("source").cast("string").alias("k_source"), word_count(F.col("text").cast("string")).alias("k_size"))
-    left = left.withColumn("turn", F.row_number().over(Window.partitionBy("k_id", "k_source", "k_size").orderBy(F.xxhash64("row"))))
-    right = chosen.select(*[F.col(c).alias(f"d_{c}") for c in key], F.posexplode("decided").alias("at", "copies")).withColumn("turn_d", F.col("at") + 1)
-    both = left.join(right, F.col("k_id").eqNullSafe(F.col("d_doc_id")) & F.col("k_source").eqNullSafe(F.col("d_source")) & F.col("k_size").eqNullSafe(F.col("d_size")) & (F.col("turn") == F.col("turn_d")))
-    repeated = both.where(F.col("copies") > 0).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # a struct compares null fields as equal, and its partitioning serves the window as well
+    decided = chosen.select(F.struct("doc_id", "source", "size").alias("key"), "copies").groupBy("key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("decided"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    size = F.nullif(word_count(F.col("text").cast("string")), F.lit(-1).cast("long"))  # nullable like the other side, or the join would compare a cast and deal the rows again
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    left = docs.select(F.struct("*").alias("row"), key.alias("key"), F.xxhash64(F.col("text").cast("string")).alias("said"), F.to_json(F.struct(others.alias("others"))).alias("beside"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("said", "beside"))
+    dealt = left.join(decided, "key").withColumn("copies", F.element_at("decided", turn))
+    repeated = dealt.where(F.col("copies") > 0).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -9,6 +9,7 @@ and demand, or smallest weighted norm of what would be left.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,46 +27,50 @@ from depgrove.llm.common import checkpointed, text_blocks
 LENGTH = 2048
 #: Pieces that one task packs at a time.
 BLOCK = 12_000
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The contract's vocabulary, and the same one as ranks for the faster of two public libraries.
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SEPARATOR = 0
 
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple[str, str], object] = {}
 
 
-def encoder(path: str):
-    """The byte-level BPE vocabulary with the ranks of the public JSON file, kept per worker.
+def encoder(vocabulary: str, ranks: str):
+    """The byte-level BPE vocabulary with its added tokens, kept per worker.
 
-    Its ids equal those of the ``tokenizers`` library for the JSON form (the tests
-    compare both); special strings in a text are ordinary text.
+    Ids equal those that the ``tokenizers`` library with its default settings gives for
+    the JSON file (the tests compare both); that library takes five times as long.  An
+    added token's string in a text is that token, as it is there.
     """
-    if path not in _encoders:
+    if (vocabulary, ranks) not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        with open(vocabulary, encoding="utf-8") as f:
+            added = {token["content"]: token["id"] for token in json.load(f)["added_tokens"]}
+        with open(ranks, "rb") as f:
+            known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _encoders[vocabulary, ranks] = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=added)
+    return _encoders[vocabulary, ranks]
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document.
 
     A document is the ids of its whole text (null: empty) and one separator id.  One
     longer than ``length`` is cut into pieces of that length, the remainder first.
     """
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    paths = vocabulary or public_tokenizers.path(VOCABULARY), ranks or public_tokenizers.path(RANKS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     schema = to_arrow_schema(T._parse_datatype_string(PIECE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(*paths).encode
         for batch, texts in text_blocks(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = np.array([*encode(text.decode("utf-8", "replace")), SEPARATOR], dtype="<u4")
+                ids = np.array([*encode(text.decode("utf-8", "replace"), allowed_special="all"), SEPARATOR], dtype="<u4")
                 at, number, n = 0, 0, len(ids)
                 upto = n % length or min(n, length)
                 while at < n:

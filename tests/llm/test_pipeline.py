@@ -42,7 +42,7 @@ def test_packing_round_trip(spark):
     import zlib
 
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder.encode_special_tokens = True
+    assert encoder.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     rows = [(1, "Hello, wörld!\n\n  it's 2024 "), (2, ""), (3, None), (4, "the word " * 5000), (5, "日本語 🙂 <|endoftext|> x"), (None, "null id"), (5, "日本語 🙂 <|endoftext|> x"), (6, "z" * 3000), *[(10 + i, "ab " * i) for i in range(300)]]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int")
     out = packing.pack(packing.pieces(docs)).collect()
@@ -68,6 +68,17 @@ def test_packing_round_trip(spark):
     assert packing.pack(packing.pieces(docs.limit(0))).collect() == []
 
 
+def test_packed_sequences_obey_all_three_capacities(spark, sf_dir):
+    out = packing.pack(packing.pieces(table(spark, sf_dir, "documents")), max_documents=3, max_cost=2_500_000.0, weights=(1.0, 0.5, 0.5)).collect()
+    held = defaultdict(list)
+    for r in out:
+        held[r["sequence_id"]].append(r["length"])
+    assert all(sum(x) <= 2048 for x in held.values())
+    several = [x for x in held.values() if len(x) > 1]
+    assert several and all(len(x) <= 3 and sum(n * n for n in x) <= 2_500_000 for x in several)
+    assert any(len(x) == 3 for x in several)
+
+
 def test_best_fit_keeps_every_constraint():
     draw = np.random.default_rng(1)
     for rule in ("norm", "dot"):
