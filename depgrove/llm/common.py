@@ -117,6 +117,23 @@ except (AttributeError, OSError):  # another C library
     _trim = None
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, build):
+    """What ``build()`` made for ``key`` in this worker; the one before it is dropped."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Drop what an operator before has kept in this worker."""
+    _kept.clear()
+    give_back()
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches that hold about CHUNK_BYTES of text (one text at least).
 

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from depgrove.llm.common import forget
+
 #: Bytes of distinct content that one table may hold before it spills.
 BUDGET = 128 << 20
 FANOUT_BITS = 4
@@ -221,6 +223,8 @@ def distinct_texts(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     schema = to_arrow_schema(packed.withColumn("h", F.lit(0).cast("long")).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+
         def records():
             for b in batches:
                 for doc_id, content, row, void in zip(*(b.column(c).to_pylist() for c in ("id", "content", "row", "void")), strict=True):

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depgrove.llm.common import Words, checkpointed, components, give_back, in_bitmap, marked, mix, signed, sized_bitmap, text_blocks
+from depgrove.llm.common import Words, checkpointed, components, forget, give_back, in_bitmap, marked, mix, signed, sized_bitmap, text_blocks
 
 WORDS = 5
 #: Similarity 0.75 as a fraction, so that comparisons stay in whole numbers.
@@ -185,6 +185,7 @@ def _surveyor(words: int):
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "n", "token")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[np.ndarray] = []
         known: set[int] = set()
         size = 0

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depgrove.llm.common import CHUNK_BYTES
+from depgrove.llm.common import CHUNK_BYTES, kept
 
 #: The documented bound of the labelled sample: characters of one language, documents
 #: that are read for them, and the symbols told apart (the rest share one).
@@ -118,15 +118,9 @@ class Model:
         return out, lengths
 
 
-_models: dict[str, Model] = {}
-
-
 def _model(key: str, samples: Broadcast) -> Model:
     """The broadcast samples' automata, built once in a worker; ``key`` is their digest."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(samples.value)
-    return _models[key]
+    return kept(f"language {key}", lambda: Model(samples.value))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from depgrove.llm.common import checkpointed, text_blocks
+from depgrove.llm.common import checkpointed, kept, text_blocks
 
 LENGTH = 2048
 #: Pieces that one task packs at a time.
@@ -31,8 +31,6 @@ BLOCK = 12_000
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SEPARATOR = 0
 
-_encoders: dict[tuple[str, str], object] = {}
-
 
 def encoder(vocabulary: str, ranks: str):
     """The byte-level BPE vocabulary with its added tokens, kept per worker.
@@ -41,15 +39,17 @@ def encoder(vocabulary: str, ranks: str):
     the JSON file (the tests compare both); that library takes five times as long.  An
     added token's string in a text is that token, as it is there.
     """
-    if (vocabulary, ranks) not in _encoders:
+
+    def build():
         import tiktoken
 
         with open(vocabulary, encoding="utf-8") as f:
             added = {token["content"]: token["id"] for token in json.load(f)["added_tokens"]}
         with open(ranks, "rb") as f:
             known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _encoders[vocabulary, ranks] = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=added)
-    return _encoders[vocabulary, ranks]
+        return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=added)
+
+    return kept(f"tokenizer {vocabulary} {ranks}", build)
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
