@@ -8,13 +8,41 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{Nd}]+(?:-[\p{L}\p{Nd}]+)*"
 # Words that the tokenizer leaves out.
 STOP_WORDS = (
-    "a an and are as at be been but by can could did do does for from had has have he her him his how i if in into is it its may me might my "
-    "no nor not of on or our shall she should so than that the their them then there these they this those to too up us was we were what when "
-    "where which who will with would you your"
+    "a an and are as at be been being but by can could do does did for from had has have he her here him his how i if in into is it its just "
+    "me my no not now of on or our s she should so some than that the their them then there these they this those through to too up use "
+    "was we were what when where which while who will with would you your"
 ).split()
-VERBS = {"depends on": ("depends-on", 0.85), "requires": ("depends-on", 0.8), "calls": ("calls", 0.8), "uses": ("depends-on", 0.75), "implements": ("implements", 0.8), "connects to": ("depends-on", 0.75), "reads from": ("depends-on", 0.7), "writes to": ("depends-on", 0.7)}
-DEPENDENCY_SECTIONS = ("dependencies", "dependency", "depends on", "integration", "integrations", "requires", "requirements", "upstream", "downstream", "related services")
-SCHEMES = {"postgres": "database", "postgresql": "database", "mysql": "database", "mongodb": "database", "redis": "cache", "rediss": "cache", "memcached": "cache", "amqp": "message-broker", "amqps": "message-broker", "kafka": "message-broker", "nats": "message-broker", "http": "service", "https": "service"}
+# Verb, type of the relation and its confidence.
+VERBS = {
+    "depends on": ("depends-on", 0.80), "requires": ("depends-on", 0.80), "calls": ("calls", 0.75), "uses": ("mentions", 0.70),
+    "integrates with": ("depends-on", 0.65), "connects to": ("depends-on", 0.65), "provides": ("implements", 0.70), "communicates with": ("depends-on", 0.65),
+}
+# Forms of the verbs in a sentence.
+VERB_FORMS = (
+    (r"(?:depends?|depended)\s+on", "depends on"),
+    (r"requires?", "requires"),
+    (r"(?:calls?|invokes?)", "calls"),
+    (r"uses?", "uses"),
+    (r"integrates?\s+with", "integrates with"),
+    (r"connects?\s+to", "connects to"),
+    (r"(?:provides?|exposes?|exports?)", "provides"),
+    (r"(?:communicates?\s+with|talks?\s+to)", "communicates with"),
+    (r"sends?\s+(?:a\s+)?(?:request|data|message|event)s?\s+to", "calls"),
+    (r"(?:validates?|authenticates?|verifies?)\s+(?:via|through|using)", "depends on"),
+    (r"is\s+(?:submitted|sent|forwarded|passed)\s+to", "calls"),
+)
+# Words of headings whose sections list relations.
+DEPENDENCY_SECTIONS = ("dependencies", "depends on", "requires", "prerequisites", "calls", "integrates", "integration points", "integration", "related services", "related")
+# Scheme of an address, type of what it leads to.
+SCHEMES = {
+    "postgres": "database", "postgresql": "database", "mysql": "database", "mongodb": "database", "mongodb+srv": "database", "redis": "cache", "rediss": "cache",
+    "amqp": "message-broker", "amqps": "message-broker", "nats": "message-broker", "http": "service", "https": "service",
+}
+# Hosts of documentation, examples and the machine itself, which are no dependency.
+FILTERED_HOSTS = (
+    "example.com", "example.org", "example.net", "localhost", "127.0.0.1", "0.0.0.0", "docs.python.org", "pkg.go.dev", "developer.mozilla.org", "github.com", "stackoverflow.com",
+    "en.wikipedia.org", "www.w3.org", "tools.ietf.org", "registry.npmjs.org", "pypi.org", "rubygems.org", "hub.docker.com", "schemas.xmlsoap.org", "www.googleapis.com", "json-schema.org", "purl.org",
+)
 
 
 def tokens(text: Column, stop: tuple[str, ...] | list[str] = STOP_WORDS) -> Column:
@@ -104,14 +132,27 @@ def connection_host(value: Column) -> Column:
     return F.coalesce(*[F.nullif(x, F.lit("")) for x in (url, tcp, pair, port)], F.lit(""))
 
 
+def connection_target(value: Column) -> Column:
+    """The host, empty for one that is no dependency (documentation, examples, the machine itself)."""
+    host = connection_host(value)
+    return F.when(host.isin(*FILTERED_HOSTS), F.lit("")).otherwise(host)
+
+
 def connection_type(value: Column) -> Column:
-    scheme = F.regexp_extract(value, r"^([a-z][a-z0-9+.-]*)://", 1)
-    return F.coalesce(F.create_map(*[F.lit(x) for item in SCHEMES.items() for x in item])[scheme], F.lit("unknown"))
+    """What the address leads to: by its scheme; a tcp() address or a host= pair is a database."""
+    scheme = F.lower(F.regexp_extract(value, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    known = F.create_map(*[F.lit(x) for item in SCHEMES.items() for x in item])[scheme]
+    dsn = (scheme == "") & F.regexp(value, F.lit(r"@tcp\([^:)]+(?::\d+)?\)|\bhost=\S+"))
+    return F.coalesce(known, F.when(dsn, F.lit("database")), F.lit("unknown"))
 
 
 def env_names(text: Column) -> Column:
     """Environment variables read in Go, Python, JavaScript and shell."""
-    patterns = (r"""os\.(?:Getenv|LookupEnv|getenv)\(["']([A-Z][A-Z0-9_]*)""", r"""os\.environ(?:\.get\(|\[)["']([A-Z][A-Z0-9_]*)""", r"process\.env\.([A-Z][A-Z0-9_]*)", r"\$\{([A-Z][A-Z0-9_]*)[}:]")
+    name = "([A-Z_][A-Z0-9_]*)"
+    patterns = (
+        rf"""os\.(?:Getenv|LookupEnv|getenv)\(["']{name}""", rf"""os\.environ(?:\.get\(|\[)["']{name}""", rf"process\.env\.{name}",
+        rf"""process\.env\[["']{name}["']\]""", rf"\$\{{{name}[}}:]", rf"\${name}\b",
+    )
     return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depgrove.functions.text import DEPENDENCY_SECTIONS, VERBS, chunks, links, tokens
+from depgrove.functions.text import DEPENDENCY_SECTIONS, VERB_FORMS, VERBS, chunks, links, tokens
 
 
 def windows(rows: DataFrame, size: int = 5) -> DataFrame:
@@ -33,9 +33,11 @@ def cooccurrence(rows: DataFrame, lexicon: DataFrame, size: int = 5) -> DataFram
     """
     hits = lexicon_hits(rows, lexicon)
     total = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
-    a, b = hits.select("doc_id", F.col("pos").alias("pa"), F.col("name").alias("src")), hits.select("doc_id", F.col("pos").alias("pb"), F.col("name").alias("dst"))
+    # positions at most ``size - 1`` apart lie in the same bucket of ``size`` or in the next, so no document is joined with itself as a whole
+    a = hits.select("doc_id", F.col("pos").alias("pa"), F.col("name").alias("src"), F.explode(F.array(F.floor(F.col("pos") / size), F.floor(F.col("pos") / size) + 1)).alias("bucket"))
+    b = hits.select("doc_id", F.col("pos").alias("pb"), F.col("name").alias("dst"), F.floor(F.col("pos") / size).alias("bucket"))
     near = (F.col("pb") >= F.col("pa")) & (F.col("pb") < F.col("pa") + size) & ((F.col("pb") > F.col("pa")) | (F.col("src") < F.col("dst")))
-    pairs = a.join(b, "doc_id").where(near & (F.col("src") != F.col("dst"))).join(total, "doc_id")
+    pairs = a.join(b, ["doc_id", "bucket"]).where(near & (F.col("src") != F.col("dst"))).join(total, "doc_id")
     first = Window.partitionBy("src", "dst").orderBy("doc_id", "pa", "pb")
     best = pairs.withColumn("at", F.row_number().over(first)).where("at = 1")
     return best.select("src", "dst", position_weight(F.col("pa") / F.col("total")).alias("confidence"), "doc_id", F.col("pa").alias("pos"))
@@ -55,15 +57,21 @@ def structural(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     return hits.groupBy(F.col("doc_id").alias("src"), F.col("name").alias("dst")).agg(F.max("confidence").alias("confidence")).where(F.col("src").cast("string") != F.col("dst"))
 
 
+def canonical_verb(form: Column) -> Column:
+    """The verb that a form stands for; null for none."""
+    return F.coalesce(*[F.when(F.regexp(F.lower(form), F.lit(rf"^{pattern}$")), F.lit(verb)) for pattern, verb in VERB_FORMS])
+
+
 def triples(rows: DataFrame) -> DataFrame:
-    """``doc_id, pos, subject, verb, object, type, confidence`` of "a <verb> b" in a line."""
-    pattern = r"(?i)([A-Za-z][A-Za-z0-9-]*) (" + "|".join(VERBS) + r") (?:the )?([A-Za-z][A-Za-z0-9-]*)"
+    """``doc_id, pos, subject, verb, object, type, confidence`` of "a <verb> b" in a line, any form of the verbs."""
+    forms = "|".join(pattern for pattern, _ in VERB_FORMS)
+    pattern = rf"(?i)([A-Za-z][A-Za-z0-9-]*)\s+({forms})\s+(?:the\s+)?([A-Za-z][A-Za-z0-9-]*)"
     match = lambda k: F.regexp_extract_all("line", F.lit(pattern), F.lit(k))
-    found = rows.where(F.lower("line").rlike("|".join(VERBS))).select("doc_id", "pos", F.explode(F.arrays_zip(match(1).alias("subject"), match(2).alias("verb"), match(3).alias("object"))).alias("t"))
-    verb = F.lower(F.col("t.verb"))
+    found = rows.where(F.regexp(F.col("line"), F.lit(rf"(?i){forms}"))).select("doc_id", "pos", F.explode(F.arrays_zip(match(1).alias("subject"), match(2).alias("verb"), match(3).alias("object"))).alias("t"))
+    verb = canonical_verb(F.col("t.verb"))
     kind = F.create_map(*[F.lit(x) for v, (t, _) in VERBS.items() for x in (v, t)])[verb]
     score = F.create_map(*[F.lit(x) for v, (_, c) in VERBS.items() for x in (v, c)])[verb]
-    return found.select("doc_id", "pos", F.lower("t.subject").alias("subject"), verb.alias("verb"), F.lower("t.object").alias("object"), F.coalesce(kind, F.lit("mentions")).alias("type"), F.coalesce(score, F.lit(0.6)).alias("confidence"))
+    return found.select("doc_id", "pos", F.lower("t.subject").alias("subject"), verb.alias("verb"), F.lower("t.object").alias("object"), kind.alias("type"), score.alias("confidence"))
 
 
 def relations(rows: DataFrame) -> DataFrame:
@@ -86,3 +94,43 @@ def mentions(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     hits = lexicon_hits(rows, lexicon).join(rows, ["doc_id", "pos"])
     ticked = F.contains(F.lower("line"), F.concat(F.lit("`"), F.col("name"), F.lit("`")))
     return hits.groupBy("doc_id", "name").agg(F.max(F.when(ticked, 0.9).otherwise(0.7)).alias("confidence"), F.count(F.lit(1)).alias("lines"))
+
+
+# Name, type, pattern, confidence of infrastructure named in prose; iam counts only beside a word of use.
+INFRASTRUCTURE = (
+    ("dynamodb", "database", "dynamodb", 0.85), ("postgresql", "database", "postgresql|postgres", 0.85), ("mysql", "database", "mysql", 0.85), ("mongodb", "database", "mongodb|mongo", 0.85),
+    ("redis", "cache", "redis", 0.85), ("cassandra", "database", "cassandra", 0.85), ("aurora", "database", "aurora|aws aurora", 0.85), ("rds", "database", "rds|aws rds|amazon rds", 0.80),
+    ("s3", "storage", "s3|aws s3|amazon s3", 0.85), ("aws-secrets-manager", "secrets-manager", "secrets manager|aws secrets manager|secretsmanager", 0.85),
+    ("kms", "secrets-manager", "kms|aws kms|key management service", 0.80), ("cloudformation", "config-server", "cloudformation|aws cloudformation", 0.85),
+    ("sns", "queue", "sns|aws sns", 0.80), ("sqs", "queue", "sqs|aws sqs", 0.80), ("kinesis", "queue", "kinesis|aws kinesis", 0.85), ("lambda", "service", "lambda|aws lambda", 0.85),
+    ("ecr", "container-registry", "ecr|aws ecr", 0.80), ("eks", "orchestrator", "eks|aws eks", 0.80), ("iam", "service", "iam|aws iam", 0.75),
+    ("ldap", "service", "ldap", 0.85), ("active-directory", "service", "active directory|activedirectory", 0.80), ("okta", "service", "okta", 0.85), ("oauth", "service", "oauth", 0.75),
+    ("kafka", "message-broker", "kafka|apache kafka", 0.85), ("rabbitmq", "message-broker", "rabbitmq", 0.85), ("nats", "message-broker", "nats", 0.85), ("eventbridge", "message-broker", "eventbridge", 0.85),
+    ("prometheus", "monitoring", "prometheus", 0.85), ("datadog", "monitoring", "datadog", 0.85), ("grafana", "monitoring", "grafana", 0.85), ("pagerduty", "monitoring", "pagerduty|pager duty", 0.85),
+    ("new-relic", "monitoring", "new relic|newrelic", 0.85), ("vault", "secrets-manager", "vault|hashicorp vault", 0.85), ("haproxy", "load-balancer", "haproxy", 0.85), ("nginx", "load-balancer", "nginx", 0.85),
+    ("envoy", "load-balancer", "envoy", 0.85), ("alb", "load-balancer", "alb|application load balancer", 0.80), ("elasticsearch", "search", "elasticsearch", 0.85), ("opensearch", "search", "opensearch", 0.85),
+    ("kubernetes", "orchestrator", "kubernetes|k8s", 0.85), ("docker", "orchestrator", "docker", 0.75), ("consul", "config-server", "consul", 0.85), ("etcd", "config-server", "etcd", 0.85),
+)
+# Words of use.
+USE_WORDS = ("use", "connect", "store", "access", "authenticate", "deploy", "manage")
+
+
+def infrastructure(rows: DataFrame) -> DataFrame:
+    """``doc_id, name, type, confidence, line, evidence``: infrastructure that a document names, at its first line (from 1).
+
+    Lines under three characters are passed over; the evidence is the line, cut at 100 characters.
+    One pass over the lines; only the lines that name something are grouped.
+    """
+
+    def named(name: str, kind: str, pattern: str, confidence: float) -> Column:
+        hit = F.regexp(F.col("line"), F.lit(rf"(?i)\b(?:{pattern})\b"))
+        if name == "iam":
+            hit &= F.regexp(F.lower("line"), F.lit("|".join(USE_WORDS)))
+        return F.when(hit, F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence")))
+
+    any_of = "|".join(pattern for _, _, pattern, _ in INFRASTRUCTURE)
+    lines = rows.where((F.length(F.trim("line")) >= 3) & F.regexp(F.col("line"), F.lit(rf"(?i)\b(?:{any_of})\b")))
+    hits = lines.select("doc_id", "pos", "line", F.explode(F.array_compact(F.array(*[named(*row) for row in INFRASTRUCTURE]))).alias("x"))
+    evidence = F.trim(F.when(F.length("line") > 100, F.concat(F.substring("line", 1, 100), F.lit("..."))).otherwise(F.col("line")))
+    first = hits.groupBy("doc_id", "x.name", "x.type", "x.confidence").agg(F.min(F.struct("pos", evidence.alias("evidence"))).alias("first"))
+    return first.select("doc_id", "name", "type", "confidence", (F.col("first.pos") + 1).cast("int").alias("line"), F.col("first.evidence").alias("evidence"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from depgrove.functions.text import STOP_WORDS, VERBS
 from depgrove.operators.classify import KEYWORDS
 from depgrove.plans.queries import LEXICON, PART, TERMS
 
@@ -29,6 +28,12 @@ DOCS = f"""{PART_EDGES},
     rows AS (SELECT src, dst, src || ' ' || CASE n % 4 WHEN 0 THEN 'depends on' WHEN 1 THEN 'calls' WHEN 2 THEN 'uses' ELSE 'reads from' END || ' ' || dst || '.' AS prose, '- [' || dst || '](./' || dst || '.md)' AS item FROM edges),
     docs AS (SELECT src AS doc_id, 'docs/' || src || '.md' AS path, '# ' || src || chr(10) || chr(10) || 'Overview.' || chr(10) || chr(10) || '## Dependencies' || chr(10) || chr(10)
         || string_agg(item, chr(10) ORDER BY dst) || chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) || string_agg(prose, chr(10) ORDER BY dst) || chr(10) AS text FROM rows GROUP BY src)"""
+# Fixed values, kept apart from the operators' own.
+STOP_WORDS = (
+    "a an and are as at be been being but by can could do does did for from had has have he her here him his how i if in into is it its just "
+    "me my no not now of on or our s she should so some than that the their them then there these they this those through to too up use "
+    "was we were what when where which while who will with would you your"
+).split()
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
@@ -55,8 +60,8 @@ LEX = ", ".join(f"'{x}'" for x in LEXICON)
 HITS = "hits AS (SELECT doc_id, pos, line, unnest(list_distinct(" + _tokens("line") + ")) AS name FROM lines), named AS (SELECT * FROM hits WHERE name IN (" + LEX + "))"
 _keys = [(k, t) for t, words in KEYWORDS.items() for k in words]
 KEYS = ", ".join(f"({len(k)}, {i}, '{k}', '{t}')" for i, (k, t) in enumerate(_keys))
-VERB_TYPE = "CASE verb " + " ".join(f"WHEN '{v}' THEN '{t}'" for v, (t, _) in VERBS.items()) + " END"
-VERB_SCORE = "CASE verb " + " ".join(f"WHEN '{v}' THEN {c}::DOUBLE" for v, (_, c) in VERBS.items()) + " END"
+VERB_TYPE = "CASE verb WHEN 'depends on' THEN 'depends-on' WHEN 'calls' THEN 'calls' WHEN 'uses' THEN 'mentions' END"
+VERB_SCORE = "CASE verb WHEN 'depends on' THEN 0.80::DOUBLE WHEN 'calls' THEN 0.75 WHEN 'uses' THEN 0.70 END"
 
 FILES = """k AS (SELECT s_suppkey AS k, 'supplier-' || s_suppkey AS src FROM supplier UNION ALL SELECT c_custkey, 'customer-' || c_custkey FROM customer),
     files AS (SELECT k, src, k % 3 AS m, src || CASE k % 3 WHEN 0 THEN '/app.py' WHEN 1 THEN '/main.go' ELSE '/index.ts' END AS path, CASE k % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'go' ELSE 'javascript' END AS language,
@@ -148,14 +153,33 @@ ORACLES: dict[str, str] = {
     "lexicon_mentions": f"WITH {LINES.format('documents')}, {HITS} SELECT doc_id, name, max(CASE WHEN contains(lower(line), '`' || name || '`') THEN 0.9::DOUBLE ELSE 0.7 END) AS confidence, count(*) AS lines FROM named GROUP BY 1, 2",
     "structural_dependencies": f"WITH {PART_EDGES} SELECT e.src, e.dst, 0.8::DOUBLE AS confidence FROM edges e WHERE e.dst IN (SELECT src FROM edges)",
     "verb_relations": f"""WITH {PART_EDGES}, t AS (SELECT src, dst, CASE n % 4 WHEN 0 THEN 'depends on' WHEN 1 THEN 'calls' WHEN 2 THEN 'uses' ELSE 'reads from' END AS verb FROM edges)
-        SELECT src, dst, {VERB_SCORE} AS confidence, {VERB_TYPE} AS type, 1::BIGINT AS mentions FROM t""",
+        SELECT src, dst, {VERB_SCORE} AS confidence, {VERB_TYPE} AS type, 1::BIGINT AS mentions FROM t WHERE verb <> 'reads from'""",
     "link_edges": f"WITH {PART_EDGES} SELECT 'docs/' || src || '.md' AS src, 'docs/' || dst || '.md' AS dst, 'references' AS type, CASE WHEN dst IN (SELECT src FROM edges) THEN 1.0::DOUBLE ELSE 0.5 END AS confidence FROM edges",
     "document_titles": f"""WITH {DOCS} SELECT doc_id, doc_id AS title, length(regexp_replace(regexp_replace(text, '(?m)^(?:#+ |- )', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')) AS plain_chars, 'docs' AS folder FROM docs""",
     "page_links": """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1)) AS href FROM pages) SELECT page_id, href, count(*) AS n FROM h GROUP BY 1, 2""",
     "page_hosts": "SELECT regexp_extract(url, '^[a-z][a-z0-9+.-]*://(?:[^@/ ]*@)?([A-Za-z0-9._-]+)', 1) AS host, count(*) AS pages FROM pages GROUP BY 1",
     "connection_strings": """WITH k AS (SELECT 'supplier-' || s_suppkey AS src, s_suppkey AS k FROM supplier UNION ALL SELECT 'customer-' || c_custkey, c_custkey FROM customer)
         SELECT src, CASE k % 5 WHEN 0 THEN 'db-' || k || '.internal' WHEN 1 THEN 'cache-' || k WHEN 2 THEN 'mysql-' || k WHEN 3 THEN 'pg-' || k ELSE 'queue-' || k END AS host,
-            CASE k % 5 WHEN 0 THEN 'database' WHEN 1 THEN 'cache' ELSE 'unknown' END AS type FROM k""",
+            CASE k % 5 WHEN 0 THEN 'database' WHEN 1 THEN 'cache' WHEN 2 THEN 'database' WHEN 3 THEN 'database' ELSE 'unknown' END AS type FROM k""",
+    "infrastructure_mentions": r"""WITH k AS (SELECT 'supplier-' || s_suppkey AS src, s_suppkey AS k FROM supplier UNION ALL SELECT 'customer-' || c_custkey, c_custkey FROM customer),
+        v AS (SELECT src AS doc_id, CASE k % 5 WHEN 0 THEN 'postgres://app:pw@db-' || k || '.internal:5432/app' WHEN 1 THEN 'redis://cache-' || k || ':6379/0'
+            WHEN 2 THEN 'user:pw@tcp(mysql-' || k || ':3306)/app' WHEN 3 THEN 'host=pg-' || k || ' port=5432 dbname=app' ELSE 'queue-' || k || ':9092' END AS text FROM k
+            UNION ALL SELECT 'page-' || page_id, html FROM pages),
+        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM v),
+        p(name, type, confidence, pattern) AS (VALUES ('dynamodb', 'database', 0.85::DOUBLE, 'dynamodb'), ('postgresql', 'database', 0.85, 'postgresql|postgres'), ('mysql', 'database', 0.85, 'mysql'),
+            ('mongodb', 'database', 0.85, 'mongodb|mongo'), ('redis', 'cache', 0.85, 'redis'), ('cassandra', 'database', 0.85, 'cassandra'), ('aurora', 'database', 0.85, 'aurora|aws aurora'), ('rds', 'database', 0.80, 'rds|aws rds|amazon rds'),
+            ('s3', 'storage', 0.85, 's3|aws s3|amazon s3'), ('aws-secrets-manager', 'secrets-manager', 0.85, 'secrets manager|aws secrets manager|secretsmanager'), ('kms', 'secrets-manager', 0.80, 'kms|aws kms|key management service'),
+            ('cloudformation', 'config-server', 0.85, 'cloudformation|aws cloudformation'), ('sns', 'queue', 0.80, 'sns|aws sns'), ('sqs', 'queue', 0.80, 'sqs|aws sqs'), ('kinesis', 'queue', 0.85, 'kinesis|aws kinesis'),
+            ('lambda', 'service', 0.85, 'lambda|aws lambda'), ('ecr', 'container-registry', 0.80, 'ecr|aws ecr'), ('eks', 'orchestrator', 0.80, 'eks|aws eks'), ('iam', 'service', 0.75, 'iam|aws iam'), ('ldap', 'service', 0.85, 'ldap'),
+            ('active-directory', 'service', 0.80, 'active directory|activedirectory'), ('okta', 'service', 0.85, 'okta'), ('oauth', 'service', 0.75, 'oauth'), ('kafka', 'message-broker', 0.85, 'kafka|apache kafka'),
+            ('rabbitmq', 'message-broker', 0.85, 'rabbitmq'), ('nats', 'message-broker', 0.85, 'nats'), ('eventbridge', 'message-broker', 0.85, 'eventbridge'), ('prometheus', 'monitoring', 0.85, 'prometheus'), ('datadog', 'monitoring', 0.85, 'datadog'),
+            ('grafana', 'monitoring', 0.85, 'grafana'), ('pagerduty', 'monitoring', 0.85, 'pagerduty|pager duty'), ('new-relic', 'monitoring', 0.85, 'new relic|newrelic'), ('vault', 'secrets-manager', 0.85, 'vault|hashicorp vault'),
+            ('haproxy', 'load-balancer', 0.85, 'haproxy'), ('nginx', 'load-balancer', 0.85, 'nginx'), ('envoy', 'load-balancer', 0.85, 'envoy'), ('alb', 'load-balancer', 0.80, 'alb|application load balancer'),
+            ('elasticsearch', 'search', 0.85, 'elasticsearch'), ('opensearch', 'search', 0.85, 'opensearch'), ('kubernetes', 'orchestrator', 0.85, 'kubernetes|k8s'), ('docker', 'orchestrator', 0.75, 'docker'),
+            ('consul', 'config-server', 0.85, 'consul'), ('etcd', 'config-server', 0.85, 'etcd')),
+        h AS (SELECT doc_id, name, type, confidence, pos, line, row_number() OVER (PARTITION BY doc_id, name ORDER BY pos) AS turn FROM l JOIN p ON length(trim(line)) >= 3 AND regexp_matches(line, '(?i)\b(?:' || pattern || ')\b')
+            AND (name <> 'iam' OR regexp_matches(lower(line), 'use|connect|store|access|authenticate|deploy|manage')))
+        SELECT doc_id, name, type, confidence, pos::INTEGER AS line, trim(CASE WHEN length(line) > 100 THEN line[1:100] || '...' ELSE line END) AS evidence FROM h WHERE turn = 1""",
     "name_aliases": r"""WITH n AS (SELECT DISTINCT p_name || ' Service' AS name FROM part), k AS (SELECT name, regexp_replace(lower(trim(name)), '[\s_]+', '-', 'g') AS kebab FROM n),
         a AS (SELECT name, unnest([name, kebab, regexp_replace(kebab, '-(?:service|api|server|svc|db|component)$', '')]) AS alias FROM k) SELECT DISTINCT name, alias FROM a""",
     "component_types": f"""WITH k(n, o, k, type) AS (VALUES {KEYS}), names AS (SELECT p_partkey, lower(p_type) || CASE p_partkey % 6 WHEN 0 THEN ' api' WHEN 1 THEN ' redis cache' WHEN 2 THEN ' worker' WHEN 3 THEN ' db' WHEN 4 THEN ' queue' ELSE ' gateway' END AS name FROM part),

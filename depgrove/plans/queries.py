@@ -362,7 +362,15 @@ def page_hosts(spark, sf):
 
 @query
 def connection_strings(spark, sf):
-    return derived.connections(spark, sf).select("src", tx.connection_host(F.col("value")).alias("host"), tx.connection_type(F.col("value")).alias("type"))
+    return derived.connections(spark, sf).select("src", tx.connection_target(F.col("value")).alias("host"), tx.connection_type(F.col("value")).alias("type"))
+
+
+@query
+def infrastructure_mentions(spark, sf):
+    """Infrastructure named in any connection string or web page; the page's lines count like a document's."""
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("page-"), "page_id").alias("doc_id"), F.col("html").alias("text"))
+    strings = derived.connections(spark, sf).select(F.col("src").alias("doc_id"), F.col("value").alias("text"))
+    return discover.infrastructure(tx.lines(pages.unionByName(strings)))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,10 +29,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or one of the session's own where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, or one of the session's own where a local session has none.
+
+    On a cluster the executors do not see each other's disks, so there the setting is required.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _folders:
         _folders[key] = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"

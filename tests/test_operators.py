@@ -42,9 +42,9 @@ def test_chunks_follow_headings(spark):
     assert got == [(0, 1, 1, ""), (1, 2, 3, "A"), (2, 4, 5, "A > B"), (3, 6, 6, "C"), (4, 7, 8, "C > D")]
 
 
-@pytest.mark.parametrize("value,host,kind", [("postgres://u:p@db.internal:5432/x", "db.internal", "database"), ("u:p@tcp(mysql-1:3306)/x", "mysql-1", "unknown"), ("host=pg port=5", "pg", "unknown"), ("queue:9092", "queue", "unknown"), ("plain", "", "unknown")])
+@pytest.mark.parametrize("value,host,kind", [("postgres://u:p@db.internal:5432/x", "db.internal", "database"), ("u:p@tcp(mysql-1:3306)/x", "mysql-1", "database"), ("host=pg port=5", "pg", "database"), ("mongodb+srv://u@m/x", "m", "database"), ("https://example.com/a", "", "service"), ("queue:9092", "queue", "unknown"), ("plain", "", "unknown")])
 def test_connection_strings(spark, value, host, kind):
-    r = spark.createDataFrame([(value,)], "v string").select(tx.connection_host(F.col("v")).alias("h"), tx.connection_type(F.col("v")).alias("t")).first()
+    r = spark.createDataFrame([(value,)], "v string").select(tx.connection_target(F.col("v")).alias("h"), tx.connection_type(F.col("v")).alias("t")).first()
     assert (r["h"], r["t"]) == (host, kind)
 
 
@@ -55,6 +55,18 @@ def test_relations_and_links(spark):
     assert [(r["dst"], r["confidence"]) for r in discover.link_edges(docs, docs.select("path")).collect()] == [("b.md", 0.5)]
 
 
+@pytest.mark.parametrize("line,kind,confidence", [("a depended on the b.", "depends-on", 0.8), ("a invokes b", "calls", 0.75), ("a use b", "mentions", 0.7), ("a exposes b", "implements", 0.7), ("a talks to b", "depends-on", 0.65), ("a sends a request to b", "calls", 0.75), ("a verifies through b", "depends-on", 0.8), ("a is forwarded to b", "calls", 0.75), ("a reads from b", None, None)])
+def test_forms_of_verbs(spark, line, kind, confidence):
+    rows = discover.triples(tx.lines(spark.createDataFrame([(1, line)], "doc_id int, text string"))).collect()
+    assert [(r["subject"], r["object"], r["type"], r["confidence"]) for r in rows] == ([("a", "b", kind, confidence)] if kind else [])
+
+
+def test_infrastructure_in_prose(spark):
+    text = "IAM\nWe use IAM and Postgres.\nredis, REDIS\n\nnot dockerised; docker is"
+    rows = discover.infrastructure(tx.lines(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string"))).collect()
+    assert {(r["name"], r["type"], r["line"]) for r in rows} == {("iam", "service", 2), ("postgresql", "database", 2), ("redis", "cache", 3), ("docker", "orchestrator", 5)}
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "cat dog"), (2, "cat cat mouse"), (3, "bird"), (4, None)], "doc_id int, text string")
     assert [r["doc_id"] for r in search.bm25(docs, ["cat"], 5).collect()] == [2, 1]
