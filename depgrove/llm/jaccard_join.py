@@ -18,8 +18,9 @@ Equal sets form one class before anything else, so exact copies cost one member.
 Within a signature every member is compared with a pivot, the member where the
 signature stands earliest.  Members that the found links leave in different components
 meet more pivots of their signature, MORE times as many each round, until every
-signature lies in one component or all its members have been pivots.  No link between
-different sets is lost.
+signature lies in one component or all its members have been pivots.  These joins
+compare parity sketches themselves, so that a pair becomes a row only where its sketches
+leave a link possible.  No link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -104,26 +105,24 @@ def least_overlap(n, share: tuple[int, int] = SHARE):
     return -(n * -share[0] // share[1])
 
 
-def parity(values: np.ndarray) -> bytes:
-    """Parity of the shingles in each of at least 2 * n places, a power of two.
+def parity(values: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of at least 2 * n places, a power of two, 64 in a number.
 
     Each shingle that only one of two sets has flips one place, so the sketches of
     two sets differ in no more places than the sets have such shingles.
     """
     places = max(64, 1 << int(2 * len(values) - 1).bit_length())
     at = (mix(values ^ _ODD[1]) & np.uint64(places - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=places).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount(at, minlength=places).astype(np.uint8) & 1).view(np.int64)
 
 
-def apart(a: bytes, b: bytes) -> int:
-    """Places in which two parity sketches differ, the larger one folded to the size of the smaller."""
-    if len(a) < len(b):
-        a, b = b, a
-    x, size = int.from_bytes(a), len(a) * 8
-    while size > len(b) * 8:
-        size //= 2
-        x = (x >> size) ^ (x & ((1 << size) - 1))
-    return (x ^ int.from_bytes(b)).bit_count()
+def apart(a: Column, b: Column) -> Column:
+    """Places in which two parity sketches differ; one of twice the places is folded, beyond that nothing is known (0)."""
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, c: n + c)
+    half = lambda x: (F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda u, v: u.bitwiseXOR(v))
+    twice = lambda x, y: F.size(x) == 2 * F.size(y)
+    return F.when(F.size(a) == F.size(b), differ(a, b)).when(twice(a, b), differ(folded(a), b)).when(twice(b, a), differ(a, folded(b))).otherwise(0)
 
 
 def _limits(share: tuple[int, int], n: int) -> list[float]:
@@ -399,12 +398,12 @@ def _answering(bits: int):
     return run
 
 
-ORDERED = "key long, n int, alone int, rares int, sketch binary, tokens array<long>"
+ORDERED = "key long, n int, alone int, rares int, sketch array<long>, tokens array<long>"
 
 
 def _ordering(share: tuple[int, int], frequent: int):
     """Whole sets in the common order, of those that share enough shingles with others."""
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     schema = pa.schema([(f.split()[0], t) for f, t in zip(ORDERED.split(", "), kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,7 +424,7 @@ def _ordering(share: tuple[int, int], frequent: int):
                 some = keep[a : a + 2000]
                 sets = [t[start[i] : start[i] + n[i]] for i in some]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[some]))).astype(np.int32)), pa.array(signed(np.concatenate(sets))))
-                yield pa.RecordBatch.from_arrays([pa.array(k[start[some]]), pa.array(n[some], pa.int32()), pa.array(alone[some], pa.int32()), pa.array(rares[some], pa.int32()), pa.array([parity(x) for x in sets], pa.binary()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(k[start[some]]), pa.array(n[some], pa.int32()), pa.array(alone[some], pa.int32()), pa.array(rares[some], pa.int32()), pa.array([parity(x) for x in sets], pa.list_(pa.int64())), lists], schema=schema)
 
     return run
 
@@ -446,19 +445,6 @@ def _indexing(share: tuple[int, int]):
     return run
 
 
-def _closing(share: tuple[int, int]):
-    """Pairs whose sketches differ in no more places than a linked pair can."""
-    low, high = share
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [apart(x, y) * (high + low) <= sizes * (high - low) for x, y, sizes in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), batch.column("sizes").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_())).cast(schema)
-
-    return run
-
-
 class Join:
     """One join over ``docs``; ``result()`` gives the component of every document."""
 
@@ -511,45 +497,46 @@ class Join:
         tested = full.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
         return checkpointed(tested.where(F.col("both") * self.share[1] >= (F.col("sum") - F.col("both")) * self.share[0]).select("a", "b"))
 
-    def _near(self, pairs: DataFrame, sets: DataFrame, tested: list[DataFrame]) -> DataFrame:
-        """New pairs ``a, b`` that their sketches do not rule out."""
-        pairs = pairs.where("a != b").distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        a, b = (sets.select(F.col("key").alias(k), F.col("sketch").alias(f"sketch_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("sizes"))
-        return checkpointed(both.mapInArrow(_closing(self.share), "a long, b long"))
+    def _alike(self, left: Column, right: Column) -> Column:
+        """Whether the sketches of two sets differ in no more places than those of a linked pair can."""
+        low, high = self.share
+        return apart(left["sketch"], right["sketch"]) * (high + low) <= (left["n"] + right["n"]) * (high - low)
 
     def links(self, sets: DataFrame) -> DataFrame | None:
         """``node, component`` of the keys that have a link; None without candidates."""
         index = checkpointed(sets.mapInArrow(_indexing(self.share), "sig long, key long, n int, place int, slack int"))
         member = F.struct("place", "key", "n", "slack")
         span = checkpointed(index.groupBy("sig").agg(F.min(member).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1"))
+        own, pivot = F.col("own"), F.col("pivot")
         ends = [F.least("own.key", "pivot.key").alias("a"), F.greatest("own.key", "pivot.key").alias("b")]
-        own = index.select("sig", member.alias("own"))
-        pairs = own.join(span.select("sig", "pivot"), "sig").where(self._possible(F.col("own"), F.col("pivot"))).select(*ends)
-        tested = [self._near(pairs, sets, [])]
+        pairs = index.select("sig", member.alias("own")).join(span.select("sig", "pivot"), "sig").where(self._possible(own, pivot)).select(*ends).where("a != b").distinct()
+        a, b = (sets.select(F.col("key").alias(k), F.struct("sketch", "n").alias(end)) for k, end in (("a", "own"), ("b", "pivot")))
+        tested = [checkpointed(pairs.join(a, "a").join(b, "b").where(self._alike(own, pivot)).select("a", "b"))]
         found = [self.verified(tested[0], sets)]
         # two members are decided by this round; the others go on
         index = index.join(span.where("members > 2").select("sig"), "sig", "left_semi")
         label = components(found[0])
+        sketches = sets.select("key", "sketch")
+        member = F.struct("place", "key", "n", "slack", "sketch")
         turn, pivots = 1, PIVOTS
         while True:
             left = index.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
             # a signature whose members are all connected has nothing left to decide, now or later
             span = left.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high").select("sig", "members")
-            left = checkpointed(left.join(span, "sig"))
+            left = checkpointed(left.join(span, "sig").join(sketches, "key"))
             if left.isEmpty():
                 return label
             # about ``pivots`` members by hash; from a small signature all
             chosen = F.shiftrightunsigned(F.xxhash64("key", F.lit(turn)), 33) * F.col("members") < F.lit(pivots << 31)
-            pivot = left.where(chosen).select("sig", member.alias("pivot"), F.col("component").alias("its"))
+            some = left.where(chosen).select("sig", member.alias("pivot"), F.col("component").alias("its"))
             other = left.select("sig", member.alias("own"), "component", chosen.alias("too"))
-            apart_ = (F.col("component") != F.col("its")) & (~F.col("too") | (F.col("own.key") < F.col("pivot.key")))
-            pairs = other.join(pivot, "sig").where(apart_ & self._possible(F.col("own"), F.col("pivot"))).select(*ends)
-            near = self._near(pairs, sets, tested)
-            tested.append(near)
-            found.append(self.verified(near, sets))
+            fresh = (F.col("component") != F.col("its")) & (~F.col("too") | (F.col("own.key") < F.col("pivot.key")))
+            # the join itself compares the sketches, so only pairs that they do not rule out become rows
+            near = other.join(some, (other["sig"] == some["sig"]) & fresh & self._possible(own, pivot) & self._alike(own, pivot)).select(*ends).distinct()
+            for old in tested:
+                near = near.join(old, ["a", "b"], "left_anti")
+            tested.append(checkpointed(near))
+            found.append(self.verified(tested[-1], sets))
             if not found[-1].isEmpty():
                 label = components(reduce(DataFrame.unionByName, found))
             # a pivot has met all members of its signature

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from depgrove.llm import jaccard_join
 
@@ -118,15 +119,25 @@ def test_signatures_of_linked_sets_meet():
                     assert bounds and max(bounds) >= len(both)
 
 
-def test_sketches_never_rule_out_a_link():
+def test_sketches_never_rule_out_a_link(spark):
     draw = np.random.default_rng(3)
+    pairs = []
     for n in (2, 7, 31, 64, 300, 2000):
         for extra in (0, 1, n // 9, n // 4):
             a = draw.integers(0, 1 << 63, n).astype(np.uint64)
             b = np.concatenate((a[extra // 2 :], draw.integers(0, 1 << 63, extra).astype(np.uint64)))
-            assert jaccard_join.apart(jaccard_join.parity(a), jaccard_join.parity(b)) <= extra + extra // 2
+            pairs.append((a, b, 0, extra + extra // 2))
+            pairs.append((b, a, 0, extra + extra // 2))
     a, b = draw.integers(0, 1 << 63, (2, 5000)).astype(np.uint64)
-    assert jaccard_join.apart(jaccard_join.parity(a), jaccard_join.parity(b)) > 3000
+    pairs.append((a, b, 3000, 10_000))
+    # one has twice the places, or four times
+    pairs.append((a[:140], a[:120], 0, 20))
+    pairs.append((a[:120], b[:140], 60, 260))
+    pairs.append((a[:60], a[:300], 0, 0))
+    rows = [(jaccard_join.parity(a).tolist(), jaccard_join.parity(b).tolist(), low, high) for a, b, low, high in pairs]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, low int, high int").select(jaccard_join.apart(F.col("a"), F.col("b")).alias("places"), "low", "high")
+    for r in df.collect():
+        assert r["low"] <= r["places"] <= r["high"]
 
 
 def test_many_unlinked_texts_around_one_passage(spark):
