@@ -1,23 +1,28 @@
 """Secret scans with a linear-chain conditional random field.
 
 Fixed patterns find the base spans.  A field over the tokens (words) of a text with
-the tags outside, begin and inside is fitted on a bounded sample whose labels are the
-base spans; its features are the token's shape, the neighbouring words and the file.
+the tags outside, begin and inside is fitted on a bounded sample; its features are the
+token's shape, the neighbouring words and the file.  The labels are the base spans, and
+a second copy of each text teaches what the patterns miss: there every base span gives
+way to a value of another shape behind another announcing word or none, next to a
+harmless token that looks similar (an address, a path, a version, a long number).
 Viterbi decoding of every whole text adds spans where the patterns see nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgrove.llm.common import Words, text_blocks
+from depgrove.llm.common import Words, checkpointed, text_blocks
 
 #: Fixed patterns and the least length of what must be long: group 2 or the match.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,6 +37,9 @@ AROUND = 15
 #: Words that announce a value.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "key", "bearer", "authorization", "credential", "credentials", "auth")
 TAGS = ("outside", "begin", "inside")
+#: What stands before a value in a disguised copy; no pattern knows it.
+ANNOUNCED = ("credential", "credentials:", "auth", "auth =", "Authorization: Bearer", "bearer", "key", "key =", "private key:", "signature", "signed with", "use", "")
+LETTERS = string.ascii_letters + string.digits
 
 _assign = re.compile(ASSIGN, re.ASCII)
 _access = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run shorter than 20 holds no longer match
@@ -75,6 +83,9 @@ _DIGIT, _UPPER, _LOWER = _mask(b"0123456789"), _mask(bytes(range(65, 91))), _mas
 _EQUALS, _COLON, _JOIN, _HEXDIGIT = _mask(b"="), _mask(b":"), _mask(b"_-/+"), _mask(b"0123456789abcdef")
 _QUOTE = _mask(b"\"'`")
 _STOP = _mask(b".,;:!?")
+_AT, _PATH = _mask(b"@"), _mask(b"./")
+#: 1 for digits, 2 for small letters, 3 for capitals, 0 for all else
+_CLASS = (_DIGIT + 2 * _LOWER.astype(np.int8) + 3 * _UPPER.astype(np.int8)).astype(np.int8)
 
 
 class Features:
@@ -84,6 +95,7 @@ class Features:
         "bias", "length>=8", "length>=16", "length>=20", "length>=32", "digit", "digits>1/5", "upper", "lower", "letters and digits",
         "equals", "colon", "joined", "hexadecimal", "quote", "keyword", "before: keyword", "before: equals or colon", "before: letters and digits",
         "after: letters and digits", "after: keyword", "file: tokens with digits", "file: assignments", "file: long",
+        "at sign", "dot or slash inside", "classes change 4 times", "classes change 8 times", "classes change 4 times, no at sign or dot", "only digits and signs",
     )
 
     def __init__(self, texts: list[bytes]):
@@ -91,11 +103,14 @@ class Features:
         raw = np.frombuffer(words.data, dtype=np.uint8)
         start, end = words.start, words.end
 
-        def count(mask: np.ndarray) -> np.ndarray:
+        def within(marks: np.ndarray) -> np.ndarray:
             sums = np.zeros(len(raw) + 1, dtype=np.int32)
-            np.cumsum(mask[raw], out=sums[1:])
+            np.cumsum(marks, out=sums[1:])
             return sums[end] - sums[start]
 
+        def count(mask: np.ndarray) -> np.ndarray:
+            return within(mask[raw])
+
         size = end - start
         digits, upper, lower = count(_DIGIT), count(_UPPER), count(_LOWER)
         equals, colon, joined = count(_EQUALS) > 0, count(_COLON) > 0, count(_JOIN) > 0
@@ -124,11 +139,16 @@ class Features:
         def share(x: np.ndarray) -> np.ndarray:
             return np.bincount(owner, weights=x, minlength=len(texts)) / n
 
+        kind = _CLASS[raw]
+        change = np.zeros(len(raw), dtype=bool)
+        change[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        changes, at_sign, path = within(change), count(_AT) > 0, count(_PATH) - (_PATH[last] if len(last) else 0) > 0
         sign = equals | (colon & (last == ord(":")))
         self.columns = (
             np.ones(len(start), bool), size >= 8, size >= 16, size >= 20, size >= 32, digits > 0, 5 * digits > size, upper > 0, lower > 0, mixed,
             equals, colon, joined, (size >= 8) & (count(_HEXDIGIT) + count(_QUOTE) + _STOP[last] >= size) & (digits > 0), count(_QUOTE) > 0, keyword, before(keyword), before(sign), before(mixed),
             after(mixed), after(keyword), (share(digits > 0) > 0.05)[owner], (share(equals) > 0.01)[owner], (n > 1000)[owner],
+            at_sign, path, changes >= 4, changes >= 8, (changes >= 4) & ~at_sign & ~path, (digits > 0) & (upper + lower == 0),
         )
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
@@ -240,46 +260,121 @@ def _token_places(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return sums[start], sums[end]
 
 
+def _value(draw: random.Random) -> str:
+    """A random value of a shape that no base pattern finds."""
+    some = lambda letters, low, high: "".join(draw.choices(letters, k=draw.randint(low, high)))
+    kind = draw.randrange(4)
+    if kind == 0:
+        return some(LETTERS, 20, 44)
+    if kind == 1:
+        return some(LETTERS + "-_", 24, 48)
+    if kind == 2:
+        return some(string.ascii_uppercase + string.digits, 20, 32)
+    return some(string.ascii_lowercase, 2, 4) + draw.choice("_-") + some(LETTERS, 20, 40)
+
+
+def _harmless(draw: random.Random) -> str:
+    """A token that is no secret but has digits, signs or length."""
+    word = lambda low, high: "".join(draw.choices(string.ascii_lowercase, k=draw.randint(low, high)))
+    digits = lambda low, high: "".join(draw.choices(string.digits, k=draw.randint(low, high)))
+    kind = draw.randrange(7)
+    if kind == 0:
+        return f"{word(3, 9)}.{digits(1, 3)}@{word(3, 6)}{digits(1, 1)}.{word(5, 8)}.com"
+    if kind == 1:
+        return f"https://{word(3, 9)}.example.org/{word(3, 8)}/{digits(1, 6)}?{word(2, 4)}={word(3, 8)}"
+    if kind == 2:
+        return f"/{word(3, 6)}/{word(3, 8)}{digits(0, 2)}/{word(4, 12)}.{word(2, 3)}"
+    if kind == 3:
+        return f"{word(3, 8)}-v{digits(1, 2)}.{digits(1, 2)}.{digits(1, 3)}"
+    if kind == 4:
+        return digits(8, 20)
+    if kind == 5:
+        return "".join(word(3, 8).capitalize() for _ in range(draw.randint(2, 4)))
+    return f"{word(4, 14)}_{word(4, 10)}{digits(0, 4)}"
+
+
+def disguised(text: str) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """A copy whose base spans are other values behind other words, the places of these values and of a harmless token after each.
+
+    What is drawn follows from the text alone.
+    """
+    draw = random.Random(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
+    out, size, at, values, others = [], 0, 0, [], []
+
+    def put(piece: str) -> int:
+        nonlocal size
+        out.append(piece)
+        size += len(piece)
+        return size
+
+    for a, _, b in base_spans(text):
+        if a < at:  # a span inside the one before
+            continue
+        put(text[at:a])
+        announced, quote = draw.choice(ANNOUNCED), draw.choice(("", "", '"'))
+        begin = put(f" {announced} ")
+        values.append((begin, put(quote + _value(draw) + quote)))
+        put(" ")
+        others.append(put(draw.choice(("", "see ", "key ", "at "))))
+        put(_harmless(draw) + " ")
+        at = b
+        while at < len(text) and not text[at].isspace():  # what hangs on the old value goes with it
+            at += 1
+    put(text[at:])
+    return "".join(out), values, others
+
+
 def training_set(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows around tokens of base spans and around every 40th token, with their tags."""
+    """Windows around tokens of base spans, around every 40th token and around the values and harmless tokens of the disguised copy, with their tags."""
     blocks, labels = [], []
     length = 2 * AROUND + 1
-    for text in texts:
+
+    def teach(text: str, spans: list[tuple[int, int]], others: list[int], every: bool) -> None:
         raw = text.encode("utf-8", "surrogatepass")
         features = Features([raw])
         words = features.words
         n = len(words.start)
         if n < length:
-            continue
+            return
         begin, end = _token_places(raw, words.start, words.end)
         tags = np.zeros(n, dtype=np.int64)
-        for a, _, b in base_spans(text):
+        for a, b in spans:
             inside = np.flatnonzero((begin < b) & (end > a))
             fresh = inside[tags[inside] == 0]
             tags[fresh] = 2
             if len(fresh) and fresh[0] == inside[0]:
                 tags[fresh[0]] = 1
         matrix = features.matrix()
-        for centre in sorted({*np.flatnonzero(tags == 1).tolist(), *range(AROUND, n, 40)}):
+        near = np.searchsorted(end, np.array(others, dtype=np.int64), side="right")
+        for centre in sorted({*np.flatnonzero(tags == 1).tolist(), *near.tolist(), *(range(AROUND, n, 40) if every else ())}):
             low = min(max(centre - AROUND, 0), n - length)
             blocks.append(matrix[low : low + length])
             labels.append(tags[low : low + length])
+
+    for text in texts:
+        base = base_spans(text)
+        teach(text, [(a, b) for a, _, b in base], [], True)
+        if base:
+            teach(*disguised(text), False)
     if not blocks:
         return np.zeros((0, length, len(Features.names))), np.zeros((0, length), dtype=np.int64)
     return np.stack(blocks), np.stack(labels)
 
 
 def learn(docs: DataFrame, most: int = SAMPLE_DOCS) -> Field | None:
-    """Fit a field on ``most`` documents with base spans and as many without, in the order of a hash.
+    """Fit a field on ``most`` different texts with base spans and as many without, in the order of a hash.
 
     Documents longer than SAMPLE_CHARS do not teach.  None without anything to learn from.
+    Hashes are chosen first (a task hands on ``most`` of them), then their texts are read.
     """
-    rows = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    rows = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).withColumn("hash", F.xxhash64("text"))
     found = F.rlike("text", F.lit(rf"{ASSIGN}|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}"))
-    order = Window.partitionBy("found").orderBy(F.xxhash64("text"), "text")
-    chosen = rows.withColumn("found", found).withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).select("found", "at", "text")
-    texts = [r["text"] for r in sorted(chosen.collect(), key=lambda r: (r["found"], r["at"]))]
-    windows, tags = training_set(texts)
+    hashes = checkpointed(rows.select("hash", found.alias("found")).distinct())
+    chosen = {r["hash"]: (r["found"], r["hash"]) for kind in (False, True) for r in hashes.where(F.col("found") == kind).orderBy("hash").limit(most).collect()}
+    if not chosen:
+        return None
+    held = rows.where(F.col("hash").isin(list(chosen))).groupBy("hash").agg(F.min("text").alias("text")).collect()
+    windows, tags = training_set([r["text"] for r in sorted(held, key=lambda r: chosen[r["hash"]])])
     return fit(windows, tags) if (tags > 0).any() else None
 
 
