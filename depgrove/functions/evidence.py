@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from depgrove.schemas import COMPONENT_TYPES, TIER_SCORES, TIERS
+from depgrove.schemas import COMPONENT_TYPES, EXTRACTION_METHODS, TIER_SCORES, TIERS
 
 
 def tier(confidence: Column) -> Column:
@@ -61,3 +61,20 @@ def known_component_type(value: Column) -> Column:
 
 def edge_id(src: Column, dst: Column, kind: Column) -> Column:
     return F.concat_ws("\u0000", src, dst, kind)
+
+
+def provenance_error(source_file: Column, method: Column, evidence: Column, modified: Column) -> Column:
+    """Name of the first field that breaks the rules of provenance, null for a sound edge.
+
+    An edge without any of the four fields is sound; blank and null are the same.
+    """
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    time = F.coalesce(modified, F.lit(0))
+    none = blank(source_file) & blank(method) & blank(evidence) & (time == 0)
+    out = F.when(none, F.lit(None).cast("string")).when(blank(source_file) | source_file.startswith("/"), "source_file")
+    return out.when(~blank(method) & ~method.isin(*EXTRACTION_METHODS), "extraction_method").when(blank(evidence), "evidence").when(time <= 0, "last_modified")
+
+
+def valid_location(file: Column, line: Column) -> Column:
+    """A relative file and a line from 0 on."""
+    return F.coalesce((file != "") & ~file.startswith("/") & (line >= 0), F.lit(False))

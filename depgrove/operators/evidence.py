@@ -102,3 +102,47 @@ def manifest_summary(reviewed: DataFrame) -> DataFrame:
 
 def accepted_edges(reviewed: DataFrame, known: tuple[str, ...]) -> DataFrame:
     return reviewed.where(F.col("status") == "accepted").select(*PAIR, F.when(F.col("type").isin(*known), F.col("type")).otherwise("mentions").alias("type"), "confidence")
+
+
+def without_explicit(found: DataFrame, explicit: DataFrame) -> DataFrame:
+    """Discovered edges that the graph does not state already, by ends and type: these need a review."""
+    return found.join(explicit.select(*PAIR, "type").distinct(), [*PAIR, "type"], "left_anti")
+
+
+def first_known_type(signals: DataFrame, order: list[str], name: str = "dst", kind: str = "type") -> DataFrame:
+    """``name`` and the type of its first signal in ``order`` that knows one, else ``unknown``; blank names are left out."""
+    known = F.when((F.col(kind) != "") & (F.col(kind) != "unknown"), F.struct(*order, kind))
+    typed = signals.where(F.col(name) != "").groupBy(name).agg(F.min(known).getField(kind).alias("known"))
+    return typed.select(name, F.coalesce("known", F.lit("unknown")).alias("component_type"))
+
+
+def boosted(signals: DataFrame, hint: str = "comment_hint", value: float = 0.5) -> DataFrame:
+    """Signals of the kind ``hint`` whose target some other kind names as well get the confidence ``value``."""
+    known = signals.where(F.col("signal_type") != hint).select("dst").distinct().withColumn("known", F.lit(True))
+    raised = F.when((F.col("signal_type") == hint) & F.col("known"), F.lit(value)).otherwise(F.col("confidence"))
+    return signals.join(known, "dst", "left").withColumn("confidence", raised).select(*signals.columns)
+
+
+def with_registry(edges: DataFrame, registry: DataFrame) -> DataFrame:
+    """``src, dst, type, confidence``: a pair of the registry raises the first edge of that pair (by type), or is a ``mentions`` edge of its own.
+
+    The registry has one row for each pair.
+    """
+    given = registry.select(*PAIR, F.col("confidence").alias("given"))
+    turn = F.row_number().over(Window.partitionBy(*PAIR).orderBy("type", F.col("confidence").desc()))
+    both = edges.select(*PAIR, "type", "confidence").withColumn("turn", turn).join(given, PAIR, "full")
+    value = F.when(F.coalesce("turn", F.lit(1)) == 1, F.greatest("confidence", "given")).otherwise(F.col("confidence"))
+    return both.select(*PAIR, F.coalesce("type", F.lit("mentions")).alias("type"), value.alias("confidence"))
+
+
+def with_missing_nodes(nodes: DataFrame, edges: DataFrame, types: DataFrame) -> DataFrame:
+    """``id, title, component_type`` of all nodes and of the edges' ends that are none yet, typed by ``types`` (``id, component_type``) or ``unknown``."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
+    stubs = ends.join(types.select("id", "component_type"), "id", "left").select("id", F.col("id").alias("title"), F.coalesce("component_type", F.lit("unknown")).alias("component_type"))
+    return nodes.select("id", "title", "component_type").unionByName(stubs)
+
+
+def merged_components(documents: DataFrame, infrastructure: DataFrame) -> DataFrame:
+    """Components of documents by id (the most certain file stands for each); one of the infrastructure only where no document has its id."""
+    best = keep_best(documents, ["id"], [F.col("file")])
+    return best.unionByName(keep_best(infrastructure, ["id"], [F.col("file")]).join(best.select("id"), "id", "left_anti"))

@@ -199,6 +199,23 @@ ORACLES: dict[str, str] = {
     "change_detection": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'deleted' ELSE 'modified' END AS change FROM documents
         WHERE (doc_id % 5 = 0 AND doc_id % 11 <> 0) OR (doc_id % 5 <> 0 AND doc_id % 11 = 0) OR (doc_id % 5 <> 0 AND doc_id % 11 <> 0 AND doc_id % 7 = 0)""",
     "document_upsert": "SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN upper(lang) ELSE lang END AS lang FROM documents WHERE doc_id % 4 = 1 OR doc_id % 3 <> 0",
+    "provenance_errors": """WITH r AS (SELECT CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '/docs/' || l_orderkey ELSE 'docs/' || l_orderkey END AS file,
+            CASE l_returnflag WHEN 'A' THEN 'structural' WHEN 'R' THEN 'guess' ELSE '' END AS method, CASE l_linestatus WHEN 'O' THEN 'line ' || l_linenumber ELSE '' END AS noted, l_linenumber - 2 AS t FROM lineitem)
+        SELECT CASE WHEN file = '' AND method = '' AND noted = '' AND t = 0 THEN NULL WHEN file = '' OR file[1:1] = '/' THEN 'source_file' WHEN method = 'guess' THEN 'extraction_method'
+            WHEN noted = '' THEN 'evidence' WHEN t <= 0 THEN 'last_modified' END AS error, file <> '' AND file[1:1] <> '/' AND t >= 0 AS located, count(*) AS n FROM r GROUP BY 1, 2""",
+    "unstated_edges": f"""WITH {SIGNALS} SELECT src, dst, type, max(confidence) AS confidence FROM signals s
+        WHERE NOT EXISTS (SELECT 1 FROM signals c WHERE c.algorithm = 'code' AND c.src = s.src AND c.dst = s.dst AND c.type = s.type) GROUP BY 1, 2, 3""",
+    "target_types": """SELECT 'part-' || l_partkey AS dst, coalesce(arg_min(CASE l_returnflag WHEN 'A' THEN 'database' ELSE 'service' END, (l_orderkey::BIGINT * 1000 + l_linenumber)) FILTER (l_returnflag <> 'R'), 'unknown') AS component_type
+        FROM lineitem GROUP BY l_partkey""",
+    "boosted_hints": f"""WITH {SIGNALS}, r AS (SELECT * FROM signals WHERE algorithm = 'cooccurrence' OR confidence > 0.85), k AS (SELECT DISTINCT dst FROM r WHERE algorithm <> 'cooccurrence')
+        SELECT src, dst, CASE algorithm WHEN 'cooccurrence' THEN 'comment_hint' ELSE algorithm END AS signal_type,
+            max(CASE WHEN algorithm = 'cooccurrence' AND dst IN (SELECT dst FROM k) THEN 0.5::DOUBLE ELSE confidence END) AS confidence, count(*) AS n FROM r GROUP BY 1, 2, 3""",
+    "registry_merged": f"""WITH {PART_EDGES} SELECT src, dst, CASE WHEN n > 1 THEN 'depends-on' ELSE 'mentions' END AS type,
+            CASE WHEN n > 1 THEN greatest(confidence, round(1 - confidence * 0.4, 6)) ELSE round(1 - confidence * 0.4, 6) END AS confidence FROM edges""",
+    "nodes_with_stubs": f"""WITH {ENTITIES} SELECT id, title, component_type FROM nodes WHERE id NOT LIKE 'nation-%'
+        UNION ALL SELECT DISTINCT dst, dst, CASE WHEN dst LIKE 'nation-%1' THEN 'gateway' ELSE 'unknown' END FROM edges""",
+    "merged_components": f"""WITH {SIGNALS}, b AS (SELECT dst AS id, evidence AS file, confidence, algorithm AS origin, row_number() OVER (PARTITION BY dst ORDER BY algorithm, confidence DESC, evidence) AS turn
+            FROM signals WHERE algorithm IN ('code', 'structural')) SELECT id, file, confidence, origin FROM b WHERE turn = 1""",
     "environment_references": f"WITH {FILES} SELECT path, name FROM files",
     "endpoint_pairs": f"WITH {FILES} SELECT path, 'GET /v1/items/' || k AS endpoint FROM files",
     "code_graph": f"WITH {FILES}, x AS (SELECT src, unnest([target, env_target]) AS dst, unnest([0.85::DOUBLE, 0.7]) AS confidence FROM files) SELECT src, dst, confidence, 1::BIGINT AS evidence FROM x",

@@ -432,6 +432,60 @@ def document_upsert(spark, sf):
     return changes.upserted(docs.where("doc_id % 3 != 0"), fresh, ["doc_id"])
 
 
+# --- provenance, registry and components -------------------------------------------------
+
+
+@query
+def provenance_errors(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    of = F.pmod("l_partkey", F.lit(5))
+    file = F.when(of == 0, "").when(of == 1, F.concat(F.lit("/docs/"), "l_orderkey")).otherwise(F.concat(F.lit("docs/"), "l_orderkey"))
+    method = F.when(F.col("l_returnflag") == "A", "structural").when(F.col("l_returnflag") == "R", "guess").otherwise("")
+    noted = F.when(F.col("l_linestatus") == "O", F.concat(F.lit("line "), "l_linenumber")).otherwise("")
+    marked = rows.select(conf.provenance_error(file, method, noted, F.col("l_linenumber") - 2).alias("error"), conf.valid_location(file, F.col("l_linenumber") - 2).alias("located"))
+    return marked.groupBy("error", "located").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def unstated_edges(spark, sf):
+    found = derived.signals(spark, sf)
+    return evidence.without_explicit(found.groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence")), found.where("algorithm = 'code'"))
+
+
+@query
+def target_types(spark, sf):
+    kind = F.when(F.col("l_returnflag") == "A", "database").when(F.col("l_returnflag") == "R", "unknown").otherwise("service")
+    rows = table(spark, sf, "lineitem").select(F.concat(F.lit("part-"), "l_partkey").alias("dst"), "l_orderkey", "l_linenumber", kind.alias("type"))
+    return evidence.first_known_type(rows, ["l_orderkey", "l_linenumber"])
+
+
+@query
+def boosted_hints(spark, sf):
+    kind = F.when(F.col("algorithm") == "cooccurrence", "comment_hint").otherwise(F.col("algorithm"))
+    rows = derived.signals(spark, sf).where("algorithm = 'cooccurrence' or confidence > 0.85").select("src", "dst", kind.alias("signal_type"), "confidence")
+    return evidence.boosted(rows).groupBy("src", "dst", "signal_type").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def registry_merged(spark, sf):
+    edges = derived.part_edges(spark, sf)
+    return evidence.with_registry(edges.where("n > 1"), edges.select("src", "dst", F.round(1 - F.col("confidence") * 0.4, 6).alias("confidence")))
+
+
+@query
+def nodes_with_stubs(spark, sf):
+    nodes, edges = derived.entity_graph(spark, sf)
+    types = nodes.where("id like 'nation-%1'").select("id", "component_type")
+    return evidence.with_missing_nodes(nodes.where("id not like 'nation-%'"), edges, types)
+
+
+@query
+def merged_components(spark, sf):
+    rows = derived.signals(spark, sf)
+    found = lambda algorithm, column: rows.where(F.col("algorithm") == algorithm).select(F.col(column).alias("id"), F.col("evidence").alias("file"), "confidence", F.lit(algorithm).alias("origin"))
+    return evidence.merged_components(found("code", "dst"), found("structural", "dst"))
+
+
 # --- code and configuration text -------------------------------------------------------
 
 

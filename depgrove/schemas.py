@@ -14,6 +14,7 @@ CODE_SIGNALS = "source_component string, target_component string, target_type st
 
 # Fixed values of the data model.
 EDGE_TYPES = ("references", "depends-on", "calls", "implements", "mentions", "related")
+EXTRACTION_METHODS = ("explicit-link", "co-occurrence", "structural", "NER", "semantic", "LLM", "code-analysis")
 SOURCE_TYPES = ("markdown", "code", "both")
 COMPONENT_TYPES = (
     "service", "database", "cache", "queue", "message-broker", "load-balancer", "gateway", "storage", "container-registry",
