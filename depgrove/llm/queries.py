@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgrove.llm import chat, exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, pseudo_likelihood, secrets, substring_dedup
-from depgrove.llm.common import table
+from depgrove.llm import chat, exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, periodic_runs, pseudo_likelihood, secrets, substring_dedup
+from depgrove.llm.common import WORD, table
 
 #: Fixed text of the extra conversation that op4 formats.
 PROBE = "\\### Assistant: </turn> ok"
@@ -67,6 +67,31 @@ def op10_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: the text of a document whose id's crc32 ends in 0 ends in a repeated stretch of its own words."""
+    words, h = F.col("words"), F.col("h")
+    g = F.floor(h / 10)
+    n = F.greatest(F.size(words), F.lit(1))
+    a = (g % n).cast("int")
+    period = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, period), (F.floor((n - a) / period) + 1).cast("int")))
+    edited = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    marked = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    split = marked.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"))))
+    return split.select("doc_id", F.when(F.size(words) > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_branching_tandems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_repeats(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.withColumn("best", longest)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.less")).alias("period"),
+        F.expr("1000 * best.length div -best.less").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_block_anchors": op2_block_anchors,
@@ -78,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_grace_dedup": op9_grace_dedup,
     "op10_combination_prefix_join": op10_combination_prefix_join,
+    "op11_branching_tandems": op11_branching_tandems,
 }
 
 ORACLES: dict[str, str] = {
@@ -115,6 +141,28 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(chars)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id""",
+    "op11_branching_tandems": r"""
+        WITH RECURSIVE digits AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS said FROM documents WHERE doc_id IS NOT NULL),
+        crc(doc_id, said, step, c) AS (
+            SELECT doc_id, said, 0, 4294967295::BIGINT FROM digits
+            UNION ALL SELECT doc_id, said, step + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+            FROM (SELECT doc_id, said, step, CASE WHEN step % 8 = 0 THEN xor(c, ord(said[step // 8 + 1])::BIGINT) ELSE c END AS x FROM crc WHERE step < 8 * length(said))),
+        h AS (SELECT doc_id, xor(c, 4294967295::BIGINT) AS h FROM crc WHERE step = 8 * length(said)),
+        w AS (SELECT d.doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, coalesce(h, 1) AS h FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id),
+        a AS (SELECT *, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM w),
+        p AS (SELECT *, 1 + (len(words) - a) // (3 + (h // 10) % 8) AS p FROM a),
+        v AS (SELECT doc_id, len(words) AS n, CASE WHEN a IS NULL THEN words ELSE list_transform(range(0, len(words)), lambda i: words[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS words FROM p),
+        t AS (SELECT doc_id, unnest(range(0, n)) AS i, unnest(words) AS word FROM v),
+        e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+        g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+        s AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM g GROUP BY doc_id, q, island HAVING count(*) >= q AND count(*) + q >= 12),
+        r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+        kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS kept FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY t.doc_id),
+        runs AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed, arg_max({'s': start, 'l': length, 'p': period}, [length, -start, -period]) AS best FROM r GROUP BY doc_id)
+        SELECT v.doc_id, coalesce(n_runs, 0) AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period, (1000 * best.l // best.p)::BIGINT AS exponent_milli,
+            sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM v LEFT JOIN runs ON runs.doc_id = v.doc_id LEFT JOIN kept ON kept.doc_id = v.doc_id""",
     "op9_grace_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
             doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
