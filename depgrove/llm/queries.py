@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgrove.llm import chat, exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, periodic_runs, pseudo_likelihood, secrets, substring_dedup
+from depgrove.llm import chat, exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, periodic_runs, pivot_search, pseudo_likelihood, secrets, substring_dedup
 from depgrove.llm.common import WORD, table
 
 #: Fixed text of the extra conversation that op4 formats.
@@ -92,6 +92,10 @@ def op11_branching_tandems(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pivot_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.nearest_of_each(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_block_anchors": op2_block_anchors,
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_grace_dedup": op9_grace_dedup,
     "op10_combination_prefix_join": op10_combination_prefix_join,
     "op11_branching_tandems": op11_branching_tandems,
+    "op12_pivot_elimination": op12_pivot_elimination,
 }
 
 ORACLES: dict[str, str] = {
@@ -163,6 +168,13 @@ ORACLES: dict[str, str] = {
         SELECT v.doc_id, coalesce(n_runs, 0) AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period, (1000 * best.l // best.p)::BIGINT AS exponent_milli,
             sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
         FROM v LEFT JOIN runs ON runs.doc_id = v.doc_id LEFT JOIN kept ON kept.doc_id = v.doc_id""",
+    "op12_pivot_elimination": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS p FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT vec_id AS query_id, min(p) AS p FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
+        s AS (SELECT query_id, vec_id, list_inner_product(q.p, v.p)::BIGINT AS score FROM q JOIN v ON vec_id <> query_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+        QUALIFY rank <= 10""",
     "op9_grace_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
             doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
