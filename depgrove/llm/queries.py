@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depgrove.llm import chat, exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, periodic_runs, pivot_search, pseudo_likelihood, secrets, substring_dedup
+from depgrove.llm import chat, exact_dedup, fingerprints, jaccard_join, language_id, lexical_search, mixing, packing, periodic_runs, pivot_search, pseudo_likelihood, secrets, substring_dedup
 from depgrove.llm.common import WORD, table
 
 #: Fixed text of the extra conversation that op4 formats.
@@ -96,6 +96,10 @@ def op12_pivot_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.nearest_of_each(table(spark, sf_dir, "embeddings"))
 
 
+def op13_length_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_block_anchors": op2_block_anchors,
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_combination_prefix_join": op10_combination_prefix_join,
     "op11_branching_tandems": op11_branching_tandems,
     "op12_pivot_elimination": op12_pivot_elimination,
+    "op13_length_strata": op13_length_strata,
 }
 
 ORACLES: dict[str, str] = {
@@ -175,6 +180,17 @@ ORACLES: dict[str, str] = {
         s AS (SELECT query_id, vec_id, list_inner_product(q.p, v.p)::BIGINT AS score FROM q JOIN v ON vec_id <> query_id)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
         QUALIFY rank <= 10""",
+    "op13_length_strata": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS terms FROM documents),
+        d AS (SELECT row_number() OVER () AS row, doc_id, terms, len(terms) AS n FROM t WHERE len(terms) > 0),
+        c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+        p AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+'))) AS term
+            FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)),
+        s AS (SELECT item_id, row, sum(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM i JOIN f USING (term) JOIN p USING (term) JOIN d USING (row), c GROUP BY item_id, row)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score FROM s JOIN d USING (row) WHERE score > 0 QUALIFY rank <= 10""",
     "op9_grace_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
             doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
