@@ -55,17 +55,17 @@ def visit(parts: Column) -> Column:
     return F.struct(F.array_join(numbered, "").alias("body"), attachments.alias("attachments"))
 
 
-def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), parts: str | None = None) -> DataFrame:
     """One row per conversation: ``conv_id, formatted, attachments, expanded_tokens``.
 
-    ``turns`` has ``conv_id, turn, role`` and ``parts`` (array of parts), or ``text``
-    instead of parts.  Turns are ordered by turn, then role, then body, nulls first;
+    ``turns`` has ``conv_id, turn, role`` and ``text``, or an array of parts in the column
+    that ``parts`` names; other columns are not read.  Turns are ordered by turn, then role, then body, nulls first;
     null role counts as empty.  Repeated rows are repeated turns, a null conv_id is a
     conversation of its own, an empty table gives none.  A conversation is one string,
     so its turns meet in one task; nothing else does.
     """
-    parts = F.col("parts") if "parts" in turns.columns else text_parts(F.col("text"))
-    seen = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), visit(parts).alias("seen"))
+    content = F.col(f"`{parts}`") if parts else text_parts(F.col("text"))
+    seen = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), visit(content).alias("seen"))
     is_loss = F.col("role").isin(*loss_roles)
     rendered = F.concat(
         F.lit('<turn role="'), F.replace(escape(F.col("role")), F.lit('"'), F.lit("&quot;")), F.lit('">'),
@@ -78,8 +78,37 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     return out.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda total, a: total + F.coalesce(a["tokens"], F.lit(0))))
 
 
+def read_parts(body: Column, attachments: Column | None = None) -> Column:
+    """Back from a turn's body: its parts in order, ``struct<kind, value, ref, tokens>``.
+
+    An escaped text holds no ``<``, so every ``<`` begins a placeholder and a text that
+    looks like one stays text.  ``attachments`` of the same turn give references and
+    token counts.  Neighbouring text parts come back as one, empty ones not at all.
+    """
+    none = F.lit(None).cast("string")
+
+    def attached(mark: Column) -> Column:
+        place = F.substring_index(mark, " ", -1).cast("int")
+        kind = F.substring_index(mark, " ", 1)
+        if attachments is None:
+            return F.struct(kind.alias("kind"), none.alias("value"), none.alias("ref"), F.lit(None).cast("int").alias("tokens"))
+        of = F.element_at(F.filter(attachments, lambda a: a["place"] == place), 1)
+        return F.struct(kind.alias("kind"), none.alias("value"), of["ref"].alias("ref"), of["tokens"].alias("tokens"))
+
+    def said(text: Column) -> Column:
+        return F.struct(F.lit("text").alias("kind"), unescape(text).alias("value"), none.alias("ref"), F.lit(None).cast("int").alias("tokens"))
+
+    pieces = F.split(body, "<", -1)
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.array(attached(F.substring_index(p, ">", 1)), said(F.substr(p, F.instr(p, ">") + 1))))
+    return F.filter(F.flatten(F.concat(F.array(F.array(said(F.element_at(pieces, 1)))), rest)), lambda p: (p["kind"] != "text") | (p["value"] != ""))
+
+
 def read_turns(formatted: Column) -> Column:
-    """Back from the formatted string: array of ``struct<role, text, loss>``; placeholders stay as they are."""
+    """Back from the formatted string: array of ``struct<role, text, loss, body>``.
+
+    ``body`` is the escaped content, from which ``read_parts`` gives typed parts; in
+    ``text`` it is unescaped, with placeholders as they are.
+    """
     pieces = F.filter(F.split(formatted, "</turn>\n"), lambda p: p != "")
 
     def one(piece: Column) -> Column:
@@ -88,6 +117,6 @@ def read_turns(formatted: Column) -> Column:
         rest = F.substr(piece, at + 2)
         loss = F.startswith(rest, F.lit("<loss>"))
         text = F.when(loss, F.substr(rest, F.lit(len("<loss>") + 1), F.length(rest) - len("<loss></loss>"))).otherwise(rest)
-        return F.struct(unescape(F.replace(role, F.lit("&quot;"), F.lit('"'))).alias("role"), unescape(text).alias("text"), loss.alias("loss"))
+        return F.struct(unescape(F.replace(role, F.lit("&quot;"), F.lit('"'))).alias("role"), unescape(text).alias("text"), loss.alias("loss"), text.alias("body"))
 
     return F.transform(pieces, one)

@@ -9,6 +9,7 @@ and demand, or smallest weighted norm of what would be left.
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +35,12 @@ SEPARATOR = 0
 
 
 def encoder(vocabulary: str, ranks: str):
-    """The byte-level BPE vocabulary with its added tokens, kept per worker.
+    """A function from text to ids by the byte-level BPE vocabulary with its added tokens, kept per worker.
 
     Ids equal those that the ``tokenizers`` library with its default settings gives for
     the JSON file (the tests compare both); that library takes five times as long.  An
-    added token's string in a text is that token, as it is there.
+    added token's string in a text is that token, as it is there.  A text that the
+    faster library's pattern cannot split, such as a million blanks, goes to the other.
     """
 
     def build():
@@ -47,7 +50,19 @@ def encoder(vocabulary: str, ranks: str):
             added = {token["content"]: token["id"] for token in json.load(f)["added_tokens"]}
         with open(ranks, "rb") as f:
             known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=added)
+        fast = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=added)
+
+        def encode(text: str) -> list[int]:
+            try:
+                return fast.encode(text, allowed_special="all")
+            except ValueError:  # its pattern ran out of stack
+                return kept_tokenizer().encode(text, add_special_tokens=False).ids
+
+        @functools.cache
+        def kept_tokenizer():
+            return tokenizers.Tokenizer.from_file(vocabulary)
+
+        return encode
 
     return kept(f"tokenizer {vocabulary} {ranks}", build)
 
@@ -66,11 +81,11 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None,
     schema = to_arrow_schema(T._parse_datatype_string(PIECE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*paths).encode
+        encode = encoder(*paths)
         for batch, texts in text_blocks(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = np.array([*encode(text.decode("utf-8", "replace"), allowed_special="all"), SEPARATOR], dtype="<u4")
+                ids = np.array([*encode(text.decode("utf-8", "replace")), SEPARATOR], dtype="<u4")
                 at, number, n = 0, 0, len(ids)
                 upto = n % length or min(n, length)
                 while at < n:

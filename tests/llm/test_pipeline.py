@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -38,6 +39,14 @@ def _tokens(texts):
     return sum(len(e.ids) + 1 for e in encoder.encode_batch(texts, add_special_tokens=False))
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t ", "a", "7", "é", "a ", "-", "日"])
+def test_long_runs_of_one_kind_are_tokenised(run):
+    text = "x" + run * (1_000_000 // len(run)) + "y"
+    paths = public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.RANKS)
+    ids = packing.encoder(*paths)(text)
+    assert ids == Tokenizer.from_file(paths[0]).encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark):
     import zlib
 
