@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from depgrove.llm.common import checkpointed, give_back, text_blocks
 
 #: Bytes of text of one block of the index.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of item texts that are searched for in one pass over the index.
 ITEM_BYTES = 8 << 20
 #: Strata that every item visits in the first round; each next round visits four times as many.
 FIRST = 4
 #: Postings that are added up by one array operation.
-ADDED = 1 << 21
+ADDED = 1 << 19
+#: Postings of the index rows that are searched together; a row has less than a block of text.
+TOGETHER = 1 << 19
 
 INDEX = "m long, docs array<long>, terms array<string>, groups array<int>, tf array<int>, sizes array<int>, members array<int>"
 NO_ID = -(2**63)
@@ -189,6 +191,16 @@ def flat(batch: pa.RecordBatch, name: str) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.concatenate(([0], np.cumsum(np.asarray(column.value_lengths()))))
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the index with about TOGETHER postings each."""
+    for batch in batches:
+        piece = np.cumsum(np.asarray(batch.column("members").value_lengths())) // TOGETHER
+        cuts = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1], [True]))) if len(piece) else piece
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
+        give_back()
+
+
 class Best:
     """The k best documents of each item so far."""
 
@@ -294,9 +306,8 @@ def search(index: DataFrame, n_docs: int, items: list[tuple[int | None, str | No
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(len(names.value), dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                out += Strata(batch, names.value).holding(len(out))
+        for rows in together(batches):
+            out += Strata(rows, names.value).holding(len(out))
         some = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["term", "n"])
 
@@ -309,9 +320,8 @@ def search(index: DataFrame, n_docs: int, items: list[tuple[int | None, str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, weights, ids = given.value
         best = Best(asked.count, k)
-        for batch in batches:
-            if batch.num_rows:
-                Strata(batch, names.value).search(asked, weights, best)
+        for rows in together(batches):
+            Strata(rows, names.value).search(asked, weights, best)
         yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.item.tolist()], pa.int64()), pa.array(best.doc), pa.array(best.score)], names=["item_id", "doc_id", "score"])
         give_back()
 
