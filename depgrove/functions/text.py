@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{L}\p{Nd}]+(?:-[\p{L}\p{Nd}]+)*"
+#: Possessive, so that a chain of any length is matched without recursion.
+TOKEN = r"[\p{L}\p{Nd}]++(?:-[\p{L}\p{Nd}]++)*+"
 # Words that the tokenizer leaves out.
 STOP_WORDS = (
     "a an and are as at be been being but by can could do does did for from had has have he her here him his how i if in into is it its just "
@@ -65,7 +66,7 @@ def strip_markdown(text: Column) -> Column:
 
 def title(text: Column, path: Column) -> Column:
     """The first top-level heading, else the file's stem."""
-    heading = F.trim(F.regexp_extract(text, r"(?m)^\s*#[ \t]+(.+)$", 1))
+    heading = F.trim(F.regexp_extract(text, r"(?m)^[^\S\n]*+#[ \t]+(.+)$", 1))
     return F.when(F.coalesce(heading, F.lit("")) != "", heading).otherwise(stem(path))
 
 

@@ -24,13 +24,16 @@ def filtered(edges: DataFrame, min_confidence: float = 0.0, source_type: str | N
     return out.where(source_passes(F.col("source_type"), source_type)) if source_type else out
 
 
+def _steps(direction: str) -> list[tuple[str, str]]:
+    return {"forward": [("src", "dst")], "backward": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]
+
+
 def reach(edges: DataFrame, starts: DataFrame, direction: str = "forward", depth: int | None = None) -> DataFrame:
     """``id, distance`` of everything reachable from ``starts(id)``, the starts at 0.
 
     ``direction`` is forward, backward or both; ``depth`` None means no limit.
     """
-    steps = {"forward": [("src", "dst")], "backward": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]
-    hops = reduce(DataFrame.unionByName, [edges.select(F.col(a).alias("id"), F.col(b).alias("next")) for a, b in steps]).distinct()
+    hops = reduce(DataFrame.unionByName, [edges.select(F.col(a).alias("id"), F.col(b).alias("next")) for a, b in _steps(direction)]).distinct()
     if depth is None or depth > 3:
         hops = checkpointed(hops)
     seen = starts.select("id").distinct().withColumn("distance", F.lit(0))
@@ -140,13 +143,18 @@ def induced(edges: DataFrame, component, depth: int) -> DataFrame:
 
 
 def crawl(edges: DataFrame, starts: DataFrame, direction: str = "forward", depth: int | None = None) -> DataFrame:
-    """``id, depth, parents, edges_out``: reach from several starts with all parents one level up."""
+    """``id, depth, parents, edges_out``: reach from several starts with all parents one level up.
+
+    ``direction`` is forward, backward or both; ``edges_out`` counts the nodes that a
+    node points to, whatever the direction.
+    """
     reached = checkpointed(reach(edges, starts, direction, depth))
-    near, far = ("src", "dst") if direction == "forward" else ("dst", "src")
-    parents = edges.join(reached.select(F.col("id").alias(near), (F.col("distance") + 1).alias("up")), near).groupBy(far, "up").agg(F.sort_array(F.collect_set(near)).alias("parents"))
-    out = edges.groupBy("src").agg(F.countDistinct("dst").alias("edges_out"))
-    found = reached.join(parents, (reached["id"] == parents[far]) & (reached["distance"] == parents["up"]), "left").join(out, reached["id"] == out["src"], "left")
-    return found.select(reached["id"], F.col("distance").alias("depth"), F.coalesce("parents", F.array().cast("array<string>")).alias("parents"), F.coalesce("edges_out", F.lit(0)).alias("edges_out"))
+    steps = reduce(DataFrame.unionByName, [edges.select(F.col(a).alias("up"), F.col(b).alias("id")) for a, b in _steps(direction)])
+    above = reached.select(F.col("id").alias("up"), (F.col("distance") + 1).alias("distance"))
+    parents = steps.join(above, "up").groupBy("id", "distance").agg(F.sort_array(F.collect_set("up")).alias("parents"))
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("edges_out"))
+    found = reached.join(parents, ["id", "distance"], "left").join(out, "id", "left")
+    return found.select("id", F.col("distance").alias("depth"), F.coalesce("parents", F.array().cast("array<string>")).alias("parents"), F.coalesce("edges_out", F.lit(0)).alias("edges_out"))
 
 
 def attenuated(edges: DataFrame, component, floor: float = 0.5, depth: int = 3) -> DataFrame:
