@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depgrove.llm.common import checkpointed, give_back, text_blocks
@@ -25,6 +26,8 @@ from depgrove.llm.common import checkpointed, give_back, text_blocks
 BLOCK_BYTES = 6 << 20
 #: Bytes of item texts that are searched for in one pass over the index.
 ITEM_BYTES = 8 << 20
+#: Rows of the index that are read and sent to a worker at a time; one has tens of kilobytes.
+ROWS = 128
 #: Strata that every item visits in the first round; each next round visits four times as many.
 FIRST = 4
 #: Postings that are added up by one array operation.
@@ -298,6 +301,20 @@ class Strata:
         best.add(key[first] // len(self.docs), score, self.docs[key[first] % len(self.docs)])
 
 
+@contextmanager
+def wide_rows(session: SparkSession, rows: int = ROWS):
+    """While jobs over wide rows run, batches hold few of them: Spark counts rows, not bytes."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    given = {key: session.conf.get(key) for key in keys}
+    try:
+        for key in keys:
+            session.conf.set(key, str(min(rows, int(given[key])) if int(given[key]) > 0 else rows))
+        yield
+    finally:
+        for key in keys:
+            session.conf.set(key, given[key])
+
+
 def search(index: DataFrame, n_docs: int, items: list[tuple[int | None, str | None]], k: int) -> DataFrame:
     """``item_id, doc_id, score``: the k best documents of each item in every task's part of the index."""
     session = index.sparkSession
@@ -312,8 +329,9 @@ def search(index: DataFrame, n_docs: int, items: list[tuple[int | None, str | No
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["term", "n"])
 
     holding = np.zeros(len(asked.terms), dtype=np.int64)
-    for row in index.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # asked terms only
-        holding[row["term"]] = row["n"]
+    with wide_rows(session):
+        for row in index.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # asked terms only
+            holding[row["term"]] = row["n"]
     weights = np.array([weight(n_docs, int(n)) for n in holding], dtype=np.int64)
     given = session.sparkContext.broadcast((asked, weights, [i for i, _ in items]))
 
@@ -325,7 +343,8 @@ def search(index: DataFrame, n_docs: int, items: list[tuple[int | None, str | No
         yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.item.tolist()], pa.int64()), pa.array(best.doc), pa.array(best.score)], names=["item_id", "doc_id", "score"])
         give_back()
 
-    return index.mapInArrow(run, "item_id long, doc_id long, score long")
+    with wide_rows(session):
+        return checkpointed(index.mapInArrow(run, "item_id long, doc_id long, score long"))
 
 
 def item_blocks(items: DataFrame, most_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
