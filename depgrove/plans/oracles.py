@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from depgrove.operators.classify import KEYWORDS
 from depgrove.plans.queries import LEXICON, PART, TERMS
+from depgrove.sources.derived import SOURCES
 
 
 def _tier(x: str) -> str:
@@ -63,10 +64,37 @@ KEYS = ", ".join(f"({len(k)}, {i}, '{k}', '{t}')" for i, (k, t) in enumerate(_ke
 VERB_TYPE = "CASE verb WHEN 'depends on' THEN 'depends-on' WHEN 'calls' THEN 'calls' WHEN 'uses' THEN 'mentions' END"
 VERB_SCORE = "CASE verb WHEN 'depends on' THEN 0.80::DOUBLE WHEN 'calls' THEN 0.75 WHEN 'uses' THEN 0.70 END"
 
-FILES = """k AS (SELECT s_suppkey AS k, 'supplier-' || s_suppkey AS src FROM supplier UNION ALL SELECT c_custkey, 'customer-' || c_custkey FROM customer),
-    files AS (SELECT k, src, k % 3 AS m, src || CASE k % 3 WHEN 0 THEN '/app.py' WHEN 1 THEN '/main.go' ELSE '/index.ts' END AS path, CASE k % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'go' ELSE 'javascript' END AS language,
-        CASE k % 3 WHEN 0 THEN 'cache_client' WHEN 1 THEN 'db_connection' ELSE 'http_call' END AS kind, CASE k % 3 WHEN 0 THEN 'cache-' || k WHEN 1 THEN 'db-' || k ELSE 'api-' || k END AS target,
-        'SERVICE_' || k || '_URL' AS name, 'service-' || k AS env_target FROM k)"""
+# What each of the eight kinds of source files holds, told by hand: remainder of the key, file, line, target, type, kind, confidence.
+TOLD = """told(m, file, line, target, type, kind, confidence) AS (VALUES
+    (0, 'app.py', 2, 'nowhere-{k}', 'service', 'comment_hint', 0.4), (0, 'app.py', 6, 'cache-{k}', 'cache', 'cache_client', 0.85), (0, 'app.py', 11, 'api-{k}', 'service', 'http_call', 0.9),
+    (0, 'app.py', 14, 'SERVICE_{k}_URL', 'unknown', 'env_var_ref', 0.7), (0, 'app.py', 15, 'billing-{k}-api', 'unknown', 'comment_hint', 0.4), (0, 'app.py', 15, 'doc-{k}', 'service', 'comment_hint', 0.4),
+    (1, 'main.go', 10, 'ledger-{k}-service', 'unknown', 'comment_hint', 0.3), (1, 'main.go', 12, 'db-{k}', 'database', 'db_connection', 0.85), (1, 'main.go', 13, 'mysql', 'database', 'db_connection', 0.85),
+    (1, 'main.go', 14, 'go-redis', 'cache', 'cache_client', 0.85), (1, 'main.go', 15, 'api-{k}', 'service', 'http_call', 0.9), (1, 'main.go', 17, 'SERVICE_{k}_URL', 'unknown', 'env_var_ref', 0.7),
+    (1, 'main.go', 18, 'SLACK_TOKEN', 'notification', 'env_var_ref', 0.7),
+    (2, 'index.ts', 5, 'axios.get', 'unknown', 'comment_hint', 0.4), (2, 'index.ts', 6, 'dead-{k}', 'database', 'comment_hint', 0.4), (2, 'index.ts', 7, 'pg', 'database', 'db_connection', 0.85),
+    (2, 'index.ts', 7, 'DB_{k}_URL', 'database', 'env_var_ref', 0.7), (2, 'index.ts', 10, 'api-{k}', 'service', 'http_call', 0.9), (2, 'index.ts', 11, 'named-{k}', 'service', 'http_call', 0.9),
+    (2, 'index.ts', 12, 'kafkajs', 'message-broker', 'queue_producer', 0.85), (2, 'index.ts', 13, 'plain-{k}', 'service', 'http_call', 0.9),
+    (3, 'web.py', 3, 'audit-{k}', 'unknown', 'comment_hint', 0.4), (3, 'web.py', 8, 'flask', 'service', 'http_server', 0.9), (3, 'web.py', 10, 'flask-app', 'service', 'http_server', 0.9),
+    (3, 'web.py', 14, 'fastapi-app', 'service', 'http_server', 0.85), (3, 'web.py', 16, 'broker-{k}', 'message-broker', 'queue_producer', 0.85), (3, 'web.py', 17, 'rabbit-{k}', 'message-broker', 'queue_producer', 0.85),
+    (3, 'web.py', 19, 'topic', 'message-broker', 'queue_consumer', 0.85),
+    (4, 'server.go', 4, 'gone-{k}', 'service', 'comment_hint', 0.4), (4, 'server.go', 5, 'store-{k}.main', 'unknown', 'comment_hint', 0.4), (4, 'server.go', 8, 'mq-{k}', 'message-broker', 'queue_producer', 0.85),
+    (4, 'server.go', 9, 'http', 'service', 'http_call', 0.9), (4, 'server.go', 10, 'http', 'service', 'http_server', 0.95), (4, 'server.go', 10, 'the', 'unknown', 'comment_hint', 0.4),
+    (5, 'worker.js', 5, 'grid-{k}', 'unknown', 'comment_hint', 0.4), (5, 'worker.js', 7, 'hook-{k}', 'service', 'http_call', 0.9), (5, 'worker.js', 8, 'redis', 'cache', 'cache_client', 0.85),
+    (5, 'worker.js', 9, 'docs-{k}', 'database', 'db_connection', 0.85), (5, 'worker.js', 11, 'KAFKA_BROKERS', 'message-broker', 'env_var_ref', 0.7),
+    (6, 'main.tf', 2, 'aws_db_instance.orders_{k}', 'database', 'terraform_resource', 0.92), (6, 'main.tf', 5, 'aws_sns_topic.events', 'message-broker', 'terraform_dependency', 0.9),
+    (6, 'main.tf', 10, 'bucket', 'storage', 'terraform_module', 0.8), (6, 'main.tf', 12, 'aws_elasticache_cluster.shared', 'cache', 'terraform_data_source', 0.782),
+    (6, 'main.tf', 14, 'aws_lambda_function.worker', 'service', 'terraform_ref', 0.75), (6, 'main.tf', 16, 'aws_elasticache_replication_group.sessions', 'cache', 'terraform_resource', 0.92),
+    (6, 'main.tf', 18, 'aws_sqs_queue.jobs', 'queue', 'terraform_ref', 0.75), (6, 'main.tf', 21, 'custom', 'service', 'terraform_module', 0.6),
+    (6, 'prod.tfvars', 1, 'orders-{k}.internal', 'unknown', 'env_var_ref', 0.65), (6, 'prod.tfvars', 3, 'sessions-{k}', 'cache', 'env_var_ref', 0.65),
+    (6, 'svc.py', 3, 'sessions-{k}', 'cache', 'cache_client', 0.85), (6, 'svc.py', 4, 'orders-db', 'database', 'db_connection', 0.85),
+    (7, 'main.tf', 1, 'aws_sqs_queue.alpha', 'queue', 'terraform_resource', 0.92), (7, 'main.tf', 2, 'aws_sqs_queue.beta', 'queue', 'terraform_resource', 0.92),
+    (7, 'main.tf', 3, 'aws_msk_cluster.stream', 'message-broker', 'terraform_resource', 0.92), (7, 'main.tf', 5, 'aws_lambda_function.report', 'service', 'terraform_resource', 0.92),
+    (7, 'svc.py', 3, 'broker-{k}', 'message-broker', 'queue_producer', 0.85), (7, 'svc.py', 4, 'sqs', 'queue', 'queue_producer', 0.85), (7, 'svc.py', 5, 'lambda-worker-node', 'service', 'http_call', 0.9))"""
+# The lines themselves are the query's input, which no table holds.
+SOURCE_LINES = "SELECT * FROM (VALUES " + ", ".join("({}, '{}', {}, '{}')".format(m, name, n, line.replace("'", "''")) for m, files in SOURCES.items() for name, lines in files for n, line in enumerate(lines, 1)) + ") AS t(m, file, line, said)"
+KEYS_OF = "k AS (SELECT s_suppkey AS k, 'supplier-' || s_suppkey AS src FROM supplier UNION ALL SELECT c_custkey, 'customer-' || c_custkey FROM customer)"
+FILES = f"""{KEYS_OF}, {TOLD}, found AS (SELECT src, k, src || '/' || file AS path, line, replace(target, '{{k}}', k::VARCHAR) AS target, type, kind, confidence::DOUBLE AS confidence,
+        CASE split_part(file, '.', 2) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'ts' THEN 'javascript' WHEN 'js' THEN 'javascript' ELSE 'terraform' END AS language FROM told JOIN k ON k.k % 8 = told.m)"""
 
 ORACLES: dict[str, str] = {
     "impact_depth3": _walk("dst", "src", 3) + f" SELECT id AS name, distance, via, {_tier('confidence')} AS confidence_tier FROM found WHERE rn = 1",
@@ -216,10 +244,17 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT DISTINCT dst, dst, CASE WHEN dst LIKE 'nation-%1' THEN 'gateway' ELSE 'unknown' END FROM edges""",
     "merged_components": f"""WITH {SIGNALS}, b AS (SELECT dst AS id, evidence AS file, confidence, algorithm AS origin, row_number() OVER (PARTITION BY dst ORDER BY algorithm, confidence DESC, evidence) AS turn
             FROM signals WHERE algorithm IN ('code', 'structural')) SELECT id, file, confidence, origin FROM b WHERE turn = 1""",
-    "environment_references": f"WITH {FILES} SELECT path, name FROM files",
-    "endpoint_pairs": f"WITH {FILES} SELECT path, 'GET /v1/items/' || k AS endpoint FROM files",
-    "code_graph": f"WITH {FILES}, x AS (SELECT src, unnest([target, env_target]) AS dst, unnest([0.85::DOUBLE, 0.7]) AS confidence FROM files) SELECT src, dst, confidence, 1::BIGINT AS evidence FROM x",
-    "code_signal_kinds": f"WITH {FILES}, x AS (SELECT language, unnest([kind, 'env_var_ref']) AS signal_type FROM files) SELECT language, signal_type, count(*) AS n FROM x GROUP BY 1, 2",
+    "environment_references": f"WITH {FILES} SELECT path, target AS name FROM found WHERE kind = 'env_var_ref' AND path NOT LIKE '%.tfvars'",
+    "endpoint_pairs": f"WITH {KEYS_OF} SELECT src || CASE k % 8 WHEN 0 THEN '/app.py' WHEN 1 THEN '/main.go' ELSE '/index.ts' END AS path, 'GET /v1/items/' || k AS endpoint FROM k WHERE k % 8 < 3",
+    "code_signals": f"""WITH {FILES}, text AS ({SOURCE_LINES})
+        SELECT path AS file_path, f.line::BIGINT AS line_number, target AS target_component, type AS target_type, kind AS signal_type, language, confidence, trim(replace(said, '{{k}}', k::VARCHAR), ' ' || chr(9)) AS evidence
+        FROM found f JOIN text t ON t.m = f.k % 8 AND t.file = split_part(f.path, '/', 2) AND t.line = f.line""",
+    "code_graph": f"WITH {FILES} SELECT src, target AS dst, max(confidence) AS confidence, count(*) AS evidence FROM found WHERE length(target) >= 3 AND target <> 'the' GROUP BY src, target",
+    "code_signal_kinds": f"WITH {FILES} SELECT language, kind AS signal_type, count(*) AS n FROM found GROUP BY 1, 2",
+    "comment_hints": f"""WITH {FILES} SELECT src AS source_component, path AS file_path, line::BIGINT AS line_number, target AS target_component, type AS target_type,
+        CASE WHEN confidence = 0.4 AND regexp_matches(target, '^(audit|grid|nowhere)-') AND k IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 0.5 ELSE confidence END AS confidence FROM found WHERE kind = 'comment_hint'""",
+    "terraform_cross_reference": f"""WITH {KEYS_OF} SELECT src AS source_component, unnest(['sessions-' || k, 'orders-db']) AS src, unnest(['aws_elasticache_replication_group.sessions', 'aws_db_instance.orders_' || k]) AS dst, unnest([0.8::DOUBLE, 0.7]) AS confidence FROM k WHERE k % 8 = 6
+        UNION ALL SELECT src, unnest(['broker-' || k, 'lambda-worker-node']), unnest(['aws_msk_cluster.stream', 'aws_lambda_function.report']), unnest([0.6::DOUBLE, 0.55]) FROM k WHERE k % 8 = 7""",
     "streamed_event_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "streamed_edges": f"WITH {SIGNALS} SELECT src, dst, max(confidence) AS confidence, count(*) AS signals FROM signals GROUP BY src, dst",
 }

@@ -491,7 +491,8 @@ def merged_components(spark, sf):
 
 @query
 def code_signals(spark, sf):
-    return codescan.signals(derived.source_files(spark, sf)).groupBy("file_path", "target_component", "target_type", "signal_type", "language").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
+    found = codescan.signals(derived.source_files(spark, sf))
+    return found.select("file_path", F.col("line_number").cast("long").alias("line_number"), "target_component", "target_type", "signal_type", "language", F.round("confidence", 4).alias("confidence"), "evidence")
 
 
 @query
@@ -499,6 +500,19 @@ def code_signal_kinds(spark, sf):
     return codescan.signals(derived.source_files(spark, sf)).groupBy("language", "signal_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def comment_hints(spark, sf):
+    """Hints of comments; every second customer's name is a known component."""
+    known = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.explode(F.array(*[F.concat(F.lit(p), F.col("c_custkey")) for p in ("audit-", "grid-", "nowhere-")])).alias("name"))
+    found = codescan.signals(derived.source_files(spark, sf), known).where("signal_type = 'comment_hint'")
+    return found.select("source_component", "file_path", F.col("line_number").cast("long").alias("line_number"), "target_component", "target_type", F.round("confidence", 4).alias("confidence"))
+
+
+@query
+def terraform_cross_reference(spark, sf):
+    return codescan.cross_referenced(codescan.signals(derived.source_files(spark, sf)))
+
+
 @query
 def environment_references(spark, sf):
     return derived.source_files(spark, sf).select("path", F.explode(tx.env_names(F.col("content"))).alias("name"))
@@ -512,7 +526,8 @@ def code_graph(spark, sf):
 
 @query
 def endpoint_pairs(spark, sf):
-    return derived.source_files(spark, sf).select("path", F.explode(tx.endpoints(F.col("content"))).alias("endpoint"))
+    lines = derived.source_files(spark, sf).select("path", F.explode(F.split("content", "\n", -1)).alias("line"))
+    return lines.select("path", F.explode(tx.endpoints(F.col("line"))).alias("endpoint")).distinct()
 
 
 # --- streaming -----------------------------------------------------------------------

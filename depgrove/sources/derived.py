@@ -77,14 +77,56 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("src", value.alias("value"))
 
 
+#: Source files by remainder of the key: name, lines; {k} stands for the key.
+SOURCES = {
+    0: [("app.py", [
+        "import os, redis as cache", 'import requests  # requests.get("http://nowhere-{k}")', "", "# GET /v1/items/{k}", '# cache.Redis(host="old-{k}")', "client = cache.Redis(", '    host="cache-{k}",',
+        "    port=6379,", ")", "note = \"requests.post('http://quoted-{k}')\"", "r = requests.get(", '    "http://api-{k}:8080/v1",', ")", 'url = os.environ["SERVICE_{k}_URL"]',
+        '"""requests.get("http://doc-{k}") depends on billing-{k}-api"""', "",
+    ])],
+    1: [("main.go", [
+        "package main", "", "import (", '\tpg "database/sql"', '\t"net/http"', '\t"github.com/redis/go-redis/v9"', ")", "", "// GET /v1/items/{k}", "// TODO: move to ledger-{k}-service", "func Open(name string) {",
+        '\tdb, _ := pg.Open("postgres", "postgres://app@db-{k}:5432/app")', '\tother, _ := pg.Open("mysql", dsn)', '\tc := redis.NewClient(&redis.Options{Addr: "kv-{k}:6379"})',
+        '\treq, _ := http.NewRequest("GET", "http://api-{k}/v1", nil)', '\ttext := `http.Get("http://raw-{k}")`', '\turl := os.Getenv("SERVICE_{k}_URL")', '\tslack := os.Getenv("SLACK_TOKEN")', "}", "",
+    ])],
+    2: [("index.ts", [
+        "import axios, { get as fetchJson } from 'axios'", "import * as pg from 'pg'", "const { Kafka } = require('kafkajs')", "", "// GET /v1/items/{k} uses axios.get", "/* new pg.Pool('postgres://dead-{k}') */",
+        "const pool = new pg.Pool({ connectionString: process.env.DB_{k}_URL })", "const text = `axios.get('http://template-{k}')`", "await axios", "  .get('http://api-{k}:8080/v1')",
+        "await fetchJson('http://named-{k}/v1')", "const k = new Kafka({ brokers: ['broker-{k}:9092'] })", "await fetch('http://plain-{k}/x')", "",
+    ])],
+    3: [("web.py", [
+        "from flask import Flask", "from kafka import (", "    KafkaProducer as Producer,  # writes to audit-{k}", "    KafkaConsumer,", ")", "import pika", "", "app = Flask(__name__)", "", '@app.route("/v1/items/{k}")',
+        "def get(x):", "    return x", "", '@app.post("/v1")', "def make(x):", '    producer = Producer(bootstrap_servers="broker-{k}:9092")',
+        '    return pika.BlockingConnection(pika.ConnectionParameters("rabbit-{k}"))', "", 'consumer = KafkaConsumer("topic", bootstrap_servers=["late-{k}:9092"])', 'queue = boto3.client("sqs")', "",
+    ])],
+    4: [("server.go", [
+        "package main", 'import "net/http"', 'import amqp "github.com/rabbitmq/amqp091-go"', '/* http.Get("http://gone-{k}")', " * reads from store-{k}.main", " */", "func main() {",
+        '\tconn, _ := amqp.Dial("amqp://mq-{k}:5672")', '\thttp.Get("http://" + host)', '\thttp.ListenAndServe(":8080", nil) // talks to the peer-{k}', "}", "",
+    ])],
+    5: [("worker.js", [
+        "const axios = require('axios')", "const { createClient, Pool: Db } = require('redis')", "const { MongoClient } = await import('mongodb')", "/**", " * connects to grid-{k}", " */",
+        "axios.post(\"http://hook-{k}/x\", { url: 'http://inner-{k}' })", 'const c = createClient({ url: "redis://kv-{k}:6379" })', 'const m = new MongoClient("mongodb://docs-{k}:27017")',
+        "client.fetch('http://no-{k}')", 'const e = process.env["KAFKA_BROKERS"]', "",
+    ]), ("worker.test.js", ["const axios = require('axios')", "axios.get('http://tested-{k}')"])],
+    6: [("main.tf", [
+        '# resource "aws_sqs_queue" "ghost" {', 'resource "aws_db_instance" "orders_{k}" {', '  name = "orders"', "  depends_on = [", "    aws_sns_topic.events,", "  ]", "}", "", 'module "bucket" {',
+        '  source = "terraform-aws-modules/s3-bucket/aws"', "}", 'data "aws_elasticache_cluster" "shared"', "{", '  tags = { owner = "${aws_lambda_function.worker.arn}" }', "}",
+        'resource "aws_elasticache_replication_group" "sessions" {', "  parent = aws_elasticache_replication_group.sessions.id", "  queue  = aws_sqs_queue.jobs.arn", "}", 'module "custom" {', '  source = "./modules/custom"', "}", "",
+    ]), ("prod.tfvars", ['db_host = "orders-{k}.internal:5432"', '# skip = "redis://x:1"', 'cache = "redis://sessions-{k}:6379"']), ("svc.py", [
+        "import redis", "import psycopg2", 'a = redis.Redis(host="sessions-{k}")', 'b = psycopg2.connect("postgres://u@orders-db:5432/x")',
+    ])],
+    7: [("main.tf", [
+        'resource "aws_sqs_queue" "alpha" {}', 'resource "aws_sqs_queue" "beta" {}', 'resource "aws_msk_cluster" "stream" {', "}", 'resource "aws_lambda_function" "report" {', "}",
+    ]), ("svc.py", [
+        "import boto3, requests", "from kafka import KafkaProducer", 'KafkaProducer(bootstrap_servers="broker-{k}:9092")', 'boto3.client("sqs", region_name="eu")', 'requests.get("http://lambda-worker-node/run")',
+    ])],
+}
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``src, path, content``: a Python, Go or TypeScript file for every supplier and customer."""
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("src"), F.col("s_suppkey").cast("string").alias("k"), F.pmod("s_suppkey", F.lit(3)).alias("m"))
-    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer-"), "c_custkey").alias("src"), F.col("c_custkey").cast("string").alias("k"), F.pmod("c_custkey", F.lit(3)).alias("m"))
-    every = s.unionByName(c)
-    text = lambda *parts: F.concat(*[F.col("k") if p is None else F.lit(p) for p in parts])
-    python = text("import os\nimport redis\n\n# GET /v1/items/", None, "\nclient = redis.Redis(host='cache-", None, "', port=6379)\nurl = os.environ['SERVICE_", None, "_URL']\n")
-    go = text('package main\n\nimport "database/sql"\n\n// GET /v1/items/', None, '\nfunc main() {\n\tdb, _ := sql.Open("postgres", "postgres://app@db-', None, ':5432/app")\n\turl := os.Getenv("SERVICE_', None, '_URL")\n}\n')
-    script = text("import axios from 'axios'\n\n// GET /v1/items/", None, "\nawait axios.get('http://api-", None, ":8080/v1')\nconst url = process.env.SERVICE_", None, "_URL\n")
-    name = F.when(F.col("m") == 0, "/app.py").when(F.col("m") == 1, "/main.go").otherwise("/index.ts")
-    return every.select("src", F.concat("src", name).alias("path"), F.when(F.col("m") == 0, python).when(F.col("m") == 1, go).otherwise(script).alias("content"))
+    """``src, path, content``: source, test and configuration files for every supplier and customer, in eight shapes."""
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("src"), F.col("s_suppkey").alias("k"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer-"), "c_custkey").alias("src"), F.col("c_custkey").alias("k"))
+    shapes = F.create_map(*[x for m, files in SOURCES.items() for x in (F.lit(m), F.array(*[F.struct(F.lit(name).alias("name"), F.lit("\n".join(lines)).alias("text")) for name, lines in files]))])
+    rows = s.unionByName(c).select("src", F.col("k").cast("string").alias("k"), F.explode(shapes[F.pmod("k", F.lit(8)).cast("int")]).alias("file"))
+    return rows.select("src", F.concat_ws("/", "src", "file.name").alias("path"), F.replace("file.text", F.lit("{k}"), F.col("k")).alias("content"))

@@ -87,7 +87,7 @@ def test_types_vectors_changes(spark):
 def test_code_signals(spark):
     code = [("s", "s/app.py", "import redis\nr = redis.Redis(host='cache-1.internal')\nu = os.environ['ORDERS_URL']"), ("s", "s/app_test.go", 'sql.Open("postgres", "database/sql")'), ("s", "s/db.tf", 'resource "aws_db_instance" "main_db" {')]
     found = codescan.signals(spark.createDataFrame(code, "src string, path string, content string")).collect()
-    assert {(r["signal_type"], r["target_component"]) for r in found} >= {("env_var_ref", "orders"), ("terraform_resource", "main_db")}
+    assert {(r["signal_type"], r["target_component"]) for r in found} >= {("cache_client", "cache-1.internal"), ("env_var_ref", "ORDERS_URL"), ("terraform_resource", "aws_db_instance.main_db")}
     assert not any(r["file_path"].endswith("_test.go") for r in found)
 
 
