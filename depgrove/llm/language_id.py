@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from depgrove.llm.common import CHUNK_BYTES, kept
+from depgrove.llm.common import CHUNK_BYTES, give_back, kept
 
 #: The documented bound of the labelled sample: characters of one language, documents
 #: that are read for them, and the symbols told apart (the rest share one).
@@ -150,18 +151,26 @@ def learn(labelled: DataFrame, chars: int = SAMPLE_CHARS, docs: int = SAMPLE_DOC
 RESULT = "lang_pred string, score double"
 
 
-def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, str], returned: list[str] | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` instead of any columns of these names.
 
     The prediction reads the whole text and nothing else.  A text that is null or has
     no letter, and every text when nothing was learned, is ``und`` with score 0.  The
     score is the share of phrases that the best language saves against the second; 1
     where only one language is known.  Ties go to the first language by code point.
+    ``returned`` names the columns that come back, all by default.  Repeated rows are
+    repeated results; an empty table gives an empty one.
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    back = [c for c in names if returned is None or c in returned]
     given = docs.sparkSession.sparkContext.broadcast(samples)
     key = hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("said"))
+    # a text goes to the worker once
+    row = F.struct(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" and c not in back else F.col(f"`{c}`") for c in names])
+    same = isinstance(docs.schema["text"].dataType, T.StringType) or "text" not in back
+    packed = docs.select(row.alias("row"), *([] if same else [F.col("text").cast("string").alias("said")]))
+    at = [names.index(c) for c in back]
+    of = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,17 +186,21 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                 scores.extend(score)
                 texts, held = [], 0
 
-            for value in batch.column("said"):
+            rows = batch.column("row")
+            for value in rows.field(of) if same else batch.column("said"):
                 texts.append(value.as_py() or "")
                 held += len(texts[-1])
                 if held >= CHUNK_BYTES:
                     settle()
             settle()
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
+            told = pa.StructArray.from_arrays([rows.field(i) for i in at], fields=[rows.type.field(i) for i in at])
+            yield pa.RecordBatch.from_arrays([told, pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
+            del rows, told, batch
+            give_back()
 
-    kind = packed.schema["row"].dataType.simpleString()
+    kind = T.StructType([docs.schema[c] for c in back]).simpleString()
     out = packed.mapInArrow(run, f"row {kind}, {RESULT}")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in names], "lang_pred", "score")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in back], "lang_pred", "score")
 
 
 def _decide(model: Model | None, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -209,15 +222,13 @@ def predict(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     samples = learn(ids.where(~held_out(F.col("doc_id"))))
     named = ids.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return identify(named, samples).drop("text")
+    return identify(named, samples, ["doc_id", "held_out"])
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows whose language can be told; those predicted ``und`` go."""
     samples = learn(docs.where(~held_out(F.col("doc_id").cast("long"))))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col("text"))
-    kept = identify(whole, samples).where(F.col("lang_pred") != UNDETERMINED)
-    return kept.select(*[F.col("kept").getField(c).alias(c) for c in docs.columns])
-
-
-__all__ = ["Automaton", "Model", "accepted", "held_out", "identify", "learn", "predict"]
+    # columns may have any names, those of the results included
+    plain = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)])
+    told = identify(plain, samples).where(F.col("lang_pred") != UNDETERMINED)
+    return told.select(*[F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
