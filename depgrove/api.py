@@ -84,12 +84,12 @@ class Engine:
         """What a component needs: the same columns."""
         return self._named(graph.dependencies(self.edges, self._known(component), depth_of(depth), min_confidence, source_type), most_mentions)
 
-    def path(self, source: str, target: str, limit: int = 10, min_confidence: float = 0.0, source_type: str | None = None, max_hops: int = 5) -> DataFrame:
-        """Simple paths by total confidence: ``nodes, hops, total_confidence``; none from a node to itself."""
+    def path(self, source: str, target: str, limit: int = 10, min_confidence: float = 0.0, source_type: str | None = None) -> DataFrame:
+        """The ``limit`` shortest simple paths by total confidence: ``nodes, hops, total_confidence``; none from a node to itself."""
         kept = graph.filtered(self.edges, min_confidence, source_type)
-        found = graph.simple_paths(kept, max_hops, F.col("src") == self._known(source), F.col("dst") == self._known(target))
+        found = graph.k_shortest(kept, self._known(source), self._known(target), limit)
         out = found.select(F.col("path").alias("nodes"), "hops", F.round("confidence", 6).alias("total_confidence"))
-        return out.orderBy(F.col("total_confidence").desc(), "hops", F.array_join("nodes", ">")).limit(limit)
+        return out.orderBy(F.col("total_confidence").desc(), "hops", F.array_join("nodes", ">"))
 
     def list(self, component_type: str | None = None, min_confidence: float = 0.0, source_type: str | None = None) -> DataFrame:
         return graph.listing(self.nodes, self.edges, component_type, min_confidence, source_type).orderBy("name")

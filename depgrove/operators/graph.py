@@ -105,12 +105,40 @@ def simple_paths(edges: DataFrame, max_hops: int, start: Column | None = None, e
     return (found.where(end) if end is not None else found).drop("dst")
 
 
-def k_shortest(edges: DataFrame, source, target, k: int, max_hops: int = 5) -> DataFrame:
-    """The k shortest simple paths by hops, ties by the path's text, with a rank."""
-    found = simple_paths(edges, max_hops, F.col("src") == F.lit(source), F.col("dst") == F.lit(target))
-    text = F.array_join("path", ">")
-    top = found.withColumn("route", text).orderBy("hops", "route").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy("hops", "route")))
+def k_shortest(edges: DataFrame, source, target, k: int, max_hops: int | None = None) -> DataFrame:
+    """``path, hops, confidence, route, rank``: the k shortest simple paths by hops, ties by the path's text.
+
+    Levels of a backward search give every node its distance to the target.  A path that
+    is begun can end no earlier than after its hops and that distance, its length at
+    least; paths are continued in the order of that bound, and those that would be longer
+    wait.  A length is finished before the next is begun, so the search ends with the
+    first length that completes k paths, or when no path waits.  No path leads from a
+    node to itself.
+    """
+    best = checkpointed(edges.groupBy("src", "dst").agg(F.max("confidence").alias("more")).where("src != dst"))
+    start = edges.sparkSession.createDataFrame([(target,)], "id string").select(F.col("id").cast(edges.schema["src"].dataType))
+    ahead = checkpointed(reach(best, start, "backward", max_hops))
+    steps = checkpointed(best.join(ahead.select(F.col("id").alias("dst"), F.col("distance").alias("left")), "dst"))
+    kind = edges.schema["src"].dataType
+    begun = ahead.where((F.col("id") == F.lit(source)) & (F.lit(source) != F.lit(target))).select(F.array("id").cast(f"array<{kind.simpleString()}>").alias("path"), F.lit(0).alias("hops"), F.lit(1.0).alias("confidence"), F.col("distance").alias("bound"))
+    waiting, done, length, found = [checkpointed(begun)], [], None, 0
+    while True:
+        least = reduce(DataFrame.unionByName, waiting).agg(F.min("bound")).first()[0]
+        if found >= k or least is None or (max_hops is not None and least > max_hops):
+            break
+        length, everyone = least, reduce(DataFrame.unionByName, waiting)
+        waiting, level = [checkpointed(everyone.where(F.col("bound") > length))], checkpointed(everyone.where(F.col("bound") == length))
+        while not level.isEmpty():
+            grown = level.join(steps, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+            grown = checkpointed(grown.select(F.concat("path", F.array("dst")).alias("path"), (F.col("hops") + 1).alias("hops"), (F.col("confidence") * F.col("more")).alias("confidence"), (F.col("hops") + 1 + F.col("left")).alias("bound")))
+            arrived = F.element_at("path", -1) == F.lit(target)
+            done.append(grown.where(arrived))
+            waiting.append(grown.where(~arrived & (F.col("bound") > length)))
+            level = grown.where(~arrived & (F.col("bound") == length))
+        found = sum(d.count() for d in done)
+    routes = (reduce(DataFrame.unionByName, done) if done else begun.limit(0)).withColumn("route", F.array_join("path", ">"))
+    top = routes.orderBy("hops", "route").limit(k).drop("bound")
+    return top.withColumn("rank", F.row_number().over(Window.orderBy("hops", "route")))  # k rows
 
 
 def cycles(edges: DataFrame, max_length: int) -> DataFrame:

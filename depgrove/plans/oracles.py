@@ -96,6 +96,11 @@ KEYS_OF = "k AS (SELECT s_suppkey AS k, 'supplier-' || s_suppkey AS src FROM sup
 FILES = f"""{KEYS_OF}, {TOLD}, found AS (SELECT src, k, src || '/' || file AS path, line, replace(target, '{{k}}', k::VARCHAR) AS target, type, kind, confidence::DOUBLE AS confidence,
         CASE split_part(file, '.', 2) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'ts' THEN 'javascript' WHEN 'js' THEN 'javascript' ELSE 'terraform' END AS language FROM told JOIN k ON k.k % 8 = told.m)"""
 
+RINGS = """ring AS (SELECT c_nationkey AS n, c_custkey AS k, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS next, min(c_custkey) OVER (PARTITION BY c_nationkey) AS low, max(c_custkey) OVER (PARTITION BY c_nationkey) AS high FROM customer),
+    chain AS (SELECT s_nationkey AS n, s_suppkey AS k, lead(s_suppkey) OVER w AS next, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) AS back FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+    rings AS (SELECT 'customer-' || k AS src, 'customer-' || coalesce(next, low) AS dst FROM ring UNION ALL SELECT 'supplier-' || k, 'supplier-' || next FROM chain WHERE next IS NOT NULL
+        UNION ALL SELECT 'supplier-' || c.k, 'customer-' || CASE WHEN back = 1 THEN low ELSE high END FROM chain c JOIN (SELECT DISTINCT n, low, high FROM ring) r ON r.n = c.n WHERE back <= 2)"""
+
 ORACLES: dict[str, str] = {
     "impact_depth3": _walk("dst", "src", 3) + f" SELECT id AS name, distance, via, {_tier('confidence')} AS confidence_tier FROM found WHERE rn = 1",
     "dependencies_depth2_confident": _walk("src", "dst", 2, "confidence >= 0.5") + f" SELECT id AS name, distance, via, {_tier('confidence')} AS confidence_tier FROM found WHERE rn = 1",
@@ -115,6 +120,35 @@ ORACLES: dict[str, str] = {
         reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id),
         up AS (SELECT r.id, string_agg(DISTINCT e.src, ',' ORDER BY e.src) AS parents FROM reached r JOIN e ON e.dst = r.id JOIN reached p ON p.id = e.src AND p.depth + 1 = r.depth GROUP BY r.id)
         SELECT r.id, r.depth, coalesce(u.parents, '') AS parents, (SELECT count(DISTINCT dst) FROM e WHERE e.src = r.id) AS edges_out FROM reached r LEFT JOIN up u ON u.id = r.id""",
+    "crawl_backward": f"""WITH RECURSIVE {PART_EDGES}, e AS (SELECT * FROM edges WHERE confidence > 0.5), s AS (SELECT dst AS near, src AS far FROM e),
+        walk(id, depth) AS (SELECT unnest(['part-1', 'part-2']), 0 UNION SELECT s.far, w.depth + 1 FROM walk w JOIN s ON s.near = w.id WHERE w.depth < 2),
+        reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id),
+        up AS (SELECT r.id, string_agg(DISTINCT s.near, ',' ORDER BY s.near) AS parents FROM reached r JOIN s ON s.far = r.id JOIN reached p ON p.id = s.near AND p.depth + 1 = r.depth GROUP BY r.id)
+        SELECT r.id, r.depth, coalesce(u.parents, '') AS parents, (SELECT count(DISTINCT dst) FROM e WHERE e.src = r.id) AS edges_out FROM reached r LEFT JOIN up u ON u.id = r.id""",
+    "crawl_both": f"""WITH RECURSIVE {PART_EDGES}, e AS (SELECT * FROM edges WHERE confidence > 0.5), s AS (SELECT dst AS near, src AS far FROM e UNION ALL SELECT src, dst FROM e),
+        walk(id, depth) AS (SELECT unnest(['part-1', 'part-2']), 0 UNION SELECT s.far, w.depth + 1 FROM walk w JOIN s ON s.near = w.id WHERE w.depth < 2),
+        reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id),
+        up AS (SELECT r.id, string_agg(DISTINCT s.near, ',' ORDER BY s.near) AS parents FROM reached r JOIN s ON s.far = r.id JOIN reached p ON p.id = s.near AND p.depth + 1 = r.depth GROUP BY r.id)
+        SELECT r.id, r.depth, coalesce(u.parents, '') AS parents, (SELECT count(DISTINCT dst) FROM e WHERE e.src = r.id) AS edges_out FROM reached r LEFT JOIN up u ON u.id = r.id""",
+    "cycle_membership": f"""WITH RECURSIVE {EVENT_EDGES}, {RINGS}, every AS (SELECT src, dst FROM edges UNION SELECT src, dst FROM rings),
+        walk(a, b) AS (SELECT src, dst FROM edges UNION SELECT w.a, e.dst FROM walk w JOIN edges e ON e.src = w.b),
+        near AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component, count(*) + CASE WHEN bool_or(x.a = x.b) THEN 0 ELSE 1 END AS size FROM walk x JOIN walk y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+        nation AS (SELECT 'customer-' || c_custkey AS id, min('customer-' || c_custkey) OVER w AS component, count(*) OVER w AS size FROM customer WINDOW w AS (PARTITION BY c_nationkey)),
+        ends AS (SELECT src AS id FROM every UNION SELECT dst FROM every)
+        SELECT e.id, coalesce(n.component, c.component, e.id) AS component, coalesce(n.size, c.size, 1)::BIGINT AS size FROM ends e LEFT JOIN near n ON n.id = e.id LEFT JOIN nation c ON c.id = e.id""",
+    "cyclic_dependencies": f"""WITH RECURSIVE {PART_EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE confidence > 0.5),
+        walk(a, b) AS (SELECT src, dst FROM e UNION SELECT w.a, e.dst FROM walk w JOIN e ON e.src = w.b),
+        mutual AS (SELECT x.a AS id, x.b AS other FROM walk x JOIN walk y ON y.a = x.b AND y.b = x.a),
+        named AS (SELECT id, min(other) AS component FROM mutual GROUP BY id)
+        SELECT e.src, e.dst, least(n.component, e.src) AS component FROM e JOIN mutual b ON b.id = e.src AND b.other = e.dst JOIN named n ON n.id = e.src""",
+    "traversal_tags": f"""WITH RECURSIVE {EVENT_EDGES}, {RINGS}, every AS (SELECT src, dst FROM edges UNION ALL SELECT src, dst FROM rings),
+        seen(id) AS (SELECT unnest(['supplier-1', 'supplier-2', 'view']) UNION SELECT e.dst FROM seen s JOIN every e ON e.src = s.id),
+        walk(a, b) AS (SELECT src, dst FROM edges UNION SELECT w.a, e.dst FROM walk w JOIN edges e ON e.src = w.b)
+        SELECT src, dst, CASE WHEN src LIKE 'customer-%' OR EXISTS (SELECT 1 FROM walk w WHERE w.a = e.dst AND w.b = e.src) THEN 'cyclic-dependency' ELSE 'direct-dependency' END AS relationship
+        FROM every e WHERE src IN (SELECT id FROM seen)""",
+    "crawl_cycle_classes": f"""WITH {RINGS}, n AS (SELECT c_nationkey AS n, count(*) AS size, min('customer-' || c_custkey) AS component, string_agg('customer-' || c_custkey, ',' ORDER BY 'customer-' || c_custkey) AS members FROM customer
+            WHERE c_nationkey IN (SELECT s_nationkey FROM supplier) GROUP BY 1)
+        SELECT component, members, size, 'cross_branch' AS kind FROM n""",
     "attenuated_reach": f"""WITH RECURSIVE {EVENT_EDGES}, e AS (SELECT * FROM edges WHERE confidence >= 0.3),
         walk(id, confidence, hops) AS (SELECT dst, confidence, 1 FROM e WHERE src = 'click' UNION ALL SELECT e.dst, w.confidence * e.confidence, w.hops + 1 FROM walk w JOIN e ON e.src = w.id WHERE w.hops < 3 AND w.confidence * e.confidence >= 0.3)
         SELECT id, round(max(confidence), 6) AS confidence FROM walk WHERE id <> 'click' GROUP BY id""",

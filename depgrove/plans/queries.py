@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depgrove.functions import evidence as conf
 from depgrove.functions import text as tx
-from depgrove.operators import changes, classify, codescan, discover, evidence, graph, search, vectors
+from depgrove.operators import changes, classify, codescan, cycles, discover, evidence, graph, search, vectors
 from depgrove.session import checkpointed, table
 from depgrove.sources import derived
 from depgrove.streaming import ingest
@@ -94,6 +94,46 @@ def crawl_two_starts(spark, sf):
     return graph.crawl(edges, starts, "forward", 2).select("id", "depth", F.array_join("parents", ",").alias("parents"), "edges_out")
 
 
+@query
+def crawl_backward(spark, sf):
+    starts = spark.createDataFrame([("part-1",), ("part-2",)], "id string")
+    edges = derived.part_edges(spark, sf).where("confidence > 0.5")
+    return graph.crawl(edges, starts, "backward", 2).select("id", "depth", F.array_join("parents", ",").alias("parents"), "edges_out")
+
+
+@query
+def crawl_both(spark, sf):
+    starts = spark.createDataFrame([("part-1",), ("part-2",)], "id string")
+    edges = derived.part_edges(spark, sf).where("confidence > 0.5")
+    return graph.crawl(edges, starts, "both", 2).select("id", "depth", F.array_join("parents", ",").alias("parents"), "edges_out")
+
+
+@query
+def cycle_membership(spark, sf):
+    """Components of the event graph and of rings of each nation's customers, which hang on chains of suppliers."""
+    events = derived.event_edges(spark, sf).select("src", "dst")
+    return cycles.strongly_connected(events.unionByName(derived.customer_rings(spark, sf)))
+
+
+@query
+def cyclic_dependencies(spark, sf):
+    return cycles.cyclic_edges(derived.part_edges(spark, sf).where("confidence > 0.5").select("src", "dst"))
+
+
+@query
+def traversal_tags(spark, sf):
+    starts = spark.createDataFrame([("supplier-1",), ("supplier-2",), ("view",)], "id string")
+    edges = derived.event_edges(spark, sf).select("src", "dst").unionByName(derived.customer_rings(spark, sf))
+    return cycles.traversed(edges, starts).select("src", "dst", "relationship")
+
+
+@query
+def crawl_cycle_classes(spark, sf):
+    starts = derived.customer_rings(spark, sf).where("src LIKE 'supplier-%'").select(F.col("src").alias("id")).distinct()
+    edges = derived.customer_rings(spark, sf).withColumn("confidence", F.lit(1.0))
+    return cycles.crawl_cycles(edges, starts).select("component", F.array_join("members", ",").alias("members"), "size", "kind")
+
+
 @query
 def attenuated_reach(spark, sf):
     out = graph.attenuated(derived.event_edges(spark, sf), "click", 0.3, 3)

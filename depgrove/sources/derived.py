@@ -27,6 +27,21 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("confidence", F.round(0.5 + 0.5 * F.col("n") / total, 6)).withColumn("type", F.lit("calls"))
 
 
+def customer_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src, dst``: the customers of a nation in a ring, and its suppliers in a chain into the ring; the two last suppliers enter it."""
+    ring = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.lead("c_custkey").over(ring).alias("next"), F.min("c_custkey").over(Window.partitionBy("c_nationkey")).alias("first"))
+    name = lambda kind, key: F.concat(F.lit(f"{kind}-"), key)
+    customers = c.select(name("customer", F.col("c_custkey")).alias("src"), name("customer", F.coalesce("next", "first")).alias("dst"))
+    chain = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.lead("s_suppkey").over(chain).alias("next"), F.lead("s_suppkey", 2).over(chain).alias("after"))
+    chained = s.where("next IS NOT NULL").select(name("supplier", F.col("s_suppkey")).alias("src"), name("supplier", F.col("next")).alias("dst"))
+    doors = c.groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"))
+    entered = s.where("after IS NULL").join(doors, "s_nationkey")
+    door = F.when(F.col("next").isNull(), F.col("low")).otherwise(F.col("high"))
+    return customers.unionByName(chained).unionByName(entered.select(name("supplier", F.col("s_suppkey")).alias("src"), name("customer", door).alias("dst")))
+
+
 def entity_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nations, suppliers and customers as a layered graph; the table gives the component type."""
     nation, supplier, customer = (table(spark, sf_dir, t) for t in ("nation", "supplier", "customer"))
