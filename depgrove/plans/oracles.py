@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from depgrove.operators.classify import KEYWORDS
-from depgrove.plans.queries import LEXICON, PART, TERMS
+from depgrove.plans.queries import INDEX_TERMS, LEXICON, PART, TERMS
 from depgrove.sources.derived import SOURCES
 
 
@@ -58,6 +58,12 @@ CYCLES = f"""WITH RECURSIVE {EVENT_EDGES}, grow(path, first, last, n) AS (SELECT
     cycles AS (SELECT list_append(g.path, g.first) AS cycle, g.n + 1 AS length FROM grow g JOIN edges e ON e.src = g.last AND e.dst = g.first)"""
 LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {})"
 LEX = ", ".join(f"'{x}'" for x in LEXICON)
+EDITED = f"""{DOCS}, edited AS (SELECT doc_id, text || CASE WHEN doc_id LIKE '%5' THEN chr(10) || '### Cache' || chr(10) || chr(10) || 'redis cache, redis-cluster' || chr(10) ELSE '' END AS text FROM docs WHERE doc_id NOT LIKE '%7'
+        UNION ALL SELECT 'new-' || doc_id, text FROM docs WHERE doc_id LIKE '%3'), {LINES.format('edited')},
+    m AS (SELECT *, CASE WHEN starts_with(line, '### ') THEN 3 WHEN starts_with(line, '## ') THEN 2 WHEN starts_with(line, '# ') THEN 1 ELSE 0 END AS level FROM lines),
+    s AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM m),
+    chunks AS (SELECT doc_id, doc_id || '#' || replace(doc_id, 'new-', '') || CASE section WHEN 1 THEN '' WHEN 2 THEN ' > Dependencies' WHEN 3 THEN ' > Notes' ELSE ' > Notes > Cache' END || ':L' || (min(pos) + 1) AS chunk_id,
+        {_tokens("string_agg(line, chr(10) ORDER BY pos)")} AS tokens FROM s GROUP BY doc_id, section)"""
 HITS = "hits AS (SELECT doc_id, pos, line, unnest(list_distinct(" + _tokens("line") + ")) AS name FROM lines), named AS (SELECT * FROM hits WHERE name IN (" + LEX + "))"
 _keys = [(k, t) for t, words in KEYWORDS.items() for k in words]
 KEYS = ", ".join(f"({len(k)}, {i}, '{k}', '{t}')" for i, (k, t) in enumerate(_keys))
@@ -200,6 +206,16 @@ ORACLES: dict[str, str] = {
         s AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM m)
         SELECT doc_id, section::BIGINT AS section, min(pos) + 1 AS start_line, max(pos) + 1 AS end_line, CASE section WHEN 0 THEN '' WHEN 1 THEN doc_id WHEN 2 THEN doc_id || ' > Dependencies' ELSE doc_id || ' > Notes' END AS heading_path,
             string_agg(line, chr(10) ORDER BY pos) AS content FROM s GROUP BY doc_id, section""",
+    "section_tree": f"""WITH {DOCS}, {LINES.format('docs')}, m AS (SELECT *, CASE WHEN starts_with(line, '## ') THEN 2 WHEN starts_with(line, '# ') THEN 1 ELSE 0 END AS level FROM lines),
+        s AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM m), n AS (SELECT doc_id, max(pos) AS last FROM lines GROUP BY doc_id),
+        c AS (SELECT doc_id, section, min(pos) AS line_start, max(pos) AS line_end, max(level) AS level, coalesce(arg_min(left(trim(line), 200), pos) FILTER (level = 0 AND trim(line) <> ''), '') AS summary FROM s GROUP BY doc_id, section)
+        SELECT doc_id, 0::BIGINT AS section, NULL::BIGINT AS parent, 0 AS level, '' AS heading, doc_id AS summary, 0::BIGINT AS line_start, last::BIGINT AS line_end FROM n
+        UNION ALL SELECT doc_id, section::BIGINT, CASE WHEN section = 1 THEN 0 ELSE 1 END, level::INTEGER, CASE section WHEN 1 THEN doc_id WHEN 2 THEN 'Dependencies' ELSE 'Notes' END, summary, line_start::BIGINT, line_end::BIGINT FROM c""",
+    "chunk_index_search": f"""WITH {EDITED}, one AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM chunks), post AS (SELECT chunk_id, doc_id, len(tokens) AS length, unnest(tokens) AS term FROM chunks),
+        tf AS (SELECT chunk_id, doc_id, length, term, count(*) AS tf FROM post WHERE term IN ({", ".join(f"'{x}'" for x in INDEX_TERMS)}) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+        SELECT chunk_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 3 / (tf + 2 * (0.25 + 0.75 * length / mean))), 6) AS score, count(*) AS matched
+        FROM tf JOIN df USING (term), one GROUP BY chunk_id, doc_id ORDER BY score DESC, chunk_id LIMIT 20""",
+    "chunk_index_frequencies": f"WITH {EDITED}, p AS (SELECT DISTINCT chunk_id, unnest(tokens) AS term FROM chunks) SELECT term, count(*) AS df FROM p GROUP BY term",
     "line_windows": f"""WITH d AS (SELECT conv_id AS doc_id, max(text) AS text FROM conversations GROUP BY conv_id), {LINES.format('d')}
         SELECT doc_id, pos, array_to_string(list(line) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), ' ') AS text,
             CASE WHEN pos / count(*) OVER (PARTITION BY doc_id) < 0.3 THEN 0.65::DOUBLE WHEN pos / count(*) OVER (PARTITION BY doc_id) < 0.6 THEN 0.55 ELSE 0.45 END AS weight FROM lines""",

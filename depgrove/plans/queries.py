@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from depgrove.functions import evidence as conf
 from depgrove.functions import text as tx
-from depgrove.operators import changes, classify, codescan, cycles, discover, evidence, graph, search, vectors
-from depgrove.session import checkpointed, table
+from depgrove.operators import changes, chunk_index, classify, codescan, cycles, discover, evidence, graph, search, sections, vectors
+from depgrove.session import checkpointed, shared_folder, table
 from depgrove.sources import derived
 from depgrove.streaming import ingest
 
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Parameters of the registered queries, used by their SQL too.
 PART = "part-1"
 TERMS = ["the", "est", "der", "thand", "that"]
+INDEX_TERMS = ["calls", "dependencies", "redis", "notes", "redis-cluster", "part-1"]
 LEXICON = ["thing", "tion", "sont", "eine", "thand", "edst"]
 
 QUERIES: dict[str, Query] = {}
@@ -329,8 +331,37 @@ def search_snippets(spark, sf):
 
 @query
 def document_chunks(spark, sf):
-    out = tx.chunks(tx.lines(derived.component_documents(spark, sf)))
-    return out.withColumns({"start_line": F.col("start_line").cast("long"), "end_line": F.col("end_line").cast("long")})
+    return sections.chunks(derived.component_documents(spark, sf)).drop("chunk_id")
+
+
+@query
+def section_tree(spark, sf):
+    return sections.tree(derived.component_documents(spark, sf))
+
+
+def edited_documents(docs):
+    """Component documents after an edit: some gone, some with another line, some new under another name."""
+    kept = docs.where("doc_id NOT LIKE '%7'").select("doc_id", F.when(F.col("doc_id").like("%5"), F.concat("text", F.lit("\n### Cache\n\nredis cache, redis-cluster\n"))).otherwise(F.col("text")).alias("text"))
+    return kept.unionByName(docs.where("doc_id LIKE '%3'").select(F.concat(F.lit("new-"), "doc_id").alias("doc_id"), "text"))
+
+
+def updated_index(spark, sf):
+    """An index of the component documents, brought to their edited state."""
+    docs = derived.component_documents(spark, sf).select("doc_id", "text")
+    index = chunk_index.ChunkIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.update(docs)
+    index.update(edited_documents(docs), docs.where("doc_id LIKE '%7'").select("doc_id"))
+    return index
+
+
+@query
+def chunk_index_search(spark, sf):
+    return updated_index(spark, sf).search(INDEX_TERMS, 20)
+
+
+@query
+def chunk_index_frequencies(spark, sf):
+    return updated_index(spark, sf).frequencies()
 
 
 @query
