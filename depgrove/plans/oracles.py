@@ -58,6 +58,10 @@ CYCLES = f"""WITH RECURSIVE {EVENT_EDGES}, grow(path, first, last, n) AS (SELECT
     cycles AS (SELECT list_append(g.path, g.first) AS cycle, g.n + 1 AS length FROM grow g JOIN edges e ON e.src = g.last AND e.dst = g.first)"""
 LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {})"
 LEX = ", ".join(f"'{x}'" for x in LEXICON)
+# Suppliers by kind, each with its number in five digits and the documents of its neighbours, where they exist.
+NAMED = """s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS m FROM supplier), z AS (SELECT k, m, lpad(k::VARCHAR, 5, '0') AS d,
+        'docs/' || CASE m WHEN 0 THEN 'ledger-' || lpad(k::VARCHAR, 5, '0') || '-service' WHEN 1 THEN 'vault-' || lpad(k::VARCHAR, 5, '0') WHEN 2 THEN 'overview-' || lpad(k::VARCHAR, 5, '0') ELSE 'door_' || lpad(k::VARCHAR, 5, '0') END || '.md' AS path FROM s)"""
+_near = lambda n: f"lpad((k + {n})::VARCHAR, 5, '0')"
 EDITED = f"""{DOCS}, edited AS (SELECT doc_id, text || CASE WHEN doc_id LIKE '%5' THEN chr(10) || '### Cache' || chr(10) || chr(10) || 'redis cache, redis-cluster' || chr(10) ELSE '' END AS text FROM docs WHERE doc_id NOT LIKE '%7'
         UNION ALL SELECT 'new-' || doc_id, text FROM docs WHERE doc_id LIKE '%3'), {LINES.format('edited')},
     m AS (SELECT *, CASE WHEN starts_with(line, '### ') THEN 3 WHEN starts_with(line, '## ') THEN 2 WHEN starts_with(line, '# ') THEN 1 ELSE 0 END AS level FROM lines),
@@ -230,6 +234,33 @@ ORACLES: dict[str, str] = {
         SELECT src, dst, CASE WHEN pa / total < 0.3 THEN 0.65::DOUBLE WHEN pa / total < 0.6 THEN 0.55 ELSE 0.45 END AS confidence, doc_id, pa AS pos FROM p WHERE rn = 1""",
     "lexicon_mentions": f"WITH {LINES.format('documents')}, {HITS} SELECT doc_id, name, max(CASE WHEN contains(lower(line), '`' || name || '`') THEN 0.9::DOUBLE ELSE 0.7 END) AS confidence, count(*) AS lines FROM named GROUP BY 1, 2",
     "structural_dependencies": f"WITH {PART_EDGES} SELECT e.src, e.dst, 0.8::DOUBLE AS confidence FROM edges e WHERE e.dst IN (SELECT src FROM edges)",
+    "named_components": f"""WITH {NAMED}, every AS (
+            SELECT 'ledger-' || d || '-service' AS id, 'Ledger ' || d || ' Service' AS name, 'service' AS type, path AS file FROM z WHERE m = 0 UNION ALL SELECT 'vault-' || d || '-database', 'Vault ' || d || ' Database', 'database', path FROM z WHERE m = 1
+            UNION ALL SELECT 'gate-' || d || '-gateway', 'Gate ' || d || ' Gateway', 'api', path FROM z WHERE m = 3 UNION ALL SELECT 'token-' || d, 'token-' || d, 'unknown', path FROM z WHERE m = 2
+            UNION ALL SELECT 'audit-' || d, 'Audit ' || d, 'unknown', path FROM z WHERE m = 2 UNION ALL SELECT 'relay-' || d || '-api', 'Relay ' || d || ' API', 'api', NULL FROM z WHERE m = 2
+            UNION ALL SELECT 'ledger-' || {_near(-2)} || '-service', 'Ledger ' || {_near(-2)} || ' Service', 'service', NULL FROM z WHERE m = 2)
+        SELECT id, min(name) AS name, min(type) AS type, min(file) AS file FROM every GROUP BY id""",
+    "sentence_split": f"""WITH {NAMED} SELECT path, unnest(CASE m
+            WHEN 0 THEN ['Ledger ' || d || ' depends on the Vault ' || {_near(1)} || ' database.', 'It was built in 2020.', 'The ledger calls gate ' || {_near(3)} || ' gateway!']
+            WHEN 1 THEN ['Vault ' || d || ' uses Relay ' || {_near(1)} || ' API.', 'Vault ' || d || ' database connects to Ledger ' || {_near(-1)} || ' service.']
+            WHEN 2 THEN ['Ledger ' || {_near(-2)} || ' Service - books', 'Relay ' || d || ' API: sends', 'Provides: token-' || d || ', Audit ' || d, 'Readers require token-' || d || '.', 'Gate ' || {_near(1)} || ' is forwarded to Ledger ' || {_near(-2)} || '.', 'Needs the vault ' || {_near(-1)} || ' database at night']
+            ELSE ['Door ' || d || ' integrates with the old Ledger ' || {_near(-3)} || ' service today.'] END) AS sentence FROM z""",
+    "entity_relations": f"""WITH {NAMED}, e AS (
+            SELECT path AS src, k + 1 AS j, 'depends-on' AS type, 0.80::DOUBLE AS confidence FROM z WHERE m = 0 UNION ALL SELECT path, k + 3, 'calls', 0.75 FROM z WHERE m = 0
+            UNION ALL SELECT path, k - 1, 'depends-on', 0.65 FROM z WHERE m = 1 UNION ALL SELECT path, k - 1, 'depends-on', 0.70 FROM z WHERE m = 2
+            UNION ALL SELECT path, k - 3, 'calls', 0.75 FROM z WHERE m = 3)
+        SELECT src, z.path AS dst, type, confidence FROM e JOIN z ON z.k = e.j""",
+    "matched_components": f"""WITH {NAMED}, t AS (
+            SELECT 'Ledger ' || d AS text, 'ledger-' || d || '-service' AS id, 'ending' AS stage FROM z WHERE m = 0 UNION SELECT 'Vault ' || {_near(1)} || ' database', 'vault-' || {_near(1)} || '-database', 'id' FROM z WHERE m = 0
+            UNION SELECT 'gate ' || {_near(3)} || ' gateway', 'gate-' || {_near(3)} || '-gateway', 'id' FROM z WHERE m = 0
+            UNION SELECT 'Vault ' || d, 'vault-' || d || '-database', 'alias' FROM z WHERE m = 1 UNION SELECT 'Relay ' || {_near(1)}, 'relay-' || {_near(1)} || '-api', 'ending' FROM z WHERE m = 1
+            UNION SELECT 'Vault ' || d || ' database', 'vault-' || d || '-database', 'id' FROM z WHERE m = 1 UNION SELECT 'Ledger ' || {_near(-1)}, 'ledger-' || {_near(-1)} || '-service', 'ending' FROM z WHERE m = 1
+            UNION SELECT 'token-' || d, 'token-' || d, 'id' FROM z WHERE m = 2 UNION SELECT 'Gate ' || {_near(1)}, 'gate-' || {_near(1)} || '-gateway', 'ending' FROM z WHERE m = 2
+            UNION SELECT 'Ledger ' || {_near(-2)}, 'ledger-' || {_near(-2)} || '-service', 'ending' FROM z WHERE m = 2
+            UNION SELECT 'Door ' || d, 'gate-' || d || '-gateway', 'alias' FROM z WHERE m = 3 UNION SELECT 'old Ledger ' || {_near(-3)} || ' service today', 'ledger-' || {_near(-3)} || '-service', 'inside' FROM z WHERE m = 3),
+        known AS (SELECT 'ledger-' || d || '-service' AS id FROM z WHERE m = 0 UNION SELECT 'ledger-' || {_near(-2)} || '-service' FROM z WHERE m = 2 UNION SELECT 'vault-' || d || '-database' FROM z WHERE m = 1 UNION SELECT 'gate-' || d || '-gateway' FROM z WHERE m = 3
+            UNION SELECT 'token-' || d FROM z WHERE m = 2 UNION SELECT 'relay-' || d || '-api' FROM z WHERE m = 2)
+        SELECT text, id, stage FROM t JOIN known USING (id)""",
     "verb_relations": f"""WITH {PART_EDGES}, t AS (SELECT src, dst, CASE n % 4 WHEN 0 THEN 'depends on' WHEN 1 THEN 'calls' WHEN 2 THEN 'uses' ELSE 'reads from' END AS verb FROM edges)
         SELECT src, dst, {VERB_SCORE} AS confidence, {VERB_TYPE} AS type, 1::BIGINT AS mentions FROM t WHERE verb <> 'reads from'""",
     "link_edges": f"WITH {PART_EDGES} SELECT 'docs/' || src || '.md' AS src, 'docs/' || dst || '.md' AS dst, 'references' AS type, CASE WHEN dst IN (SELECT src FROM edges) THEN 1.0::DOUBLE ELSE 0.5 END AS confidence FROM edges",

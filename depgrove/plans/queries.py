@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from depgrove.functions import evidence as conf
 from depgrove.functions import text as tx
-from depgrove.operators import changes, chunk_index, classify, codescan, cycles, discover, evidence, graph, search, sections, vectors
+from depgrove.operators import changes, chunk_index, classify, codescan, cycles, discover, entities, evidence, graph, search, sections, vectors
 from depgrove.session import checkpointed, shared_folder, table
 from depgrove.sources import derived
 from depgrove.streaming import ingest
@@ -402,6 +402,29 @@ def structural_dependencies(spark, sf):
     return discover.structural(tx.lines(docs), docs.select(F.col("doc_id").alias("name")))
 
 
+@query
+def named_components(spark, sf):
+    return entities.components(derived.service_documents(spark, sf)).select("id", "name", "type", "file")
+
+
+@query
+def sentence_split(spark, sf):
+    return entities.sentences(derived.service_documents(spark, sf)).select("path", "sentence")
+
+
+@query
+def matched_components(spark, sf):
+    docs = derived.service_documents(spark, sf)
+    said = entities.triples(entities.sentences(docs))
+    names = said.select(F.col("subject").alias("text")).unionByName(said.select(F.col("object").alias("text")))
+    return entities.matched(names, checkpointed(entities.components(docs)))
+
+
+@query
+def entity_relations(spark, sf):
+    return entities.relations(derived.service_documents(spark, sf))
+
+
 @query
 def verb_relations(spark, sf):
     return discover.relations(tx.lines(derived.component_documents(spark, sf)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from depgrove.functions.text import title
 from depgrove.session import table
 
 
@@ -76,6 +77,31 @@ def component_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.col("src").alias("doc_id"), F.concat(F.lit("docs/"), "src", F.lit(".md")).alias("path"), text.alias("text"))
 
 
+#: Documents by remainder of the key: path, lines; {0} stands for the key in five digits, {1} {-1} and so on for its neighbours.
+SERVICES = {
+    0: ("docs/ledger-{0}-service.md", ["# Ledger {0} Service", "", "Ledger {0} depends on the Vault {1} database.", "```", "Ledger {0} calls Vault {-3}.", "```", "It was built in 2020. The ledger calls gate {3} gateway!"]),
+    1: ("docs/vault-{0}.md", ["# Vault {0} Database", "", "Vault {0} uses Relay {1} API.", "", "* Vault {0} database connects to Ledger {-1} service."]),
+    2: ("docs/overview-{0}.md", ["1. Ledger {-2} Service - books", "- **Relay {0} API**: sends", "", "Provides: token-{0}, Audit {0}", "Readers require token-{0}.", "Gate {1} is forwarded to Ledger {-2}.", "- Needs the vault {-1} database at night"]),
+    3: ("docs/door_{0}.md", ["# Gate {0} Gateway {#gate}", "", "Door {0} integrates with the old Ledger {-3} service today."]),
+}
+
+
+def service_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, title, text``: a document for every supplier, in four kinds that name one another."""
+    number = lambda n: F.lpad((F.col("s_suppkey") + n).cast("string"), 5, "0")
+
+    def filled(template: str):
+        out = F.lit(template)
+        for n in (0, 1, 3, -1, -2, -3):
+            out = F.replace(out, F.lit("{" + str(n) + "}"), number(n))
+        return out
+
+    kind = F.pmod("s_suppkey", F.lit(4))
+    path = F.coalesce(*[F.when(kind == m, filled(p)) for m, (p, _) in SERVICES.items()])
+    text = F.coalesce(*[F.when(kind == m, filled("\n".join(lines))) for m, (_, lines) in SERVICES.items()])
+    return table(spark, sf_dir, "supplier").select(path.alias("path"), text.alias("text")).withColumn("title", title(F.col("text"), F.col("path")))
+
+
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A connection string for every supplier and customer."""
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("src"), F.col("s_suppkey").alias("k"))
