@@ -109,11 +109,19 @@ def suggestion_score(query: Column, name: Column) -> Column:
 
 def links(text: Column) -> Column:
     """Targets of markdown links that are no web address, without fragment and query."""
-    found = F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"\[[^\[\]]*+\]\(([^)\s]++)\)"), F.lit(1))
     kept = F.filter(found, lambda t: ~F.regexp(t, F.lit(r"^(?:[a-z][a-z0-9+.-]*:|#|//)")))
     return F.transform(kept, lambda t: F.regexp_replace(t, r"[#?].*$", ""))
 
 
+def resolved_path(path: Column) -> Column:
+    """A path without ``.``, empty and ``..`` parts; a ``..`` above the root is left out."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    none = F.array().cast("array<string>")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    return F.array_join(F.aggregate(parts, none, lambda done, p: F.when(p == "..", up(done)).otherwise(F.array_append(done, p))), "/")
+
+
 def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""href=["']([^"']+)["']"""), F.lit(1))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Keywords of the component types, in the order that breaks ties.
+# Keywords of the component types.
 KEYWORDS = {
     "service": ("service", "api", "server", "worker", "backend", "microservice", "app", "application", "rest api", "http endpoint", "graphql", "grpc service", "web service", "endpoint", "controller", "manager", "operator"),
     "database": ("database", "db", "postgres", "postgresql", "mysql", "mariadb", "mongodb", "mongo", "dynamodb", "cockroachdb", "cassandra", "couchdb", "sqlite", "rds", "aurora", "datastore", "store", "data store", "persistence", "relational", "nosql", "sql"),
@@ -25,20 +25,43 @@ KEYWORDS = {
 }
 
 
-def inferred_type(name: Column) -> Column:
-    """``struct<type, confidence>``: exact type .95; keywords .85 and .05 for each further one, .95 at most; else unknown .5.
+# The component types in their canonical order, which breaks ties.
+ORDER = (
+    "service", "database", "cache", "queue", "message-broker", "load-balancer", "gateway", "storage", "container-registry", "config-server", "monitoring", "log-aggregator", "orchestrator", "secrets-manager", "search",
+)
+# Confidence of a type that the first, the second, or a later context names.
+CONTEXT_CONFIDENCE = (0.75, 0.70, 0.65)
 
-    The longest keyword decides; among equally long ones the first type in order.
+
+def inferred_type(name: Column, *context: Column) -> Column:
+    """``struct<type, confidence>``: exact type .95; keywords .85 and .05 for each further one, .95 at most; then the context; else unknown .5.
+
+    The longest keyword decides; among equally long ones the first type in ORDER.  Of
+    the contexts (the title first) the first that holds a keyword decides, again by the
+    first type in ORDER.  A null name is unknown.
     """
-    low = F.lower(name)
-    pairs = [(k, t) for t, words in KEYWORDS.items() for k in words]
+    low = F.coalesce(F.lower(name), F.lit(""))
+    pairs = [(k, t) for t in ORDER for k in KEYWORDS[t]]
     rows = F.array(*[F.struct(F.lit(len(k)).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("k"), F.lit(t).alias("type")) for i, (k, t) in enumerate(pairs)])
     hits = F.filter(rows, lambda r: F.contains(low, r["k"]))
     best = F.array_max(hits)["type"]
     count = F.size(F.filter(hits, lambda r: r["type"] == best))
     score = F.round(F.least(F.lit(0.95), 0.85 + 0.05 * (count - 1)), 4)
     exact = low.isin(*KEYWORDS)
-    return F.struct(F.when(exact, low).when(F.size(hits) > 0, best).otherwise("unknown").alias("type"), F.when(exact, 0.95).when(F.size(hits) > 0, score).otherwise(0.5).alias("confidence"))
+    kind, value = F.when(exact, low).when(F.size(hits) > 0, best), F.when(exact, 0.95).when(F.size(hits) > 0, score)
+    for i, text in enumerate(context):
+        around = F.coalesce(F.lower(text), F.lit(""))
+        first = F.get(F.filter(rows, lambda r: F.contains(around, r["k"])), F.lit(0))["type"]  # noqa: B023  used at once
+        kind, value = kind.when(first.isNotNull(), first), value.when(first.isNotNull(), CONTEXT_CONFIDENCE[min(i, 2)])
+    return F.struct(kind.otherwise("unknown").alias("type"), value.otherwise(0.5).alias("confidence"))
+
+
+def seeded_type(name: Column, mappings: list[tuple[str, str]]) -> Column:
+    """``struct<type, confidence>`` by the first (pattern, type) that fits, null if none: ``x*`` is a prefix, others a substring, in either case."""
+    low = F.lower(name)
+    fits = lambda p: F.startswith(low, F.lit(p[:-1])) if p.endswith("*") else F.contains(low, F.lit(p))
+    found = [F.when(fits(p.lower()), F.struct(F.lit(t).alias("type"), F.lit(1.0).alias("confidence"))) for p, t in mappings]
+    return F.coalesce(*found) if found else F.lit(None).cast("struct<type: string, confidence: double>")
 
 
 def detected(nodes: DataFrame, degrees: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depgrove.functions.text import DEPENDENCY_SECTIONS, VERB_FORMS, VERBS, chunks, links, tokens
+from depgrove.functions.text import DEPENDENCY_SECTIONS, VERB_FORMS, VERBS, chunks, links, resolved_path, tokens
 
 
 def windows(rows: DataFrame, size: int = 5) -> DataFrame:
@@ -85,7 +85,7 @@ def link_edges(docs: DataFrame, paths: DataFrame) -> DataFrame:
     """``src, dst, type, confidence``: relative links; 1.0 where the target is a known path, else 0.5."""
     found = docs.select(F.col("path").alias("src"), F.explode(F.array_distinct(links(F.col("text")))).alias("target"))
     folder = F.regexp_extract("src", "^(.*/)", 1)
-    clean = F.regexp_replace(F.when(F.startswith("target", F.lit("/")), F.substring("target", 2, 1 << 20)).otherwise(F.concat(folder, F.regexp_replace("target", r"^(?:\./)+", ""))), r"[^/]+/\.\./", "")
+    clean = resolved_path(F.when(F.startswith("target", F.lit("/")), F.col("target")).otherwise(F.concat(folder, "target")))
     edges = found.select("src", clean.alias("dst")).where((F.col("dst") != "") & (F.col("src") != F.col("dst"))).distinct()
     return edges.join(paths.select(F.col("path").alias("dst"), F.lit(1.0).alias("known")), "dst", "left").select("src", "dst", F.lit("references").alias("type"), F.coalesce("known", F.lit(0.5)).alias("confidence"))
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depgrove.operators.codescan import is_noise
+
 from depgrove.functions.evidence import noisy_or
 from depgrove.schemas import ALGORITHM_WEIGHTS, OTHER_ALGORITHM_WEIGHT
 
@@ -126,9 +128,9 @@ def boosted(signals: DataFrame, hint: str = "comment_hint", value: float = 0.5)
 def with_registry(edges: DataFrame, registry: DataFrame) -> DataFrame:
     """``src, dst, type, confidence``: a pair of the registry raises the first edge of that pair (by type), or is a ``mentions`` edge of its own.
 
-    The registry has one row for each pair.
+    Of several registry rows of a pair the most certain counts.
     """
-    given = registry.select(*PAIR, F.col("confidence").alias("given"))
+    given = registry.groupBy(*PAIR).agg(F.max("confidence").alias("given"))
     turn = F.row_number().over(Window.partitionBy(*PAIR).orderBy("type", F.col("confidence").desc()))
     both = edges.select(*PAIR, "type", "confidence").withColumn("turn", turn).join(given, PAIR, "full")
     value = F.when(F.coalesce("turn", F.lit(1)) == 1, F.greatest("confidence", "given")).otherwise(F.col("confidence"))
@@ -136,9 +138,9 @@ def with_registry(edges: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def with_missing_nodes(nodes: DataFrame, edges: DataFrame, types: DataFrame) -> DataFrame:
-    """``id, title, component_type`` of all nodes and of the edges' ends that are none yet, typed by ``types`` (``id, component_type``) or ``unknown``."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
-    stubs = ends.join(types.select("id", "component_type"), "id", "left").select("id", F.col("id").alias("title"), F.coalesce("component_type", F.lit("unknown")).alias("component_type"))
+    """``id, title, component_type`` of all nodes and of the edges' ends that are none yet, typed by ``types`` (``id, component_type``) or ``unknown``; ends that are noise get none."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().where(~is_noise(F.col("id"))).join(nodes.select("id"), "id", "left_anti")
+    stubs = ends.join(types.groupBy("id").agg(F.min("component_type").alias("component_type")), "id", "left").select("id", F.col("id").alias("title"), F.coalesce("component_type", F.lit("unknown")).alias("component_type"))
     return nodes.select("id", "title", "component_type").unionByName(stubs)
 
 

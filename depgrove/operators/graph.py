@@ -34,7 +34,7 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "forward", depth
     ``direction`` is forward, backward or both; ``depth`` None means no limit.
     """
     hops = reduce(DataFrame.unionByName, [edges.select(F.col(a).alias("id"), F.col(b).alias("next")) for a, b in _steps(direction)]).distinct()
-    if depth is None or depth > 3:
+    if depth is None or depth > 1:
         hops = checkpointed(hops)
     seen = starts.select("id").distinct().withColumn("distance", F.lit(0))
     frontier, level = seen, 0

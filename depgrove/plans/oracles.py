@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from depgrove.operators.classify import KEYWORDS
 from depgrove.plans.queries import INDEX_TERMS, LEXICON, PART, TERMS
 from depgrove.sources.derived import SOURCES
 
@@ -69,7 +68,26 @@ EDITED = f"""{DOCS}, edited AS (SELECT doc_id, text || CASE WHEN doc_id LIKE '%5
     chunks AS (SELECT doc_id, doc_id || '#' || replace(doc_id, 'new-', '') || CASE section WHEN 1 THEN '' WHEN 2 THEN ' > Dependencies' WHEN 3 THEN ' > Notes' ELSE ' > Notes > Cache' END || ':L' || (min(pos) + 1) AS chunk_id,
         {_tokens("string_agg(line, chr(10) ORDER BY pos)")} AS tokens FROM s GROUP BY doc_id, section)"""
 HITS = "hits AS (SELECT doc_id, pos, line, unnest(list_distinct(" + _tokens("line") + ")) AS name FROM lines), named AS (SELECT * FROM hits WHERE name IN (" + LEX + "))"
-_keys = [(k, t) for t, words in KEYWORDS.items() for k in words]
+# Fixed values, kept apart from the operators' own: keywords of the component types, and the types in canonical order.
+KEYWORDS = {
+    "service": ("service", "api", "server", "worker", "backend", "microservice", "app", "application", "rest api", "http endpoint", "graphql", "grpc service", "web service", "endpoint", "controller", "manager", "operator"),
+    "database": ("database", "db", "postgres", "postgresql", "mysql", "mariadb", "mongodb", "mongo", "dynamodb", "cockroachdb", "cassandra", "couchdb", "sqlite", "rds", "aurora", "datastore", "store", "data store", "persistence", "relational", "nosql", "sql"),
+    "cache": ("cache", "redis", "memcached", "memcache", "varnish", "cdn", "elasticache"),
+    "queue": ("queue", "sqs", "celery", "sidekiq", "delayed-job", "bull", "beanstalkd"),
+    "message-broker": ("kafka", "rabbitmq", "rabbit", "nats", "pulsar", "kinesis", "eventbridge", "event-bus", "message-broker", "broker", "event-stream", "pub/sub", "pubsub", "event streaming", "streaming platform"),
+    "load-balancer": ("load-balancer", "loadbalancer", "lb", "haproxy", "envoy", "alb", "elb", "nlb", "reverse proxy", "nginx", "proxy"),
+    "gateway": ("gateway", "api-gateway", "kong", "traefik", "ambassador", "ingress"),
+    "storage": ("storage", "s3", "gcs", "minio", "blob", "bucket", "object-store", "file-store"),
+    "monitoring": ("monitoring", "prometheus", "datadog", "grafana", "new-relic", "newrelic", "nagios", "pagerduty", "alertmanager", "observability"),
+    "search": ("search", "elasticsearch", "solr", "algolia", "meilisearch", "opensearch"),
+    "container-registry": ("registry", "ecr", "gcr", "docker-hub", "harbor", "container-registry"),
+    "config-server": ("config", "consul", "etcd", "vault", "config-server", "spring-cloud-config", "zookeeper"),
+    "log-aggregator": ("log", "logging", "elasticsearch", "elk", "splunk", "loki", "fluentd", "logstash", "kibana", "log-aggregator"),
+    "orchestrator": ("orchestrator", "kubernetes", "k8s", "nomad", "mesos", "docker-swarm", "swarm", "openshift", "rancher"),
+    "secrets-manager": ("secrets-manager", "secrets", "vault", "aws-secrets-manager", "secretsmanager", "azure-key-vault", "key-vault"),
+}
+ORDER = "service database cache queue message-broker load-balancer gateway storage container-registry config-server monitoring log-aggregator orchestrator secrets-manager search".split()
+_keys = [(k, t) for t in ORDER for k in KEYWORDS[t]]
 KEYS = ", ".join(f"({len(k)}, {i}, '{k}', '{t}')" for i, (k, t) in enumerate(_keys))
 VERB_TYPE = "CASE verb WHEN 'depends on' THEN 'depends-on' WHEN 'calls' THEN 'calls' WHEN 'uses' THEN 'mentions' END"
 VERB_SCORE = "CASE verb WHEN 'depends on' THEN 0.80::DOUBLE WHEN 'calls' THEN 0.75 WHEN 'uses' THEN 0.70 END"
@@ -200,6 +218,12 @@ ORACLES: dict[str, str] = {
         tf AS (SELECT doc_id, length, term, count(*) AS tf FROM post WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
         SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 3 / (tf + 2 * (0.25 + 0.75 * length / mean))), 6) AS score, count(*) AS matched
         FROM tf JOIN df USING (term) JOIN q USING (term), one GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""",
+    "suggest_names": f"""WITH {ENTITIES}, n AS (SELECT DISTINCT id AS name, lower(id) AS low FROM nodes), q AS (SELECT 'suplier 1' AS q),
+        s AS (SELECT name, (CASE WHEN contains(low, q) OR contains(q, low) THEN 2 ELSE 0 END + CASE WHEN left(q, 3) = left(low, 3) THEN 1 ELSE 0 END
+            + len(list_intersect(list_filter(string_split_regex(q, '[._/\\s-]+'), lambda t: length(t) >= 2 AND t NOT IN ('svc', 'app', 'the')), list_filter(string_split_regex(low, '[._/\\s-]+'), lambda t: length(t) >= 2 AND t NOT IN ('svc', 'app', 'the')))))::INTEGER AS score FROM n, q)
+        SELECT name, score FROM s WHERE score > 0 ORDER BY score DESC, name LIMIT 5""",
+    "search_snippets": f"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS flat FROM documents WHERE contains(lower(text), '{TERMS[3]}')), a AS (SELECT *, strpos(lower(flat), '{TERMS[3]}') AS place FROM d)
+        SELECT doc_id, CASE WHEN place > 0 THEN substr(flat, greatest(place - 30, 1)::BIGINT, {60 + len(TERMS[3])}) ELSE left(flat, 60) END AS snippet FROM a""",
     "term_stats": f"WITH t AS (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM p GROUP BY term",
     "corpus_stats": f"""SELECT count(*) AS n, round(avg(len({_tokens("coalesce(text, '')")})), 4) AS mean_length FROM documents""",
     "tfidf_pairs": f"""WITH t AS (SELECT page_id AS doc_id, unnest({_tokens("regexp_replace(html, '<[^>]*>', ' ', 'g')")}) AS term FROM pages), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
