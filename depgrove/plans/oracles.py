@@ -285,6 +285,13 @@ ORACLES: dict[str, str] = {
         known AS (SELECT 'ledger-' || d || '-service' AS id FROM z WHERE m = 0 UNION SELECT 'ledger-' || {_near(-2)} || '-service' FROM z WHERE m = 2 UNION SELECT 'vault-' || d || '-database' FROM z WHERE m = 1 UNION SELECT 'gate-' || d || '-gateway' FROM z WHERE m = 3
             UNION SELECT 'token-' || d FROM z WHERE m = 2 UNION SELECT 'relay-' || d || '-api' FROM z WHERE m = 2)
         SELECT text, id, stage FROM t JOIN known USING (id)""",
+    "registry_components": f"""WITH {NAMED} SELECT regexp_extract(path, '([^/]+)[.]md$', 1) AS id, CASE m WHEN 0 THEN 'Ledger ' || d || ' Service' WHEN 1 THEN 'Vault ' || d || ' Database' WHEN 2 THEN 'overview-' || d ELSE 'Gate ' || d || ' Gateway {{#gate}}' END AS name,
+        CASE m WHEN 0 THEN 'service' WHEN 1 THEN 'config-server' ELSE 'unknown' END AS type, path AS file FROM z""",
+    "registry_relations": f"""WITH {PART_EDGES}, t AS (SELECT src, dst, n % 4 AS verb, dst IN (SELECT src FROM edges) AS known FROM edges),
+        s AS (SELECT src, dst, 'link' AS kind, '' AS evidence, CASE WHEN known THEN 1.0::DOUBLE ELSE 0.5 END AS confidence FROM t
+            UNION ALL SELECT src, dst, 'mention', CASE verb WHEN 0 THEN 'stated: depends-on' WHEN 1 THEN 'stated: calls' ELSE 'stated: mentions' END, CASE verb WHEN 0 THEN 0.8 WHEN 1 THEN 0.75 ELSE 0.7 END FROM t WHERE verb < 3
+            UNION ALL SELECT src, dst, 'mention', 'listed', 0.8 FROM t WHERE known)
+        SELECT src, dst, max(confidence) AS confidence, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS signals, arg_max(evidence, [confidence::VARCHAR, evidence]) FILTER (kind = 'mention') AS mention FROM s GROUP BY src, dst""",
     "verb_relations": f"""WITH {PART_EDGES}, t AS (SELECT src, dst, CASE n % 4 WHEN 0 THEN 'depends on' WHEN 1 THEN 'calls' WHEN 2 THEN 'uses' ELSE 'reads from' END AS verb FROM edges)
         SELECT src, dst, {VERB_SCORE} AS confidence, {VERB_TYPE} AS type, 1::BIGINT AS mentions FROM t WHERE verb <> 'reads from'""",
     "link_edges": f"WITH {PART_EDGES} SELECT 'docs/' || src || '.md' AS src, 'docs/' || dst || '.md' AS dst, 'references' AS type, CASE WHEN dst IN (SELECT src FROM edges) THEN 1.0::DOUBLE ELSE 0.5 END AS confidence FROM edges",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from depgrove.functions import evidence as conf
 from depgrove.functions import text as tx
-from depgrove.operators import changes, chunk_index, classify, codescan, cycles, discover, entities, evidence, graph, search, sections, vectors
+from depgrove.operators import changes, chunk_index, classify, codescan, cycles, discover, entities, evidence, graph, registry, search, sections, vectors
 from depgrove.session import checkpointed, shared_folder, table
 from depgrove.sources import derived
 from depgrove.streaming import ingest
@@ -425,6 +425,23 @@ def entity_relations(spark, sf):
     return entities.relations(derived.service_documents(spark, sf))
 
 
+@query
+def registry_components(spark, sf):
+    return registry.components(derived.service_documents(spark, sf).select(F.col("path").alias("id"), "title"))
+
+
+@query
+def registry_relations(spark, sf):
+    """Links, stated relations and listed dependencies of the component documents in one registry."""
+    docs = derived.component_documents(spark, sf)
+    rows = tx.lines(docs)
+    linked = registry.signals(discover.link_edges(docs, docs.select("path")), "link", F.col("dst"))
+    stated = registry.signals(discover.relations(rows), "mention", F.concat(F.lit("stated: "), "type"))
+    listed = registry.signals(discover.structural(rows, docs.select(F.col("doc_id").alias("name"))).select(F.col("src").cast("string").alias("src"), "dst", "confidence"), "mention", F.lit("listed"))
+    out = registry.relations(registry.united(linked, stated, listed, linked))
+    return out.select("src", "dst", "confidence", F.array_join(F.map_keys("by_kind"), ",").alias("kinds"), "signals", F.col("by_kind")["mention"]["evidence"].alias("mention"))
+
+
 @query
 def verb_relations(spark, sf):
     return discover.relations(tx.lines(derived.component_documents(spark, sf)))

@@ -146,3 +146,34 @@ def test_nearest_to_each_agrees_with_nearest(spark, sf_dir):
     assert set(got) == {r["vec_id"] for r in v.where("vec_id % 100 = 0").collect()} and len(got) > 1
     for q in sorted(got)[:3]:
         assert got[q] == {(r["vec_id"], r["similarity"]) for r in vectors.nearest(v, q, 10).collect()}
+
+
+def test_types_from_context_ties_and_seeds(spark):
+    rows = [("elasticsearch", None, None), ("x", "My Cache", None), ("x", None, "postgres here"), ("x", "y", None), (None, None, None), ("Database", "", "")]
+    names = spark.createDataFrame(rows, "n string, title string, head string")
+    got = [(r["t"]["type"], r["t"]["confidence"]) for r in names.select(classify.inferred_type(F.col("n"), F.col("title"), F.col("head")).alias("t")).collect()]
+    assert got == [("log-aggregator", 0.85), ("cache", 0.75), ("database", 0.70), ("unknown", 0.5), ("unknown", 0.5), ("database", 0.95)]
+    seeds = [("redis*", "cache"), ("pay", "gateway"), ("red", "queue")]
+    names = spark.createDataFrame([("Redis-1",), ("a-redis",), ("Payments",), ("none",), (None,)], "n string")
+    got = [r["t"] and r["t"]["type"] for r in names.select(classify.seeded_type(F.col("n"), seeds).alias("t")).collect()]
+    assert got == ["cache", "queue", "gateway", None, None]
+    assert names.select(classify.seeded_type(F.col("n"), []).alias("t")).first()["t"] is None
+
+
+def test_paths_of_links_and_noise(spark):
+    paths = ["a/b/../y.md", "a/b/././z.md", "a/b/../../c.md", "../../x.md", "/a//b.md", "a/..", ""]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string").select(tx.resolved_path(F.col("p"))).collect()]
+    assert got == ["a/y.md", "a/b/z.md", "c.md", "x.md", "a/b.md", "", ""]
+    docs = spark.createDataFrame([("d/e/f.md", "[x](../../g.md) [y](./h.md#top) [z](/i.md) [self](f.md) ![p](../q.png) [" + "[" * 50_000)], "path string, text string")
+    found = {r["dst"]: r["confidence"] for r in discover.link_edges(docs, spark.createDataFrame([("g.md",)], "path string")).collect()}
+    assert found == {"g.md": 1.0, "d/e/h.md": 0.5, "i.md": 0.5, "d/q.png": 0.5}
+    nodes = spark.createDataFrame([("svc", "", "service")], "id string, title string, component_type string")
+    edges = spark.createDataFrame([("svc", "the"), ("svc", "x"), ("svc", "api.example.io"), ("svc", "cache-1"), ("svc", "cache-1")], "src string, dst string")
+    types = spark.createDataFrame([("cache-1", "cache"), ("cache-1", "queue")], "id string, component_type string")
+    assert [(r["id"], r["component_type"]) for r in evidence.with_missing_nodes(nodes, edges, types).orderBy("id").collect()] == [("cache-1", "cache"), ("svc", "service")]
+
+
+def test_registry_rows_of_a_pair_count_once(spark):
+    edges = spark.createDataFrame([("a", "b", "calls", 0.5)], "src string, dst string, type string, confidence double")
+    registry = spark.createDataFrame([("a", "b", 0.6), ("a", "b", 0.9), ("c", "d", 0.7)], "src string, dst string, confidence double")
+    assert sorted(map(tuple, evidence.with_registry(edges, registry).collect())) == [("a", "b", "calls", 0.9), ("c", "d", "mentions", 0.7)]
