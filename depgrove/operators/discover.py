@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depgrove.functions.text import DEPENDENCY_SECTIONS, VERB_FORMS, VERBS, chunks, links, resolved_path, tokens
+from depgrove.functions.text import DEPENDENCY_SECTIONS, VERB_FORMS, VERBS, links, resolved_path, tokens
+from depgrove.operators.sections import chunks
 
 
 def windows(rows: DataFrame, size: int = 5) -> DataFrame:
@@ -43,17 +44,17 @@ def cooccurrence(rows: DataFrame, lexicon: DataFrame, size: int = 5) -> DataFram
     return best.select("src", "dst", position_weight(F.col("pa") / F.col("total")).alias("confidence"), "doc_id", F.col("pa").alias("pos"))
 
 
-def dependency_sections(rows: DataFrame) -> DataFrame:
-    """Chunks whose heading names dependencies."""
+def dependency_sections(docs: DataFrame) -> DataFrame:
+    """Chunks of ``doc_id, text`` documents whose heading names dependencies."""
     last = F.lower(F.element_at(F.split(F.col("heading_path"), " > "), -1))
-    return chunks(rows).where(last.rlike("|".join(DEPENDENCY_SECTIONS)))
+    return chunks(docs).where(last.rlike("|".join(DEPENDENCY_SECTIONS)))
 
 
-def structural(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+def structural(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``src, dst, confidence``: names listed in a document's dependency sections; table rows count less."""
-    inside = dependency_sections(rows).select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
+    inside = dependency_sections(docs).select("doc_id", F.explode(F.split("content", "\n", -1)).alias("line"))
     kind = F.when(F.startswith(F.ltrim("line"), F.lit("|")), 0.75).when(F.lower("line").rlike(r"depends on|requires"), 0.85).otherwise(0.8)
-    hits = lexicon_hits(inside, lexicon).join(inside.withColumn("confidence", kind), ["doc_id", "pos"])
+    hits = inside.select("doc_id", kind.alias("confidence"), F.explode(F.array_distinct(tokens(F.col("line")))).alias("name")).join(lexicon.select("name"), "name")
     return hits.groupBy(F.col("doc_id").alias("src"), F.col("name").alias("dst")).agg(F.max("confidence").alias("confidence")).where(F.col("src").cast("string") != F.col("dst"))
 
 
@@ -92,9 +93,10 @@ def link_edges(docs: DataFrame, paths: DataFrame) -> DataFrame:
 
 def mentions(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``doc_id, name, confidence, lines``: code ticks .9, elsewhere .7; the best line counts."""
-    hits = lexicon_hits(rows, lexicon).join(rows, ["doc_id", "pos"])
-    ticked = F.contains(F.lower("line"), F.concat(F.lit("`"), F.col("name"), F.lit("`")))
-    return hits.groupBy("doc_id", "name").agg(F.max(F.when(ticked, 0.9).otherwise(0.7)).alias("confidence"), F.count(F.lit(1)).alias("lines"))
+    ticked = lambda t: F.contains(F.lower("line"), F.concat(F.lit("`"), t, F.lit("`")))
+    words = rows.select("doc_id", F.explode(F.transform(F.array_distinct(tokens(F.col("line"))), lambda t: F.struct(t.alias("name"), ticked(t).alias("ticked")))).alias("w")).select("doc_id", "w.name", "w.ticked")
+    hits = words.join(lexicon.select("name"), "name")
+    return hits.groupBy("doc_id", "name").agg(F.max(F.when(F.col("ticked"), 0.9).otherwise(0.7)).alias("confidence"), F.count(F.lit(1)).alias("lines"))
 
 
 # Name, type, pattern, confidence of infrastructure named in prose; iam counts only beside a word of use.

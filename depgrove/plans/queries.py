@@ -399,7 +399,7 @@ def lexicon_mentions(spark, sf):
 @query
 def structural_dependencies(spark, sf):
     docs = derived.component_documents(spark, sf)
-    return discover.structural(tx.lines(docs), docs.select(F.col("doc_id").alias("name")))
+    return discover.structural(docs, docs.select(F.col("doc_id").alias("name")))
 
 
 @query
@@ -437,7 +437,7 @@ def registry_relations(spark, sf):
     rows = tx.lines(docs)
     linked = registry.signals(discover.link_edges(docs, docs.select("path")), "link", F.col("dst"))
     stated = registry.signals(discover.relations(rows), "mention", F.concat(F.lit("stated: "), "type"))
-    listed = registry.signals(discover.structural(rows, docs.select(F.col("doc_id").alias("name"))).select(F.col("src").cast("string").alias("src"), "dst", "confidence"), "mention", F.lit("listed"))
+    listed = registry.signals(discover.structural(docs, docs.select(F.col("doc_id").alias("name"))).select(F.col("src").cast("string").alias("src"), "dst", "confidence"), "mention", F.lit("listed"))
     out = registry.relations(registry.united(linked, stated, listed, linked))
     return out.select("src", "dst", "confidence", F.array_join(F.map_keys("by_kind"), ",").alias("kinds"), "signals", F.col("by_kind")["mention"]["evidence"].alias("mention"))
 

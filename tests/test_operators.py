@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from depgrove.functions import evidence as conf
 from depgrove.functions import text as tx
-from depgrove.operators import changes, classify, codescan, discover, evidence, search, vectors
+from depgrove.operators import changes, classify, codescan, discover, evidence, search, sections, vectors
 from depgrove.sources import files
 
 
@@ -37,8 +37,8 @@ def test_text_functions(spark):
 
 def test_chunks_follow_headings(spark):
     text = "intro\n# A\na\n## B\nb\n# C\n### D\nd"
-    lines = tx.lines(spark.createDataFrame([("x", text)], "doc_id string, text string"))
-    got = sorted((r["section"], r["start_line"], r["end_line"], r["heading_path"]) for r in tx.chunks(lines).collect())
+    docs = spark.createDataFrame([("x", text)], "doc_id string, text string")
+    got = sorted((r["section"], r["start_line"], r["end_line"], r["heading_path"]) for r in sections.chunks(docs).collect())
     assert got == [(0, 1, 1, ""), (1, 2, 3, "A"), (2, 4, 5, "A > B"), (3, 6, 6, "C"), (4, 7, 8, "C > D")]
 
 
