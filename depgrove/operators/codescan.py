@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from depgrove.functions.text import connection_target, connection_type
 from depgrove.operators.lexing import scanned
+from depgrove.operators.manifests import gomod_signals
 from depgrove.session import checkpointed
 
 # Extension, language.
@@ -513,7 +514,7 @@ def signals(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     lang = language(F.col("path"))
     code = files.where(lang.isNotNull() & F.col("content").isNotNull()).withColumn("language", lang).where(~is_test(F.col("path"), F.col("language")))
     told = checkpointed(scanned(code))
-    parts = [call_signals(told), decorator_signals(told), comment_signals(told, known), variable_signals(told), terraform_signals(told), tfvars_signals(files)]
+    parts = [call_signals(told), decorator_signals(told), comment_signals(told, known), variable_signals(told), terraform_signals(told), tfvars_signals(files), gomod_signals(files)]
     return reduce(DataFrame.unionByName, parts).select(*SIGNAL)
 
 

@@ -107,6 +107,7 @@ TOLD = """told(m, file, line, target, type, kind, confidence) AS (VALUES
     (3, 'web.py', 19, 'topic', 'message-broker', 'queue_consumer', 0.85),
     (4, 'server.go', 4, 'gone-{k}', 'service', 'comment_hint', 0.4), (4, 'server.go', 5, 'store-{k}.main', 'unknown', 'comment_hint', 0.4), (4, 'server.go', 8, 'mq-{k}', 'message-broker', 'queue_producer', 0.85),
     (4, 'server.go', 9, 'http', 'service', 'http_call', 0.9), (4, 'server.go', 10, 'http', 'service', 'http_server', 0.95), (4, 'server.go', 10, 'the', 'unknown', 'comment_hint', 0.4),
+    (4, 'go.mod', 2, 'redis', 'cache', 'sdk_import', 0.9), (4, 'go.mod', 5, 'aws-s3', 'storage', 'sdk_import', 0.9), (4, 'go.mod', 7, 'postgres', 'database', 'sdk_import', 0.85),
     (5, 'worker.js', 5, 'grid-{k}', 'unknown', 'comment_hint', 0.4), (5, 'worker.js', 7, 'hook-{k}', 'service', 'http_call', 0.9), (5, 'worker.js', 8, 'redis', 'cache', 'cache_client', 0.85),
     (5, 'worker.js', 9, 'docs-{k}', 'database', 'db_connection', 0.85), (5, 'worker.js', 11, 'KAFKA_BROKERS', 'message-broker', 'env_var_ref', 0.7),
     (6, 'main.tf', 2, 'aws_db_instance.orders_{k}', 'database', 'terraform_resource', 0.92), (6, 'main.tf', 5, 'aws_sns_topic.events', 'message-broker', 'terraform_dependency', 0.9),
@@ -122,7 +123,7 @@ TOLD = """told(m, file, line, target, type, kind, confidence) AS (VALUES
 SOURCE_LINES = "SELECT * FROM (VALUES " + ", ".join("({}, '{}', {}, '{}')".format(m, name, n, line.replace("'", "''")) for m, files in SOURCES.items() for name, lines in files for n, line in enumerate(lines, 1)) + ") AS t(m, file, line, said)"
 KEYS_OF = "k AS (SELECT s_suppkey AS k, 'supplier-' || s_suppkey AS src FROM supplier UNION ALL SELECT c_custkey, 'customer-' || c_custkey FROM customer)"
 FILES = f"""{KEYS_OF}, {TOLD}, found AS (SELECT src, k, src || '/' || file AS path, line, replace(target, '{{k}}', k::VARCHAR) AS target, type, kind, confidence::DOUBLE AS confidence,
-        CASE split_part(file, '.', 2) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'ts' THEN 'javascript' WHEN 'js' THEN 'javascript' ELSE 'terraform' END AS language FROM told JOIN k ON k.k % 8 = told.m)"""
+        CASE split_part(file, '.', 2) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'mod' THEN 'go' WHEN 'ts' THEN 'javascript' WHEN 'js' THEN 'javascript' ELSE 'terraform' END AS language FROM told JOIN k ON k.k % 8 = told.m)"""
 
 RINGS = """ring AS (SELECT c_nationkey AS n, c_custkey AS k, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS next, min(c_custkey) OVER (PARTITION BY c_nationkey) AS low, max(c_custkey) OVER (PARTITION BY c_nationkey) AS high FROM customer),
     chain AS (SELECT s_nationkey AS n, s_suppkey AS k, lead(s_suppkey) OVER w AS next, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) AS back FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
@@ -359,7 +360,7 @@ ORACLES: dict[str, str] = {
     "environment_references": f"WITH {FILES} SELECT path, target AS name FROM found WHERE kind = 'env_var_ref' AND path NOT LIKE '%.tfvars'",
     "endpoint_pairs": f"WITH {KEYS_OF} SELECT src || CASE k % 8 WHEN 0 THEN '/app.py' WHEN 1 THEN '/main.go' ELSE '/index.ts' END AS path, 'GET /v1/items/' || k AS endpoint FROM k WHERE k % 8 < 3",
     "code_signals": f"""WITH {FILES}, text AS ({SOURCE_LINES})
-        SELECT path AS file_path, f.line::BIGINT AS line_number, target AS target_component, type AS target_type, kind AS signal_type, language, confidence, trim(replace(said, '{{k}}', k::VARCHAR), ' ' || chr(9)) AS evidence
+        SELECT path AS file_path, f.line::BIGINT AS line_number, target AS target_component, type AS target_type, kind AS signal_type, language, confidence, CASE WHEN path LIKE '%go.mod' THEN regexp_extract(replace(said, '{{k}}', k::VARCHAR), '[^ \t]+ v[0-9][^ ]*') ELSE trim(replace(said, '{{k}}', k::VARCHAR), ' ' || chr(9)) END AS evidence
         FROM found f JOIN text t ON t.m = f.k % 8 AND t.file = split_part(f.path, '/', 2) AND t.line = f.line""",
     "code_graph": f"WITH {FILES} SELECT src, target AS dst, max(confidence) AS confidence, count(*) AS evidence FROM found WHERE length(target) >= 3 AND target <> 'the' GROUP BY src, target",
     "code_signal_kinds": f"WITH {FILES} SELECT language, kind AS signal_type, count(*) AS n FROM found GROUP BY 1, 2",

@@ -143,6 +143,9 @@ SOURCES = {
     4: [("server.go", [
         "package main", 'import "net/http"', 'import amqp "github.com/rabbitmq/amqp091-go"', '/* http.Get("http://gone-{k}")', " * reads from store-{k}.main", " */", "func main() {",
         '\tconn, _ := amqp.Dial("amqp://mq-{k}:5672")', '\thttp.Get("http://" + host)', '\thttp.ListenAndServe(":8080", nil) // talks to the peer-{k}', "}", "",
+    ]), ("go.mod", [
+        "module example/server", "require github.com/redis/go-redis/v9 v9.0.{k}", "require (", "\tgithub.com/aws/aws-sdk-go-v2 v1.0.0", "\tgithub.com/aws/aws-sdk-go-v2/service/s3 v1.2.0 // the bucket",
+        "\tgithub.com/lib/pq v1.10.0 // indirect", "\tgithub.com/jackc/pgx/v5 v5.1.0", "\tgithub.com/redis/go-redis/extra v9.0.0", ")", "replace (", "\tgithub.com/nats-io/nats.go v1.0.0 => ../nats", ")", "exclude github.com/IBM/sarama v1.0.0", "",
     ])],
     5: [("worker.js", [
         "const axios = require('axios')", "const { createClient, Pool: Db } = require('redis')", "const { MongoClient } = await import('mongodb')", "/**", " * connects to grid-{k}", " */",

@@ -61,6 +61,13 @@ def test_terraform_depth_lists_and_references(spark):
     assert told(spark, ".terraform/m.tf", 'resource "aws_lb" "x" {') == []
 
 
+def test_modules_that_a_manifest_requires(spark):
+    assert told(spark, "x/go.mod", "require (", "  k8s.io/client-go v0.1.0", "  github.com/jackc/pgxx v1.0.0", '  "github.com/IBM/sarama" v1.2.3+incompatible', ")", "require github.com/aws/aws-sdk-go v1.0.0", "require()", "exclude (", " gorm.io/gorm v1.0.0", ")") == [
+        (2, "kubernetes", "orchestrator", "sdk_import", 0.85), (4, "kafka", "message-broker", "sdk_import", 0.9), (6, "aws", "cloud-platform", "sdk_import", 0.7),
+    ]
+    assert told(spark, "go.mod", "") == [] and told(spark, "not-go.mod", "require gorm.io/gorm v1.0.0") == []
+
+
 def test_files_that_are_tests_null_or_unknown_give_nothing(spark):
     code = "import requests\nrequests.get('http://a-1')"
     paths = ["test_a.py", "a_test.py", "conftest.py", "x/a.spec.ts", "a.test.js", "a_test.go", "a.rb", "noextension"]
