@@ -178,6 +178,13 @@ ORACLES: dict[str, str] = {
     "crawl_cycle_classes": f"""WITH {RINGS}, n AS (SELECT c_nationkey AS n, count(*) AS size, min('customer-' || c_custkey) AS component, string_agg('customer-' || c_custkey, ',' ORDER BY 'customer-' || c_custkey) AS members FROM customer
             WHERE c_nationkey IN (SELECT s_nationkey FROM supplier) GROUP BY 1)
         SELECT component, members, size, 'cross_branch' AS kind FROM n""",
+    "documented_context": f"""WITH RECURSIVE {DOCS}, s AS (SELECT src AS near, dst AS far FROM edges UNION SELECT dst, src FROM edges),
+        walk(id, depth) AS (SELECT '{PART}', 0 UNION SELECT s.far, w.depth + 1 FROM walk w JOIN s ON s.near = w.id WHERE w.depth < 2),
+        reached AS (SELECT id, min(depth) AS distance FROM walk GROUP BY id),
+        r AS (SELECT id, distance, text, length(text) AS size, coalesce(sum(length(text)) OVER (ORDER BY distance, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM reached JOIN docs ON doc_id = id)
+        SELECT id, distance, least(size, 20000 - before)::BIGINT AS taken, md5(substr(text, 1, least(size, 20000 - before)::BIGINT)) AS digest, size > 20000 - before AS cut FROM r WHERE before < 20000""",
+    "context_relations": f"""WITH {PART_EDGES}, n AS (SELECT '{PART}' AS id UNION SELECT dst FROM edges WHERE src = '{PART}' UNION SELECT src FROM edges WHERE dst = '{PART}')
+        SELECT src AS id, dst AS other, 'depends_on' AS relation, confidence FROM edges WHERE src IN (SELECT id FROM n) UNION ALL SELECT dst, src, 'used_by', confidence FROM edges WHERE dst IN (SELECT id FROM n)""",
     "attenuated_reach": f"""WITH RECURSIVE {EVENT_EDGES}, e AS (SELECT * FROM edges WHERE confidence >= 0.3),
         walk(id, confidence, hops) AS (SELECT dst, confidence, 1 FROM e WHERE src = 'click' UNION ALL SELECT e.dst, w.confidence * e.confidence, w.hops + 1 FROM walk w JOIN e ON e.src = w.id WHERE w.hops < 3 AND w.confidence * e.confidence >= 0.3)
         SELECT id, round(max(confidence), 6) AS confidence FROM walk WHERE id <> 'click' GROUP BY id""",

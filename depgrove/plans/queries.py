@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from depgrove.functions import evidence as conf
 from depgrove.functions import text as tx
-from depgrove.operators import changes, chunk_index, classify, codescan, cycles, discover, entities, evidence, graph, registry, search, sections, vectors
+from depgrove.operators import changes, chunk_index, classify, codescan, context, cycles, discover, entities, evidence, graph, registry, search, sections, vectors
 from depgrove.session import checkpointed, shared_folder, table
 from depgrove.sources import derived
 from depgrove.streaming import ingest
@@ -136,6 +136,18 @@ def crawl_cycle_classes(spark, sf):
     return cycles.crawl_cycles(edges, starts).select("component", F.array_join("members", ",").alias("members"), "size", "kind")
 
 
+@query
+def documented_context(spark, sf):
+    docs = derived.component_documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    found = context.documented(derived.part_edges(spark, sf), PART, docs, 2, 20_000)
+    return found.select("id", "distance", F.length("text").cast("long").alias("taken"), F.md5(F.col("text").cast("binary")).alias("digest"), "cut")
+
+
+@query
+def context_relations(spark, sf):
+    return context.related(derived.part_edges(spark, sf), PART, 2)
+
+
 @query
 def attenuated_reach(spark, sf):
     out = graph.attenuated(derived.event_edges(spark, sf), "click", 0.3, 3)
