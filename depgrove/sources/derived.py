@@ -172,5 +172,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("src"), F.col("s_suppkey").alias("k"))
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer-"), "c_custkey").alias("src"), F.col("c_custkey").alias("k"))
     shapes = F.create_map(*[x for m, files in SOURCES.items() for x in (F.lit(m), F.array(*[F.struct(F.lit(name).alias("name"), F.lit("\n".join(lines)).alias("text")) for name, lines in files]))])
-    rows = s.unionByName(c).select("src", F.col("k").cast("string").alias("k"), F.explode(shapes[F.pmod("k", F.lit(8)).cast("int")]).alias("file"))
+    # the keys are few bytes in few files, what is made of them is not
+    keys = s.unionByName(c).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src")
+    rows = keys.select("src", F.col("k").cast("string").alias("k"), F.explode(shapes[F.pmod("k", F.lit(8)).cast("int")]).alias("file"))
     return rows.select("src", F.concat_ws("/", "src", "file.name").alias("path"), F.replace("file.text", F.lit("{k}"), F.col("k")).alias("content"))
