@@ -97,8 +97,8 @@ def test_cross_reference_stages(spark):
 @pytest.mark.parametrize("run", ["a", " ", "\n", "(", '"', "`", "a.", "'''", "/*", "#", "new ", "$A", "a(", "import ", "{ "])
 def test_long_runs_take_linear_time(language, run):
     begin = time.process_time()
-    lexing.scan(language, run * (300_000 // len(run)))
-    assert time.process_time() - begin < 4
+    lexing.scan(language, run * (100_000 // len(run)))
+    assert time.process_time() - begin < 2
 
 
 def test_long_comments_take_linear_time(spark):
