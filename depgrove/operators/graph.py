@@ -16,6 +16,8 @@ from depgrove.session import checkpointed
 
 #: Depth that stands for no limit in crawls.
 MOST_DEPTH = 100
+#: Levels that a reach without a limit walks one by one before it shortens what is left.
+LEVELS = 12
 
 
 def filtered(edges: DataFrame, min_confidence: float = 0.0, source_type: str | None = None) -> DataFrame:
@@ -31,7 +33,9 @@ def _steps(direction: str) -> list[tuple[str, str]]:
 def reach(edges: DataFrame, starts: DataFrame, direction: str = "forward", depth: int | None = None) -> DataFrame:
     """``id, distance`` of everything reachable from ``starts(id)``, the starts at 0.
 
-    ``direction`` is forward, backward or both; ``depth`` None means no limit.
+    ``direction`` is forward, backward or both; ``depth`` None means no limit.  A reach
+    without a limit that goes on after ``LEVELS`` levels shortens the chains and trees of the
+    rest, so a chain of n nodes costs about log n rounds.
     """
     hops = reduce(DataFrame.unionByName, [edges.select(F.col(a).alias("id"), F.col(b).alias("next")) for a, b in _steps(direction)]).distinct()
     if depth is None or depth > 1:
@@ -39,6 +43,10 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "forward", depth
     seen = starts.select("id").distinct().withColumn("distance", F.lit(0))
     frontier, level = seen, 0
     while depth is None or level < depth:
+        if depth is None and level == LEVELS:
+            done = seen.join(frontier.select("id"), "id", "left_anti").select("id")
+            ahead = hops.join(seen.select(F.col("id").alias("next")), "next", "left_anti").join(done, "id", "left_anti")
+            return seen.unionByName(_reached_far(checkpointed(ahead.select(F.col("id").alias("src"), F.col("next").alias("dst"), F.lit(1).alias("w"))), frontier))
         level += 1
         found = frontier.join(hops, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = checkpointed(found.withColumn("distance", F.lit(level)))
@@ -48,6 +56,48 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "forward", depth
     return seen
 
 
+def _reached_far(rest: DataFrame, starts: DataFrame) -> DataFrame:
+    """``id, distance`` of what ``rest(src, dst, w)`` leads to from ``starts(id, distance)``, themselves left out; no edge leads into a start.
+
+    A node with one way in hangs on the node it comes from.  Such trees are climbed by
+    doubling, so one of n levels takes log n rounds, and the ways out of their nodes go
+    out of what they hang on, with the weights added up.  What has several ways in is
+    walked by levels of better distances; then the trees get theirs, last ones first.
+    """
+    rounds = []
+    while True:
+        into = rest.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("ins"), F.min("src").alias("up"), F.min("w").alias("w"))
+        into = checkpointed(into)
+        single, live = into.where("ins = 1"), starts.select("id").unionByName(into.where("ins > 1").select("id"))
+        if single.isEmpty():
+            break
+        tree = checkpointed(single.select("id", "up", "w").join(single.select(F.col("id").alias("up"), F.lit(True).alias("open")), "up", "left").select("id", "up", "w", "open"))
+        left = tree.where("open").count()
+        while left:
+            over = tree.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("w").alias("more"), F.col("open").alias("on"))
+            climbed = tree.where("open").join(over, "up").select("id", F.col("top").alias("up"), (F.col("w") + F.col("more")).alias("w"), F.col("on").alias("open"))
+            tree = checkpointed(tree.where("open IS NULL").unionByName(climbed))
+            before, left = left, tree.where("open").count()
+            if left == before:  # they hang on a ring that nothing leads into
+                break
+        hung = tree.where("open IS NULL").select("id", "up", "w")
+        rounds.append(hung)
+        rest = rest.join(single.select(F.col("id").alias("dst")), "dst", "left_anti").join(hung.select(F.col("id").alias("src"), "up", F.col("w").alias("more")), "src", "left")
+        moved = rest.select(F.coalesce("up", "src").alias("src"), "dst", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w")).where("src != dst")
+        rest = checkpointed(moved.join(live.withColumnRenamed("id", "src"), "src", "left_semi").groupBy("src", "dst").agg(F.min("w").alias("w")))
+    changed = known = starts.select("id", "distance")
+    while not rest.isEmpty():
+        sent = changed.withColumnRenamed("id", "src").join(rest, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("sent"))
+        changed = checkpointed(sent.join(known, "id", "left").where("distance IS NULL OR sent < distance").select("id", F.col("sent").alias("distance")))
+        if changed.isEmpty():
+            break
+        known = checkpointed(known.unionByName(changed).groupBy("id").agg(F.min("distance").alias("distance")))
+    for hung in reversed(rounds):
+        back = hung.join(known.withColumnRenamed("id", "up"), "up").select("id", (F.col("distance") + F.col("w")).alias("distance"))
+        known = known.unionByName(checkpointed(back))
+    return known.join(starts.select("id"), "id", "left_anti")
+
+
 def discovered(edges: DataFrame, reached: DataFrame, direction: str = "forward") -> DataFrame:
     """One edge per reached node: the least (other end, type) that leads from one level to the next."""
     near, far = ("src", "dst") if direction == "forward" else ("dst", "src")

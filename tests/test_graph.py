@@ -59,3 +59,22 @@ def test_warnings_and_stats(spark, edges):
     assert (empty["nodes"], empty["edges"], empty["quality_score"]) == (0, 0, 0.0)
     assert sum(r["edges"] for r in graph.tier_distribution(edges).collect()) == 6
     assert rows(graph.degrees(edges).where("id = 'payment-api'"), "incoming_edges", "outgoing_edges") == [(2, 2)]
+
+
+def test_a_far_reach_takes_few_rounds(spark, monkeypatch):
+    """Chains, a ring with two doors, branches, parallel ways, rings and ends that nothing leads to: distances as by levels."""
+    chain = [(f"a{i:03d}", f"a{i + 1:03d}") for i in range(300)]
+    ring = [(f"r{i:03d}", f"r{(i + 1) % 200:03d}") for i in range(200)]
+    doors = [("a299", "r000"), ("a300", "r150"), ("a010", "b"), ("b", "a090"), ("a290", "r190"), ("r020", "a005"), ("r033", "t1"), ("t1", "t2"), ("r033", "t2"), ("t2", "r100")]
+    lost = [("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("x3", "r007"), ("y1", "y2"), ("y2", "r050"), ("x2", "z")]
+    pairs = chain + ring + doors + lost
+    want, level, n = {"a000": 0}, ["a000"], 0
+    while level:
+        n += 1
+        level = sorted({b for a, b in pairs if a in level} - set(want))
+        want |= dict.fromkeys(level, n)
+    written, write = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: written.append(1) or write(df))
+    found = graph.reach(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([("a000",)], "id string"))
+    assert {r["id"]: r["distance"] for r in found.collect()} == want and found.count() == len(want)
+    assert max(want.values()) > 400 and len(written) < 80
