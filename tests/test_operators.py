@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,19 @@ def test_registry_rows_of_a_pair_count_once(spark):
     edges = spark.createDataFrame([("a", "b", "calls", 0.5)], "src string, dst string, type string, confidence double")
     registry = spark.createDataFrame([("a", "b", 0.6), ("a", "b", 0.9), ("c", "d", 0.7)], "src string, dst string, confidence double")
     assert sorted(map(tuple, evidence.with_registry(edges, registry).collect())) == [("a", "b", "calls", 0.9), ("c", "d", "mentions", 0.7)]
+
+
+def test_similar_documents_hold_no_rows_of_pairs(spark):
+    """Blocks of 7 documents, a term in all of them: the pairs of a plain join, and no join of documents with documents in the plan."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(["common", *(draw.choice(words[: 10 + i]) for _ in range(i % 9 * 3))])) for i in range(40)] + [(40, None), (41, "")]
+    post = search.postings(spark.createDataFrame(docs, "doc_id long, text string"))
+    by = {}
+    for r in search.tfidf(post, 42).collect():
+        by.setdefault(r["doc_id"], {})[r["term"]] = r["w"]
+    want = {(a, b): sum(w * by[b].get(t, 0) for t, w in by[a].items()) for a in by for b in by if a < b}
+    found = search.similar_documents(post, 42, 0.3, block=7)
+    got = {(r["a"], r["b"]): r["similarity"] for r in found.collect()}
+    assert got and got.keys() == {p for p, s in want.items() if round(s, 6) >= 0.3} and all(abs(s - want[p]) < 1e-6 for p, s in got.items())
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
