@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,23 +28,106 @@ def nearest(vectors: DataFrame, query_id, k: int = 10) -> DataFrame:
     return scored.select("vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("similarity")).orderBy(F.col("similarity").desc(), "vec_id").limit(k)
 
 
-#: Blocks that the rows are dealt to; each of them meets every query.
-BLOCKS = 64
+#: Vectors in a block, blocks of rows at least, products that a task holds at once.
+BLOCK, LEAST_BLOCKS, PRODUCTS = 32_768, 8, 2_000_000
+#: Places of similarities that are no number and of those that are null, above and below all others; of a row beside itself.
+NAN, NULL, SELF = 3.0, -3.0, -9.0
 
 
-def nearest_to_each(vectors: DataFrame, is_query: Column, k: int = 10, blocks: int = BLOCKS) -> DataFrame:
+def nearest_to_each(vectors: DataFrame, is_query: Column, k: int = 10, blocks: int | None = None) -> DataFrame:
     """``query_id, vec_id, similarity`` of the k vectors nearest to each row that ``is_query`` holds for, itself left out.
 
-    Queries go to every block of rows; a block keeps its k best for a query, then the
-    blocks' best are compared.  ``vec_id`` is unique.
+    Every block of queries meets every block of rows in a task of its own, as a product
+    of two matrices; the k best of a query leave it, then the blocks' best are compared.
+    The work grows with queries times rows, the memory of a task does not.  ``vec_id`` is
+    unique; ``blocks`` sets the number of blocks of rows.
     """
-    rows = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    queries = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scored = rows.join(queries, "block").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "block", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("similarity"))
+    given = vectors.where("vec_id IS NOT NULL")
+    size = given.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
+    across, down = blocks or max(LEAST_BLOCKS, -(-size["n"] // BLOCK)), max(1, -(-size["q"] // BLOCK))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = given.select("vec_id", "embedding", F.lit(False).alias("asks"), dealt(across).alias("i")).select("*", every(down).alias("j"))
+    queries = given.where(is_query).select("vec_id", "embedding", F.lit(True).alias("asks"), dealt(down).alias("j")).select("vec_id", "embedding", "asks", every(across).alias("i"), "j")
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+
+    def best(rows: pa.Table) -> pa.Table:
+        x, y, s = _best(rows, k)
+        ids = rows["vec_id"].combine_chunks()
+        return pa.table({"query_id": ids.take(pa.array(x)), "vec_id": ids.take(pa.array(y)), "similarity": pa.array(s, mask=np.equal(s, NULL))})
+
+    scored = rows.unionByName(queries).groupBy("i", "j").applyInArrow(best, f"query_id {kind}, vec_id {kind}, similarity double")
+    scored = scored.withColumn("similarity", F.round("similarity", 6))
     order = [F.col("similarity").desc(), F.col("vec_id")]
-    for keys in (["query_id", "block"], ["query_id"]):
-        scored = scored.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("at") <= k)
-    return scored.select("query_id", "vec_id", "similarity")
+    return scored.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("at") <= k).select("query_id", "vec_id", "similarity")
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, added up from left to right as ``dot`` does."""
+    total = np.zeros(len(a))
+    for at in range(a.shape[1]):
+        total += a[:, at] * b[:, at]
+    return total
+
+
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """Millionths, halves away from zero by the decimal text, as Spark rounds."""
+    scaled = np.abs(values) * 1e6
+    out = np.floor(scaled + 0.5)
+    for at in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-5):
+        out[at] = int(Decimal(repr(abs(float(values[at])))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP))
+    return np.copysign(out, values) + 0.0
+
+
+def _best(rows: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of the k rows nearest to each, with their cosine."""
+    asks, lists = rows["asks"].to_numpy(), rows["embedding"].combine_chunks()
+    ids = rows["vec_id"].combine_chunks()
+    order = pc.sort_indices(ids).to_numpy()
+    rank = np.empty(len(order), np.int64)  # of equal ids, a query and its own row, the same rank
+    ordered = ids.take(pa.array(order))
+    rank[order] = np.concatenate([[0], np.cumsum(pc.not_equal(ordered[1:], ordered[:-1]).to_numpy(zero_copy_only=False))]) if len(order) else []
+    start, values = lists.offsets.to_numpy(), lists.values
+    empty = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+    size = np.where(lists.is_null().to_numpy(zero_copy_only=False) | (empty[start[1:]] > empty[start[:-1]]), 0, np.diff(start))
+    flat = pc.fill_null(values, 0).to_numpy(zero_copy_only=False).astype(np.float64)
+    queries, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    step = max(1, PRODUCTS // max(1, len(others)))
+    by = {}
+    for n in np.unique(size[size > 0]):
+        whole = np.flatnonzero(size == n)
+        each = flat[start[whole][:, None] + np.arange(n)]
+        by[n] = whole, each, np.sqrt(_summed(each, each))
+    for at in range(0, len(queries) if len(others) else 0, step):
+        some = queries[at : at + step]
+        near = np.full((len(some), len(rows)), NULL)
+        with np.errstate(all="ignore"):
+            for whole, each, length in by.values():
+                mine = np.flatnonzero(np.isin(some, whole))
+                p = np.searchsorted(whole, some[mine])
+                norm = length[p][:, None] * length[None, :]
+                s = (each[p] @ each.T) / norm
+                near[np.ix_(mine, whole)] = np.where(np.isnan(norm), NAN, np.where(norm > 0, np.where(np.isnan(s), NAN, s), NULL))
+        near = near[:, others]
+        near[rank[some][:, None] == rank[others][None, :]] = SELF
+        least = np.partition(near, -k, axis=1)[:, -k] if len(others) > k else np.full(len(some), SELF)
+        x, y = np.nonzero((near >= least[:, None] - 3e-6) & (near > SELF))
+        value = near[x, y]
+        real = np.flatnonzero((value != NAN) & (value != NULL))
+        q, r = some[x[real]], others[y[real]]
+        for n, (whole, each, length) in by.items():
+            here = size[q] == n
+            a, b = np.searchsorted(whole, q[here]), np.searchsorted(whole, r[here])
+            value[real[here]] = _summed(each[a], each[b]) / (length[b] * length[a])
+        millionths = _rounded(value)
+        sort = np.lexsort((rank[others[y]], -millionths, x))
+        x, y, value = x[sort], y[sort], value[sort]
+        first = np.searchsorted(x, np.arange(len(some)))
+        kept = np.arange(len(x)) - first[x] < k
+        out.append((some[x[kept]], others[y[kept]], value[kept]))
+    x, y, s = (np.concatenate(parts) for parts in zip(*out))
+    return x, y, np.where(s == NAN, np.nan, s)
 
 
 def centroids(vectors: DataFrame) -> DataFrame:

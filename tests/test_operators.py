@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from depgrove.functions import evidence as conf
@@ -195,3 +196,20 @@ def test_similar_documents_hold_no_rows_of_pairs(spark):
     got = {(r["a"], r["b"]): r["similarity"] for r in found.collect()}
     assert got and got.keys() == {p for p, s in want.items() if round(s, 6) >= 0.3} and all(abs(s - want[p]) < 1e-6 for p, s in got.items())
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_to_each_holds_no_rows_of_pairs(spark):
+    """Copies, ties, zero, short, empty and null vectors, no numbers: as by comparing all pairs, and no join in the plan."""
+    draw = random.Random(3)
+    rows = [(i, [round(draw.uniform(-1, 1), 1) for _ in range(3)]) for i in range(60)] + [(60 + i, [0.5, 0.5, 0.5]) for i in range(15)]
+    rows += [(80, [0.0, 0.0, 0.0]), (81, [1.0]), (82, []), (83, None), (84, [1.0, None, 0.0]), (85, [float("nan"), 1.0, 0.0]), (86, [float("inf"), 1.0, 0.0]), (None, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asks = F.col("vec_id") % 5 == 0
+    q = df.where(asks).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    s = df.crossJoin(q).where("vec_id != query_id").select("query_id", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("query")), 6).alias("similarity"))
+    want = s.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where("at <= 6").drop("at")
+    for blocks in (None, 1):
+        found = vectors.nearest_to_each(df, asks, 6, blocks)
+        text = lambda d: sorted(map(str, d.collect()))
+        assert text(found) == text(want)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
