@@ -30,6 +30,7 @@ def documented(edges: DataFrame, component, docs: DataFrame, depth: int = 2, bud
 def related(edges: DataFrame, component, depth: int = 2) -> DataFrame:
     """``id, other, relation, confidence``: what each component that a walk expands depends on and is used by."""
     start = edges.sparkSession.createDataFrame([(component,)], "id string").select(F.col("id").cast(edges.schema["src"].dataType))
+    edges = checkpointed(edges.select("src", "dst", "confidence"))  # read three times
     expanded = checkpointed(reach(edges, start, "both", depth).where(F.col("distance") < depth).select("id"))
     out = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("depends_on").alias("relation"), "confidence")
     back = edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit("used_by").alias("relation"), "confidence")

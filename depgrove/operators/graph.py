@@ -37,16 +37,16 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "forward", depth
     without a limit that goes on after ``LEVELS`` levels shortens the chains and trees of the
     rest, so a chain of n nodes costs about log n rounds.
     """
-    hops = reduce(DataFrame.unionByName, [edges.select(F.col(a).alias("id"), F.col(b).alias("next")) for a, b in _steps(direction)]).distinct()
     if depth is None or depth > 1:
-        hops = checkpointed(hops)
+        edges = checkpointed(edges.select("src", "dst"))  # made once, read at every level in every direction
+    hops = reduce(DataFrame.unionByName, [edges.select(F.col(a).alias("id"), F.col(b).alias("next")) for a, b in _steps(direction)])
     seen = starts.select("id").distinct().withColumn("distance", F.lit(0))
     frontier, level = seen, 0
     while depth is None or level < depth:
         if depth is None and level == LEVELS:
             done = seen.join(frontier.select("id"), "id", "left_anti").select("id")
             ahead = hops.join(seen.select(F.col("id").alias("next")), "next", "left_anti").join(done, "id", "left_anti")
-            return seen.unionByName(_reached_far(checkpointed(ahead.select(F.col("id").alias("src"), F.col("next").alias("dst"), F.lit(1).alias("w"))), frontier))
+            return seen.unionByName(_reached_far(checkpointed(ahead.select(F.col("id").alias("src"), F.col("next").alias("dst"), F.lit(1).alias("w")).distinct()), frontier))
         level += 1
         found = frontier.join(hops, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = checkpointed(found.withColumn("distance", F.lit(level)))

@@ -9,12 +9,23 @@ from depgrove.functions.text import title
 from depgrove.session import table
 
 
+#: Rows that a task gets at most on average where a table is dealt out by a key.
+ROWS = 500_000
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``df`` of about ``n`` rows by keys, on more tasks where the session's number of partitions would give each over ``ROWS`` rows."""
+    parts = -(-n // ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive parts inside an order; more orders make an edge more certain."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    n = rows.count()  # from the footers
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    pairs = rows.withColumn("next", F.lead("l_partkey").over(order)).where(F.col("next").isNotNull() & (F.col("next") != F.col("l_partkey")))
-    counted = pairs.groupBy(F.col("l_partkey").alias("src"), F.col("next").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = dealt(rows, n, "l_orderkey").withColumn("next", F.lead("l_partkey").over(order)).where(F.col("next").isNotNull() & (F.col("next") != F.col("l_partkey")))
+    counted = dealt(pairs.select(F.col("l_partkey").alias("src"), F.col("next").alias("dst")), n, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     named = counted.select(F.concat(F.lit("part-"), F.col("src")).alias("src"), F.concat(F.lit("part-"), F.col("dst")).alias("dst"), "n")
     return named.withColumns({"type": F.lit("depends-on"), "confidence": F.round(1 - F.pow(F.lit(0.5), F.col("n")), 6), "source_type": F.when(F.col("n") > 1, "both").otherwise("markdown")})
 
@@ -72,7 +83,7 @@ def component_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = part_edges(spark, sf_dir)
     verb = F.element_at(F.array(*[F.lit(v) for v in ("depends on", "calls", "uses", "reads from")]), (F.pmod("n", F.lit(4)) + 1).cast("int"))
     row = F.struct("dst", F.concat("src", F.lit(" "), verb, F.lit(" "), "dst", F.lit(".")).alias("prose"), F.concat(F.lit("- ["), "dst", F.lit("](./"), "dst", F.lit(".md)")).alias("item"))
-    grouped = edges.groupBy("src").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    grouped = dealt(edges, table(spark, sf_dir, "lineitem").count(), "src").groupBy("src").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     text = F.concat(F.lit("# "), "src", F.lit("\n\nOverview.\n\n## Dependencies\n\n"), F.array_join(F.transform("rows", lambda r: r["item"]), "\n"), F.lit("\n\n## Notes\n\n"), F.array_join(F.transform("rows", lambda r: r["prose"]), "\n"), F.lit("\n"))
     return grouped.select(F.col("src").alias("doc_id"), F.concat(F.lit("docs/"), "src", F.lit(".md")).alias("path"), text.alias("text"))
 

@@ -1,6 +1,7 @@
 import pytest
 
 from depgrove.operators import context
+from depgrove.sources import derived
 
 
 def test_documents_around_a_component_under_a_budget(spark):
@@ -15,3 +16,12 @@ def test_documents_around_a_component_under_a_budget(spark):
         context.documented(edges, "payment", docs, 1, 0)
     got = sorted(map(tuple, context.related(edges, "payment", 1).collect()))
     assert got == [("payment", "auth", "depends_on", 0.9), ("payment", "user", "depends_on", 0.8), ("payment", "web", "used_by", 0.7)]
+
+
+def test_larger_tables_go_to_more_tasks(spark, sf_dir, monkeypatch):
+    few = derived.part_edges(spark, sf_dir)
+    want = sorted(map(str, few.collect()))
+    monkeypatch.setattr(derived, "ROWS", 700)
+    many = derived.part_edges(spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert many.rdd.getNumPartitions() == -(-n // 700) > 4 and sorted(map(str, many.collect())) == want
