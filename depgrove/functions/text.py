@@ -32,6 +32,8 @@ VERB_FORMS = (
     (r"(?:validates?|authenticates?|verifies?)\s+(?:via|through|using)", "depends on"),
     (r"is\s+(?:submitted|sent|forwarded|passed)\s+to", "calls"),
 )
+#: Every verb form holds one of these.
+VERB_STEMS = ("depend", "require", "call", "invoke", "use", "integrate", "connect", "provide", "expose", "export", "communicate", "talk", "send", "validate", "authenticate", "verif", "submitted", "sent", "forwarded", "passed")
 # Words of headings whose sections list relations.
 DEPENDENCY_SECTIONS = ("dependencies", "depends on", "requires", "prerequisites", "calls", "integrates", "integration points", "integration", "related services", "related")
 # Scheme of an address, type of what it leads to.
@@ -119,7 +121,8 @@ def resolved_path(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
     none = F.array().cast("array<string>")
     up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-    return F.array_join(F.aggregate(parts, none, lambda done, p: F.when(p == "..", up(done)).otherwise(F.array_append(done, p))), "/")
+    walked = F.array_join(F.aggregate(parts, none, lambda done, p: F.when(p == "..", up(done)).otherwise(F.array_append(done, p))), "/")
+    return F.when(F.regexp(path, F.lit(r"(?:^|/)\.{0,2}(?:/|$)")), walked).otherwise(path)
 
 
 def hrefs(html: Column) -> Column:

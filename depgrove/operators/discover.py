@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depgrove.functions.text import DEPENDENCY_SECTIONS, VERB_FORMS, VERBS, links, resolved_path, tokens
+from depgrove.functions.text import DEPENDENCY_SECTIONS, VERB_FORMS, VERB_STEMS, VERBS, links, resolved_path, tokens
 from depgrove.operators.sections import chunks
 
 
@@ -52,9 +55,16 @@ def dependency_sections(docs: DataFrame) -> DataFrame:
 
 def structural(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``src, dst, confidence``: names listed in a document's dependency sections; table rows count less."""
-    inside = dependency_sections(docs).select("doc_id", F.explode(F.split("content", "\n", -1)).alias("line"))
-    kind = F.when(F.startswith(F.ltrim("line"), F.lit("|")), 0.75).when(F.lower("line").rlike(r"depends on|requires"), 0.85).otherwise(0.8)
-    hits = inside.select("doc_id", kind.alias("confidence"), F.explode(F.array_distinct(tokens(F.col("line")))).alias("name")).join(lexicon.select("name"), "name")
+    inside = dependency_sections(docs).select("doc_id", "content")
+    row = lambda line: F.startswith(F.ltrim(line), F.lit("|"))
+    stated = lambda text: F.lower(text).rlike(r"depends on|requires")
+    of = lambda kept: F.array_join(F.filter(F.split("content", "\n", -1), kept), "\n")
+    # a section gives a name once for each kind of line, so a word that all lines share is no row for each of them
+    tables = F.when(F.contains("content", F.lit("|")), of(row))
+    said = F.when(stated(F.col("content")), of(lambda line: ~row(line) & stated(line)))
+    plain = F.when(tables.isNull() & said.isNull(), F.col("content")).otherwise(of(lambda line: ~row(line) & ~stated(line)))
+    kinds = inside.select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("confidence"), t.alias("text")) for c, t in ((0.75, tables), (0.85, said), (0.8, plain))])).alias("k")).where("k.text != ''")
+    hits = kinds.select("doc_id", "k.confidence", F.explode(F.array_distinct(tokens(F.col("k.text")))).alias("name")).join(lexicon.select("name"), "name", "left_semi")
     return hits.groupBy(F.col("doc_id").alias("src"), F.col("name").alias("dst")).agg(F.max("confidence").alias("confidence")).where(F.col("src").cast("string") != F.col("dst"))
 
 
@@ -67,13 +77,16 @@ def triples(rows: DataFrame) -> DataFrame:
     """``doc_id, pos, subject, verb, object, type, confidence`` of "a <verb> b" in a line, any form of the verbs."""
     forms = "|".join(pattern for pattern, _ in VERB_FORMS)
     # a subject begins where its run of characters does, and gives nothing back: the time is linear in the line
-    pattern = rf"(?i)(?<![A-Za-z0-9-])[0-9-]*+([A-Za-z][A-Za-z0-9-]*+)\s++({forms})\s++(?:the\s++)?([A-Za-z][A-Za-z0-9-]*+)"
-    match = lambda k: F.regexp_extract_all("line", F.lit(pattern), F.lit(k))
-    found = rows.where(F.regexp(F.col("line"), F.lit(rf"(?i){forms}"))).select("doc_id", "pos", F.explode(F.arrays_zip(match(1).alias("subject"), match(2).alias("verb"), match(3).alias("object"))).alias("t"))
-    verb = canonical_verb(F.col("t.verb"))
-    kind = F.create_map(*[F.lit(x) for v, (t, _) in VERBS.items() for x in (v, t)])[verb]
-    score = F.create_map(*[F.lit(x) for v, (_, c) in VERBS.items() for x in (v, c)])[verb]
-    return found.select("doc_id", "pos", F.lower("t.subject").alias("subject"), verb.alias("verb"), F.lower("t.object").alias("object"), kind.alias("type"), score.alias("confidence"))
+    pattern = rf"[0-9-]*+([A-Za-z][A-Za-z0-9-]*+)\s++({forms})\s++(?:the\s++)?([A-Za-z][A-Za-z0-9-]*+)"
+    every = F.regexp_extract_all("line", F.lit(rf"(?i)(?<![A-Za-z0-9-]){pattern}"), F.lit(0))
+    # what was found is short and is taken apart once, at a character that it cannot hold
+    apart = F.transform(every, lambda m: F.split(F.regexp_replace(m, rf"(?i)^{pattern}$", "$1\x00$2\x00$3"), "\x00"))
+    stems = reduce(or_, [F.contains(F.lower("line"), F.lit(x)) for x in VERB_STEMS])  # plain searches, so most lines meet no pattern
+    parts = rows.where(stems).select("doc_id", "pos", F.explode(apart).alias("t"))
+    verbs = parts.select("doc_id", "pos", F.lower(F.col("t")[0]).alias("subject"), canonical_verb(F.col("t")[1]).alias("verb"), F.lower(F.col("t")[2]).alias("object"))
+    kind = F.create_map(*[F.lit(x) for v, (t, _) in VERBS.items() for x in (v, t)])[F.col("verb")]
+    score = F.create_map(*[F.lit(x) for v, (_, c) in VERBS.items() for x in (v, c)])[F.col("verb")]
+    return verbs.select("doc_id", "pos", "subject", "verb", "object", kind.alias("type"), score.alias("confidence"))
 
 
 def relations(rows: DataFrame) -> DataFrame:

@@ -80,11 +80,13 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def component_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A markdown document for every part with edges: prose, a dependency section, links and a note."""
-    edges = part_edges(spark, sf_dir)
-    verb = F.element_at(F.array(*[F.lit(v) for v in ("depends on", "calls", "uses", "reads from")]), (F.pmod("n", F.lit(4)) + 1).cast("int"))
-    row = F.struct("dst", F.concat("src", F.lit(" "), verb, F.lit(" "), "dst", F.lit(".")).alias("prose"), F.concat(F.lit("- ["), "dst", F.lit("](./"), "dst", F.lit(".md)")).alias("item"))
-    grouped = dealt(edges, table(spark, sf_dir, "lineitem").count(), "src").groupBy("src").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    text = F.concat(F.lit("# "), "src", F.lit("\n\nOverview.\n\n## Dependencies\n\n"), F.array_join(F.transform("rows", lambda r: r["item"]), "\n"), F.lit("\n\n## Notes\n\n"), F.array_join(F.transform("rows", lambda r: r["prose"]), "\n"), F.lit("\n"))
+    edges = part_edges(spark, sf_dir).select("src", F.struct("dst", "n").alias("row"))
+    # the lists are made where the rows arrive and hold what differs; a destination occurs once, so it gives the order
+    grouped = dealt(edges.repartition("src"), table(spark, sf_dir, "lineitem").count(), "src").groupBy("src").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    verb = lambda n: F.element_at(F.array(*[F.lit(v) for v in ("depends on", "calls", "uses", "reads from")]), (F.pmod(n, F.lit(4)) + 1).cast("int"))
+    item = lambda r: F.concat(F.lit("- ["), r["dst"], F.lit("](./"), r["dst"], F.lit(".md)"))
+    prose = lambda r: F.concat("src", F.lit(" "), verb(r["n"]), F.lit(" "), r["dst"], F.lit("."))
+    text = F.concat(F.lit("# "), "src", F.lit("\n\nOverview.\n\n## Dependencies\n\n"), F.array_join(F.transform("rows", item), "\n"), F.lit("\n\n## Notes\n\n"), F.array_join(F.transform("rows", prose), "\n"), F.lit("\n"))
     return grouped.select(F.col("src").alias("doc_id"), F.concat(F.lit("docs/"), "src", F.lit(".md")).alias("path"), text.alias("text"))
 
 
