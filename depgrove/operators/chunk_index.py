@@ -32,6 +32,22 @@ SCHEMAS = {
 MANIFEST = "version int, base int, folder string"
 
 
+def _distinct(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: of repeated ids the least text; only the texts of repeated ids are compared."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    repeated = checkpointed(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return rows
+    least = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(least)
+
+
+def _postings(chunks: DataFrame) -> DataFrame:
+    """``term, chunk_id, doc_id, chunk_len, tf`` of chunks with their ``tokens``."""
+    words = chunks.select("chunk_id", "doc_id", "chunk_len", F.explode("tokens").alias("term"))
+    return words.groupBy("term", "chunk_id", "doc_id", "chunk_len").agg(F.count(F.lit(1)).alias("tf"))
+
+
 class ChunkIndex:
     """The index in ``path``, a folder that the driver and all executors share."""
 
@@ -88,21 +104,26 @@ class ChunkIndex:
         text is empty, null ids are left out; of repeated ids the least text counts, and
         an id that is both given and removed is replaced.
         """
-        version, current = self.version + 1, checkpointed(self.documents())
-        given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).groupBy("doc_id").agg(F.min("text").alias("text"))
-        given = given.withColumn("digest", F.md5(F.col("text").cast("binary")))
-        fresh = checkpointed(given.join(current.select("doc_id", F.col("digest").alias("known")), "doc_id", "left").where("known IS NULL OR known != digest"))
+        manifest = self._manifest()
+        version = max((r["version"] for r in manifest), default=0) + 1
+        base = manifest[0]["base"] if manifest else version
+        current = checkpointed(self.documents())
+        given = checkpointed(_distinct(docs).withColumn("digest", F.md5(F.col("text").cast("binary"))))
+        fresh = given.join(current.select("doc_id", F.col("digest").alias("known")), "doc_id", "left").where("known IS NULL OR known != digest").drop("known")
         gone = removed.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().join(current, "doc_id", "left_semi").join(given, "doc_id", "left_anti") if removed is not None else self.spark.createDataFrame([], "doc_id string")
         rows = fresh.select("doc_id", "digest", F.lit(False).alias("removed")).unionByName(gone.select("doc_id", F.lit(None).cast("string").alias("digest"), F.lit(True).alias("removed")))
         touched = checkpointed(rows.join(current.select("doc_id", F.lit(True).alias("was")), "doc_id", "left"))
         cut = sections.chunks(fresh).withColumn("tokens", tokens(F.col("content")))
         chunks = checkpointed(cut.select("chunk_id", "doc_id", "heading_path", "start_line", "end_line", "content", F.size("tokens").alias("chunk_len"), "tokens"))
-        postings = chunks.select("chunk_id", "doc_id", "chunk_len", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "doc_id", "chunk_len").agg(F.count(F.lit(1)).alias("tf"))
+        folder = self._folder(version)
+        # a chunk's terms are counted beside it; the changes of the frequencies come from what was written
+        postings = self._write(folder, version, postings=_postings(chunks))["postings"]
         lost = touched.where("was").select("doc_id")
         old_postings, old_chunks = (self._live(n).join(lost, "doc_id", "left_semi") for n in ("postings", "chunks"))
         df = postings.select("term", F.lit(1).alias("d")).unionByName(old_postings.select("term", F.lit(-1).alias("d"))).groupBy("term").agg(F.sum("d").alias("delta")).where("delta != 0")
         size = chunks.select(F.lit(1).alias("c"), "chunk_len").unionByName(old_chunks.select(F.lit(-1).alias("c"), (-F.col("chunk_len")).alias("chunk_len"))).agg(F.sum("c").alias("chunks"), F.sum("chunk_len").alias("tokens"))
-        self._commit(version, self._manifest()[0]["base"] if self._manifest() else version, docs=touched.drop("was"), chunks=chunks.drop("tokens"), postings=postings, df=df, size=size)
+        self._write(folder, version, docs=touched.drop("was"), chunks=chunks.drop("tokens"), df=df, size=size)
+        self._commit(version, base, folder)
         return version
 
     def compact(self) -> int:
@@ -110,16 +131,26 @@ class ChunkIndex:
         version = self.version + 1
         docs = self.documents().select("doc_id", "digest", F.lit(False).alias("removed"))
         size = self.size()
-        self._commit(version, version, docs=docs, chunks=self.chunks(), postings=self.postings(), df=self.frequencies().select("term", F.col("df").alias("delta")), size=size)
+        folder = self._folder(version)
+        self._write(folder, version, docs=docs, chunks=self.chunks(), postings=self.postings(), df=self.frequencies().select("term", F.col("df").alias("delta")), size=size)
+        self._commit(version, version, folder)
         return version
 
-    def _commit(self, version: int, base: int, **tables: DataFrame) -> None:
-        folder = f"v{version}-{uuid.uuid4().hex}"  # a writer that was lost leaves a folder that no manifest names
+    def _folder(self, version: int) -> str:
+        return f"v{version}-{uuid.uuid4().hex}"  # a writer that was lost leaves a folder that no manifest names
+
+    def _write(self, folder: str, version: int, **tables: DataFrame) -> dict[str, DataFrame]:
+        """The tables as they are read from the folder of a version."""
+        out = {}
         for name, table in tables.items():
             if "version" in SCHEMAS[name]:
                 table = table.withColumn("version", F.lit(version))
             wanted = self.spark.createDataFrame([], SCHEMAS[name]).schema
             table.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.parquet(f"{self.path}/{folder}/{name}")
+            out[name] = self.spark.read.schema(wanted).parquet(f"{self.path}/{folder}/{name}")
+        return out
+
+    def _commit(self, version: int, base: int, folder: str) -> None:
         self.spark.createDataFrame([(version, base, folder)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def search(self, terms: list[str], k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
