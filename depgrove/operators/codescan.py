@@ -538,7 +538,8 @@ def cross_referenced(found: DataFrame) -> DataFrame:
     0.3; else the only resource of the type (0.6).  A tie of best matches decides
     nothing.  Names meet by an equi-join on their words.
     """
-    typed = found.where(~F.col("target_type").isin("", "unknown") & (F.col("target_component") != "") & (F.col("target_component") != F.col("source_component")))
+    kept = found.where(~F.col("target_type").isin("", "unknown") & (F.col("target_component") != "") & (F.col("target_component") != F.col("source_component")))
+    typed = checkpointed(kept.select("source_component", "target_component", "target_type", "signal_type", "file_path", "line_number", "language"))  # read three times
     own, place = "source_component", F.struct("file_path", "line_number", "signal_type", "target_type")
     terraform = F.col("language") == "terraform"
     variable = F.col("signal_type") == "env_var_ref"
