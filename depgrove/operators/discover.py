@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from depgrove.functions.text import DEPENDENCY_SECTIONS, VERB_FORMS, VERB_STEMS, VERBS, links, resolved_path, tokens
 from depgrove.operators.sections import chunks
+from depgrove.session import checkpointed
 
 
 def windows(rows: DataFrame, size: int = 5) -> DataFrame:
@@ -35,15 +36,17 @@ def cooccurrence(rows: DataFrame, lexicon: DataFrame, size: int = 5) -> DataFram
     The name that stands first points to the later one; the first window of the
     smallest document gives the confidence.
     """
-    hits = lexicon_hits(rows, lexicon)
-    total = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
+    hits = checkpointed(lexicon_hits(rows, lexicon))  # made by one pass over the text, read on both sides
     # positions at most ``size - 1`` apart lie in the same bucket of ``size`` or in the next, so no document is joined with itself as a whole
     a = hits.select("doc_id", F.col("pos").alias("pa"), F.col("name").alias("src"), F.explode(F.array(F.floor(F.col("pos") / size), F.floor(F.col("pos") / size) + 1)).alias("bucket"))
     b = hits.select("doc_id", F.col("pos").alias("pb"), F.col("name").alias("dst"), F.floor(F.col("pos") / size).alias("bucket"))
     near = (F.col("pb") >= F.col("pa")) & (F.col("pb") < F.col("pa") + size) & ((F.col("pb") > F.col("pa")) | (F.col("src") < F.col("dst")))
-    pairs = a.join(b, ["doc_id", "bucket"]).where(near & (F.col("src") != F.col("dst"))).join(total, "doc_id")
-    first = Window.partitionBy("src", "dst").orderBy("doc_id", "pa", "pb")
-    best = pairs.withColumn("at", F.row_number().over(first)).where("at = 1")
+    pairs = a.join(b, ["doc_id", "bucket"]).where(near & (F.col("src") != F.col("dst")))
+    # least documents and places by a merging aggregate, so a common pair is not sorted in one task; only their documents are counted
+    least = pairs.groupBy("src", "dst").agg(F.min(F.struct("doc_id", "pa", "pb")).alias("x"))
+    best = checkpointed(least.select("src", "dst", "x.doc_id", "x.pa"))
+    total = rows.join(best.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
+    best = best.join(total, "doc_id")
     return best.select("src", "dst", position_weight(F.col("pa") / F.col("total")).alias("confidence"), "doc_id", F.col("pa").alias("pos"))
 
 

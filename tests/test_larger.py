@@ -68,3 +68,45 @@ def test_documents_shuffle_only_what_differs(spark, sf_dir):
 
     plan = derived.component_documents(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "partial_collect_list" not in plan.split("Exchange", 1)[1]
+
+
+def counting(spark, column):
+    """``column`` through a function that counts its calls, and the count."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return x
+
+    return F.udf(seen, "string")(column), calls
+
+
+def test_keywords_of_a_name_are_looked_up_once(spark):
+    from depgrove.operators import classify
+
+    found = spark.createDataFrame([("redis cache db",)], "name string").select(classify.inferred_type(F.col("name")).alias("t")).select("t.type", "t.confidence")
+    assert tuple(found.first()) == ("cache", 0.9)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_max(") == 1
+
+
+def test_lines_are_searched_once_for_names_that_meet(spark):
+    line, calls = counting(spark, F.col("line"))
+    rows = spark.createDataFrame([(1, 0, "x"), (1, 1, "aa bb"), (1, 2, "cc"), (2, 0, "bb"), (2, 5, "aa"), (3, 0, "cc aa")], "doc_id long, pos int, line string")
+    names = spark.createDataFrame([("aa",), ("bb",), ("cc",)], "name string")
+    found = discover.cooccurrence(rows.withColumn("line", line), names).collect()
+    assert sorted(map(tuple, found)) == [("aa", "bb", 0.55, 1, 1), ("aa", "cc", 0.55, 1, 1), ("bb", "cc", 0.55, 1, 1)]
+    assert calls.value == rows.count()
+
+
+def test_cross_reference_reads_its_signals_once(spark):
+    from depgrove.operators import codescan
+
+    of_file, calls = counting(spark, F.col("language"))
+    one = lambda target, kind, of, language: ("s", target, of, kind, 0.9, "e", "f", 1, language)
+    rows = spark.createDataFrame(
+        [one("aws_db_instance.orders", "terraform_resource", "database", "terraform"), one("orders-db", "db_connection", "database", "python"), one("x", "env_var_ref", "cache", "terraform")],
+        "source_component string, target_component string, target_type string, signal_type string, confidence double, evidence string, file_path string, line_number int, language string",
+    )
+    found = codescan.cross_referenced(rows.withColumn("language", of_file)).collect()
+    assert [tuple(r) for r in found] == [("s", "orders-db", "aws_db_instance.orders", 0.7)]
+    assert calls.value == rows.count()
