@@ -18,6 +18,8 @@ from depgrove.session import checkpointed
 MOST_DEPTH = 100
 #: Levels that a reach without a limit walks one by one before it shortens what is left.
 LEVELS = 12
+#: Rows up to which a mapping may go to every task whole.
+BROADCAST = 200_000
 
 
 def filtered(edges: DataFrame, min_confidence: float = 0.0, source_type: str | None = None) -> DataFrame:
@@ -303,9 +305,13 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def lifted(edges: DataFrame, files: DataFrame) -> DataFrame:
     """File edges as component edges: ``files(file, component)``; the best edge gives type and confidence."""
+    if files.count() > BROADCAST:
+        files = files.hint("shuffle_hash")  # its size on disk says little about its size in a task; a part of it is held, the edges are not sorted
     a = edges.join(files.select(F.col("file").alias("src"), F.col("component").alias("from")), "src")
     b = a.join(files.select(F.col("file").alias("dst"), F.col("component").alias("to")), "dst").where(F.col("from") != F.col("to"))
-    return b.groupBy(F.col("from").alias("src"), F.col("to").alias("dst")).agg(F.max("confidence").alias("confidence"), F.max_by("type", F.struct("confidence", F.col("type"))).alias("type"), F.count(F.lit(1)).alias("evidence"))
+    # numbers first, which merge in place; the types of a pair are few
+    by_type = b.groupBy(F.col("from").alias("src"), F.col("to").alias("dst"), "type").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
+    return by_type.groupBy("src", "dst").agg(F.max("confidence").alias("confidence"), F.max_by("type", F.struct("confidence", F.col("type"))).alias("type"), F.sum("n").alias("evidence"))
 
 
 def merge_sources(markdown: DataFrame, code: DataFrame) -> DataFrame:

@@ -110,3 +110,14 @@ def test_cross_reference_reads_its_signals_once(spark):
     found = codescan.cross_referenced(rows.withColumn("language", of_file)).collect()
     assert [tuple(r) for r in found] == [("s", "orders-db", "aws_db_instance.orders", 0.7)]
     assert calls.value == rows.count()
+
+
+def test_a_large_mapping_is_not_broadcast(spark, monkeypatch):
+    from depgrove.operators import graph
+
+    edges = spark.createDataFrame([("a", "b", "calls", 0.5), ("a", "c", "uses", 0.9), ("d", "b", "calls", 0.9), ("a", "d", "uses", 1.0)], "src string, dst string, type string, confidence double")
+    files = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y"), ("d", "x")], "file string, component string")
+    monkeypatch.setattr(graph, "BROADCAST", 3)
+    found = graph.lifted(edges, files)
+    assert [tuple(r) for r in found.collect()] == [("x", "y", 0.9, "uses", 3)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("ShuffledHashJoin") >= 2
