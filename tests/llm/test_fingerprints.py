@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from depgrove.llm import fingerprints
 from depgrove.llm.common import table
 
@@ -82,3 +84,22 @@ def test_default_has_64_samples_and_wordless_texts_have_none(spark):
 def test_main_path_is_native(spark, sf_dir):
     plan = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def test_a_value_is_exponential_with_the_weight_as_rate(spark):
+    for weight in (1, 2, 5, 1000):
+        rows = spark.range(20_000).select(F.xxhash64("id").alias("term"), F.lit(float(weight)).alias("w"), F.log(F.lit(float(weight))).alias("l"))
+        cost = rows.select((-F.log(fingerprints.sample_value(F.col("term"), F.col("w"), F.col("l"), 3))).alias("x"))
+        got = cost.agg(F.avg("x").alias("mean"), F.stddev("x").alias("spread")).first()
+        assert abs(got["mean"] * weight - 1) < 0.05 and abs(got["spread"] * weight - 1) < 0.05
+
+
+def test_texts_are_shuffled_once(spark, sf_dir):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    scans = len(re.findall(r"FileScan parquet \[[^\]]*\btext#", plan))
+    assert scans == 1 and re.search(r"ReusedExchange \[[^\]]*\btext#", plan)
