@@ -43,6 +43,9 @@ SHARED = 1 << 17
 HELD = 1 << 20
 ROUNDS = 2
 BATCH = 1024
+#: Rows whose probabilities are held at a time, and the logit up to which no maximum is taken off before the exponential.
+BLOCK = 1024
+MOST_LOGIT = 60
 PLACES = [k for k in range(-REACH, REACH + 1) if k]
 
 
@@ -164,18 +167,33 @@ class Network:
             total += place[k][near[:, k + 1]]
         return np.tanh(total)
 
+    def _exponentials(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden values with a 1 behind each row, and what is proportional to the probabilities."""
+        _, _, output, shift = self.parts
+        wide = np.ones((len(hidden), HIDDEN + 1), dtype=np.float32)
+        wide[:, :HIDDEN] = hidden
+        out = wide @ np.concatenate((output, shift[None]))
+        # hidden values lie between -1 and 1, so no logit is beyond this
+        if np.abs(output).sum(axis=0).max() + np.abs(shift).max() > MOST_LOGIT:
+            out -= out.max(axis=1, keepdims=True)
+        return wide, np.exp(out, out=out)
+
     def log_probability(self, near: np.ndarray) -> np.ndarray:
         """Of each row's first class given the others."""
         out = np.empty(len(near), dtype=np.float64)
-        for a in range(0, len(near), 8192):
-            rows = near[a : a + 8192]
-            logits = self._hidden(rows) @ self.parts[2]
-            logits += self.parts[3]
-            own = logits[np.arange(len(rows)), rows[:, 0]]
-            top = logits.max(axis=1, keepdims=True)
-            logits -= top
-            np.exp(logits, out=logits)
-            out[a : a + 8192] = own - top[:, 0] - np.log(logits.sum(axis=1))
+        _, _, output, shift = self.parts
+        across, ones = np.ascontiguousarray(output.T), np.ones(self.classes, dtype=np.float32)
+        shifted = np.abs(output).sum(axis=0).max() + np.abs(shift).max() > MOST_LOGIT
+        for a in range(0, len(near), BLOCK):
+            rows = near[a : a + BLOCK]
+            hidden = self._hidden(rows)
+            if shifted:
+                logits = hidden @ output + shift
+                top = logits.max(axis=1)
+                out[a : a + BLOCK] = logits[np.arange(len(rows)), rows[:, 0]] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+            else:
+                own = np.einsum("ij,ij->i", hidden, across[rows[:, 0]]) + shift[rows[:, 0]]
+                out[a : a + BLOCK] = own - np.log(self._exponentials(hidden)[1] @ ones)
         return out
 
     def steps(self) -> list[np.ndarray]:
@@ -187,24 +205,32 @@ class Network:
         place, bias, output, shift = self.parts
         squares = self.steps() if squares is None else squares
         order = draw.permutation(len(near))
+        ones, flat_place, flat_square = np.ones(self.classes, dtype=np.float32), place.reshape(-1, HIDDEN), squares[0].reshape(-1, HIDDEN)
+        behind = (np.arange(len(PLACES)) * self.classes).astype(np.min_scalar_type(len(PLACES) * self.classes))
         for a in range(0, len(near), BATCH):
             rows = near[order[a : a + BATCH]]
-            n = len(rows)
-            hidden = self._hidden(rows)
-            logits = hidden @ output + shift
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            logits[np.arange(n), rows[:, 0]] -= 1
-            logits /= n
-            back = (logits @ output.T) * (1 - hidden * hidden)
-            marks = np.zeros((n, self.classes), dtype=np.float32)
-            by_place = np.empty_like(place)
-            for k in range(len(PLACES)):
-                marks[np.arange(n), rows[:, k + 1]] = 1
-                by_place[k] = marks.T @ back
-                marks[np.arange(n), rows[:, k + 1]] = 0
-            for part, square, g in zip(self.parts, squares, (by_place, back.sum(axis=0), hidden.T @ logits, logits.sum(axis=0)), strict=True):
+            back = np.empty((len(rows), HIDDEN), dtype=np.float32)
+            total_g = np.zeros((HIDDEN + 1, self.classes), dtype=np.float32)
+            for b in range(0, len(rows), BLOCK):  # a block's probabilities stay in the processor's cache
+                part = rows[b : b + BLOCK]
+                hidden = self._hidden(part)
+                wide, logits = self._exponentials(hidden)
+                total = logits @ ones
+                logits[np.arange(len(part)), part[:, 0]] -= total
+                share = (1 / (total * np.float32(len(rows))))[:, None]
+                back[b : b + BLOCK] = (logits @ output.T) * share * (1 - hidden * hidden)
+                wide *= share
+                total_g += wide.T @ logits
+            # only the vectors of classes that occur have a gradient
+            keys = (rows[:, 1:] + behind).ravel()
+            by_key = np.argsort(keys, kind="stable")
+            keys = keys[by_key]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sums, at = np.add.reduceat(back[by_key // len(PLACES)], first, axis=0), keys[first]
+            square = flat_square[at] + sums * sums
+            flat_square[at] = square
+            flat_place[at] -= rate * sums / np.sqrt(square)
+            for part, square, g in zip(self.parts[1:], squares[1:], (back.sum(axis=0), total_g[:HIDDEN], total_g[HIDDEN]), strict=True):
                 square += g * g
                 part -= rate * g / np.sqrt(square)
 

@@ -78,3 +78,23 @@ def test_words_of_a_class_share_it_by_count(spark):
     frequent, hashed = pl.WIDE
     assert frequent + hashed + 1 > 256
     assert words.encode(np.arange(9, dtype=np.uint64)).dtype == np.uint16
+
+
+def test_blocks_and_large_logits_give_the_same_network(monkeypatch):
+    draw = np.random.default_rng(3)
+    near = draw.integers(0, 40, (3000, 5)).astype(np.uint16)
+
+    def trained(block, most):
+        monkeypatch.setattr(pl, "BLOCK", block)
+        monkeypatch.setattr(pl, "MOST_LOGIT", most)
+        network = pl.Network.fresh(2)
+        network.train(near, np.random.default_rng(4))
+        return network.flat, network.log_probability(near)
+
+    flat, logs = trained(1024, 60)
+    for block, most in ((100, 60), (1024, 0)):
+        other, more = trained(block, most)
+        assert np.abs(flat - other).max() < 1e-3 and np.abs(logs - more).max() < 1e-3
+    network = pl.Network.fresh(2)
+    network.parts[3][:2] = 500, 400  # the exponential of either is beyond a float
+    assert np.isfinite(network.log_probability(near)).all()
