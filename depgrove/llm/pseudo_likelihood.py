@@ -2,6 +2,7 @@
 
 A small network predicts every token from the words on both sides of it: hidden =
 tanh(bias + sum of a vector for each place and neighbour), logits = hidden @ output.
+``Grouped`` makes the probability of a class from its group's and its own in the group.
 Tokens are words; the most frequent ones of the corpus are classes of their own, the
 others share hashed classes and divide a class's probability by their counts (evenly
 where no counts are given).  A document's score is the sum of the conditional
@@ -156,15 +157,18 @@ class Network:
         draw = np.random.default_rng(seed)
         flat = draw.normal(0, 0.1, sum(map(math.prod, cls.shapes(classes)))).astype(np.float32)
         out = cls(flat, classes)
-        out.parts[1][:] = 0
-        out.parts[3][:] = 0
+        for bias in out.biases():
+            bias[:] = 0
         return out
 
+    def biases(self) -> tuple[np.ndarray, ...]:
+        return self.parts[1], self.parts[3]
+
     def _hidden(self, near: np.ndarray) -> np.ndarray:
         place, bias, _, _ = self.parts
-        total = bias + place[0][near[:, 1]]
+        total = bias + place[0].take(near[:, 1], axis=0)
         for k in range(1, len(PLACES)):
-            total += place[k][near[:, k + 1]]
+            total += place[k].take(near[:, k + 1], axis=0)
         return np.tanh(total)
 
     def _exponentials(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,6 +239,124 @@ class Network:
                 part -= rate * g / np.sqrt(square)
 
 
+class Grouped(Network):
+    """Probabilities by two steps: of a class's group, and of the class in its group; they add up to 1 over all classes.
+
+    Parameters: a vector by place and class, hidden bias, output matrix of the groups and
+    one of each group's classes, both with their biases as last rows.  A group holds
+    about the root of the classes, a row's work grows with the groups and one group.
+    """
+
+    @staticmethod
+    def shapes(classes: int) -> tuple[tuple[int, ...], ...]:
+        inside = 1 << ((classes - 1).bit_length() + 1) // 2
+        groups = -(-classes // inside)
+        return ((len(PLACES), classes, HIDDEN), (HIDDEN,), (HIDDEN + 1, groups), (groups, HIDDEN + 1, inside))
+
+    def biases(self) -> tuple[np.ndarray, ...]:
+        return self.parts[1], self.parts[2][HIDDEN], self.parts[3][:, HIDDEN]
+
+    def _wide(self, near: np.ndarray) -> np.ndarray:
+        """Hidden values with a 1 behind each row."""
+        out = np.ones((len(near), HIDDEN + 1), dtype=np.float32)
+        out[:, :HIDDEN] = self._hidden(near)
+        return out
+
+    def _shifted(self) -> bool:
+        """Whether a logit may be beyond MOST_LOGIT."""
+        _, _, head, tail = self.parts
+        return max(np.abs(head).sum(axis=0).max(), np.abs(tail).sum(axis=1).max()) > MOST_LOGIT
+
+    def _inside(self, wide: np.ndarray, cuts: list[int]) -> np.ndarray:
+        """Logits in the groups, of rows cut by group; the last group's places without a class have none."""
+        tail = self.parts[3]
+        out = np.empty((len(wide), tail.shape[2]), dtype=np.float32)
+        for g, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                np.matmul(wide[a:b], tail[g], out=out[a:b])
+        spare = tail.shape[0] * tail.shape[2] - self.classes
+        if spare:
+            out[cuts[-2] :, -spare:] = -np.inf
+        return out
+
+    def log_probability(self, near: np.ndarray) -> np.ndarray:
+        _, _, head, tail = self.parts
+        groups, inside = tail.shape[0], tail.shape[2]
+        by = np.argsort(near[:, 0], kind="stable")
+        near = near[by]
+        group, own = (x.astype(np.intp) for x in np.divmod(near[:, 0], inside))
+        bounds = np.searchsorted(group, np.arange(groups + 1))
+        shifted = self._shifted()
+        each = np.zeros(len(near), dtype=np.float64)
+        for a in range(0, len(near), BLOCK):
+            b = min(a + BLOCK, len(near))
+            wide, at = self._wide(near[a:b]), np.arange(b - a)
+            cuts = (np.clip(bounds, a, b) - a).tolist()
+            for logits, chosen in ((wide @ head, group[a:b]), (self._inside(wide, cuts), own[a:b])):
+                found = logits[at, chosen]
+                exponentials, top = _exponentials(logits, shifted)
+                each[a:b] += found - top - np.log(exponentials @ np.ones(exponentials.shape[1], dtype=np.float32))
+        out = np.empty(len(near), dtype=np.float64)
+        out[by] = each
+        return out
+
+    def train(self, near: np.ndarray, draw: np.random.Generator, rate: float = 0.05, squares: list[np.ndarray] | None = None) -> None:
+        place, bias, head, tail = self.parts
+        groups, inside = tail.shape[0], tail.shape[2]
+        squares = self.steps() if squares is None else squares
+        # batches as drawn, the rows of each by group
+        order = draw.permutation(len(near))
+        batches = -(-len(near) // BATCH)
+        key = (np.arange(len(near)) // BATCH * groups + near[order, 0] // inside).astype(np.min_scalar_type(batches * groups))
+        by = np.argsort(key, kind="stable")
+        near = near[order[by]]
+        bounds = np.searchsorted(key[by], np.arange(batches * groups + 1))
+        group, own = (x.astype(np.intp) for x in np.divmod(near[:, 0], inside))
+        tail_g, where = np.empty_like(tail), np.arange(place[0].size).reshape(place[0].shape)
+        for turn, a in enumerate(range(0, len(near), BATCH)):
+            rows = near[a : a + BATCH]
+            wide, at, shifted = self._wide(rows), np.arange(len(rows)), self._shifted()
+            cuts = (bounds[turn * groups : (turn + 1) * groups + 1] - a).tolist()
+
+            def miss(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+                """Probabilities less what is true, divided by the rows."""
+                out, _ = _exponentials(logits, shifted)
+                out /= (out @ np.ones(out.shape[1], dtype=np.float32))[:, None]
+                out[at, chosen] -= 1
+                out *= np.float32(1 / len(rows))
+                return out
+
+            by_group = miss(wide @ head, group[a : a + BATCH])
+            by_class = miss(self._inside(wide, cuts), own[a : a + BATCH])
+            back = np.empty((len(rows), HIDDEN), dtype=np.float32)
+            across = np.ascontiguousarray(tail[:, :HIDDEN].transpose(0, 2, 1))
+            for g, (b, c) in enumerate(zip(cuts, cuts[1:])):
+                np.matmul(wide[b:c].T, by_class[b:c], out=tail_g[g])
+                np.matmul(by_class[b:c], across[g], out=back[b:c])
+            back += by_group @ head[:HIDDEN].T
+            hidden = wide[:, :HIDDEN]
+            back *= 1 - hidden * hidden
+            weights = back.ravel().astype(np.float64)
+            gradients = [(bias, squares[1], back.sum(axis=0)), (head, squares[2], wide.T @ by_group), (tail, squares[3], tail_g)]
+            for k in range(len(PLACES)):
+                keys = where.take(rows[:, k + 1], axis=0)
+                gradients.append((place[k], squares[0][k], np.bincount(keys.ravel(), weights, where.size).astype(np.float32).reshape(where.shape)))
+            for part, square, g in gradients:
+                square += g * g
+                g *= np.float32(rate)
+                g /= np.sqrt(square)
+                part -= g
+
+
+def _exponentials(logits: np.ndarray, shifted: bool) -> tuple[np.ndarray, np.ndarray | int]:
+    """What is proportional to the probabilities, in place of the logits, and the greatest logit of each row where it was taken off."""
+    top = 0
+    if shifted:
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+    return np.exp(logits, out=logits), top
+
+
 def sequences(docs: DataFrame, words: Vocabulary) -> DataFrame:
     """Classes of all tokens of all documents, ``block, classes binary, first binary``: runs of whole texts, dealt by content."""
     given = docs.sparkSession.sparkContext.broadcast(words)
@@ -278,18 +400,18 @@ def average(models: DataFrame) -> tuple[np.ndarray, int] | None:
     return (np.frombuffer(row["flat"], dtype=np.float32).copy(), row["n"]) if row else None
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, seed: int = 5, counts: DataFrame | None = None, frequent: int = FREQUENT, hashed: int = HASHED) -> tuple[Vocabulary, Network]:
+def fit(docs: DataFrame, rounds: int = ROUNDS, seed: int = 5, counts: DataFrame | None = None, frequent: int = FREQUENT, hashed: int = HASHED, kind: type[Network] = Network) -> tuple[Vocabulary, Network]:
     """Vocabulary and network of a corpus, from all positions; texts without words teach nothing."""
     context = docs.sparkSession.sparkContext
     words = vocabulary(word_counts(docs) if counts is None else counts, frequent, hashed)
     blocks = sequences(docs, words)
     edge, classes = words.edge, words.edge + 1
-    network = Network.fresh(seed, classes)
+    network = kind.fresh(seed, classes)
     for turn in range(rounds):
         common = context.broadcast(network.flat)
 
         def run(batches: Iterator[pa.RecordBatch], common=common, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, seen = Network(common.value.copy(), classes), 0
+            own, seen = kind(common.value.copy(), classes), 0
             squares = own.steps()
             for near in expanded(batches, edge):
                 own.train(near, np.random.default_rng([seed, turn, zlib.crc32(near.tobytes())]), squares=squares)
@@ -300,7 +422,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, seed: int = 5, counts: DataFrame
         mean = average(checkpointed(blocks.sortWithinPartitions("block").select("classes", "first").mapInArrow(run, "part long, n long, flat binary")))
         if mean is None:
             break
-        network = Network(mean[0], classes)
+        network = kind(mean[0], classes)
     return words, network
 
 
@@ -314,7 +436,7 @@ def score(docs: DataFrame, words: Vocabulary, network: Network, counts: DataFram
     counts of the ``shared`` most frequent words are broadcast, those of the others joined.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    classes = network.classes
+    classes, kind = network.classes, type(network)
     common = None
     if counts is not None:
         top = counts.orderBy(F.col("n").desc(), "word").limit(shared).toArrow().combine_chunks()
@@ -326,7 +448,7 @@ def score(docs: DataFrame, words: Vocabulary, network: Network, counts: DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat, common = given.value
-        scorer = Network(flat, classes)
+        scorer = kind(flat, classes)
         for batch, texts in text_blocks(batches):
             seen = Words(texts)
             near = neighbourhoods(known.encode(seen.hash), seen.first, known.edge)

@@ -18,7 +18,7 @@ def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = pseudo_likelihood.word_counts(docs)
     frequent, hashed = pseudo_likelihood.WIDE
-    words, network = pseudo_likelihood.fit(docs, counts=counts, frequent=frequent, hashed=hashed)
+    words, network = pseudo_likelihood.fit(docs, counts=counts, frequent=frequent, hashed=hashed, kind=pseudo_likelihood.Grouped)
     return pseudo_likelihood.score(docs, words, network, counts)
 
 

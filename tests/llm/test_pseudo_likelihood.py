@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -98,3 +99,72 @@ def test_blocks_and_large_logits_give_the_same_network(monkeypatch):
     network = pl.Network.fresh(2)
     network.parts[3][:2] = 500, 400  # the exponential of either is beyond a float
     assert np.isfinite(network.log_probability(near)).all()
+
+
+def direct(network, row):
+    place, bias, head, tail = (p.astype(float) for p in network.parts)
+    hidden = np.append(np.tanh(bias + sum(place[k][c] for k, c in enumerate(row[1:]))), 1)
+    group, own = divmod(int(row[0]), tail.shape[2])
+    kept = min(tail.shape[2], network.classes - group * tail.shape[2])
+    a, b = hidden @ head, (hidden @ tail[group])[:kept]
+    return a[group] - np.log(np.exp(a).sum()) + b[own] - np.log(np.exp(b).sum())
+
+
+def test_grouped_probabilities_agree_with_a_direct_sum(monkeypatch):
+    draw = np.random.default_rng(7)
+    for classes in (2, 37, 256, 512):
+        network = pl.Grouped.fresh(3, classes)
+        network.flat *= 4
+        near = draw.integers(0, classes, (2500, 5)).astype(np.uint16)
+        for block, most in ((1024, 60), (100, 0)):
+            monkeypatch.setattr(pl, "BLOCK", block)
+            monkeypatch.setattr(pl, "MOST_LOGIT", most)
+            got = network.log_probability(near)
+            assert max(abs(got[i] - direct(network, near[i])) for i in range(0, 2500, 83)) < 1e-4
+        rows = np.repeat(near[:1], classes, axis=0)
+        rows[:, 0] = np.arange(classes)
+        assert abs(np.exp(network.log_probability(rows)).sum() - 1) < 1e-4
+    network.parts[2][-1, :2] = 500, 400  # the exponential of either is beyond a float
+    assert np.isfinite(network.log_probability(near)).all()
+
+
+def test_grouped_step_follows_the_gradient():
+    near = np.random.default_rng(8).integers(0, 37, (300, 5)).astype(np.uint16)
+    network = pl.Grouped.fresh(4, 37)
+    before = network.flat.copy()
+    squares = [np.full_like(p, 1e12) for p in network.parts]  # a step is a millionth of the gradient
+    network.train(near, np.random.default_rng(0), rate=1e6, squares=squares)
+    step = before - network.flat
+    for i in [int(np.abs(step).argmax()), *np.random.default_rng(9).integers(0, len(before), 60)]:
+        moved = []
+        for by in (1e-2, -1e-2):
+            flat = before.copy()
+            flat[i] += by
+            moved.append(pl.Grouped(flat, 37).log_probability(near).mean())
+        assert abs(step[i] - (moved[1] - moved[0]) / 2e-2) < 1e-4, i
+
+
+def test_grouped_learns_as_well_as_all_classes_at_once_in_less_time():
+    draw = np.random.default_rng(10)
+    chain = (np.cumsum(draw.geometric(0.1, 200_000)) % 300).astype(np.uint16)
+    near = pl.neighbourhoods(chain, np.array([0, len(chain)]), 511)
+    took, fits = {}, {}
+    for kind in (pl.Network, pl.Grouped):
+        network = kind.fresh(5, 512)
+        since = time.process_time()
+        network.train(near[:150_000], np.random.default_rng(1))
+        took[kind] = time.process_time() - since
+        fits[kind] = network.log_probability(near[150_000:]).mean()
+    assert fits[pl.Grouped] > fits[pl.Network] - 0.05
+    assert took[pl.Grouped] < 0.75 * took[pl.Network]
+
+
+def test_grouped_scores_equal_rows_alike(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").unionByName(table(spark, "/root/testdata/sf0.001", "documents"))
+    counts = pl.word_counts(docs)
+    words, network = pl.fit(docs, counts=counts, frequent=255, hashed=256, kind=pl.Grouped)
+    assert isinstance(network, pl.Grouped)
+    out = pl.score(docs, words, network, counts).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(out) == docs.count() and len({(r["doc_id"], r["log_likelihood"]) for r in out}) == len(texts)
+    assert all(r["n_tokens"] == len((texts[r["doc_id"]] or "").split()) for r in out)
