@@ -2,7 +2,8 @@
 
 Nodes with a single way in or out are taken out of the graph, many at a time: their
 edges are spliced, so a chain or ring of n nodes is gone after about log n rounds, and
-what had been taken out is put back in the opposite order.  The dense rest is coloured:
+what had been taken out is put back in the opposite order.  Chains go first, whole runs
+between nodes drawn to stay, which leaves about a third of them a round.  The dense rest is coloured:
 the largest node that reaches a node is its colour, and what a colour's root is reached
 from inside the colour is one component.
 """
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from depgrove.operators.graph import filtered, reach
 from depgrove.session import checkpointed
 
+#: One in so many nodes of a chain is drawn to stay; runs of up to 2 ** DOUBLINGS others between them go at once.
+STAYS = 4
+DOUBLINGS = 4
+
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """``id, component, size``: the component of every endpoint, named by its least member.
@@ -40,19 +45,16 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         open_ = found.where("root IS NULL").select("id", "colour")
         inside = rest.join(open_.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(open_.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst")
         rest = checkpointed(inside.where("a = b").select("src", "dst"))
-    known = ends.select("id", F.col("id").alias("label"))  # a component of its own unless told otherwise
-    if labels:
-        told = labels[0]
-        for more in labels[1:]:
-            told = told.unionByName(more)
-        known = known.join(told.withColumnRenamed("label", "told"), "id", "left").select("id", F.coalesce("told", "label").alias("label"))
+    # a component of its own unless told otherwise; only what was told is kept, so a round handles no more than its own graph had
+    told = ends.select("id", F.col("id").alias("label")).limit(0)
+    for more in labels:
+        told = told.unionByName(more)
     for spliced in reversed(taken):
-        known = checkpointed(known)
-        a = known.select(F.col("id").alias("src"), F.col("label").alias("a"))
-        b = known.select(F.col("id").alias("dst"), F.col("label").alias("b"))
-        back = spliced.join(a, "src").join(b, "dst").where("a = b").groupBy(F.col("node").alias("id")).agg(F.min("a").alias("told"))
-        known = known.join(back, "id", "left").select("id", F.coalesce("told", "label").alias("label"))
-    known = checkpointed(known)
+        a = told.select(F.col("id").alias("src"), F.col("label").alias("a"))
+        b = told.select(F.col("id").alias("dst"), F.col("label").alias("b"))
+        same = spliced.join(a, "src", "left").join(b, "dst", "left").select(F.col("node").alias("id"), F.coalesce("a", "src").alias("label"), F.coalesce("b", "dst").alias("b")).where("label = b")
+        told = checkpointed(told.unionByName(same.groupBy("id").agg(F.min("label").alias("label"))))
+    known = checkpointed(ends.join(told, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
     names = known.groupBy("label").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
     return known.join(names, "label").select("id", "component", "size")
 
@@ -64,7 +66,7 @@ def _spliced(rest: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     sides has a choice.  Nodes taken in one round are no neighbours: each has the least
     hash among the candidates around it.
     """
-    rounds = []
+    rest, rounds = _shortened(rest)
     turn = 0
     while True:
         turn += 1
@@ -88,6 +90,56 @@ def _spliced(rest: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         rest = checkpointed(edges.join(ended.select(F.col("id").alias("src")), "src", "left_anti").join(ended.select(F.col("id").alias("dst")), "dst", "left_anti").distinct())
 
 
+def _shortened(rest: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The graph without most nodes of its chains, and ``src, node, dst`` of what was spliced, by round.
+
+    Of the nodes with one way in and one out some are drawn to stay; the others lie in
+    runs between two nodes that stay.  A node knows what is 1, 2, 4, ... steps before and
+    after it, up to the ends of its run, by what its neighbours at that distance tell it:
+    one shuffle for each doubling.  Runs that are known to both ends go whole, longer ones
+    wait for another draw.  It ends when a round takes less than a quarter of the edges.
+    """
+    none = F.lit(None).cast(rest.schema["src"].dataType)
+    end = lambda at, inner, far: F.struct(at.alias("at"), inner.alias("inner"), far.alias("far"))
+    rounds: list[DataFrame] = []
+    size = rest.count()
+    while size:
+        both = F.array(F.struct(F.col("src").alias("id"), none.alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("id"), F.col("src").alias("a"), none.alias("b")))
+        nodes = rest.select(F.explode(both).alias("e")).select("e.*").groupBy("id").agg(F.count("a").alias("ins"), F.count("b").alias("outs"), F.min("a").alias("a"), F.min("b").alias("b"))
+        inner = nodes.where("ins = 1 AND outs = 1").where(F.pmod(F.xxhash64("id", F.lit(len(rounds))), F.lit(STAYS)) != 0)
+        no = F.lit(None).cast("boolean")
+        tells = F.array(
+            F.struct(F.col("id"), F.col("a"), F.col("b"), no.alias("before"), no.alias("after")),
+            F.struct(F.col("a").alias("id"), none.alias("a"), none.alias("b"), no.alias("before"), F.lit(True).alias("after")),
+            F.struct(F.col("b").alias("id"), none.alias("a"), none.alias("b"), F.lit(True).alias("before"), no.alias("after")),
+        )
+        heard = inner.select(F.explode(tells).alias("e")).select("e.*").groupBy("id").agg(*(F.max(c).alias(c) for c in ("a", "b", "before", "after"))).where("a IS NOT NULL")
+        runs = heard.select("id", end(F.col("a"), F.coalesce("before", F.lit(False)), F.lit(1)).alias("back"), end(F.col("b"), F.coalesce("after", F.lit(False)), F.lit(1)).alias("ahead"))
+        for turn in range(DOUBLINGS):
+            back, ahead = F.col("back"), F.col("ahead")
+            further = lambda c: end(c["at"], c["inner"], c["far"] + (1 << turn))  # noqa: B023, E731
+            empty = F.lit(None).cast(runs.schema["back"].dataType)
+            tells = F.array(
+                F.struct(F.col("id"), F.when(~back["inner"], back).alias("back"), F.when(~ahead["inner"], ahead).alias("ahead")),
+                F.struct(F.when(ahead["inner"], ahead["at"]).alias("id"), further(back).alias("back"), empty.alias("ahead")),
+                F.struct(F.when(back["inner"], back["at"]).alias("id"), empty.alias("back"), further(ahead).alias("ahead")),
+            )
+            runs = runs.select(F.explode(tells).alias("e")).select("e.*").where("id IS NOT NULL").groupBy("id").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead"))
+        whole = runs.where(f"NOT back.inner AND NOT ahead.inner AND back.far + ahead.far - 1 <= {1 << DOUBLINGS}")
+        spliced = checkpointed(whole.select(F.col("back.at").alias("src"), F.col("id").alias("node"), F.col("ahead.at").alias("dst")))
+        taken = spliced.count()
+        if not taken:
+            break
+        rounds.append(spliced)
+        gone = spliced.select(F.col("node").alias("src"))
+        left = rest.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
+        rest = checkpointed(left.unionByName(spliced.where("src != dst").select("src", "dst")).distinct())
+        if 4 * taken < size:
+            break
+        size = rest.count()
+    return rest, rounds
+
+
 def _coloured(rest: DataFrame) -> DataFrame:
     """``id, colour, root``: the largest node that reaches each node, and that node itself where the node reaches it."""
     colour = rest.select(F.col("src").alias("id")).unionByName(rest.select(F.col("dst").alias("id"))).distinct().select("id", F.col("id").alias("colour"))

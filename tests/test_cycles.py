@@ -107,3 +107,27 @@ def test_paths_of_a_grid_of_130_nodes(spark):
     assert [r["rank"] for r in found] == [1, 2, 3, 4, 5] and len({tuple(r["path"]) for r in found}) == 5
     assert all((a, b) in pairs for r in found for a, b in zip(r["path"], r["path"][1:]))
     assert [r["hops"] for r in found] == sorted(r["hops"] for r in found) and found[0]["hops"] == graph.reach(edges, spark.createDataFrame([("n000",)], "id string")).where("id = 'n127'").first()["distance"]
+
+
+def test_runs_of_chains_go_in_few_rounds(spark):
+    n = 3000
+    ring = spark.createDataFrame([(f"r{i:04d}", f"r{(i + 1) % n:04d}") for i in range(n)], PAIR)
+    rest, rounds = cycles._spliced(ring)
+    assert rest.isEmpty() and len(rounds) <= 14  # by independent nodes alone it takes about 20
+    got = {tuple(r) for r in cycles.strongly_connected(ring).select("component", "size").collect()}
+    assert got == {("r0000", n)}
+
+
+def test_graphs_of_long_chains_agree_with_reachability(spark):
+    pairs, draw = [], random.Random(3)
+    for part in range(4):
+        for e in range((6, 9, 12, 16)[part]):
+            a, b = (f"{part}-n{draw.randrange(7)}" for _ in range(2))
+            between = [f"{part}-e{e}-{i}" for i in range(draw.choice((0, 1, 2, 7, 15, 16, 17, 18, 40)))]
+            draw.shuffle(between)
+            pairs += list(zip([a, *between], [*between, b]))
+    pairs += [(f"s{k}-{i}", f"s{k}-{(i + 1) % k}") for k in (2, 3, 4, 5) for i in range(k)]
+    assert components(spark, pairs) == {n: (m[0], len(m)) for n, m in brute(pairs).items()}
+    numbers = {n: i for i, n in enumerate(sorted({n for p in pairs for n in p}))}
+    counted = [(numbers[a], numbers[b]) for a, b in pairs]
+    assert components(spark, counted, "src long, dst long") == {n: (m[0], len(m)) for n, m in brute(counted).items()}
