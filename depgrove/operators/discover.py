@@ -56,8 +56,11 @@ def dependency_sections(docs: DataFrame) -> DataFrame:
     return chunks(docs).where(last.rlike("|".join(DEPENDENCY_SECTIONS)))
 
 
-def structural(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``src, dst, confidence``: names listed in a document's dependency sections; table rows count less."""
+def structural(docs: DataFrame, lexicon: DataFrame, merged: bool = True) -> DataFrame:
+    """``src, dst, confidence``: names listed in a document's dependency sections; table rows count less.
+
+    Where they are not ``merged``, a name has a row for every section and kind of line.
+    """
     inside = dependency_sections(docs).select("doc_id", "content")
     row = lambda line: F.startswith(F.ltrim(line), F.lit("|"))
     stated = lambda text: F.lower(text).rlike(r"depends on|requires")
@@ -68,7 +71,8 @@ def structural(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     plain = F.when(tables.isNull() & said.isNull(), F.col("content")).otherwise(of(lambda line: ~row(line) & ~stated(line)))
     kinds = inside.select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("confidence"), t.alias("text")) for c, t in ((0.75, tables), (0.85, said), (0.8, plain))])).alias("k")).where("k.text != ''")
     hits = kinds.select("doc_id", "k.confidence", F.explode(F.array_distinct(tokens(F.col("k.text")))).alias("name")).join(lexicon.select("name"), "name", "left_semi")
-    return hits.groupBy(F.col("doc_id").alias("src"), F.col("name").alias("dst")).agg(F.max("confidence").alias("confidence")).where(F.col("src").cast("string") != F.col("dst"))
+    rows = hits.select(F.col("doc_id").alias("src"), F.col("name").alias("dst"), "confidence").where(F.col("doc_id").cast("string") != F.col("name"))
+    return rows.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")) if merged else rows
 
 
 def canonical_verb(form: Column) -> Column:
@@ -95,15 +99,24 @@ def triples(rows: DataFrame) -> DataFrame:
 def relations(rows: DataFrame) -> DataFrame:
     """Best triple per pair as an edge."""
     t = triples(rows).where("subject != object")
-    return t.groupBy(F.col("subject").alias("src"), F.col("object").alias("dst")).agg(F.max("confidence").alias("confidence"), F.max_by("type", F.struct("confidence", "type")).alias("type"), F.count(F.lit(1)).alias("mentions"))
+    # a place among the types, by confidence and name, is moved instead of both
+    kinds = sorted({(score, kind) for kind, score in VERBS.values()})
+    place = F.create_map(*[F.lit(x) for v, (kind, score) in VERBS.items() for x in (v, kinds.index((score, kind)) + 1)])[F.col("verb")]
+    best = t.groupBy(F.col("subject").alias("src"), F.col("object").alias("dst")).agg(F.max(place).alias("place"), F.count(F.lit(1)).alias("mentions"))
+    of = F.element_at(F.array(*[F.struct(F.lit(score).alias("confidence"), F.lit(kind).alias("type")) for score, kind in kinds]), F.col("place"))
+    return best.select("src", "dst", of["confidence"].alias("confidence"), of["type"].alias("type"), "mentions")
 
 
-def link_edges(docs: DataFrame, paths: DataFrame) -> DataFrame:
-    """``src, dst, type, confidence``: relative links; 1.0 where the target is a known path, else 0.5."""
+def link_edges(docs: DataFrame, paths: DataFrame, merged: bool = True) -> DataFrame:
+    """``src, dst, type, confidence``: relative links; 1.0 where the target is a known path, else 0.5.
+
+    Where they are not ``merged``, rows of ``docs`` with one path repeat their links.
+    """
     found = docs.select(F.col("path").alias("src"), F.explode(F.array_distinct(links(F.col("text")))).alias("target"))
     folder = F.regexp_extract("src", "^(.*/)", 1)
     clean = resolved_path(F.when(F.startswith("target", F.lit("/")), F.col("target")).otherwise(F.concat(folder, "target")))
-    edges = found.select("src", clean.alias("dst")).where((F.col("dst") != "") & (F.col("src") != F.col("dst"))).distinct()
+    edges = found.select("src", clean.alias("dst")).where((F.col("dst") != "") & (F.col("src") != F.col("dst")))
+    edges = edges.distinct() if merged else edges
     return edges.join(paths.select(F.col("path").alias("dst"), F.lit(1.0).alias("known")), "dst", "left").select("src", "dst", F.lit("references").alias("type"), F.coalesce("known", F.lit(0.5)).alias("confidence"))
 
 

@@ -34,9 +34,14 @@ def signals(edges: DataFrame, kind: str, evidence: Column, weight: float = 1.0)
     return edges.select(registry_id(F.col("src")).alias("src"), registry_id(F.col("dst")).alias("dst"), F.lit(kind).alias("kind"), evidence.alias("evidence"), F.col("confidence").cast("double").alias("confidence"), F.lit(weight).alias("weight"))
 
 
-def united(*given: DataFrame) -> DataFrame:
-    """Signals of all sources: of equal pair, kind and evidence the most certain stays; pairs of one component or without an id go."""
+def united(*given: DataFrame, parts: int | None = None) -> DataFrame:
+    """Signals of all sources: of equal pair, kind and evidence the most certain stays; pairs of one component or without an id go.
+
+    The signals of a pair are moved once, to the task that makes its relation too;
+    ``parts`` is the number of these tasks, the session's number if none.
+    """
     rows = reduce(DataFrame.unionByName, given).where("src != '' AND dst != '' AND src != dst")
+    rows = rows.repartition(parts, "src", "dst") if parts else rows.repartition("src", "dst")
     score = F.struct("confidence", "weight")
     return rows.groupBy("src", "dst", "kind", "evidence").agg(F.max(score).alias("x")).select("src", "dst", "kind", "evidence", "x.confidence", "x.weight")
 

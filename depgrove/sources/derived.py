@@ -13,19 +13,32 @@ from depgrove.session import table
 ROWS = 500_000
 
 
+def parts(spark: SparkSession, n: int) -> int | None:
+    """Tasks for about ``n`` rows where the session's number of partitions would give each over ``ROWS`` rows, else none."""
+    needed = -(-n // ROWS)
+    return needed if needed > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """``df`` of about ``n`` rows by keys, on more tasks where the session's number of partitions would give each over ``ROWS`` rows."""
-    parts = -(-n // ROWS)
-    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    needed = parts(df.sparkSession, n)
+    return df.repartition(needed, *keys) if needed else df
 
 
-def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive parts inside an order; more orders make an edge more certain."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+def part_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """``src, dst``: keys of consecutive parts inside an order, a row for each time, and the number of rows that they come from."""
+    # of equal line numbers and parts the order changes nothing, so no other column is moved
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     n = rows.count()  # from the footers
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     pairs = dealt(rows, n, "l_orderkey").withColumn("next", F.lead("l_partkey").over(order)).where(F.col("next").isNotNull() & (F.col("next") != F.col("l_partkey")))
-    counted = dealt(pairs.select(F.col("l_partkey").alias("src"), F.col("next").alias("dst")), n, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.select(F.col("l_partkey").alias("src"), F.col("next").alias("dst")), n
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive parts inside an order; more orders make an edge more certain."""
+    pairs, n = part_pairs(spark, sf_dir)
+    counted = dealt(pairs, n, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     named = counted.select(F.concat(F.lit("part-"), F.col("src")).alias("src"), F.concat(F.lit("part-"), F.col("dst")).alias("dst"), "n")
     return named.withColumns({"type": F.lit("depends-on"), "confidence": F.round(1 - F.pow(F.lit(0.5), F.col("n")), 6), "source_type": F.when(F.col("n") > 1, "both").otherwise("markdown")})
 
@@ -80,9 +93,11 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def component_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A markdown document for every part with edges: prose, a dependency section, links and a note."""
-    edges = part_edges(spark, sf_dir).select("src", F.struct("dst", "n").alias("row"))
-    # the lists are made where the rows arrive and hold what differs; a destination occurs once, so it gives the order
-    grouped = dealt(edges.repartition("src"), table(spark, sf_dir, "lineitem").count(), "src").groupBy("src").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    pairs, n = part_pairs(spark, sf_dir)
+    # two keys of each pair are moved once, to its part: counts and lists are made where they arrive; a destination occurs once, so it gives the order
+    counted = dealt(pairs.repartition("src"), n, "src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.select("src", F.struct(F.concat(F.lit("part-"), "dst").alias("dst"), "n").alias("row")).groupBy("src").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    grouped = rows.select(F.concat(F.lit("part-"), "src").alias("src"), "rows")
     verb = lambda n: F.element_at(F.array(*[F.lit(v) for v in ("depends on", "calls", "uses", "reads from")]), (F.pmod(n, F.lit(4)) + 1).cast("int"))
     item = lambda r: F.concat(F.lit("- ["), r["dst"], F.lit("](./"), r["dst"], F.lit(".md)"))
     prose = lambda r: F.concat("src", F.lit(" "), verb(r["n"]), F.lit(" "), r["dst"], F.lit("."))

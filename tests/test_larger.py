@@ -121,3 +121,38 @@ def test_a_large_mapping_is_not_broadcast(spark, monkeypatch):
     found = graph.lifted(edges, files)
     assert [tuple(r) for r in found.collect()] == [("x", "y", 0.9, "uses", 3)]
     assert found._jdf.queryExecution().executedPlan().toString().count("ShuffledHashJoin") >= 2
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+
+
+def test_signals_of_a_pair_are_moved_once(spark):
+    from depgrove.operators import registry
+
+    rows = spark.createDataFrame([("a", "b", "link", "x", 1.0, 1.0), ("a", "b", "link", "x", 0.5, 1.0), ("a", "b", "mention", "y", 0.7, 1.0), ("b", "a", "mention", "y", 0.7, 1.0), ("a", "a", "link", "x", 1.0, 1.0)], registry.SIGNALS)
+    for parts in (None, 7):
+        related = registry.relations(registry.united(rows, rows, parts=parts))
+        assert exchanges(related) == 1
+        assert sorted((r["src"], r["dst"], r["confidence"], sorted(r["by_kind"]), r["signals"]) for r in related.collect()) == [("a", "b", 1.0, ["link", "mention"], 2), ("b", "a", 0.7, ["mention"], 1)]
+
+
+def test_documents_move_each_pair_of_keys_once(spark, sf_dir):
+    from depgrove.sources import derived
+
+    docs = derived.component_documents(spark, sf_dir)
+    assert exchanges(docs) == 2 and "l_suppkey" not in docs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_and_names_that_are_not_merged_repeat(spark):
+    text = "# A\n\n## Dependencies\n\n[b](./b.md) svc-1\n\n## Requires\n\nsvc-1\n"
+    docs = spark.createDataFrame([("a", "a.md", text), ("b", "a.md", text)], "doc_id string, path string, text string")
+    lexicon = spark.createDataFrame([("svc-1",)], "name string")
+    paths = spark.createDataFrame([("b.md",)], "path string")
+    assert [discover.link_edges(docs, paths, merged).count() for merged in (True, False)] == [1, 2]
+    assert [discover.structural(docs, lexicon, merged).count() for merged in (True, False)] == [2, 4]
+
+
+def test_the_type_of_the_most_certain_mention_stays(spark):
+    rows = spark.createDataFrame([("a", 0, "x uses y"), ("a", 1, "x calls y"), ("a", 2, "x calls y"), ("a", 3, "p integrates with q"), ("a", 4, "p connects to q"), ("a", 5, "m uses n, m provides n")], "doc_id string, pos int, line string")
+    assert sorted(map(tuple, discover.relations(rows).collect())) == [("m", "n", 0.7, "mentions", 2), ("p", "q", 0.65, "depends-on", 2), ("x", "y", 0.75, "calls", 3)]
