@@ -156,3 +156,51 @@ def test_links_and_names_that_are_not_merged_repeat(spark):
 def test_the_type_of_the_most_certain_mention_stays(spark):
     rows = spark.createDataFrame([("a", 0, "x uses y"), ("a", 1, "x calls y"), ("a", 2, "x calls y"), ("a", 3, "p integrates with q"), ("a", 4, "p connects to q"), ("a", 5, "m uses n, m provides n")], "doc_id string, pos int, line string")
     assert sorted(map(tuple, discover.relations(rows).collect())) == [("m", "n", 0.7, "mentions", 2), ("p", "q", 0.65, "depends-on", 2), ("x", "y", 0.75, "calls", 3)]
+
+
+@pytest.mark.parametrize("most_df", [None, 30])
+def test_vectors_are_written_once_whatever_the_number_of_blocks(spark, monkeypatch, most_df):
+    from depgrove.operators import search
+
+    docs = spark.createDataFrame([(i, " ".join(["common"] * 2 + [f"w{i % p}" for p in (2, 3, 5, 7)])) for i in range(60)], "doc_id long, text string")
+    post = search.postings(docs)
+    rows = []
+
+    def counted(df):
+        done = written(df)
+        rows.append((done.columns, done.count()))
+        return done
+
+    written = search.checkpointed
+    monkeypatch.setattr(search, "checkpointed", counted)
+    monkeypatch.setattr(search, "POSTINGS", 1 << 30)
+    one, many = (search.similar_documents(post, 60, 0.4, most_df, block) for block in (1000, 2))
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+    assert all(n < 60 for _, n in rows[1::2])
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    by = {}
+    for r in search.tfidf(post, 60).collect():
+        by.setdefault(r["doc_id"], {})[r["term"]] = r["w"], r["df"]
+    total = lambda a, b: round(sum(w * by[b][t][0] for t, (w, df) in by[a].items() if t in by[b] and df <= (most_df or 60)), 6)
+    assert {(r["a"], r["b"]): round(r["similarity"], 5) for r in many.collect()} == {(a, b): round(total(a, b), 5) for a in by for b in by if a < b and total(a, b) >= 0.4}
+
+
+def test_products_of_blocks_are_exact_in_pieces(monkeypatch):
+    import numpy as np
+
+    from depgrove.operators import search
+
+    draw = np.random.default_rng(3)
+    a, b = (np.where(draw.random((n, 50)) < np.linspace(0.02, 0.9, 50), draw.random((n, 50)), 0) for n in (17, 23))
+
+    def part(x):
+        t, doc = np.nonzero(x.T)
+        return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(doc.astype(np.int32)), pa.array(x[doc, t])], names=["t", "doc", "w"])
+
+    for full, most in ((1_024, 2_000_000), (4, 1), (0, 7)):
+        monkeypatch.setattr(search, "FULL_TERMS", full)
+        monkeypatch.setattr(search, "PRODUCTS", most)
+        x, y, s = search._products(part(a), part(b), 17, 23, 3.0)
+        assert 0 < len(s) < 17 * 23
+        assert sorted(zip(x, y)) == sorted(zip(*np.nonzero(a @ b.T >= 3.0))) and np.allclose(s, (a @ b.T)[x, y])
+    assert len(search._products(part(a[:, :0]), part(b), 17, 23, 3.0)[2]) == 0
