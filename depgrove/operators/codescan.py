@@ -304,7 +304,9 @@ GO_VARIABLE_TYPES = {
 }
 # Patterns of dependencies that comments state, types of addresses in them, and hosts that are none.
 STATED = r"(?i)(?:calls|depends on|uses|connects to|talks to|sends to|reads from|writes to)\s++(\w[\w-]*+(?:\.\w[\w-]*+)*+)"
-TO_DO = r"(?i)(?:TODO|FIXME|HACK|XXX)[:\s]++.*?(?<![\w.-])[.-]*+(\w[\w.-]*-(?:service|api|db|cache|queue|broker|cluster)[\w.-]*+)"
+PLANNED = r"(?:TODO|FIXME|HACK|XXX)"
+# without a target a match ends with its line, before a mark that ends the line, and gives "": so no later mark of the line is tried in vain
+TO_DO = rf"(?i){PLANNED}[:\s]++.*?(?:(?<![\w.-])[.-]*+(\w[\w.-]*-(?:service|api|db|cache|queue|broker|cluster)[\w.-]*+)|(?=(?:{PLANNED}[:\s]*)?[\n\r\x85\u2028\u2029])|\z)"
 ADDRESS = r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\s,;)\"']++)"
 COMMENT_SCHEMES = {
     "postgres": "database", "postgresql": "database", "mysql": "database", "mongodb": "database", "mongodb+srv": "database", "redis": "cache", "rediss": "cache",
@@ -444,7 +446,7 @@ def comment_signals(files: DataFrame, known: DataFrame | None = None) -> DataFra
     same, unknown = lambda v: v, lambda v: F.lit("unknown")
     address = F.filter(every(ADDRESS), lambda v: ~F.regexp_extract(v, HOST_OF, 1).isin("", *COMMENT_HOSTS))
     hits = F.concat(
-        found(every(STATED), 1, same, unknown), found(every(TO_DO), 2, same, unknown),
+        found(every(STATED), 1, same, unknown), found(F.filter(every(TO_DO), lambda v: v != ""), 2, same, unknown),
         found(address, 3, lambda v: F.regexp_extract(v, HOST_OF, 1), lambda v: F.coalesce(_lookup(COMMENT_SCHEMES, F.substring_index(v, "://", 1)), F.lit("unknown"))),
     )
     each = rows.select("src", "path", "language", F.col("c.line").alias("line"), F.col("c.evidence").alias("evidence"), F.explode(hits).alias("x"))

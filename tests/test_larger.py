@@ -204,3 +204,20 @@ def test_products_of_blocks_are_exact_in_pieces(monkeypatch):
         assert 0 < len(s) < 17 * 23
         assert sorted(zip(x, y)) == sorted(zip(*np.nonzero(a @ b.T >= 3.0))) and np.allclose(s, (a @ b.T)[x, y])
     assert len(search._products(part(a[:, :0]), part(b), 17, 23, 3.0)[2]) == 0
+
+
+def test_planned_targets_are_searched_once_a_line(spark):
+    import time
+
+    from depgrove.operators import codescan
+
+    plain = r"(?i)(?:TODO|FIXME|HACK|XXX)[:\s]++.*?(?<![\w.-])[.-]*+(\w[\w.-]*-(?:service|api|db|cache|queue|broker|cluster)[\w.-]*+)"
+    texts = ["TODO a TODO: b-db FIXME c HACK d-api x", "TODO: none", "todo\ra-db", "TODO x TODO\r b-api", "TODO x XXXX:\r\rFIXME\u2028 c-queue.d", "XXXTODO a-b-cache-x TODO", "TODO\rTODO\ra-db TODO", "TODO: -a-db.TODO b-api", "fixme .a-service-db", "TODO x\x85TODO y-api", "TODO-db TODO"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
+    every = lambda pattern: F.regexp_extract_all("t", F.lit(pattern), F.lit(1))
+    for r in rows.select("t", every(plain).alias("a"), F.filter(every(codescan.TO_DO), lambda v: v != "").alias("b")).collect():
+        assert r["a"] == r["b"], r["t"]
+    assert rows.select(F.sum(F.size(every(plain)))).first()[0] >= 9
+    begin = time.time()
+    assert spark.createDataFrame([("TODO " * 20_000,)], "t string").select(F.size(every(codescan.TO_DO))).first()[0] == 1
+    assert time.time() - begin < 10
